@@ -1,11 +1,15 @@
-"""The corpus pipeline: language ID, SimHash near-dedup (more stages follow)."""
+"""The corpus pipeline over `documents`: language ID, SimHash near-dedup, decontamination, secret scan, packing.
+
+Each stage works on all rows that the one before kept. Rows with null texts or without a letter go in the first stage; of rows that
+are the same in id and text, one stays after the second; ids may be null and are then compared as equal.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, lang_id, simhash
+from tidemark.llm import common, decontaminate, lang_id, packing, secrets, simhash
 
 #: The stages are model-based or iterative, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -19,13 +23,42 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id."""
-    found = simhash.near_duplicates(docs).select("doc_id", "component_id")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group stays, that of the smallest id; a null id counts as the smallest."""
+    known = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    found = common.written(simhash.near_duplicates(known, id_col="__id").select("doc_id", "component_id"))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    rows = known.join(kept, "__id", "left_semi").select(*docs.columns)
+    n, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return rows.dropDuplicates(["doc_id", "text"]) if n > ids else rows
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__h"])
+    return docs.join(bad, same, "left_anti")
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; n_chars follows."""
+    found = secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark)), path_col="source")
+    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 1024 tokens."""
+    return packing.pack(common.written(packing.pieces(docs)))
 
 
-STAGES = [("language_id", language_stage), ("simhash_near_dedup", near_dedup_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secret_scan", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, simhash
-from .common import table
+from . import decontaminate, lang_id, packing, secrets, simhash
+from .common import table, written
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each document as counts, spans and the digest of the redacted text; `source` serves as path."""
+    model = secrets.fit(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model, path_col="source")
+    hits = F.filter("findings", lambda f: f["secret"])
+    spans = F.transform(hits, lambda f: F.concat(f["start"].cast("string"), F.lit("+"), f["length"].cast("string")))
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(hits).cast("long").alias("n_secrets"), F.array_join(spans, ",").alias("spans"),
+        F.array_max(F.transform("findings", lambda f: f["score"])).alias("max_score"), F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"),
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(written(packing.pieces(table(spark, sf_dir, "documents"))))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +30,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold crc32(id) mod 4 = 2 is held out of the fit; the prediction reads the text alone."""
     docs = table(spark, sf_dir, "documents")
@@ -24,8 +46,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_simhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_best_fit_packing, op6_simhash_near_dedup, op8_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.SQL}
