@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, packing, secrets, simhash
+from . import decontaminate, lang_id, packing, repeats, secrets, simhash
 from .common import table, written
 
 
@@ -30,6 +30,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -46,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op4_best_fit_packing, op6_simhash_near_dedup, op8_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_best_fit_packing, op6_simhash_near_dedup, op7_suffix_repeats, op8_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
