@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, packing, repeats, secrets, simhash
+from . import decontaminate, embeddings, lang_id, packing, quality, repeats, secrets, simhash
 from .common import table, written
 
 
@@ -21,6 +21,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"), "posterior", "score", "kept")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(written(packing.pieces(table(spark, sf_dir, "documents"))))
 
@@ -50,8 +59,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op4_best_fit_packing, op6_simhash_near_dedup, op7_suffix_repeats, op8_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_best_fit_packing, op6_simhash_near_dedup, op7_suffix_repeats, op8_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.SQL}
+    return {"op2_embedding_near_dedup": embeddings.SQL, "op8_decontaminate": decontaminate.SQL}
