@@ -24,9 +24,10 @@ from .common import slices, written
 SIZE, END_ID = 1024, 2
 #: Characters with the Unicode property White_Space; pre-tokens never reach from another character into one of these.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c))
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Chunks whose ids a worker keeps (some 200 bytes each); beyond, it starts anew.
-CACHED = 300_000
+CACHED = 600_000
 #: Longer chunks are encoded without being kept.
 LONGEST = 64
 #: Ranks are counted apart in so many hashed parts of a length at least, with about so many rows in each.
@@ -46,9 +47,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes of text behind each id: byte-level tokens are written with one character a byte."""
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token)
+    return sizes
+
+
 _known: dict[str, dict[str, bytes]] = {}
 
 
+def _encode_chunks(chunks: list[str], path: str) -> Iterator[tuple[str, bytes]]:
+    """Chunks that start with white space and go on are encoded end to end and told apart by the bytes behind the ids."""
+    joined = [c for c in chunks if c[0] in _BLANK and c[-1] not in _BLANK]
+    apart = [c for c in chunks if c[0] not in _BLANK or c[-1] in _BLANK]
+    tokenizer = _tokenizer(path)
+    for start in range(0, len(apart), 4096):
+        part = apart[start : start + 4096]
+        for chunk, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            yield chunk, np.array(found.ids, "<u4").tobytes()
+    for start in range(0, len(joined), 4096):
+        part = joined[start : start + 4096]
+        ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in part), np.int64, len(part)))
+        reached = np.cumsum(_token_bytes(path)[ids])
+        last = np.searchsorted(reached, ends)
+        if not (len(ids) and np.array_equal(reached[last], ends)):
+            raise ValueError("a token reaches over a border of chunks: this tokenizer needs another chunk pattern")
+        blob = ids.tobytes()
+        stops = (4 * (last + 1)).tolist()
+        for chunk, low, high in zip(part, [0, *stops[:-1]], stops, strict=True):
+            yield chunk, blob[low:high]
+
+
 def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit integers, without the end id; null is the empty text.
 
@@ -56,18 +90,17 @@ def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
     """
     known = _known.setdefault(path, {})
     chunks = [_CHUNK.findall(t or "") for t in texts]
-    missing = list({c for row in chunks for c in row if c not in known})
+    used = set().union(*chunks)
+    missing = used - known.keys()
     if len(known) + len(missing) > CACHED:
         known.clear()
-        missing = list({c for row in chunks for c in row})
-    fresh = {}
-    for start in range(0, len(missing), 4096):
-        part = missing[start : start + 4096]
-        for chunk, found in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4").tobytes()
-            (known if len(chunk) <= LONGEST else fresh)[chunk] = ids
+        missing = used
+    known.update(_encode_chunks(list(missing), path))
     for row in chunks:
-        yield b"".join([known[c] if c in known else fresh[c] for c in row])
+        yield b"".join(map(known.__getitem__, row))
+    for chunk in missing:
+        if len(chunk) > LONGEST:
+            del known[chunk]
 
 
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:

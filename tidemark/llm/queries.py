@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, lang_id, packing, quality, repeats, secrets, simhash
+from . import chat, decontaminate, embeddings, lang_id, licenses, packing, quality, repeats, secrets, simhash
 from .common import table, written
 
 
@@ -34,6 +34,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(written(packing.pieces(table(spark, sf_dir, "documents"))))
 
 
+def op5_chat_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of every message with its place and canonical line."""
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -49,6 +54,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold crc32(id) mod 4 = 2 is held out of the fit; the prediction reads the text alone."""
     docs = table(spark, sf_dir, "documents")
@@ -58,9 +67,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+QUERIES = (
+    op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_best_fit_packing, op5_chat_linking,
+    op6_simhash_near_dedup, op7_suffix_repeats, op8_decontaminate, op9_license_scan, op10_language_id,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_best_fit_packing, op6_simhash_near_dedup, op7_suffix_repeats, op8_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": embeddings.SQL, "op8_decontaminate": decontaminate.SQL}
+    """Where there is none, SQL can't express the query (trees, hashes, tokenizers) or not in useful time (all 400-byte strings)."""
+    return {"op2_embedding_near_dedup": embeddings.SQL, "op8_decontaminate": decontaminate.SQL, "op9_license_scan": licenses.sql()}
