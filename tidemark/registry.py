@@ -24,5 +24,5 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    for name in ("bars", "windows"):
+    for name in ("bars", "windows", "asof"):
         importlib.import_module(f"tidemark.plans.{name}")
