@@ -1 +1 @@
-"""Part of tidemark; see README.md."""
+"""Scalar functions: arithmetic, classification and text, as Column expressions."""

@@ -1,0 +1,76 @@
+"""Scalar functions on Columns. Divisions by zero give null, rounding is half up."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: A slot of recording, in milliseconds.
+SLOT_MS = 900_000
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    """Null stays null: least and greatest alone would skip it."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+
+
+def round_half_up(x: Column, digits: int = 0) -> Column:
+    scale = 10.0**digits
+    return F.floor(x * scale + 0.5) / scale
+
+
+def near(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
+    return F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
+
+
+def smoothstep(x: Column) -> Column:
+    t = clamp(x, 0, 1)
+    return t * t * (3 - 2 * t)
+
+
+def slot(ms: Column) -> Column:
+    return F.floor(ms / SLOT_MS).cast("long")
+
+
+def next_slot_open(ms: Column) -> Column:
+    """A time on a border is its own open; a millisecond later, the next border."""
+    return (F.ceil(ms / SLOT_MS) * SLOT_MS).cast("long")
+
+
+def day_key(s: Column, shift_hours: int = 0) -> Column:
+    return F.floor((s + shift_hours * 3600) / 86400).cast("long")
+
+
+def seconds_of(x: Column) -> Column:
+    """Seconds from a number of seconds, milliseconds or microseconds, by its size."""
+    return F.floor(F.when(x > 100_000_000_000_000, x / 1e6).when(x > 100_000_000_000, x / 1e3).otherwise(x)).cast("long")
+
+
+def base_symbol(symbol: Column) -> Column:
+    """Base coin of a contract name: upper case, quote and multiplier cut off; null for dated contracts and other quotes."""
+    name = F.upper(F.trim(symbol))
+    base = F.regexp_extract(name, r"^(1000000|1000|1M)?([A-Z0-9]+?)(USDT)$", 2)
+    return F.when(name.rlike(r"_\d+$") | (base == ""), None).otherwise(base)
+
+
+def compact(x: Column) -> Column:
+    """1234 -> 1.23K, with K, M, B and T."""
+    a = F.abs(x)
+    part = lambda s, u: F.concat(F.format_string("%.2f", x / s), F.lit(u))
+    return F.when(a >= 1e12, part(1e12, "T")).when(a >= 1e9, part(1e9, "B")).when(a >= 1e6, part(1e6, "M")).when(a >= 1e3, part(1e3, "K")).otherwise(F.format_string("%.2f", x))
+
+
+def signed_percent(x: Column) -> Column:
+    return F.concat(F.when(x > 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.2f%%", x))
+
+
+def regime(pump: Column, accumulate: Column, distribute: Column) -> Column:
+    """The largest of three scores; ties go to pump, then accumulate."""
+    return F.when((pump >= accumulate) & (pump >= distribute), "P").when(accumulate >= distribute, "A").otherwise("D")
+
+
+def fnv1a(text: str) -> int:
+    h = 0x811C9DC5
+    for byte in text.encode():
+        h = (h ^ byte) * 0x01000193 & 0xFFFFFFFF
+    return h

@@ -24,5 +24,5 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    for name in ("bars", "windows", "asof"):
+    for name in ("bars", "windows", "asof", "signals", "outcomes", "research"):
         importlib.import_module(f"tidemark.plans.{name}")
