@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("sym").orderBy("t")
+
+def by_time():
+    return Window.partitionBy("sym").orderBy("t")
 
 
 def from_ticks(ticks: DataFrame, width: int) -> DataFrame:
@@ -29,7 +31,7 @@ def _merged(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 def rollup_positions(bars: DataFrame, by: int) -> DataFrame:
     """Every `by` bars in order make one, the last may be short; taker volume only if all children have it; `up` by the new bar's colour."""
-    groups = bars.withColumn("g", F.floor((F.row_number().over(BY_TIME) - 1) / by))
+    groups = bars.withColumn("g", F.floor((F.row_number().over(by_time()) - 1) / by))
     return _merged(groups, ["sym", "g"]).drop("g").withColumn("up", F.col("close") >= F.col("open"))
 
 
@@ -66,7 +68,7 @@ def forward_fill(grid: DataFrame, points: DataFrame) -> DataFrame:
 def attach_nearest(bars: DataFrame, points: DataFrame, width: int) -> DataFrame:
     """Points go to the bar of the nearest index (half up), the last one wins; then forward fill, null before the first."""
     at = points.withColumn("t", F.floor(F.col("ts") / width + 0.5).cast("long") * width).groupBy("sym", "t").agg(F.max_by("v", F.struct("ts", "seq")).alias("v"))
-    return bars.join(at, ["sym", "t"], "left").withColumn("v", F.last("v", ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    return bars.join(at, ["sym", "t"], "left").withColumn("v", F.last("v", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def sparkline(bars: DataFrame, last: int = 289, every: int = 6, digits: int = 5) -> DataFrame:
@@ -85,7 +87,7 @@ def sparkline(bars: DataFrame, last: int = 289, every: int = 6, digits: int = 5)
 
 def gap_profile(bars: DataFrame, step: int) -> DataFrame:
     """(sym, rows, first_t, last_t, gaps, q): gaps counts missing steps."""
-    dt = F.col("t") - F.lag("t").over(BY_TIME)
+    dt = F.col("t") - F.lag("t").over(by_time())
     missing = F.when(dt > step, F.greatest(F.lit(1), F.floor(dt / step + 0.5) - 1)).otherwise(0)
     return bars.withColumn("missing", missing).groupBy("sym").agg(
         F.count("*").alias("rows"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("missing").cast("long").alias("gaps"), F.sum("q").alias("q")
@@ -96,7 +98,7 @@ def validated(bars: DataFrame, step: int) -> DataFrame:
     """Adds `reject`: invalid prices first, then a gap to the bar before, else null."""
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     valid = (o > 0) & (h > 0) & (low > 0) & (c > 0) & (low <= F.least(o, c)) & (h >= F.greatest(o, c))
-    gap = F.col("t") - F.lag("t").over(BY_TIME) != step
+    gap = F.col("t") - F.lag("t").over(by_time()) != step
     return bars.withColumn("reject", F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(gap, "gap"))
 
 
@@ -112,7 +114,7 @@ def keep_last(bars: DataFrame, n: int) -> DataFrame:
 
 def completed_share(bars: DataFrame, n: int, step: int) -> DataFrame:
     """Taker share over the n bars up to each, null unless they are contiguous and all taker volumes are known."""
-    w = BY_TIME.rowsBetween(-(n - 1), 0)
+    w = by_time().rowsBetween(-(n - 1), 0)
     whole = (F.count("*").over(w) == n) & (F.count("tq").over(w) == n) & (F.col("t") - F.min("t").over(w) == (n - 1) * step)
     return bars.withColumn("share", F.when(whole, F.try_divide(F.sum("tq").over(w), F.sum("q").over(w))))
 

@@ -17,7 +17,7 @@ def feature_rows(bars: DataFrame) -> DataFrame:
     rows = folds.ema(folds.ema(bars, 20, name="ema20"), 50, name="ema50")
     rows = X.latest_cross(X.wicks(X.atr(X.width_percentile(rows))), "ema20", "ema50").drop("width")
     rows = rows.withColumns({"i": X.index(), "oi": F.sum("tq").over(X.upto(24)), "funding": (F.try_divide("tq", "q") - 0.5) / 10})
-    lag = lambda c, k: F.lag(c, k).over(X.W)
+    lag = lambda c, k: F.lag(c, k).over(X.by_time())
     ret = lambda k: F.try_divide(F.col("close"), lag("close", k)) - 1
     day = X.upto(24)
     rows = X.flush_shape(rows, "oi", 48).withColumnsRenamed({"drop_pct": "oi_drop", "rebound_pct": "oi_rebound"}).drop("peak", "trough")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("sym").orderBy("t")
+
+def by_time():
+    return Window.partitionBy("sym").orderBy("t")
 
 
 def rising_edges(rows: DataFrame, on: Column) -> DataFrame:
@@ -26,7 +28,7 @@ def rising_edges(rows: DataFrame, on: Column) -> DataFrame:
 
 def forward(bars: DataFrame, horizon: int) -> DataFrame:
     """Adds mfe, mae and ret of the bars within `horizon` seconds after each, and how many there were; missing bars are skipped."""
-    w = W.rangeBetween(1, horizon)
+    w = by_time().rangeBetween(1, horizon)
     rel = lambda x: F.try_divide(x, F.col("close")) - 1
     return bars.withColumns({
         "mfe": rel(F.max("high").over(w)), "mae": rel(F.min("low").over(w)), "ret": rel(F.last("close").over(w)), "seen": F.count("*").over(w),

@@ -8,22 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("sym").orderBy("t")
-C = F.col("close")
+
+def by_time():
+    return Window.partitionBy("sym").orderBy("t")
 
 
 def before(n: int, skip: int = 1):
     """The n rows up to `skip` rows before the current one."""
-    return W.rowsBetween(-(n + skip - 1), -skip)
+    return by_time().rowsBetween(-(n + skip - 1), -skip)
 
 
 def upto(n: int):
     """The n rows that end with the current one."""
-    return W.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def index() -> Column:
-    return F.row_number().over(W) - 1
+    return F.row_number().over(by_time()) - 1
 
 
 def zscore(n: int, least: int = 8, of: str = "q") -> Column:
@@ -35,13 +36,13 @@ def zscore(n: int, least: int = 8, of: str = "q") -> Column:
 
 def bollinger(n: int = 20, k: float = 2.0) -> dict[str, Column]:
     w = upto(n)
-    full, mid, sd = F.count(C).over(w) == n, F.avg(C).over(w), F.stddev_pop(C).over(w)
+    full, mid, sd = F.count(F.col("close")).over(w) == n, F.avg(F.col("close")).over(w), F.stddev_pop(F.col("close")).over(w)
     return {"mid": F.when(full, mid), "upper": F.when(full, mid + k * sd), "lower": F.when(full, mid - k * sd)}
 
 
 def bandwidth(n: int = 20, k: float = 2.0) -> Column:
     w = upto(n)
-    return F.when(F.count(C).over(w) == n, F.try_divide(2 * k * F.stddev_pop(C).over(w), F.abs(F.avg(C).over(w))))
+    return F.when(F.count(F.col("close")).over(w) == n, F.try_divide(2 * k * F.stddev_pop(F.col("close")).over(w), F.abs(F.avg(F.col("close")).over(w))))
 
 
 def width_percentile(bars: DataFrame, n: int = 20, frame: int = 48) -> DataFrame:
@@ -53,7 +54,7 @@ def width_percentile(bars: DataFrame, n: int = 20, frame: int = 48) -> DataFrame
 
 
 def true_range() -> Column:
-    prev = F.lag("close").over(W)
+    prev = F.lag("close").over(by_time())
     return F.when(prev.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
 
 
@@ -64,7 +65,7 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def base_volume() -> Column:
-    return F.try_divide(F.col("q"), (F.col("high") + F.col("low") + C) / 3)
+    return F.try_divide(F.col("q"), (F.col("high") + F.col("low") + F.col("close")) / 3)
 
 
 def rolling_vwap(bars: DataFrame, n: int = 24) -> DataFrame:
@@ -74,27 +75,27 @@ def rolling_vwap(bars: DataFrame, n: int = 24) -> DataFrame:
 
 def anchored_vwap(bars: DataFrame, anchor: Column) -> DataFrame:
     """From the first row where `anchor` holds on; null before it and while no volume was seen."""
-    w = W.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_time().rowsBetween(Window.unboundedPreceding, 0)
     rows = bars.withColumn("on", F.max(F.coalesce(anchor, F.lit(False)).cast("int")).over(w) == 1).withColumn("base", F.when(F.col("on"), base_volume()))
     q, b = F.sum(F.when(F.col("on"), F.col("q"))).over(w), F.sum("base").over(w)
     return rows.withColumn("vwap", F.when(b > 0, q / b)).drop("on", "base")
 
 
 def range_position(n: int = 96) -> Column:
-    low, high = F.min("low").over(W.rowsBetween(-n, 0)), F.max("high").over(W.rowsBetween(-n, 0))
-    return F.when(high > low, (C - low) / (high - low)).otherwise(0.5)
+    low, high = F.min("low").over(by_time().rowsBetween(-n, 0)), F.max("high").over(by_time().rowsBetween(-n, 0))
+    return F.when(high > low, (F.col("close") - low) / (high - low)).otherwise(0.5)
 
 
 def change(k: int, of: str = "close") -> Column:
     """Return over k rows, clamped to the first row where the series is shorter."""
-    then = F.coalesce(F.lag(of, k).over(W), F.first(of).over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    then = F.coalesce(F.lag(of, k).over(by_time()), F.first(of).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     return F.try_divide(F.col(of), then) - 1
 
 
 def up_share(n: int) -> Column:
     """Share of volume in bars that closed up; 0.5 without volume."""
     w = upto(n)
-    return F.coalesce(F.try_divide(F.sum(F.when(C >= F.col("open"), F.col("q")).otherwise(0.0)).over(w), F.sum("q").over(w)), F.lit(0.5))
+    return F.coalesce(F.try_divide(F.sum(F.when(F.col("close") >= F.col("open"), F.col("q")).otherwise(0.0)).over(w), F.sum("q").over(w)), F.lit(0.5))
 
 
 def taker_share(n: int) -> Column:
@@ -117,7 +118,7 @@ def strength(bars: DataFrame, per_hour: int = 1) -> DataFrame:
     rows = bars.withColumns({"i": index(), "r4": change(four), "r24": change(day), "vz": zscore(day, 0), "pos": range_position(day), "buy": up_share(four)})
     score = 50 + 22 * squash(F.col("r4") * 12) + 14 * squash(F.col("r24") * 5) + 10 * squash(F.col("vz") / 2) + 16 * (F.col("pos") - 0.5) + 24 * (F.col("buy") - 0.5)
     rows = rows.withColumn("s", F.when(F.col("i") >= four, F.least(F.lit(98.0), F.greatest(F.lit(3.0), score))))
-    first = F.first("s", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first("s", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.withColumn("strength", F.coalesce("s", first, F.lit(50.0))).drop("i", "r4", "r24", "vz", "pos", "buy", "s")
 
 
@@ -128,7 +129,7 @@ def ranked(rows: DataFrame, n: int, by: list[Column], within: str = "t") -> Data
 
 def flush_shape(bars: DataFrame, of: str = "close", n: int = 48) -> DataFrame:
     """Peak of the last n + 1 values, the first on ties, then the lowest value after it: drop and rebound in percent."""
-    frame = F.collect_list(of).over(W.rowsBetween(-n, 0))
+    frame = F.collect_list(of).over(by_time().rowsBetween(-n, 0))
     rows = bars.withColumn("f", frame).withColumn("peak", F.array_max("f")).withColumn("k", F.array_position("f", F.col("peak")))
     after = F.slice("f", F.col("k").cast("int"), F.size("f"))
     rows = rows.withColumn("trough", F.array_min(after))
@@ -146,7 +147,7 @@ def causal_drawdown(bars: DataFrame, n: int = 96) -> DataFrame:
 def high_age(bars: DataFrame, cap: int = 240) -> DataFrame:
     """Bars since a high at or above the current close, at most cap."""
     frame = F.reverse(F.collect_list("high").over(before(cap)))
-    here = F.array_position(F.transform(frame, lambda h: h >= C), F.lit(True))
+    here = F.array_position(F.transform(frame, lambda h: h >= F.col("close")), F.lit(True))
     return bars.withColumn("age", F.when(here > 0, here).otherwise(F.lit(cap)).cast("long"))
 
 
@@ -172,7 +173,7 @@ def below_run(rows: DataFrame, flag: Column, n: int) -> DataFrame:
 def latest_cross(rows: DataFrame, fast: str, slow: str, n: int = 8) -> DataFrame:
     """Adds `cross`: 1 or -1 for the latest sign change of fast - slow within n rows, 0 without one."""
     sign = F.signum(F.col(fast) - F.col(slow)).cast("int")
-    rows = rows.withColumn("sg", sign).withColumn("pv", F.lag("sg").over(W))
+    rows = rows.withColumn("sg", sign).withColumn("pv", F.lag("sg").over(by_time()))
     rows = rows.withColumn("x", F.when((F.col("sg") != F.col("pv")) & (F.col("sg") != 0), F.col("sg")))
     return rows.withColumn("cross", F.coalesce(F.last("x", ignorenulls=True).over(upto(n)), F.lit(0))).drop("sg", "pv", "x")
 
@@ -180,18 +181,18 @@ def latest_cross(rows: DataFrame, fast: str, slow: str, n: int = 8) -> DataFrame
 def presence_start(rows: DataFrame, on: Column) -> DataFrame:
     """Adds `since`: first t of the current run of rows on which the flag holds, null while it doesn't (gaps and islands)."""
     rows = rows.withColumn("on", F.coalesce(on, F.lit(False)))
-    edge = (F.col("on") & ~F.coalesce(F.lag("on").over(W), F.lit(False))).cast("int")
-    rows = rows.withColumn("edge", edge).withColumn("run", F.sum("edge").over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = (F.col("on") & ~F.coalesce(F.lag("on").over(by_time()), F.lit(False))).cast("int")
+    rows = rows.withColumn("edge", edge).withColumn("run", F.sum("edge").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     return rows.withColumn("since", F.when(F.col("on"), F.min(F.when(F.col("on"), F.col("t"))).over(Window.partitionBy("sym", "run")))).drop("edge", "run")
 
 
 def squeeze(bars: DataFrame, n: int = 20) -> DataFrame:
     """Adds `tight`: band width at most three average true ranges, relative to the mean; `breakout`: close above the high since the first tight bar of the last six."""
-    rows = atr(bars.withColumn("w", bandwidth(n)), n).withColumn("tight", F.coalesce(F.col("w") <= F.try_divide(2 * 1.5 * F.col("atr"), F.abs(F.avg(C).over(upto(n)))), F.lit(False)))
+    rows = atr(bars.withColumn("w", bandwidth(n)), n).withColumn("tight", F.coalesce(F.col("w") <= F.try_divide(2 * 1.5 * F.col("atr"), F.abs(F.avg(F.col("close")).over(upto(n)))), F.lit(False)))
     flags, highs = F.collect_list("tight").over(before(6)), F.collect_list("high").over(before(6))
     rows = rows.withColumns({"fl": flags, "hi": highs}).withColumn("k", F.array_position("fl", F.lit(True)))
     since = F.array_max(F.slice("hi", F.greatest(F.col("k"), F.lit(1)).cast("int"), 6))
-    return rows.withColumn("breakout", (F.col("k") > 0) & (C > since)).drop("w", "atr", "fl", "hi", "k")
+    return rows.withColumn("breakout", (F.col("k") > 0) & (F.col("close") > since)).drop("w", "atr", "fl", "hi", "k")
 
 
 def double_bottom(bars: DataFrame, frame: int = 20, recent: int = 6, apart: tuple[int, int] = (2, 12), tolerance: float = 0.01) -> DataFrame:
@@ -202,7 +203,7 @@ def double_bottom(bars: DataFrame, frame: int = 20, recent: int = 6, apart: tupl
     minimum = lambda i: (at("lo", i) < at("lo", i - 1)) & (at("lo", i) <= at("lo", i + 1))
     pair = lambda j, i: (
         minimum(i) & minimum(j) & (j - i >= apart[0]) & (j - i <= apart[1])
-        & (F.abs(at("lo", j) - at("lo", i)) <= tolerance * F.abs(at("lo", i))) & (C > F.array_max(F.slice("hi", i + 1, j - i + 1)))
+        & (F.abs(at("lo", j) - at("lo", i)) <= tolerance * F.abs(at("lo", i))) & (F.col("close") > F.array_max(F.slice("hi", i + 1, j - i + 1)))
     )
     seconds = F.sequence(n - recent, n - 2)
     firsts = lambda j: F.sequence(F.greatest(F.lit(1), j - apart[1]), F.greatest(F.lit(1), j - apart[0]))

@@ -84,7 +84,7 @@ def basis_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.sym, r.t, round((r.r4 - m.r4) * 100, 4) AS rs_pct FROM r JOIN r m ON m.sym = 'click' AND m.t = r.t WHERE r.sym <> 'click' AND r.r4 IS NOT NULL AND m.r4 IS NOT NULL""")
 def benchmark_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return against that of one benchmark series at equal times."""
-    r = event_bars(spark, sf_dir).select("sym", "t", (F.try_divide(F.col("close"), F.lag("close", 4).over(X.W)) - 1).alias("r4")).where("r4 is not null")
+    r = event_bars(spark, sf_dir).select("sym", "t", (F.try_divide(F.col("close"), F.lag("close", 4).over(X.by_time())) - 1).alias("r4")).where("r4 is not null")
     m = r.where("sym = 'click'").select("t", F.col("r4").alias("m4"))
     return r.where("sym <> 'click'").join(m, "t").select("sym", "t", F.round((F.col("r4") - F.col("m4")) * 100, 4).alias("rs_pct"))
 
@@ -110,7 +110,7 @@ SELECT * FROM n UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHER
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notifications, and detector edges where no notification stands in the same slot."""
     bars = event_bars(spark, sf_dir)
-    edges = bars.withColumn("pc", F.lag("close").over(X.W)).where("close > 3 * pc").select("sym", "t", F.lit("edge").alias("kind"))
+    edges = bars.withColumn("pc", F.lag("close").over(X.by_time())).where("close > 3 * pc").select("sym", "t", F.lit("edge").alias("kind"))
     sent = ticks(spark, sf_dir).where("user % 11 = 0").select("sym", (F.col("ts") - F.col("ts") % 3600).alias("t"), F.lit("notify").alias("kind")).distinct()
     return sent.unionByName(edges.join(sent, ["sym", "t"], "left_anti"))
 

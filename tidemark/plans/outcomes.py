@@ -21,7 +21,7 @@ e AS (SELECT concat(sym, ':', t) AS id, sym, t AS since, close AS px FROM ev1)""
 
 
 def events(bars: DataFrame) -> DataFrame:
-    on = bars.withColumn("flag", F.col("close") > 2 * F.lag("close").over(X.W))
+    on = bars.withColumn("flag", F.col("close") > 2 * F.lag("close").over(X.by_time()))
     edges = O.rising_edges(on, F.col("flag"))
     return edges.select(F.concat("sym", F.lit(":"), F.col("t").cast("string")).alias("id"), "sym", F.col("t").alias("since"), F.col("close").alias("px"))
 

@@ -87,7 +87,7 @@ def remediation_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{EVENT_BARS_SQL}, r AS (SELECT sym, t, close / nullif(lag(close, 168) OVER (PARTITION BY sym ORDER BY t), 0) - 1 AS r FROM b)
 SELECT t, round(floor(r * 10000 + 0.5) / 100, 4) AS ret7d, CASE WHEN r * 100 >= 5 THEN 'up' WHEN r * 100 <= -5 THEN 'down' ELSE 'flat' END AS regime FROM r WHERE sym = 'click' AND r IS NOT NULL""")
 def benchmark_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = event_bars(spark, sf_dir).withColumn("r", F.try_divide(F.col("close"), F.lag("close", 168).over(W.W)) - 1).where("sym = 'click' AND r IS NOT NULL")
+    r = event_bars(spark, sf_dir).withColumn("r", F.try_divide(F.col("close"), F.lag("close", 168).over(W.by_time())) - 1).where("sym = 'click' AND r IS NOT NULL")
     pct = F.col("r") * 100
     return r.select("t", F.round(S.round_half_up(pct, 2), 4).alias("ret7d"), F.when(pct >= 5, "up").when(pct <= -5, "down").otherwise("flat").alias("regime"))
 
