@@ -45,7 +45,7 @@ def prefixed(docs: DataFrame, wins: DataFrame, n_wins: int, text_col: str, singl
         "words", "items", F.posexplode(F.when(F.size("words") > 1, _tokens(F.col("words"), False)).otherwise(F.col("words"))).alias("offset", "token")
     )
     known = tokens.select("token").distinct()
-    seen = docs.select(F.explode(_tokens(words_of(F.col(text_col)), singles)).alias("token"))
+    seen = docs.select(words_of(F.col(text_col)).alias("w")).select(F.explode(_tokens(F.col("w"), singles)).alias("token"))
     counts = seen.join(F.broadcast(known) if n_wins * WINDOW <= 5 * BROADCAST_ROWS else known, "token").groupBy("token").agg(F.count("*").alias("n"))
     ranked = tokens.join(counts, "token", "left").groupBy("words").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("token"))).alias("p"), F.first("items").alias("items")
