@@ -14,7 +14,7 @@ def feature_rows(bars: DataFrame) -> DataFrame:
 
     Everything is causal and on one partitioning; nulls mean unknown and close every gate that reads them.
     """
-    rows = folds.ema(folds.ema(bars, 20, name="ema20"), 50, name="ema50")
+    rows = folds.emas(bars, {"ema20": 20, "ema50": 50})
     rows = X.latest_cross(X.wicks(X.atr(X.width_percentile(rows))), "ema20", "ema50").drop("width")
     rows = rows.withColumns({"i": X.index(), "oi": F.sum("tq").over(X.upto(24)), "funding": (F.try_divide("tq", "q") - 0.5) / 10})
     lag = lambda c, k: F.lag(c, k).over(X.by_time())

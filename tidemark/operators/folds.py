@@ -17,35 +17,56 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def ema(bars: DataFrame, period: int, of: str = "close", name: str = "ema", block: int = BLOCK) -> DataFrame:
-    """Exponential average with k = 2 / (period + 1), seeded by the mean of the first `period` values at index period - 1, null before."""
-    k = 2.0 / (period + 1)
+def _carry(j: int, k: float):
+    """A step over the blocks of a symbol: what average j is carried in with, block by block."""
+    return lambda a, x: F.struct((a["y"] * F.pow(F.lit(1 - k), x[f"m{j}"]) + F.coalesce(x[f"s{j}"], F.lit(0.0))).alias("y"), F.concat(a["in"], F.array(a["y"])).alias("in"))
+
+
+def emas(bars: DataFrame, periods: dict[str, int], of: str = "close", block: int = BLOCK) -> DataFrame:
+    """Adds an exponential average for each name and period: k = 2 / (period + 1), seeded by the mean of the first `period` values at
+    index period - 1, null before. All are folded together, so the bars are read once more for the carries, however many there are."""
     w = Window.partitionBy("sym").orderBy("t")
     rows = bars.withColumn("__i", F.row_number().over(w) - 1).withColumn("__b", F.floor(F.col("__i") / block))
-    seed = rows.where(F.col("__i") < period).groupBy("sym").agg(F.when(F.count("*") == period, F.avg(of)).alias("__seed"))
-    after = (F.col("__i") >= period).cast("int")
+    ks = {name: 2.0 / (n + 1) for name, n in periods.items()}
     # within a block, the value at offset j from its end weighs k (1 - k)^j; far offsets vanish
     back = (F.col("__b") + 1) * block - 1 - F.col("__i")
-    sums = rows.groupBy("sym", "__b").agg(F.sum(after).alias("m"), F.sum(F.when(F.col("__i") >= period, F.col(of) * k * F.pow(F.lit(1 - k), back))).alias("s"))
-    chain = sums.groupBy("sym").agg(F.array_sort(F.collect_list(F.struct("__b", "m", "s"))).alias("c")).join(seed, "sym")
-    step = lambda a, x: F.struct((a["y"] * F.pow(F.lit(1 - k), x["m"]) + F.coalesce(x["s"], F.lit(0.0))).alias("y"), F.concat(a["in"], F.array(a["y"])).alias("in"))
-    carried = F.aggregate("c", F.struct(F.col("__seed").alias("y"), F.array().cast("array<double>").alias("in")), step, lambda a: a["in"])
-    carry = chain.select("sym", F.posexplode(carried).alias("__b", "__in"))
-    columns = [*bars.columns, name]
+    parts = []
+    for j, (name, n) in enumerate(periods.items()):
+        early, late = F.col("__i") < n, F.col("__i") >= n
+        parts += [
+            F.sum(late.cast("int")).alias(f"m{j}"), F.sum(F.when(late, F.col(of) * ks[name] * F.pow(F.lit(1 - ks[name]), back))).alias(f"s{j}"),
+            F.sum(F.when(early, F.col(of))).alias(f"e{j}"), F.count(F.when(early, F.col(of))).alias(f"n{j}"),
+        ]
+    sums = rows.groupBy("sym", "__b").agg(*parts)
+    chain = sums.groupBy("sym").agg(F.array_sort(F.collect_list(F.struct("__b", *[f"{c}{j}" for j in range(len(periods)) for c in "msen"]))).alias("c"))
+    carried = []
+    for j, (name, n) in enumerate(periods.items()):
+        total = lambda c: F.aggregate(F.transform("c", lambda x: F.coalesce(x[c], F.lit(0)).cast("double")), F.lit(0.0), lambda a, x: a + x)
+        seed = F.when(total(f"n{j}") == n, total(f"e{j}") / n)
+        carried.append(F.aggregate("c", F.struct(seed.alias("y"), F.array().cast("array<double>").alias("in")), _carry(j, ks[name]), lambda a: a["in"]).alias(f"__in{j}"))
+    carry = chain.select(F.col("sym").alias("__sym"), F.posexplode(F.arrays_zip(*carried)).alias("__cb", "__in")).select("__sym", "__cb", *[f"__in.__in{j}" for j in range(len(periods))])
+    columns = [*bars.columns, *periods]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__i")
-        x, i, y = pdf[of].to_numpy(float), pdf["__i"].to_numpy(), pdf["__in"].iloc[0]
-        out = np.full(len(x), np.nan)
-        for j in range(len(x)):
-            if i[j] >= period:
-                y = x[j] * k + y * (1 - k)
-            if i[j] >= period - 1:
-                out[j] = y
-        return pdf.assign(**{name: pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None)})[columns]
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields), f"{name} double"])
-    return rows.join(carry.withColumnRenamed("__b", "__cb").withColumnRenamed("sym", "__sym"), (F.col("sym") == F.col("__sym")) & (F.col("__b") == F.col("__cb"))).groupBy("sym", "__b").applyInPandas(fold, schema)
+        x, i = pdf[of].to_numpy(float), pdf["__i"].to_numpy()
+        for j, (name, n) in enumerate(periods.items()):
+            k, y, out = ks[name], pdf[f"__in{j}"].iloc[0], np.full(len(x), np.nan)
+            for at in range(len(x)):
+                if i[at] >= n:
+                    y = x[at] * k + y * (1 - k)
+                if i[at] >= n - 1:
+                    out[at] = y
+            pdf[name] = pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None)
+        return pdf[columns]
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields), *(f"`{n}` double" for n in periods)])
+    met = rows.join(carry, (F.col("sym") == F.col("__sym")) & (F.col("__b") == F.col("__cb")))
+    return met.groupBy("sym", "__b").applyInPandas(fold, schema)
+
+
+def ema(bars: DataFrame, period: int, of: str = "close", name: str = "ema", block: int = BLOCK) -> DataFrame:
+    return emas(bars, {name: period}, of, block)
 
 
 def cooldown(events: DataFrame, wait: int, keys: list[str], at: str = "t") -> DataFrame:

@@ -129,7 +129,7 @@ def ema20(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT *, lag(sg) OVER ({_W}) AS pv FROM d), y AS (SELECT sym, t, CASE WHEN sg <> pv AND sg <> 0 THEN sg END AS c FROM x)
 SELECT sym, t, CAST(coalesce(last_value(c IGNORE NULLS) OVER ({_W} ROWS 7 PRECEDING), 0) AS INTEGER) AS "cross" FROM y""")
 def ema_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = folds.ema(folds.ema(event_bars(spark, sf_dir), 20, name="f"), 50, name="s")
+    rows = folds.emas(event_bars(spark, sf_dir), {"f": 20, "s": 50})
     return X.latest_cross(rows, "f", "s").select("sym", "t", "cross")
 
 
