@@ -182,6 +182,36 @@ def test_watches_stream_equals_a_loop(spark, sf):
     assert slots - 10 <= stream_slots(spark, sf).count() < slots
 
 
+def test_notifications_equal_a_loop(spark, sf):
+    from tidemark.plans.streams import stream_notifications
+    from tidemark.streaming.processors import Notifier
+
+    want, held = [], {}
+    for r in sorted(ticks(spark, sf).collect(), key=lambda r: (r["ts"], r["seq"])):
+        e = held.setdefault(r["sym"], Notifier()).observe(r["ts"], r["px"] > 40, r["user"] % 4 != 0, 4 * 3600)
+        want += [(r["sym"], r["ts"], e)] if e else []
+    got = sorted(map(tuple, stream_notifications(spark, sf).collect()))
+    assert got == sorted(want) and {e for _, _, e in got} == {"sent", "failed", "suppressed"}
+
+
+def test_notifier_retries_while_on():
+    from tidemark.streaming.processors import Notifier
+
+    n = Notifier()
+    assert [n.observe(0, True, False, 100), n.observe(10, True, True, 100), n.observe(20, True, True, 100)] == ["failed", "sent", None]
+    assert n.observe(30, False, True, 100) is None and n.observe(40, True, True, 100) == "suppressed" and n.observe(50, True, True, 100) is None
+
+
+def test_archive_metrics_and_strategies(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("create_time,symbol,q,u,a,b,c,d\n2026-01-01 00:05:00,BTC,10,20,1,1,1,1\n2026-01-01 00:05:00,BTC,11,21,1,1,1,1\n2026-01-01 00:10:00,BTC,0,5,1,1,1,1\n")
+    (tmp_path / "f.csv").write_text("calc_time,h,rate\n1700000000000,8,0.0001\n1700000000000,8,0.0002\n")
+    assert [(r["t"] % 3600, r["qty"]) for r in logs.metrics(spark, str(tmp_path / "m.csv")).collect()] == [(300, 11.0)]
+    assert [tuple(r) for r in logs.funding(spark, str(tmp_path / "f.csv")).collect()] == [(1700000000, 0.0002)]
+    lines = [('{"type": "strategy_candidate", "v": 1, "id": "a", "strategy": "s", "sym": "A", "ts": 1}', 0), ('{"type": "strategy_outcome", "v": 1, "id": "a", "net": 0.5}', 1), ("strategy_ broken", 2)]
+    c, o = logs.strategies(spark.createDataFrame(lines, "line string, no long"))
+    assert c.count() == 1 and o.first()["net"] == 0.5 and c.join(o, "id", "left_anti").count() == 0
+
+
 def test_watch_ignores_what_is_late():
     w = Watch()
     assert w.observe(0, 0, 100.0, True) == "armed" and w.observe(3600, 1, 90.0, False) == "ready" and w.observe(3600, 1, 90.0, True) is None

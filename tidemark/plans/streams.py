@@ -37,3 +37,16 @@ def stream_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed slots; the tail behind the watermark is not given out, which a test counts."""
     return P.drain(P.slot_counts(_stream(spark, sf_dir)), "append")
+
+
+@query()
+def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with cooldown and retry; a test holds it against a loop over all ticks."""
+    rows = _stream(spark, sf_dir).withColumn("on", F.col("px") > 40).withColumn("delivered", F.col("user") % 4 != 0)
+    return P.drain(P.notifications(rows, 4 * 3600), "append")
+
+
+@query("""SELECT DISTINCT concat(event_type, ':', CAST(floor(epoch(ts) / 3600) AS BIGINT)) AS id, event_type AS sym FROM events""")
+def stream_shadow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stream(spark, sf_dir).withColumn("id", F.concat("sym", F.lit(":"), F.floor(F.col("ts") / 3600).cast("string")))
+    return P.drain(P.shadow_candidates(rows), "append").select("id", "sym")

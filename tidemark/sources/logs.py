@@ -102,6 +102,34 @@ def klines(spark: SparkSession, path: str, mult: float = 1.0) -> DataFrame:
     return last.select("t", "r.*")
 
 
+def _csv(spark: SparkSession, path: str, width: int) -> DataFrame:
+    return spark.read.csv(path, schema=", ".join(f"c{i} string" for i in range(width))).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("no"))
+
+
+def metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Archive metrics from CSV: (sym, t, qty, usd, top_accounts, top_positions, ratio, taker_ratio); both sizes above 0; the last row counts."""
+    number = lambda i: F.expr(f"try_cast(c{i} AS DOUBLE)")
+    names = ["qty", "usd", "top_accounts", "top_positions", "ratio", "taker_ratio"]
+    t = F.unix_seconds(F.expr("try_cast(c0 AS TIMESTAMP)"))
+    rows = _csv(spark, path, 8).select(F.col("c1").alias("sym"), t.alias("t"), *[number(i).alias(n) for i, n in enumerate(names, 2)], "file", "no").where("t is not null and qty > 0 and usd > 0")
+    return rows.groupBy("sym", "t").agg(F.max_by(F.struct(*names), F.struct("file", "no")).alias("r")).select("sym", "t", "r.*")
+
+
+def funding(spark: SparkSession, path: str) -> DataFrame:
+    """Archive funding from CSV: (t, rate) by columns 0 and 2; the last row of a time counts."""
+    from ..functions.scalars import seconds_of
+
+    rows = _csv(spark, path, 3).select(seconds_of(F.expr("try_cast(c0 AS DOUBLE)")).alias("t"), F.expr("try_cast(c2 AS DOUBLE)").alias("rate"), "file", "no").where("t is not null and rate is not null")
+    return rows.groupBy("t").agg(F.max_by("rate", F.struct("file", "no")).alias("rate"))
+
+
+def strategies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (id, strategy, sym, ts) and outcomes (id, net) of a strategy log, told apart by `type`; unknown versions are skipped."""
+    schema = "type string, v int, id string, strategy string, sym string, ts long, net double"
+    rows = lines.where(F.col("line").contains("strategy_")).select(F.from_json("line", schema).alias("j")).select("j.*").where("v >= 1 and id is not null")
+    return rows.where("type = 'strategy_candidate'").select("id", "strategy", "sym", "ts"), rows.where("type = 'strategy_outcome'").select("id", "net")
+
+
 def verified(spark: SparkSession, path: str, catalog: DataFrame) -> DataFrame:
     """(path, length, ok): files whose SHA-256 is the catalog's (name, sha256); unknown files are not ok."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("own"), F.element_at(F.split("path", "/"), -1).alias("name"))

@@ -115,6 +115,49 @@ def watches(stream: DataFrame) -> DataFrame:
     return stream.groupBy("sym").applyInPandasWithState(run, "sym string, t long, event string, px double", "since long, px double, last long, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Notifier:
+    """Notification of one class and symbol: a rising edge is sent if the cooldown since the last delivery is over; a failed delivery
+    leaves no stamp, so it is tried again while the state stays on. Without an observation nothing changes."""
+
+    def __init__(self, sent: int = -1, on: bool = False, owed: bool = False) -> None:
+        self.sent, self.on, self.owed = sent, on, owed
+
+    def observe(self, t: int, on: bool, delivered: bool, wait: int) -> str | None:
+        edge = on and not self.on
+        self.on, self.owed = on, on and (self.owed or edge)
+        if not self.owed:
+            return None
+        if self.sent >= 0 and t - self.sent < wait:
+            self.owed = False
+            return "suppressed"
+        if not delivered:
+            return "failed"
+        self.sent, self.owed = t, False
+        return "sent"
+
+
+def notifications(stream: DataFrame, wait: int) -> DataFrame:
+    """(sym, t, event) from observations (sym, ts, seq, on, delivered)."""
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own, out = Notifier(*state.get) if state.exists else Notifier(), []
+        rows = sorted((r for pdf in pdfs for r in pdf[["ts", "seq", "on", "delivered"]].itertuples(index=False, name=None)), key=lambda r: r[:2])
+        for t, _, on, delivered in rows:
+            event = own.observe(int(t), bool(on), bool(delivered), wait)
+            if event:
+                out.append((key[0], int(t), event))
+        state.update((own.sent, own.on, own.owed))
+        yield pd.DataFrame(out, columns=["sym", "t", "event"])
+
+    return stream.groupBy("sym").applyInPandasWithState(run, "sym string, t long, event string", "sent long, on boolean, owed boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def shadow_candidates(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """Candidates (id, sym, ts) once each: repeated ids are dropped while the watermark remembers them."""
+    timed = stream.withColumn("at", F.timestamp_seconds(F.col("ts")).cast("timestamp")).withWatermark("at", late)
+    return timed.dropDuplicatesWithinWatermark(["id"]).select("id", "sym", "ts")
+
+
 def slot_counts(stream: DataFrame, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """(slot, n) of closed slots only: a window is given out once the watermark has passed it."""
     timed = stream.withColumn("at", F.timestamp_seconds(F.col("ts")).cast("timestamp")).withWatermark("at", late)
