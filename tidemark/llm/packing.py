@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from .common import slices, written
 SIZE, END_ID = 1024, 2
 #: Characters with the Unicode property White_Space; pre-tokens never reach from another character into one of these.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Nor do they reach from a letter or digit into a mark that is no apostrophe, so words and the marks behind them are chunks of their own.
+_WORD, _MARK = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-&(-/:-@\\[-`{-~"
+_CHUNK = re.compile(f"[{_SPACE}]*+[{_WORD}]++(?=[{_MARK}])|[{_SPACE}]*+[^{_SPACE}]++|[{_SPACE}]++")
 _BLANK = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c))
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Chunks whose ids a worker keeps (some 200 bytes each); beyond, it starts anew.
-CACHED = 600_000
+CACHED = 1_000_000
 #: Longer chunks are encoded without being kept.
 LONGEST = 64
 #: Ranks are counted apart in so many hashed parts of a length at least, with about so many rows in each.
@@ -48,59 +51,63 @@ def default_tokenizer() -> str:
 
 
 @lru_cache(maxsize=2)
-def _token_bytes(path: str) -> np.ndarray:
-    """Bytes of text behind each id: byte-level tokens are written with one character a byte."""
+def _opens(path: str) -> np.ndarray:
+    """Which ids stand for text that starts with a space, written U+0120 in byte-level vocabularies."""
     vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
-    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)
     for token, i in vocabulary.items():
-        sizes[i] = len(token)
-    return sizes
+        opens[i] = token.startswith("\u0120")
+    return opens
 
 
 _known: dict[str, dict[str, bytes]] = {}
 
 
 def _encode_chunks(chunks: list[str], path: str) -> Iterator[tuple[str, bytes]]:
-    """Chunks that start with white space and go on are encoded end to end and told apart by the bytes behind the ids."""
-    joined = [c for c in chunks if c[0] in _BLANK and c[-1] not in _BLANK]
-    apart = [c for c in chunks if c[0] not in _BLANK or c[-1] in _BLANK]
-    tokenizer = _tokenizer(path)
+    """Chunks of one space and what follows are encoded end to end and told apart by the ids that open with a space; others apart."""
+    tokenizer, opens = _tokenizer(path), _opens(path)
+    joined, apart = [], []
+    for c in chunks:
+        (joined if c[0] == " " and c[1:2] not in _BLANK and len(c) > 1 else apart).append(c)
+    for start in range(0, len(joined), 2048):
+        part = joined[start : start + 2048]
+        ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        first = np.flatnonzero(opens[ids])
+        if len(first) != len(part):  # a tokenizer of another kind
+            apart += part
+            continue
+        blob, stops = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+        yield from zip(part, [blob[a:b] for a, b in pairwise(stops)], strict=True)
     for start in range(0, len(apart), 4096):
         part = apart[start : start + 4096]
-        for chunk, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            yield chunk, np.array(found.ids, "<u4").tobytes()
-    for start in range(0, len(joined), 4096):
-        part = joined[start : start + 4096]
-        ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in part), np.int64, len(part)))
-        reached = np.cumsum(_token_bytes(path)[ids])
-        last = np.searchsorted(reached, ends)
-        if not (len(ids) and np.array_equal(reached[last], ends)):
-            raise ValueError("a token reaches over a border of chunks: this tokenizer needs another chunk pattern")
-        blob = ids.tobytes()
-        stops = (4 * (last + 1)).tolist()
-        for chunk, low, high in zip(part, [0, *stops[:-1]], stops, strict=True):
-            yield chunk, blob[low:high]
+        found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+        yield from zip(part, [np.array(f.ids, "<u4").tobytes() for f in found], strict=True)
 
 
 def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit integers, without the end id; null is the empty text.
 
-    Ids of a chunk (white space and what follows up to the next white space) depend on the chunk alone, so each is encoded once.
+    Ids of a chunk (white space and a word, or what else follows up to the next white space) depend on the chunk alone, so each is encoded once.
     """
     known = _known.setdefault(path, {})
-    chunks = [_CHUNK.findall(t or "") for t in texts]
-    used = set().union(*chunks)
-    missing = used - known.keys()
-    if len(known) + len(missing) > CACHED:
+    if len(known) > CACHED:
         known.clear()
-        missing = used
-    known.update(_encode_chunks(list(missing), path))
-    for row in chunks:
-        yield b"".join(map(known.__getitem__, row))
-    for chunk in missing:
-        if len(chunk) > LONGEST:
-            del known[chunk]
+    rows = []
+    missing = set()
+    for text in texts:
+        chunks = _CHUNK.findall(text or "")
+        found = list(map(known.get, chunks))
+        if None in found:
+            missing.update([c for c, ids in zip(chunks, found, strict=True) if ids is None])
+            rows.append((chunks, found))
+        else:
+            rows.append((None, found))
+    fresh = dict(_encode_chunks(list(missing), path))
+    known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
+    for chunks, found in rows:
+        if chunks is not None:
+            found = [fresh[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        yield b"".join(found)
 
 
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
