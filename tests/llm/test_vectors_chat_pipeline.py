@@ -47,7 +47,7 @@ def test_links_against_brute_force(spark, monkeypatch, split):
     rows = list(enumerate(noisy_groups(np.random.default_rng(4), 120, 24, 6)))
     rows += [(1000 + i, rows[0][1]) for i in range(5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("u", F.lit(1)).withColumn("label", F.lit("x"))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, z=5.0).collect()}  # z over the root of the size: no link is missed
     want = {i: (n, c, i == c) for i, n, c in brute_links(rows)}
     assert got == want and sum(n for n, _, _ in want.values()) > 500
 

@@ -24,9 +24,10 @@ from .simhash import Forest
 THRESHOLD = 0.9
 #: Bound of the sample that centroids and codes are fitted on: about so many distinct vectors, chosen by hash.
 SAMPLE = 6000
-MAX_LISTS = 1024
+MAX_LISTS = 2048
 SUBSPACES, CODES = 16, 64
-Z = 4.0
+#: Deviations of the border distance that probes cover: a link at the threshold itself is missed with a probability of 0.0013.
+Z = 3.0
 #: Vectors of a list held by one task, and queries that meet them there, about.
 TARGETS, QUERIES = 4096, 8192
 SLACK = 1e-6
@@ -60,7 +61,7 @@ class Index:
         self.size = sample.shape[1]
         self.reach = math.sqrt(max(0.0, 2 - 2 * threshold))
         self.margin = min(1.0, z / math.sqrt(self.size)) * self.reach
-        self.centres = _kmeans(sample, min(len(sample), max(1, min(MAX_LISTS, int(math.sqrt(n) / 2)))), rng)
+        self.centres = _kmeans(sample, min(len(sample), max(1, min(MAX_LISTS, int(math.sqrt(n))))), rng)
         self.parts = [p for p in np.array_split(np.arange(self.size), min(SUBSPACES, self.size)) if len(p)]
         rest = sample - self.centres[self.home(sample)]
         self.books = [_kmeans(rest[:, p], min(CODES, len(rest)), rng) for p in self.parts]
