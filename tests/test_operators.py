@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import asof, bars, books, detectors, folds, outcomes, research, windows
+from tidemark.operators import asof, bars, books, detectors, evidence, folds, outcomes, research, windows
 from tidemark.plans import books as book_plans
 from tidemark.sources import logs
 from tidemark.sources.tables import event_bars, ticks
@@ -144,7 +144,7 @@ def test_order_statistics(spark):
 
 
 def test_unknown_values_close_gates(spark):
-    row = {c: None for c in ("f8h", "f24h", "oi4h", "ret4h", "ret24h", "change1h")}
+    row = {c: None for c in ("f8h", "f24h", "oi4h", "ret4h", "ret24h", "change1h", "pullback24", "oi_drop", "oi_rebound", "range24", "close_hi24")}
     known = {"funding": 0.02, "buy_share": 0.9, "pos": 0.7, "vol_z": 3.0, "new_high": True, "upper_wick": 0.9, "lower_wick": 0.9, "pctile": 0.5, "cross": 0, "close": 1.0, "hi24": 2.0, "open": 1.0, "green24": 0.9, "ema20": 2.0, "ema50": 2.0, "was_below": True, "range_last": 1.0, "range_avg": 0.1}
     cast = {k: F.lit(v).cast("double") if v is None or isinstance(v, float) else F.lit(v) for k, v in (row | known).items()}
     df = spark.range(1).select(F.lit("A").alias("sym"), F.lit(0).alias("t"), *[v.alias(k) for k, v in cast.items()])
@@ -259,3 +259,48 @@ def test_entry_contract(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fingerprint_is_order_free(spark):
+    df = spark.createDataFrame([(["b", "a"],), (["a", "b"],), ([],)], "ids array<string>").select(evidence.fingerprint(F.col("ids")).alias("h"))
+    assert [r["h"] for r in df.collect()] == [S.fnv1a("a|b"), S.fnv1a("a|b"), S.fnv1a("")]
+
+
+def test_busy_until(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, int(t), int(t + rng.integers(0, 9))) for s in "AB" for t in np.sort(rng.integers(0, 200, 80))]
+    want, end = [], {}
+    for s, t, u in sorted(rows):
+        if t >= end.get(s, -1):
+            want.append((s, t, u))
+            end[s] = u
+    got = evidence.busy_until(spark.createDataFrame(rows, "sym string, since long, until long"), ["sym"], "since", "until").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_anchor_needs_whole_hours(spark):
+    b = flat(spark, [100.0 + i for i in range(30)])
+    whole = {r["t"] // 3600: r["support"] for r in evidence.anchors(b).collect()}
+    assert whole[23] is None and whole[24] == 123.0 and whole[29] == 128.0
+    gap = {r["t"] // 3600: r["support"] for r in evidence.anchors(b.where("t <> 36000")).collect()}
+    assert all(x is None for x in gap.values())
+
+
+def test_unknown_values_close_recorded_states(spark):
+    columns = ("ret4h", "basis_pct", "spot_vol24h", "vol24h", "buy_share4h", "funding", "spot_taker_share4h", "strength")
+    rows = [(3.0, -0.1, 10.0, 5.0, 0.6, 0.0, 0.6, 10.0), (3.0, None, 10.0, 5.0, 0.6, 0.02, 0.6, 10.0), (3.0, -0.1, 10.0, 5.0, 0.6, 0.0, None, 80.0)]
+    found = evidence.labelled(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{c} double" for c in columns)), evidence.STATES, "state")
+    assert sorted((r["i"], r["state"]) for r in found.collect()) == [(0, "organic-spot-lift"), (0, "spot-led-v1"), (2, "organic-spot-lift"), (2, "strength-70")]
+
+
+def test_reuse_and_seed_merge(spark):
+    rows = spark.createDataFrame([("missing", None, "a"), ("invalid", "a", "a"), ("complete", "a", "a"), ("complete", "a", "b"), ("complete", None, "a")], "s string, k string, f string")
+    assert [r["r"] for r in rows.select(evidence.reuse(F.col("s"), F.col("k"), F.col("f")).alias("r")).collect()] == [True, False, True, False, False]
+    log, seed = (spark.createDataFrame(x, "sym string, ts long, v int") for x in ([("A", 1, 1)], [("A", 1, 9), ("B", 1, 2)]))
+    assert sorted(map(tuple, evidence.seed_merge(log, seed, ["sym", "ts"]).collect())) == [("A", 1, 1), ("B", 1, 2)]
+
+
+def test_switched_insights_and_flush_precedence():
+    shown = {r[0] for r in detectors.insight_rules()}
+    assert not shown & detectors.SWITCHED and {r[0] for r in detectors.insight_rules(detectors.SWITCHED)} >= detectors.SWITCHED
+    assert "NOT coalesce" in next(r[3] for r in detectors.insight_rules() if r[0] == "breakout-confirmed")

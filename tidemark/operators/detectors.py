@@ -46,7 +46,7 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
     rebuild = f"{envelope} AND oi4h >= {p.oi4}"
     top = f"ret24h * 100 >= {p.top_ret24} AND pos >= {p.top_pos} AND vol_z >= {p.vol_z}"
     bottom = f"ret24h * 100 >= 10 AND low < lo8"
-    reclaim = f"close > ema20 AND prev_close <= ema20 AND ret4h * 100 <= {p.rise4} AND pos <= {p.reclaim_pos} AND i >= 100"
+    reclaim = f"close > ema20 AND prev_close <= prev_ema20 AND ret4h * 100 <= {p.rise4} AND pos <= {p.reclaim_pos} AND i >= 100"
     sweep = f"low < lo8 AND (least(open, close) - low) >= {p.wick} * (high - low) AND high > low AND close > lo8"
     return {
         "breakout-envelope": ("long", envelope),
@@ -68,6 +68,10 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
         "bottom-oi": ("long", f"{bottom} AND close > lo8 AND oi4h >= 0"),
         "ema-reclaim": ("long", reclaim),
         "boarding-1": ("long", f"{reclaim} AND was_below AND vol_z >= {p.vol_z}"),
+        "boarding-2": ("long", f"{reclaim} AND dense100 AND below48 AND vol_z >= {p.vol_z}"),
+        "boarding-2-oi": ("long", f"{reclaim} AND dense100 AND below48 AND vol_z >= {p.vol_z} AND oi1h > 0 AND oi4h >= {p.oi4}"),
+        "squeeze-setup": ("long", "squeezed"),
+        "squeeze-breakout": ("long", "squeeze_up"),
         "boarding-oi": ("long", f"{reclaim} AND was_below AND oi4h >= {p.oi4}"),
         "spot-led-pump": ("long", f"ret4h >= 0.02 AND abs(oi4h) < 20 AND vol_z > 1 AND taker4 > 0.55"),
         "stealth-accumulation": ("long", f"abs(ret4h) < 0.5 AND abs(oi4h) < 20 AND taker4 > 0.6"),
@@ -77,8 +81,9 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
     }
 
 
-#: Insights in order of evaluation: (id, tone, priority, predicate); the order breaks ties of priority. Thresholds are fixed values.
+#: Insights in order of evaluation: (id, tone, priority, predicate or @detector); the order breaks ties of priority. Thresholds are fixed values.
 INSIGHTS = [
+    ("flush-breakout", "bull", 10, "@flush-breakout"),
     ("funding-cooling", "bull", 7, "f8h >= 0.008 AND funding >= 0 AND funding <= 0.003 AND funding < 0.6 * f8h AND ret4h > -0.01 AND change1h > -1"),
     ("funding-flip-negative", "bull", 8, "f8h > 0 AND funding < -0.001 AND ret4h > -0.005"),
     ("funding-overheat", "warn", 9, "funding >= 0.015 AND funding > f8h AND f8h > f24h AND oi4h > 3"),
@@ -94,9 +99,16 @@ INSIGHTS = [
     ("oi-spike", "warn", 7, "oi4h >= 8 AND abs(ret4h) < 0.025"),
     ("oi-divergence-high", "warn", 8, "new_high AND oi4h <= -1.5"),
     ("spot-led-breakout", "bull", 5, "ret4h >= 0.02 AND abs(oi4h) < 1.5 AND buy_share > 0.55 AND vol_z > 1"),
+    ("spot-led-pump", "bull", 8, "@spot-led-pump"),
+    ("stealth-spot-accum", "info", 6, "@stealth-accumulation"),
     ("volume-ignition", "bull", 8, "vol_z >= 2 AND pos < 0.4 AND change1h >= 1.5 AND ret4h > 0"),
     ("volume-climax", "warn", 9, "vol_z >= 2.5 AND pos > 0.85 AND ret4h > 0.03 AND range_last >= 1.5 * range_avg"),
     ("absorption-stall", "warn", 7, "pos > 0.75 AND vol_z >= 1.5 AND abs(change1h) < 0.5 AND ret4h < 0.01 AND upper_wick > 0.3 AND NOT coalesce(vol_z >= 2.5 AND ret4h > 0.03, false)"),
+    ("squeeze-breakout", "bull", 7, "@squeeze-breakout"),
+    ("rebuild-breakout", "bull", 8, "@rebuild-1"),
+    ("virgin-breakout", "bull", 8, "@virgin-2"),
+    ("boarding-reclaim", "bull", 7, "@boarding-2"),
+    ("squeeze-setup", "info", 6, "@squeeze-setup"),
     ("volatility-squeeze", "info", 6, "pctile <= 0.1 AND vol_z <= -0.3 AND abs(change1h) < 0.8"),
     ("ema-golden-cross", "bull", 7, "`cross` = 1"),
     ("ema-death-cross", "bear", 7, "`cross` = -1"),
@@ -105,11 +117,14 @@ INSIGHTS = [
     ("upthrust-rejection", "bear", 8, "pos > 0.85 AND upper_wick >= 0.55 AND vol_z >= 1.5 AND ret4h < 0.015 AND close < open"),
     ("capitulation-wick", "bull", 8, "pos < 0.15 AND lower_wick >= 0.55 AND vol_z >= 2 AND close > open"),
     ("buy-pressure-divergence", "info", 6, "buy_share > 0.6 AND ret4h >= -0.01 AND ret4h <= 0.005 AND pos < 0.85"),
-    ("trend-health", "bull", 7, "ret24h > 0.03 AND green24 >= 0.55 AND close > ema20 AND close > ema50"),
+    ("trend-health", "bull", 7, "ret24h > 0.03 AND green24 >= 0.55 AND pullback24 > -0.08 AND close > ema20 AND close > ema50"),
     ("failed-breakdown-reclaim", "bull", 7, "pos < 0.3 AND was_below AND close > ema20 AND change1h > 1 AND vol_z >= 1.2"),
     ("parabolic-overextension", "warn", 8, "ret4h > 0.08 AND pos > 0.9 AND pctile > 0.9 AND close > 1.05 * ema20 AND vol_z < 1"),
 ]
 
+#: Insights that are only shown where they are switched on.
+SWITCHED = frozenset({"flush-breakout", "spot-led-breakout", "spot-led-pump", "stealth-spot-accum", "squeeze-breakout", "rebuild-breakout", "virgin-breakout", "boarding-reclaim", "squeeze-setup", "volatility-squeeze"})
+
 
 def detect(features: DataFrame, params: Params = PRODUCTION, names: list[str] | None = None) -> DataFrame:
     """(sym, t, detector, side) of every detector that fires: one scan of the features, one array, one explode."""
@@ -118,11 +133,19 @@ def detect(features: DataFrame, params: Params = PRODUCTION, names: list[str] |
     return features.select("sym", "t", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("d")).select("sym", "t", "d.*")
 
 
-def insights(features: DataFrame, most: int = 6) -> DataFrame:
+def insight_rules(switches: frozenset[str] = frozenset(), params: Params = PRODUCTION) -> list[tuple[str, str, int, str]]:
+    """INSIGHTS as predicates, without those of SWITCHED that aren't in switches. A flush breakout says more than breakout-confirmed, which goes."""
+    known = {f"@{name}": f"({text})" for name, (_, text) in predicates(params).items()}
+    rules = [(name, tone, priority, known.get(text, text)) for name, tone, priority, text in INSIGHTS if name not in SWITCHED or name in switches]
+    but = f" AND NOT coalesce({known['@flush-breakout']}, false)"
+    return [(name, tone, priority, text + but if name == "breakout-confirmed" else text) for name, tone, priority, text in rules]
+
+
+def insights(features: DataFrame, most: int = 6, switches: frozenset[str] = frozenset(), params: Params = PRODUCTION) -> DataFrame:
     """(sym, t, rank, id, tone, priority): insights of a bar by priority, ties in order of evaluation, the first `most` of them."""
     fired = [
         F.when(F.expr(text), F.struct(F.lit(-priority).alias("p"), F.lit(i).alias("i"), F.lit(name).alias("id"), F.lit(tone).alias("tone")))
-        for i, (name, tone, priority, text) in enumerate(INSIGHTS)
+        for i, (name, tone, priority, text) in enumerate(insight_rules(switches, params))
     ]
     best = F.slice(F.array_sort(F.filter(F.array(*fired), lambda x: x.isNotNull())), 1, most)
     rows = features.select("sym", "t", F.posexplode(best).alias("k", "x"))

@@ -9,12 +9,14 @@ from . import folds
 from . import windows as X
 
 
-def feature_rows(bars: DataFrame) -> DataFrame:
+def feature_rows(bars: DataFrame, width: int = 3600) -> DataFrame:
     """Features of every bar. Open interest stands for the taker volume of the last 24 bars and funding for its share around one half.
 
     Everything is causal and on one partitioning; nulls mean unknown and close every gate that reads them.
     """
     rows = folds.emas(bars, {"ema20": 20, "ema50": 50})
+    rows = X.squeeze(rows).withColumnsRenamed({"tight": "squeezed", "breakout": "squeeze_up"})
+    rows = X.pullback(rows, 24).withColumnRenamed("pullback", "pullback24")
     rows = X.latest_cross(X.wicks(X.atr(X.width_percentile(rows))), "ema20", "ema50").drop("width")
     rows = rows.withColumns({"i": X.index(), "oi": F.sum("tq").over(X.upto(24)), "funding": (F.try_divide("tq", "q") - 0.5) / 10})
     lag = lambda c, k: F.lag(c, k).over(X.by_time())
@@ -29,6 +31,8 @@ def feature_rows(bars: DataFrame) -> DataFrame:
         "range_last": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "range_avg": F.avg(F.try_divide(F.col("high") - F.col("low"), F.col("close"))).over(day),
         "new_high": F.col("high") >= F.max("high").over(day), "green24": F.avg((F.col("close") > F.col("open")).cast("double")).over(day),
         "was_below": F.coalesce(F.max((F.col("close") < F.col("ema20")).cast("int")).over(X.before(6)) == 1, F.lit(False)), "lo8": F.min("low").over(X.before(8)),
+        "oi1h": (F.try_divide("oi", lag("oi", 1)) - 1) * 100, "prev_ema20": lag("ema20", 1), "dense100": F.coalesce(F.col("t") - lag("t", 99) == 99 * width, F.lit(False)),
+        "below48": F.sum((F.col("close") < F.col("ema50")).cast("int")).over(X.before(48)) == 48,
         "prev_high": lag("high", 1), "prev_low": lag("low", 1), "prev_close": lag("close", 1),
     })
 
@@ -39,10 +43,10 @@ def sql(ema_sql) -> str:
     return f"""{ema_sql(20, name='ema20')}, {ema_sql(50, name='ema50')},
 f1 AS (SELECT b.*, e_20.ema20, e_50.ema50 FROM b LEFT JOIN e_20 USING (sym, t) LEFT JOIN e_50 USING (sym, t)),
 f2 AS (SELECT *, row_number() OVER o - 1 AS i, sign(ema20 - ema50) AS sg, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr,
- CASE WHEN count(*) OVER w20 = 20 THEN round(4 * stddev_pop(close) OVER w20 / nullif(abs(avg(close) OVER w20), 0), 9) END AS width, sum(tq) OVER w24 AS oi, (tq / nullif(q, 0) - 0.5) / 10 AS funding,
+ CASE WHEN count(*) OVER w20 = 20 THEN round(4 * stddev_pop(close) OVER w20 / nullif(abs(avg(close) OVER w20), 0), 9) END AS width, CASE WHEN count(*) OVER w20 = 20 THEN 4 * stddev_pop(close) OVER w20 / nullif(abs(avg(close) OVER w20), 0) END AS bw, abs(avg(close) OVER w20) AS mid, sum(tq) OVER w24 AS oi, (tq / nullif(q, 0) - 0.5) / 10 AS funding,
  coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0) AS uw, coalesce((least(open, close) - low) / nullif(high - low, 0), 0) AS lw FROM f1 WINDOW {_O}, w20 AS (PARTITION BY sym ORDER BY t ROWS 19 PRECEDING), w24 AS (PARTITION BY sym ORDER BY t ROWS 23 PRECEDING)),
-f3 AS (SELECT *, CASE WHEN sg <> lag(sg) OVER o AND sg <> 0 THEN sg END AS cx, list(width) OVER w48 AS ws, list(oi) OVER w49 AS ois FROM f2 WINDOW {_O}, w48 AS (PARTITION BY sym ORDER BY t ROWS 47 PRECEDING), w49 AS (PARTITION BY sym ORDER BY t ROWS 48 PRECEDING)),
-f4 AS (SELECT *, list_min(ois[list_position(ois, list_max(ois)):]) AS oi_trough, list_max(ois) AS oi_peak FROM f3),
+f3 AS (SELECT *, CASE WHEN sg <> lag(sg) OVER o AND sg <> 0 THEN sg END AS cx, list(width) OVER w48 AS ws, list(oi) OVER w49 AS ois, list(close) OVER w24 AS cls, coalesce(bw <= 3 * CASE WHEN count(tr) OVER w20 = 20 THEN avg(tr) OVER w20 END / nullif(mid, 0), false) AS squeezed FROM f2 WINDOW {_O}, w20 AS (PARTITION BY sym ORDER BY t ROWS 19 PRECEDING), w24 AS (PARTITION BY sym ORDER BY t ROWS 23 PRECEDING), w48 AS (PARTITION BY sym ORDER BY t ROWS 47 PRECEDING), w49 AS (PARTITION BY sym ORDER BY t ROWS 48 PRECEDING)),
+f4 AS (SELECT *, list_min(ois[list_position(ois, list_max(ois)):]) AS oi_trough, list_max(ois) AS oi_peak, list(squeezed) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS fl, list(high) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS hi6 FROM f3),
 feat AS (SELECT *, CASE WHEN count(tr) OVER w14 = 14 THEN avg(tr) OVER w14 END AS atr, CASE WHEN width IS NOT NULL THEN len(list_filter(ws, lambda x: x <= width)) / len(list_filter(ws, lambda x: x IS NOT NULL)) END AS pctile,
  CAST(coalesce(last_value(cx IGNORE NULLS) OVER w8, 0) AS INTEGER) AS "cross", max(uw) OVER w4 AS upper_wick, max(lw) OVER w4 AS lower_wick,
  (1 - oi_trough / nullif(oi_peak, 0)) * 100 AS oi_drop, (oi / nullif(oi_trough, 0) - 1) * 100 AS oi_rebound,
@@ -53,6 +57,8 @@ feat AS (SELECT *, CASE WHEN count(tr) OVER w14 = 14 THEN avg(tr) OVER w14 END A
  CASE WHEN count(q) OVER p24 >= 8 AND stddev_pop(q) OVER p24 > 0 THEN (q - avg(q) OVER p24) / stddev_pop(q) OVER p24 ELSE 0 END AS vol_z, max(high) OVER p24 AS hi24, max(close) OVER p24 AS close_hi24,
  (max(close) OVER p24 - min(close) OVER p24) / nullif(min(close) OVER p24, 0) * 100 AS range24, (high - low) / nullif(close, 0) AS range_last, avg((high - low) / nullif(close, 0)) OVER w24 AS range_avg,
  high >= max(high) OVER w24 AS new_high, avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER w24 AS green24, coalesce(max(CAST(close < ema20 AS INTEGER)) OVER p6 = 1, false) AS was_below, min(low) OVER p8 AS lo8,
+ (oi / nullif(lag(oi) OVER o, 0) - 1) * 100 AS oi1h, lag(ema20) OVER o AS prev_ema20, coalesce(t - lag(t, 99) OVER o = 356400, false) AS dense100, sum(CAST(close < ema50 AS INTEGER)) OVER p48 = 48 AS below48,
+ coalesce(list_contains(fl, true) AND close > list_max(hi6[list_position(fl, true):]), false) AS squeeze_up, -greatest(0, list_max(list_transform(cls, lambda x, i: 1 - x / nullif(list_max(cls[1:i]), 0)))) AS pullback24,
  lag(high) OVER o AS prev_high, lag(low) OVER o AS prev_low, lag(close) OVER o AS prev_close
  FROM f4 WINDOW {_O}, w4 AS (PARTITION BY sym ORDER BY t ROWS 3 PRECEDING), w8 AS (PARTITION BY sym ORDER BY t ROWS 7 PRECEDING), w14 AS (PARTITION BY sym ORDER BY t ROWS 13 PRECEDING), w24 AS (PARTITION BY sym ORDER BY t ROWS 23 PRECEDING), w25 AS (PARTITION BY sym ORDER BY t ROWS 24 PRECEDING),
- p24 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), p6 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), p8 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))"""
+ p24 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), p6 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), p8 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), p48 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING))"""

@@ -119,12 +119,14 @@ def summary(rows: DataFrame, keys: list[str], value: str = "net") -> DataFrame:
 
 
 def order_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The five order statistics: mean of the middles, index round(f (n - 1)), floor(q n), upper and lower middle."""
-    x = F.array_sort(F.collect_list(value))
-    s = rows.groupBy(*keys).agg(x.alias("x")).withColumn("n", F.size("x"))
-    at = lambda i: F.get("x", F.least(F.greatest(i, F.lit(0)), F.col("n") - 1).cast("int"))
+    """The five order statistics: mean of the middles, index round(f (n - 1)), floor(q n), upper and lower middle.
+
+    Rows are ranked by a window, which spills, and only those at the five places are gathered; nulls are left out.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    counts = known.groupBy(*keys).agg(F.count("*").alias("n"))
+    ranked = known.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1).join(counts, keys)
     n = F.col("n")
-    return s.select(
-        *keys, n.cast("long").alias("n"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), at(F.floor(0.25 * (n - 1) + 0.5)).alias("p25"), at(F.floor(0.9 * n)).alias("q90"),
-        at(F.floor(n / 2)).alias("upper_middle"), at(F.floor((n - 1) / 2)).alias("lower_middle"),
-    )
+    places = {"lower_middle": F.floor((n - 1) / 2), "upper_middle": F.floor(n / 2), "p25": F.floor(0.25 * (n - 1) + 0.5), "q90": F.least(F.floor(0.9 * n), n - 1)}
+    found = ranked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("i") == at, F.col("v"))).alias(name) for name, at in places.items()])
+    return found.select(*keys, "n", ((F.col("lower_middle") + F.col("upper_middle")) / 2).alias("median"), "p25", "q90", "upper_middle", "lower_middle")

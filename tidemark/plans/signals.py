@@ -38,12 +38,12 @@ def breakout_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.drop("i"), {"close": 6, "hi24": 6, "z": 5})
 
 
-_F = ["change1h", "ret4h", "ret24h", "funding", "f8h", "oi4h", "oi_drop", "oi_rebound", "pos", "buy_share", "taker4", "vol_z", "range24", "range_avg", "green24", "upper_wick", "lower_wick", "pctile"]
+_F = ["pullback24", "oi1h", "change1h", "ret4h", "ret24h", "funding", "f8h", "oi4h", "oi_drop", "oi_rebound", "pos", "buy_share", "taker4", "vol_z", "range24", "range_avg", "green24", "upper_wick", "lower_wick", "pctile"]
 
 
-@query(f"{FEATURES_SQL} SELECT sym, t, {', '.join(f'round({c}, 4) AS {c}' for c in _F)}, new_high, was_below, \"cross\" FROM feat")
+@query(f"{FEATURES_SQL} SELECT sym, t, {', '.join(f'round({c}, 4) AS {c}' for c in _F)}, new_high, was_below, squeezed, squeeze_up, dense100, \"cross\" FROM feat")
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features(spark, sf_dir).select("sym", "t", *_F, "new_high", "was_below", "cross"), dict.fromkeys(_F, 4))
+    return rounded(features(spark, sf_dir).select("sym", "t", *_F, "new_high", "was_below", "squeezed", "squeeze_up", "dense100", "cross"), dict.fromkeys(_F, 4))
 
 
 def _detector_sql(params: D.Params) -> str:
@@ -68,14 +68,22 @@ def detector_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-_INSIGHTS = " UNION ALL ".join("SELECT sym, t, {} AS i, '{}' AS id, '{}' AS tone, {} AS priority FROM feat WHERE {}".format(i, n, tone, p, text.replace("`", '"')) for i, (n, tone, p, text) in enumerate(D.INSIGHTS))
+def _insight_sql(rules: list[tuple[str, str, int, str]]) -> str:
+    fired = " UNION ALL ".join("SELECT sym, t, {} AS i, '{}' AS id, '{}' AS tone, {} AS priority FROM feat WHERE {}".format(i, n, tone, p, text.replace("`", '"')) for i, (n, tone, p, text) in enumerate(rules))
+    return f"{FEATURES_SQL}, f AS ({fired}), r AS (SELECT *, row_number() OVER (PARTITION BY sym, t ORDER BY priority DESC, i) AS rank FROM f) SELECT sym, t, CAST(rank AS INTEGER) AS rank, id, tone, priority FROM r WHERE rank <= 6"
 
 
-@query(f"{FEATURES_SQL}, f AS ({_INSIGHTS}), r AS (SELECT *, row_number() OVER (PARTITION BY sym, t ORDER BY priority DESC, i) AS rank FROM f) SELECT sym, t, CAST(rank AS INTEGER) AS rank, id, tone, priority FROM r WHERE rank <= 6")
+@query(_insight_sql(D.insight_rules()))
 def insights_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.insights(features(spark, sf_dir))
 
 
+@query(_insight_sql(D.insight_rules(D.SWITCHED, D.SCALED)))
+def insights_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All switches on, over detectors scaled to the test series."""
+    return D.insights(features(spark, sf_dir), switches=D.SWITCHED, params=D.SCALED)
+
+
 @query(f"{FEATURES_SQL}, f AS ({_detector_sql(D.SCALED)}) " + " UNION ALL ".join(f"SELECT '{n}' AS filter, side, count(*) AS n FROM f JOIN feat USING (sym, t) WHERE coalesce(CASE WHEN side = 'long' THEN {a} ELSE {b} END, false) GROUP BY side" for n, (a, b) in D.REMEDIATION_SQL.items()))
 def remediation_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
