@@ -102,7 +102,7 @@ def active_days(members: DataFrame) -> DataFrame:
 
 def fingerprint(ids: Column) -> Column:
     """FNV-1a, 32 bits, of the ids (an array of ASCII strings), sorted and joined by |."""
-    letters = F.split(F.array_join(F.array_sort(ids), "|"), "")
+    letters = F.filter(F.split(F.array_join(F.array_sort(ids), "|"), ""), lambda c: c != "")
     return F.aggregate(letters, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
 
