@@ -52,6 +52,20 @@ def test_links_against_brute_force(spark, monkeypatch, split):
     assert got == want and sum(n for n, _, _ in want.values()) > 500
 
 
+@pytest.mark.parametrize("size", [64, 256])
+def test_no_link_is_lost_on_uneven_vectors(spark, size):
+    rng = np.random.default_rng(9)
+    spread = 1 / np.arange(1, size + 1)
+    base = rng.normal(size=(300, size)) * spread
+    near = [b + rng.normal(size=size) * spread * f for b in base[:150] for f in (0.1, 0.25, 0.4)]
+    other = noisy_groups(rng, 20, size + 1, 4)
+    rows = list(enumerate([list(map(float, x)) for x in [*base, *near]] + other))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    want = {i: (n, c) for i, n, c in brute_links(rows)}
+    assert got == want and sum(n for n, _ in want.values()) > 500 and any(want[i][0] for i in range(750, len(rows)))
+
+
 def test_recall_on_the_table(spark):
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
     noise = F.transform("embedding", lambda x, i: x + 0.02 * F.sin(i * 12.9 + F.col("vec_id")))

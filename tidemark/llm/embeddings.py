@@ -1,19 +1,23 @@
 """Near-duplicate vectors by cosine, over product-quantised inverted lists.
 
 Unit vectors are put into coarse lists by their nearest centroid; what is left of them is coded in sub-spaces. A query looks into every
-list whose border with its own is near enough: a vector within the distance `reach` of the query lies across a border at most
-z * reach / sqrt(dimensions) away, but for the tail of a normal distribution beyond z (for z >= sqrt(dimensions), always). In a list,
-distances to the codes are read from tables; by the triangle inequality, a code whose distance exceeds the reach by more than its own
-error cannot be a link, and all others are measured again exactly, in double precision.
+list that can hold a vector within the distance `reach` of it: the border with its own list is no further than the reach, and the reach
+touches the shell between the list's least and largest radius. Both always hold, so no link is lost, whatever the spread of the vectors;
+where vectors have no clusters, most lists are looked into. Lists are packed into groups, neighbours together, and a query goes to a
+group once; of two groups, the vectors of the lower one ask. In a list, distances to the codes are read from tables; by the triangle
+inequality, a code whose distance exceeds the reach by more than its own error cannot be a link, and all others are measured again
+exactly, in double precision. Each size of vectors has lists of its own.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +30,21 @@ THRESHOLD = 0.9
 SAMPLE = 6000
 MAX_LISTS = 2048
 SUBSPACES, CODES = 16, 64
-#: Deviations of the border distance that probes cover: a link at the threshold itself is missed with a probability of 0.0013.
-Z = 3.0
-#: Vectors of a list held by one task, and queries that meet them there, about.
+#: Deviations of the border distance that probes cover; None covers all of them, so that no link is missed.
+Z = None
+#: Vectors of a group of lists held by one task, and queries that meet them there, about.
 TARGETS, QUERIES = 4096, 8192
+#: Groups of lists, so that small tables are spread too.
+GROUPS = 32
 SLACK = 1e-6
 
 
-def unit(values: list | None, size: int | None = None) -> np.ndarray | None:
+def unit(values: list | None) -> np.ndarray | None:
     """The vector over its norm, in doubles; None for what links with nothing: null, empty, zero, null or non-finite components."""
     if not values or any(v is None for v in values):
         return None
     x = np.array(values, np.float64)
-    if not np.isfinite(x).all() or not x.any() or (size is not None and len(x) != size):
+    if not np.isfinite(x).all() or not x.any():
         return None
     x = x / np.abs(x).max()
     return x / math.sqrt(x @ x)
@@ -56,15 +62,16 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, n: int, threshold: float, z: float = Z) -> None:
+    def __init__(self, sample: np.ndarray, n: int, threshold: float, z: float | None = Z) -> None:
         rng = np.random.default_rng(2)
         self.size = sample.shape[1]
         self.reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-        self.margin = min(1.0, z / math.sqrt(self.size)) * self.reach
+        self.margin = self.reach if z is None else min(1.0, z / math.sqrt(self.size)) * self.reach
         self.centres = _kmeans(sample, min(len(sample), max(1, min(MAX_LISTS, int(math.sqrt(n))))), rng)
         self.parts = [p for p in np.array_split(np.arange(self.size), min(SUBSPACES, self.size)) if len(p)]
         rest = sample - self.centres[self.home(sample)]
         self.books = [_kmeans(rest[:, p], min(CODES, len(rest)), rng) for p in self.parts]
+        self.least, self.most = np.zeros(len(self.centres)), np.full(len(self.centres), np.inf)
 
     def gaps(self, x: np.ndarray) -> np.ndarray:
         return (self.centres**2).sum(1)[None, :] - 2 * x @ self.centres.T
@@ -73,10 +80,24 @@ class Index:
         return self.gaps(x).argmin(axis=1)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
-        """Boolean, vectors x lists: lists whose border with the home list is within the margin."""
+        """Boolean, vectors x lists: lists whose border with the home list is within the margin, and whose shell is within the reach."""
         gaps, home = self.gaps(x), self.home(x)
-        apart = np.sqrt(np.maximum(1e-30, ((self.centres[home][:, None, :] - self.centres[None, :, :]) ** 2).sum(2)))
-        return (gaps - gaps[np.arange(len(x)), home][:, None]) / (2 * apart) <= self.margin
+        squares, own = (self.centres**2).sum(1), self.centres[home]
+        apart = np.sqrt(np.maximum(0.0, squares[home][:, None] + squares[None, :] - 2 * own @ self.centres.T))
+        near = gaps - gaps[np.arange(len(x)), home][:, None] <= 2 * apart * self.margin + SLACK
+        radius = np.sqrt(np.maximum(0.0, gaps + (x**2).sum(1)[:, None]))
+        return near & (radius - self.reach <= self.most + SLACK) & (radius + self.reach >= self.least - SLACK)
+
+    def chain(self) -> list[int]:
+        """The lists in an order in which neighbours stand together: each time the nearest of those left."""
+        left = np.ones(len(self.centres), bool)
+        out, at = [], 0
+        while True:
+            out.append(at)
+            left[at] = False
+            if not left.any():
+                return out
+            at = int(np.where(left, ((self.centres - self.centres[at]) ** 2).sum(1), np.inf).argmin())
 
     def codes(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the distance of each vector from what its code says."""
@@ -103,22 +124,19 @@ def _matrix(blobs: pa.Array, size: int) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, z: float = Z
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, z: float | None = Z
 ) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id (smallest id reachable), kept (vec_id = component_id).
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those of another size than the
-    most common. Equal vectors, repeated rows among them, link with each other and stand in the search once. Null ids take part and
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; others link with
+    those of their size. Equal vectors, repeated rows among them, link with each other and stand in the search once. Null ids take part and
     get a null component_id only where no other id is reachable. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
-    common = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    size = common["n"] if common else 1
-
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [unit(v, size) for v in batch.column(1).to_pylist()]
+            found = [unit(v) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else x.tobytes() for x in found], pa.binary())], ["vec_id", "u"])
 
     id_type = rows.schema["vec_id"].dataType.simpleString()
@@ -132,99 +150,159 @@ def near_duplicates(
     if n == 0:
         alone = F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
         return units.select("vec_id", *alone)
+    sizes = {r["size"]: r["n"] for r in reps.groupBy((F.length("u") / 8).cast("int").alias("size")).agg(F.count("*").alias("n")).collect()}
     share = min(1.0, SAMPLE / n)
     sample = reps.where(F.shiftrightunsigned("h1", 11) / float(1 << 53) < share).select("h1", "u") if share < 1 else reps.select("h1", "u")
-    taken = sorted(((r["h1"], bytes(r["u"])) for r in sample.collect())) or [(0, bytes(reps.first()["u"]))]
-    shipped = spark.sparkContext.broadcast(Index(np.frombuffer(b"".join(u for _, u in taken), np.float64).reshape(-1, size), n, threshold, z))
+    taken: dict[int, list[bytes]] = {size: [] for size in sizes}
+    for _, u in sorted((r["h1"], bytes(r["u"])) for r in sample.collect()):
+        taken[len(u) // 8].append(u)
+    # any centre will do for a size that the sample missed
+    indexes = {size: Index(np.frombuffer(b"".join(us) or bytes(8 * size), np.float64).reshape(-1, size), sizes[size], threshold, z) for size, us in taken.items()}
+    shipped = spark.sparkContext.broadcast(indexes)
+
+    def by_size(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+        """Parts of a batch with vectors of one size: the size, the part and its vectors."""
+        lengths = np.array([len(u) for u in batch.column(2).to_pylist()], np.int64) // 8
+        for size in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == size)
+            for start in range(0, len(at), rows):
+                part = batch.take(pa.array(at[start : start + rows]))
+                yield size, part, _matrix(part.column(2), size)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shipped.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                x = _matrix(part.column(2), size)
-                home, looked = index.home(x), index.probes(x)
+            for size, part, x in by_size(batch, 1024):
+                index = shipped.value[size]
+                home = index.home(x)
                 codes, errors = index.codes(x, home)
-                columns = [pa.array(home, pa.int32()), pa.array([np.flatnonzero(p) for p in looked], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], ["node", "copies", "u", "home", "probes", "codes", "error"])
+                radius = np.sqrt(((x - index.centres[home]) ** 2).sum(1))
+                columns = [pa.array(np.full(len(x), size), pa.int32()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors), pa.array(radius)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], ["node", "copies", "u", "size", "home", "codes", "error", "radius"])
+
+    placed = written(reps.select("node", "copies", "u").mapInArrow(assign, "node long, copies long, u binary, size int, home int, codes binary, error double, radius double"))
+    held = {(r["size"], r["home"]): r for r in placed.groupBy("size", "home").agg(F.count("*").alias("n"), F.min("radius").alias("least"), F.max("radius").alias("most")).collect()}
+    for (size, home), r in held.items():
+        indexes[size].least[home], indexes[size].most[home] = r["least"], r["most"]
+    for size, index in indexes.items():
+        index.most[[x for x in range(len(index.centres)) if (size, x) not in held]] = -np.inf  # nothing is there to be found
+    # long lists are cut, short ones packed, so that no list is one task
+    room = max(1, min(TARGETS, -(-n // GROUPS)))
+    where: dict[tuple[int, int], list[int]] = {}
+    group, filled = -1, 0
+    for size in sorted(indexes):
+        filled = room
+        for x in indexes[size].chain():
+            cuts = -(-held[size, x]["n"] // room) if (size, x) in held else 0
+            for _ in range(cuts):
+                here = held[size, x]["n"] / cuts
+                if filled + here > room:
+                    group, filled = group + 1, 0
+                filled += here
+                where.setdefault((size, x), []).append(group)
+    shipped = spark.sparkContext.broadcast(indexes)
+    packed = spark.sparkContext.broadcast(where)
+
+    def asking(size: int, part: pa.RecordBatch, x: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Of each vector the place in the part, its own group, and the groups from its own on that it looks into."""
+        for i, (node, home, looked) in enumerate(zip(part.column(0).to_pylist(), part.column(4).to_pylist(), shipped.value[size].probes(x), strict=True)):
+            cuts = packed.value[size, home]
+            own = cuts[hash((node, 1)) % len(cuts)]
+            yield i, own, sorted({g for y in np.flatnonzero(looked).tolist() for g in packed.value[size, y] if g > own} | {own})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for size, part, x in by_size(batch, 1024):
+                for _, _, groups in asking(size, part, x):
+                    found.update(groups)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["g", "n"])
 
-    placed = written(reps.select("node", "copies", "u").mapInArrow(assign, "node long, copies long, u binary, home int, probes array<int>, codes binary, error double"))
-    held = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect()}
-    asked = {r["l"]: r["n"] for r in placed.select(F.explode("probes").alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()}
-    # long lists and much-asked lists are split, so that no list is one task
-    splits = {x: (-(-held[x] // TARGETS), -(-asked.get(x, 1) // QUERIES)) for x in held}
-    parts = spark.sparkContext.broadcast(splits)
+    asked = {r["g"]: r["n"] for r in placed.mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    # much-asked groups meet their queries in parts
+    parts = spark.sparkContext.broadcast({g: -(-m // QUERIES) for g, m in asked.items()})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = parts.value
+        """Targets have role 0, queries of other groups role 1, of the same group role 2."""
         for batch in batches:
-            nodes, homes, probes = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for start in range(0, batch.num_rows, 512):
+            for size, part, x in by_size(batch, 512):
                 out = []
-                for i in range(start, min(start + 512, batch.num_rows)):
-                    t, q = split[homes[i]]
-                    own = hash((nodes[i], 1)) % t
-                    out += [(homes[i], own, s, 0, i) for s in range(q)]
-                    for x in probes[i]:
-                        if x in split:
-                            t, q = split[x]
-                            s = hash((nodes[i], 2)) % q
-                            out += [(x, k, s, 1, i) for k in range(t)]
-                at = pa.array([o[4] for o in out], pa.int64())
+                for i, own, groups in asking(size, part, x):
+                    node = part.column(0)[i].as_py()
+                    out += [(own, s, 0, i) for s in range(parts.value[own])]
+                    out += [(g, hash((node, 2)) % parts.value[g], 1 if g > own else 2, i) for g in groups]
+                at = pa.array([o[3] for o in out], pa.int64())
+                target = pa.array([o[2] == 0 for o in out])
+                columns = [*(part.column(c).take(at) for c in (0, 1, 2, 3, 4)), *(pc.if_else(target, part.column(c).take(at), pa.scalar(None, part.column(c).type)) for c in (5, 6))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([o[j] for o in out], pa.int32()) for j in range(4)), *(batch.column(c).take(at) for c in (0, 1, 2, 5, 6))],
-                    ["list", "t", "s", "role", "node", "copies", "u", "codes", "error"],
+                    [*(pa.array([o[j] for o in out], pa.int32()) for j in range(3)), *columns],
+                    ["g", "s", "role", "node", "copies", "u", "size", "home", "codes", "error"],
                 )
 
-    keys = ["list", "t", "s"]
-    dealt = placed.mapInArrow(deal, "list int, t int, s int, role int, node long, copies long, u binary, codes binary, error double")
+    keys = ["g", "s"]
+    dealt = placed.mapInArrow(deal, "g int, s int, role int, node long, copies long, u binary, size int, home int, codes binary, error double")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Targets of a part (role 0) come first and are held; queries pass by. Gives (node, links, null) and forest links (a, null, b)."""
-        index, key, held, forest = shipped.value, None, [], Forest()
+        """Targets of a group (role 0) come first and are held; queries pass by. Gives (node, links, null) and forest links (a, null, b)."""
+        key, held, target, forest = None, [], None, Forest()
 
         def linked() -> pa.RecordBatch:
             edges = forest.edges()
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.nulls(len(edges), pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["node", "n", "other"])
 
+        def counted(nodes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            some = counts > 0
+            return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(counts[some]), pa.nulls(int(some.sum()), pa.int64())], ["node", "n", "other"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if target is not None:
+                yield counted(target[0], back)
+            if forest.up:
+                yield linked()
+
         for batch in batches:
-            at = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            at = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1)
+            role = batch.column(2).to_numpy()
             bounds = np.flatnonzero((np.diff(at, axis=0) != 0).any(axis=1)) + 1
             for low, high in zip(np.r_[0, bounds], np.r_[bounds, len(at)], strict=True):
                 if low == high:
                     continue
                 if key != tuple(at[low]):
-                    if forest.up:
-                        yield linked()
-                    key, held, forest, target = tuple(at[low]), [], Forest(), None
-                role = batch.column(3).to_numpy()[low:high]
-                split = int(low + np.searchsorted(role, 1))
+                    yield from done()
+                    key, held, target, forest = tuple(at[low]), [], None, Forest()
+                    index = shipped.value[batch.column(6)[int(low)].as_py()]
+                split = int(low + np.searchsorted(role[low:high], 1))
                 if split > low:
                     part = batch.slice(low, split - low)
-                    held.append((part.column(4).to_numpy(), part.column(5).to_numpy(), _matrix(part.column(6), size), np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint8).reshape(len(part.column(7)), -1), part.column(8).to_numpy()))
+                    held.append((part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(5), index.size), part.column(7).to_numpy(), np.frombuffer(b"".join(part.column(8).to_pylist()), np.uint8).reshape(part.num_rows, -1), part.column(9).to_numpy()))
                 if split == high or not held:
                     continue
                 if target is None:
                     target = [np.concatenate(x) for x in zip(*held, strict=True)]
-                nodes, copies, x, codes, errors = target
-                for start in range(split, high, 128):
-                    part = batch.slice(start, min(128, high - start))
-                    asked, q = part.column(4).to_numpy(), _matrix(part.column(6), size)
-                    i, j = index.near(q, key[0], codes, errors)
-                    good = np.empty(len(i), bool)
-                    for a in range(0, len(i), 1 << 16):
-                        b = a + (1 << 16)
-                        good[a:b] = np.einsum("ij,ij->i", q[i[a:b]], x[j[a:b]]) >= threshold
-                    good &= asked[i] != nodes[j]
-                    i, j = i[good], j[good]
-                    for a, b in zip(asked[i].tolist(), nodes[j].tolist(), strict=True):
-                        forest.link(a, b)
-                    counts = np.bincount(i, weights=copies[j].astype(float), minlength=len(asked)).astype(np.int64)
-                    some = counts > 0
-                    if some.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(asked[some]), pa.array(counts[some]), pa.nulls(int(some.sum()), pa.int64())], ["node", "n", "other"])
-        if forest.up:
-            yield linked()
+                    back = np.zeros(len(target[0]), np.int64)
+                    lists = [(x, np.flatnonzero(target[3] == x)) for x in np.unique(target[3]).tolist()]
+                nodes, copies, x, _, codes, errors = target
+                for start in range(split, high, 256):
+                    part = batch.slice(start, min(256, high - start))
+                    asked, times, q = part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(5), index.size)
+                    looked, other = index.probes(q), role[start : start + part.num_rows] == 1
+                    counts = np.zeros(part.num_rows, np.int64)
+                    for home, of in lists:
+                        by = np.flatnonzero(looked[:, home])
+                        i, j = index.near(q[by], home, codes[of], errors[of])
+                        i, j = by[i], of[j]
+                        good = np.empty(len(i), bool)
+                        for a in range(0, len(i), 1 << 16):
+                            b = a + (1 << 16)
+                            good[a:b] = np.einsum("ij,ij->i", q[i[a:b]], x[j[a:b]]) >= threshold
+                        good &= asked[i] != nodes[j]
+                        i, j = i[good], j[good]
+                        for a, b in zip(asked[i].tolist(), nodes[j].tolist(), strict=True):
+                            forest.link(a, b)
+                        np.add.at(counts, i, copies[j])
+                        # a query of another group is not asked back
+                        np.add.at(back, j[other[i]], times[i[other[i]]])
+                    yield counted(asked, counts)
+        yield from done()
 
     found = written(dealt.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(search, "node long, n long, other long"))
     roots = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
