@@ -293,6 +293,31 @@ def test_secrets(spark, odd, empty):
         secrets.scan(rows.withColumn("redacted", F.lit(1)), model)
 
 
+def test_secrets_in_whole_texts(spark):
+    import base64
+
+    model = secrets.fit(secrets.labelled_findings(spark))
+    lines, whole = [], []
+    for i in range(40):
+        key = hashlib.sha256(f"held {i}".encode()).hexdigest()
+        b64 = base64.b64encode(hashlib.sha512(key.encode()).digest()).decode().replace("=", "")
+        letters = "".join(c for c in b64 + b64.swapcase() if c.isalpha())
+        lines += [
+            ("API_KEY={}", key[:32]), ("export GITHUB_TOKEN={}", "ghp_" + letters[:20] + key[:16]), ("GET https://example.org/v1/items?access_token={}&page=2", key[:40]), ("AWS_SECRET_ACCESS_KEY={}", b64[:40]),
+            ("password={}", letters[:32]), ('secret = "{}"', letters[:66] + "7" + letters[:4]), ("AWS_SECRET_ACCESS_KEY=\"{}\"", key[:40]), ("auth: '{}'", letters[:24]),
+        ]
+    whole = [
+        "Internationalization and counterrevolutionaries in /usr/local/share/applications/", "Donaudampfschifffahrtsgesellschaft", "-" * 60, "name = get_access_token_from_header(request)", "sha256=" + "0a1b" * 16,
+        "see https://example.org/guides/getting-started-with-streams?sort=most-recently-changed", "AWS_SECRET_ACCESS_KEY is not set", "class=navigation-container-wide",
+    ]
+    texts = [f"first line\n{put.format(v)}\nlast line" for put, v in lines] + whole
+    got = {r["i"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    exact = [got[i]["redacted"] == f"first line\n{put.format('[SECRET]')}\nlast line" for i, (put, _) in enumerate(lines)]
+    for k in range(8):
+        assert sum(exact[k::8]) >= 38, (lines[k], got[k]["redacted"])
+    assert [got[len(lines) + i]["redacted"] for i in range(len(whole))] == whole
+
+
 def test_secret_score_is_the_forests(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array

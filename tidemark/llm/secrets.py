@@ -11,8 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of 16 or more key characters with a digit among its first 64.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: A run of 16 or more key characters, wherever it starts; '=' is padding at its end unless a value follows.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-]))?"
 #: Characters looked at on either side.
 NEIGHBOURS = 40
 MASK = "[SECRET]"
@@ -31,6 +31,8 @@ DICTIONARY = (
     "source start state status string system table target test text that the this time title token tree type update upload user value version "
     "view with world write your"
 ).split()
+# Parts of words that are in no dictionary.
+SYLLABLES = "an ba der ent fer go hun in ka lich ment mon ner ol pre ra ri schaft sel stra ti tion tu ung ver vo".split()
 # Neighbouring words for and against a secret.
 FOR_WORDS = "token|secret|passw|pwd|credential|auth|bearer|api[_ -]?key|access[_ -]?key|private[_ -]?key|signature"
 AGAINST_WORDS = "sha1|sha256|sha512|md5|checksum|digest|commit|etag|uuid|guid|build|version|card|account|invoice|order|isbn|phone"
@@ -64,7 +66,7 @@ def features(value: Column, left: Column, right: Column, path: Column) -> list[C
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """(value, left, right, path, label): findings with known labels, made by rule. Of every sixteen, six are secrets."""
+    """(value, left, right, path, label): findings with known labels, made by rule. Of every 32, fourteen are secrets."""
     h = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), F.col("id").cast("string")), 256)
     b64 = lambda salt: F.translate(F.base64(F.unhex(h(salt))), "=", "")
     word = lambda i: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int"))
@@ -75,6 +77,12 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     snake = F.concat_ws("_", word(1), word(2), word(3), F.pmod("id", F.lit(9)).cast("string"), word(5))
     digits = F.substring(F.regexp_replace(F.concat(h("a"), h("b"), h("c")), "[a-f]", ""), 1, 16)
     uuid = F.regexp_replace(F.substring(h("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    letters = F.regexp_replace(F.concat(b64("l"), b64("m"), b64("n")), "[^A-Za-z]", "")
+    made = lambda i: F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES)), (F.pmod(F.xxhash64("id", F.lit(f"{i}-{j}")), F.lit(len(SYLLABLES))) + 1).cast("int")) for j in range(4)])
+    ruler = F.repeat(F.element_at(F.array(*map(F.lit, ["-", "_", "/", "x", "+"])), (F.pmod(F.xxhash64("id", F.lit("r")), F.lit(5)) + 1).cast("int")), 40)
+    setting = F.concat(F.upper(F.concat_ws("_", word(4), name)), F.lit("="))
+    parameter = F.concat(F.lit("https://example.com/"), word(4), F.lit("?"), name, F.lit("="))
+    plain = F.concat(word(4), F.element_at(F.array(*map(F.lit, ["=", ": ", " = \"", "=\""])), (F.pmod(F.xxhash64("id", F.lit("q")), F.lit(4)) + 1).cast("int")))
     assign, other = F.concat(name, put), F.concat(word(7), F.lit(" "), word(8), F.lit(" "))
     kinds = [
         (F.substring(h("x"), 1, 40), assign, quote, 1), (F.substring(b64("x"), 1, 32), assign, quote, 1), (h("x"), assign, quote, 1),
@@ -83,8 +91,14 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (digits, other, F.lit(" "), 0), (digits, F.lit("card number: "), F.lit("."), 0), (camel, other, F.lit("("), 0), (snake, F.concat(other, F.lit("= ")), F.lit(";"), 0),
         (F.concat(F.lit("your_"), snake), assign, quote, 0), (F.concat_ws("/", word(1), word(2), word(3), F.pmod("id", F.lit(31)).cast("string"), word(4)), F.lit("https://example.com/"), F.lit(" "), 0),
         (F.concat(word(1), F.lit("-example-"), F.lit("0123456789")), assign, quote, 0),
+        (F.substring(letters, 1, 32), assign, quote, 1), (F.lower(F.substring(letters, 1, 24)), assign, quote, 1), (F.concat(F.substring(letters, 1, 70), F.substring(h("x"), 1, 6)), assign, quote, 1),
+        (F.substring(h("e"), 1, 40), setting, F.lit(""), 1), (F.substring(b64("e"), 1, 40), setting, F.lit(""), 1), (F.substring(letters, 1, 40), setting, F.lit(""), 1),
+        (F.substring(h("v"), 1, 32), parameter, F.lit("&page=2"), 1), (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64("v"), "[+/]", ""), 1, 36)), setting, F.lit(""), 1),
+        (F.concat(word(1), word(2), word(3), word(4), word(5)), other, F.lit(""), 0), (F.concat(made(1), made(2)), other, F.lit(","), 0), (F.concat_ws("/", made(1), made(2), made(3)), F.concat(other, F.lit("/")), F.lit(""), 0),
+        (F.upper(F.concat_ws("_", word(1), name, word(2), F.lit("key"), word(3))), F.lit("export "), F.lit("="), 0), (F.concat_ws("-", made(1), word(2), made(3)), plain, F.lit("\""), 0), (ruler, F.concat(other, F.lit("\n")), F.lit("\n"), 0),
+        (F.concat_ws("_", word(1), made(2), word(3), word(4)), assign, quote, 0), (h("s"), F.element_at(F.array(*map(F.lit, ["sha256=", "etag=", "commit=", "checksum=", "md5="])), (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int")), F.lit(""), 0),
     ]
-    rows = spark.range(n).select("id", F.pmod("id", F.lit(16)).alias("kind"))
+    rows = spark.range(n).select("id", F.pmod("id", F.lit(32)).alias("kind"))
     pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) if isinstance(k[i], int) else k[i] for k in kinds]), (F.col("kind") + 1).cast("int"))
     return rows.select(pick(0).alias("value"), F.concat(other, pick(1)).alias("left"), F.concat(pick(2), F.lit(" "), word(9)).alias("right"), F.lit("src").alias("path"), pick(3).alias("label"))
 
@@ -124,9 +138,11 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str
     safe = F.coalesce(text, F.lit(""))
     values, pieces = F.regexp_extract_all(safe, F.lit(CANDIDATE), F.lit(0)), F.split(safe, CANDIDATE, -1)
     cut = docs.withColumn("__v", values).withColumn("__p", F.when(F.size("__v") > 0, pieces).otherwise(F.array(safe)))
+    # a name of 16 and more characters is a candidate too, and belongs to what is left of its value
+    before = lambda i: F.concat(F.coalesce(F.get("__p", i - 2), F.lit("")), F.coalesce(F.get("__v", i - 2), F.lit("")), F.element_at("__p", i))
     around = F.transform(
         F.when(F.size("__v") > 0, F.sequence(F.lit(1), F.size("__v"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.element_at("__v", i).alias("value"), F.right(F.element_at("__p", i), F.lit(NEIGHBOURS)).alias("left"), F.left(F.element_at("__p", i + 1), F.lit(NEIGHBOURS)).alias("right"), F.length(F.element_at("__p", i)).alias("gap")),
+        lambda i: F.struct(F.element_at("__v", i).alias("value"), F.right(before(i), F.lit(NEIGHBOURS)).alias("left"), F.left(F.element_at("__p", i + 1), F.lit(NEIGHBOURS)).alias("right"), F.length(F.element_at("__p", i)).alias("gap")),
     )
     cut = cut.withColumn("__a", around)
     cut = cut.withColumn("__f", F.transform("__a", lambda a: F.struct(*features(a["value"], a["left"], a["right"], path))))
