@@ -74,7 +74,7 @@ class Mulberry:
 def block_bootstrap(rows: DataFrame, keys: list[str], block: list[str], rounds: int = 1000, level: float = 0.05, seed: int = 7, least: int = 5) -> DataFrame:
     """(keys, blocks, mean, lower): lower bound of the mean from resampled blocks; null with fewer than `least` blocks.
 
-    Rows are first summed by block on the cluster; rounds are dealt out, each resampling from the block sums of its key.
+    Rows are first summed by block on the cluster; all rounds of a key run in one task, over its block sums.
     """
     sums = rows.groupBy(*keys, *block).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
     order = [c for c in sums.columns if c not in ("s", "n")]

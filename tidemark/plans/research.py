@@ -52,7 +52,7 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day blocks per flag; the random stream has no SQL, a test holds it against a plain loop."""
+    """Blocks of 30 days per flag; the random stream has no SQL, a test holds it against a plain loop."""
     rows = gate_rows(spark, sf_dir).withColumn("month", F.floor(F.col("since") / (30 * 86400)))
     return rounded(R.block_bootstrap(rows, ["flag"], ["month"], rounds=200), {"mean": 6, "lower": 6})
 
