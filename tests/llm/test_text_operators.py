@@ -318,6 +318,16 @@ def test_secrets_in_whole_texts(spark):
     assert [got[len(lines) + i]["redacted"] for i in range(len(whole))] == whole
 
 
+def test_secret_path_counts(spark):
+    model = secrets.fit(secrets.labelled_findings(spark))
+    text = f'token = "{hashlib.sha1(b"path").hexdigest()}"'
+    paths = ["src/auth.py", "", None, "src/latest/docker.py", "tests/test_login.py", "lib/fixtures/login.json", "docs/login.md"]
+    rows = spark.createDataFrame([(i, text, p) for i, p in enumerate(paths)], "i int, text string, path string")
+    got = {r["i"]: r["findings"][0] for r in secrets.scan(rows, model, path_col="path").collect()}
+    assert [got[i]["secret"] for i in range(7)] == [True] * 4 + [False] * 3
+    assert min(got[i]["score"] for i in range(4)) > max(got[i]["score"] for i in range(4, 7)) + 0.2
+
+
 def test_secret_score_is_the_forests(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
