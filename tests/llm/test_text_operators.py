@@ -260,6 +260,31 @@ def brute_contamination(docs, items):
         yield i, len(w), len(hit), ",".join(sorted(found)), bool(hit)
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_decontamination_of_few_words(spark, monkeypatch, limit):
+    """Texts of a small vocabulary, in which windows overlap, begin alike and repeat, one word in a third of all places."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    rng = np.random.default_rng(8)
+    words = np.array(["the", "a", "B", "c3", "é", "É", "z"])
+    text = lambda n: " ".join(rng.choice(words, n, p=[0.34, 0.16, 0.1, 0.1, 0.1, 0.1, 0.1]))
+    items = [(i, text(int(n))) for i, n in enumerate(rng.integers(1, 16, 60))]
+    docs = [(i, text(int(n))) for i, n in enumerate(rng.integers(0, 60, 120))]
+    docs += [(200 + i, "".join(map(chr, range(128))) + t + "\u0085\u00a0x".join(t.split()[:3])) for i, (_, t) in enumerate(items)]
+    docs += [(500, " ".join(t for _, t in items) * 3)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in decontaminate.decontaminate(df, bench).collect())
+    assert got == Counter(brute_contamination(docs, items))
+
+
+def test_decontamination_of_long_texts_is_linear(spark):
+    """The same words in two long texts or in many short ones make as many rows: none carries its text along."""
+    bench = spark.createDataFrame([(1, "p q r s t u v w x y z")], "item_id long, text string")
+    for n, size in ((2, 80_000), (400, 400)):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some word "), size // 2), F.lit("p q r s t u v w x y")).alias("text"))
+        out = decontaminate.decontaminate(df, bench)
+        assert out.agg(F.sum("n_hit"), F.sum("n_words")).first() == (10 * n, n * (size + 10))
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_decontamination(spark, odd, empty, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)

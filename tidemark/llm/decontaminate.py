@@ -1,56 +1,86 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
-Tokens are two-word shingles (single words only for windows of one word). Containment of a whole window means that all of its tokens
-are shared, so a prefix of one token is enough: the rarest by its count over all documents. Documents meet windows at these prefix
-tokens; positional and length bounds follow from the token's offset in the window, and the words themselves are then compared.
+Tokens are shingles of five words; a window of fewer words is one token. Containment of a whole window means that all of its tokens
+are shared, so a prefix of one token is enough: the rarest by its count over all documents. One pass over the texts cuts them into
+words, hashes every shingle and keeps the few that any window holds, with their positions; counts, prefixes and matches come from
+these hits alone. Hits meet windows at the prefix tokens; the token's offset bounds position and length, and a window is there if
+all of its tokens stand at their places, which is word for word, since tokens are compared as strings and overlap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-WINDOW = 10
+WINDOW, SHINGLE = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Tables of windows and tokens are broadcast up to so many rows (a window takes some 300 bytes); beyond, the joins shuffle.
-BROADCAST_ROWS = 100_000
+#: ASCII characters that are in no word; those from U+0080 on always are.
+GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: Tables of tokens and windows are broadcast up to so many rows (some 150 bytes each); beyond, the joins shuffle, salted.
+BROADCAST_ROWS = 300_000
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
     """Words after lower-casing A-Z alone; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-
-
-def _tokens(words: Column, singles: bool) -> Column:
-    """Token i starts at word i: pairs, and after them, where windows of one word exist, the words."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    pairs = F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(pairs, words) if singles else pairs
+    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + GAPS, LOWER + " " * len(GAPS))
+    return F.array_remove(F.split(spaced, F.lit(" ")), "")
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(words, items): each distinct window with the ids, as strings, of the items that hold it."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
-    rows = rows.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), window).alias("words"))
+    rows = rows.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s, window))).alias("words"))
     return rows.groupBy("words").agg(F.collect_set("item").alias("items"))
 
 
-def prefixed(docs: DataFrame, wins: DataFrame, n_wins: int, text_col: str, singles: bool) -> DataFrame:
-    """(token, offset, words, items): every window at its rarest token, ties to the first. Counts cover all documents."""
-    tokens = wins.select(
-        "words", "items", F.posexplode(F.when(F.size("words") > 1, _tokens(F.col("words"), False)).otherwise(F.col("words"))).alias("offset", "token")
-    )
-    known = tokens.select("token").distinct()
-    seen = docs.select(words_of(F.col(text_col)).alias("w")).select(F.explode(_tokens(F.col("w"), singles)).alias("token"))
-    counts = seen.join(F.broadcast(known) if n_wins * WINDOW <= 5 * BROADCAST_ROWS else known, "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, "token", "left").groupBy("words").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("token"))).alias("p"), F.first("items").alias("items")
-    )
-    return ranked.select("p.token", "p.offset", "words", "items")
+def tokens_of(words: Column, shingle: int = SHINGLE) -> Column:
+    """(offset, token) of each token of a window."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
+    return F.transform(starts, lambda s: F.struct(s.alias("offset"), F.array_join(F.slice(words, s + 1, shingle), " ").alias("token")))
+
+
+def _met(rows: DataFrame, table: DataFrame, key: str, how: str, small: bool) -> DataFrame:
+    """Join on `key`; where the table is too large to broadcast, each of its rows stands once a salt, so that no key is one task's."""
+    if small:
+        return rows.join(F.broadcast(table), key, how)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "h", "i"), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+
+
+def hits(docs: DataFrame, known: DataFrame, sizes: list[int], small: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, n, i, own, tokens): known tokens that start at word i of a document of n words, and one row `own` a document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("w"))
+    ahead = [F.slice("w", k + 1, 1 << 30).alias(f"w{k}") for k in range(max(sizes, default=1))]
+    rows = rows.select("doc_id", "h", F.size("w").cast("long").alias("n"), F.posexplode_outer(F.arrays_zip(*ahead)).alias("i", "x"))
+    rows = rows.select("doc_id", "h", "n", F.coalesce("i", F.lit(0)).alias("i"), "x")
+    here = {s: [F.col(f"x.w{k}") for k in range(s)] for s in sizes}
+    keys = {s: F.when(w[-1].isNotNull(), F.xxhash64(*w)) for s, w in here.items()}
+    if small:  # hashes are looked up, and of those that are found the strings are compared
+        for s in sizes:
+            listed = known.where(F.col("size") == s).groupBy(F.col("key").alias(f"key{s}")).agg(F.collect_list("token").alias(f"known{s}"))
+            rows = _met(rows.withColumn(f"key{s}", keys[s]), listed, f"key{s}", "left", True)
+        tokens = [F.when(F.array_contains(f"known{s}", F.concat_ws(" ", *w)), F.concat_ws(" ", *w)) for s, w in here.items()]
+        tokens = F.array_compact(F.array(*tokens)) if sizes else F.array().cast("array<string>")
+        rows = rows.select("doc_id", "h", "n", "i", (F.col("i") == 0).alias("own"), tokens.alias("tokens"))
+        return rows.where(F.col("own") | (F.size("tokens") > 0))
+    own = rows.where("i = 0").select("doc_id", "h", "n", "i", F.lit(True).alias("own"), F.array().cast("array<string>").alias("tokens"))
+    each = rows.select("doc_id", "h", "n", "i", F.inline(F.array(*[F.struct(keys[s].alias("key"), F.concat_ws(" ", *w).alias("t")) for s, w in here.items()])))
+    met = _met(each.where("key is not null"), known.select("key", "token"), "key", "inner", False).where("t = token")
+    return own.unionByName(met.select("doc_id", "h", "n", "i", F.lit(False).alias("own"), F.array("token").alias("tokens")))
+
+
+def prefixed(wins: DataFrame, found: DataFrame) -> DataFrame:
+    """(token, offset, need, n_words, items): each window all of whose tokens occur, at its rarest one, ties to the first. Counts cover
+    all documents."""
+    counts = found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = wins.select("window_id", F.inline("need")).join(counts, "token")
+    rarest = each.groupBy("window_id").agg(F.min(F.struct("n", "offset", "token")).alias("p"), F.count("*").alias("there"))
+    rarest = rarest.join(wins, "window_id").where(F.col("there") == F.size("need"))
+    return rarest.select("p.token", "p.offset", "need", F.size("words").alias("n_words"), "items")
 
 
 def decontaminate(
@@ -61,35 +91,29 @@ def decontaminate(
     which tells apart rows of one id.
 
     Null and empty texts have no words. Repeated rows come back as often as they were given. Items without words match nothing;
-    with an empty benchmark, no word is hit. A null item id is written as the empty string. Other columns are not read.
+    with an empty benchmark, no word is hit. A null item id is written as the empty string. Other columns are not read. Work
+    follows the number of words, however they are spread over texts.
     """
-    wins = written(windows(items, item_col, item_text_col, window))
-    n_wins, singles = wins.agg(F.count("*"), F.coalesce(F.max(F.size("words") == 1), F.lit(False))).first()
-    small = n_wins <= BROADCAST_ROWS
-    keys = written(prefixed(docs, wins, n_wins, text_col, singles))
-    keys = keys.select(F.col("token").alias("__token"), "offset", F.col("words").alias("window"), "items")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("w"))
-    # the first token stands for the document itself, so that one pass gives documents and matches
-    marked = F.concat(F.array(F.lit("")), _tokens(F.col("w"), singles))
-    rows = rows.select("doc_id", "h", F.size("w").cast("long").alias("n"), "w", F.posexplode(marked).alias("i", "token"))
-    position = F.when(F.col("i") <= F.greatest(F.col("n") - 1, F.lit(0)), F.col("i") - 1).otherwise(F.col("i") - F.greatest(F.col("n"), F.lit(1))).cast("int")
-    if small:
-        met = rows.join(F.broadcast(keys), F.col("token") == F.col("__token"), "left").withColumn("start", position - F.col("offset"))
-        same = (F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n"))
-        same = same & (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("window")) == F.col("window"))
-    else:  # only the words around a token travel
-        low = F.greatest(position - (window - 1), F.lit(0))
-        near = rows.select("doc_id", "h", "n", "i", "token", (position - low).alias("back"), low.alias("low"), F.slice("w", low + 1, 2 * window).alias("w"))
-        met = near.join(keys, F.col("token") == F.col("__token"), "left").withColumn("start", F.col("low") + F.col("back") - F.col("offset"))
-        at = F.col("back") - F.col("offset")
-        same = (at >= 0) & (F.slice("w", F.greatest(at, F.lit(0)) + 1, F.size("window")) == F.col("window"))
-    hit = F.coalesce(same, F.lit(False)) & (F.col("i") > 0)
-    met = met.where(hit | (F.col("i") == 0)).select(
-        "doc_id", "h", "n", (F.col("i") == 0).alias("own"),
-        F.when(hit, F.struct("start", (F.col("start") + F.size("window")).alias("end"))).alias("span"), F.when(hit, F.col("items")).alias("items"),
-    )
-    found = met.groupBy("doc_id", "h").agg(
-        F.max("n").alias("n_words"), F.sum(F.col("own").cast("int")).alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"),
+    wins = windows(items, item_col, item_text_col, window).select("words", "items", tokens_of(F.col("words")).alias("need"))
+    wins = written(wins.withColumn("window_id", F.monotonically_increasing_id()))
+    known = wins.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("size"), F.explode("need.token").alias("token")).distinct()
+    word = [F.get(F.split("token", F.lit(" ")), F.lit(k)) for k in range(SHINGLE)]
+    known = written(known.withColumn("key", F.coalesce(*[F.when(F.col("size") == s, F.xxhash64(*word[:s])) for s in range(1, SHINGLE + 1)])))
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # SHINGLE numbers at most
+    found = written(hits(docs, known, sizes, known.count() <= BROADCAST_ROWS, id_col, text_col))
+    keys = written(prefixed(wins, found))
+
+    spots = found.select("doc_id", "h", "i", F.explode("tokens").alias("token")).distinct()
+    reach = Window.partitionBy("doc_id", "h").orderBy("i").rangeBetween(-(window - 1), window - 1)
+    spots = spots.withColumn("near", F.collect_list(F.struct("i", "token")).over(reach))
+    met = _met(spots, keys, "token", "inner", keys.count() <= BROADCAST_ROWS).withColumn("start", F.col("i") - F.col("offset"))
+    placed = F.transform("need", lambda t: F.struct((t["offset"] + F.col("start")).alias("i"), t["token"].alias("token")))
+    met = met.where(F.size(F.array_except(placed, "near")) == 0).withColumn("end", F.col("start") + F.col("n_words"))
+
+    own = found.where("own").select("doc_id", "h", "n", F.lit(1).alias("own"), F.lit(None).cast("struct<start:int,end:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
+    met = met.select("doc_id", "h", F.lit(None).cast("long").alias("n"), F.lit(0).alias("own"), F.struct("start", "end").alias("span"), "items")
+    found = own.unionByName(met).groupBy("doc_id", "h").agg(
+        F.max("n").alias("n_words"), F.sum("own").alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     covered = F.aggregate(
