@@ -1,7 +1,7 @@
 """Embedding near-dedup, tool-call linking and the pipeline."""
 
 import json
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -109,6 +109,66 @@ def test_linking(spark):
     assert chat.link(df.limit(0)).count() == 0
 
 
+def plain_links(rows, schemas):
+    """The lines of each conversation in order, by loops over whole conversations."""
+    out, by = [], defaultdict(list)
+    for conv, turn, role, text in rows:
+        for part, kind, call, errors, line in chat.parts(role, text, schemas):
+            by[conv].append((turn, part, kind, call, errors, line))
+    for conv, found in by.items():
+        first, answered = {}, set()
+        for turn, part, kind, call, _, _ in sorted(found, key=lambda x: x[:2]):
+            if kind == "call" and call is not None and conv is not None:
+                first.setdefault(call, (turn, part))
+            if kind == "result" and conv is not None:
+                answered.add(call)
+        for turn, part, kind, call, errors, line in found:
+            known = first.get(call) if conv is not None else None
+            status, place = "ok", (turn, {"message": 0, "result": 0, "call": 1}[kind], part)
+            if kind == "result":
+                status, place = ("ok", (known[0], 2, known[1])) if known else ("orphan", place)
+            elif kind == "call":
+                late = known is not None and known != (turn, part)
+                status = f"invalid: {errors}" if errors else "duplicate" if late else "unanswered" if call not in answered or conv is None else "ok"
+            out.append((conv, turn, part, kind, call, status, *place, line))
+    return Counter(out)
+
+
+def test_links_of_random_conversations(spark):
+    rng = np.random.default_rng(5)
+    rows, ids = [], ["a", "b", "c", "d", "", "\ud800", 7]
+    for turn in range(900):
+        conv = [None, 1, 1, 1, *range(2, 30)][rng.integers(32)]
+        kind = rng.integers(4)
+        call = lambda: {"id": ids[rng.integers(7)], "name": ["search", "calculator", "other"][rng.integers(3)], "arguments": [{"query": "x"}, '{"expression": "1"}', {"limit": 1e300}, None, {"\udc00": 1}][rng.integers(5)]}
+        if kind == 0:
+            rows.append((conv, turn // 3, "user", f"text {turn % 7}"))
+        elif kind == 1:
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [call() for _ in range(rng.integers(4))], "content": "c"})))
+        else:
+            rows.append((conv, turn, "tool", json.dumps({"tool_call_id": ids[rng.integers(7)], "content": [1.5, "\ud800", "ok"][rng.integers(3)]})))
+    df = spark.createDataFrame(rows + rows[:20], "conv_id long, turn int, role string, text string")
+    out = chat.link(df).collect()
+    assert {r["status"].split(":")[0] for r in out} == {"ok", "invalid", "unanswered", "orphan", "duplicate"}
+    assert Counter(tuple(r) for r in out) == plain_links(rows + rows[:20], chat.SCHEMAS)
+
+
+def test_odd_messages():
+    one = lambda t, role="assistant", schemas=chat.SCHEMAS: chat.parts(role, t, schemas)
+    call = lambda arguments, name="search": '{"tool_calls": [{"id": "a", "name": "%s", "arguments": %s}]}' % (name, arguments)
+    for number in ("1e999", "-1e999", "NaN", "Infinity"):
+        assert [x[1] for x in one(call('{"query": "x", "limit": %s}' % number))] == ["message"]
+        assert [x[1] for x in one('{"tool_call_id": "a", "content": %s}' % number, "tool")] == ["message"]
+    assert one(call('"{\\"limit\\": 1e999}"'))[1][3] == "$: not of type object"
+    assert one(call('{"query": "x", "limit": 1e300}'))[1][3] == "" and one(call('{"query": "x", "limit": 1.5}'))[1][3] == "$.limit: not of type integer"
+    listed = {"t": {"type": "object", "properties": {"n": {"type": ["integer", "null"]}, "m": {"type": "thing"}}}}
+    assert [one(call(a, "t"), schemas=listed)[1][3] for a in ('{"n": null}', '{"n": 2}', '{"n": "x"}', '{"m": 1}')] == ["", "", "$.n: not of type integer or null", "$.m: not of type thing"]
+    for text in ('{"tool_call_id": "\\ud800", "content": 1}', '{"tool_call_id": "", "content": 1}', '{"tool_call_id": "a", "content": "\\ud800"}', call('{"\\ud800": 1, "expression": "1"}', "calculator"), "{" * 100_000, '{"tool_calls": [' * 50_000, '{"tool_calls": [], "content": ' + "[" * 900 + "]" * 900 + "}", "9" * 9000, '{"content": ' + "9" * 9000 + "}"):
+        for role in ("tool", "assistant"):
+            for *_, errors, line in one(text, role):
+                assert (errors + line).encode("utf-8") and json.loads(line)
+
+
 def test_schemas():
     schema = {"type": "object", "properties": {"n": {"type": "integer"}, "l": {"type": "array", "items": {"type": "string"}}, "e": {"enum": [1, 2]}}, "required": ["n"]}
     assert chat.problems({"n": 1, "l": ["a"], "e": 2}, schema) == []

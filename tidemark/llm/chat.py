@@ -9,36 +9,44 @@ calls of the message that asked for it, which is a topological order of message,
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 #: Schemas of known tools, as a parameter's default; a call to another tool is invalid.
 SCHEMAS = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"]},
     "calculator": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
 }
+_LONE = re.compile("[\ud800-\udfff]")
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys and no white space, in plain UTF-8."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys and no white space, in plain UTF-8, or with escapes where a lone surrogate has none."""
+    plain = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False) if _LONE.search(plain) else plain
 
 
-def problems(value: object, schema: dict, at: str = "$") -> list[str]:
-    """What in a value breaks a schema: type, enum, required, properties, additionalProperties, items."""
-    out, kind = [], schema.get("type")
+def _is(value: object, kind: object) -> bool:
     if kind in ("integer", "number"):
-        number = isinstance(value, int | float) and not isinstance(value, bool)
-        if not number or (kind == "integer" and value != int(value)):
-            return [f"{at}: not of type {kind}"]
-    elif kind is not None and not isinstance(value, _KINDS[kind]):
-        return [f"{at}: not of type {kind}"]
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or value == math.floor(value))
+    return kind in _KINDS and isinstance(value, _KINDS[kind])
+
+
+def problems(value: object, schema: dict, at: str = "$") -> list[str]:
+    """What in a value breaks a schema: type (a name or a list of names; an unknown name fits nothing), enum, required, properties,
+    additionalProperties, items."""
+    out, kinds = [], schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else []
+    if kinds and not any(_is(value, kind) for kind in kinds):
+        return [f"{at}: not of type {' or '.join(map(str, kinds))}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not one of the allowed values")
     if isinstance(value, dict):
@@ -54,21 +62,37 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def _loads(text: str | None) -> object:
-    def finite(_: str):
-        raise ValueError("not JSON")
+def _number(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("beyond a double")
+    return value
+
 
+def _loads(text: str | None) -> object:
+    """A JSON object; None for all else, numbers beyond a double and words like NaN among them."""
     try:
-        return json.loads(text, parse_constant=finite) if text and text.lstrip()[:1] == "{" else None
+        return json.loads(text, parse_constant=_number, parse_float=_number) if text and text.lstrip()[:1] == "{" else None
     except (ValueError, RecursionError):
         return None
 
 
+def _name(value: object) -> str | None:
+    """An identifier: a text that is not empty and has a form in UTF-8."""
+    return value if isinstance(value, str) and value and not _LONE.search(value) else None
+
+
 def parts(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple[int, str, str | None, str, str]]:
     """(part, kind, call id, errors, canonical JSON) of a message: the message itself is part 0, its calls follow."""
     role = role or "unknown"
-    value = _loads(text)
-    if role == "tool" and isinstance(value, dict) and isinstance(value.get("tool_call_id"), str):
+    try:
+        return _parts(role, _loads(text), text, schemas)
+    except RecursionError:  # nested deeper than can be written again: a text like any other
+        return [(0, "message", None, "", canonical({"role": role, "content": text}))]
+
+
+def _parts(role: str, value: object, text: str | None, schemas: dict[str, dict]) -> list[tuple[int, str, str | None, str, str]]:
+    if role == "tool" and isinstance(value, dict) and _name(value.get("tool_call_id")):
         return [(0, "result", value["tool_call_id"], "", canonical({"role": role, "tool_call_id": value["tool_call_id"], "content": value.get("content")}))]
     calls = value.get("tool_calls") if isinstance(value, dict) else None
     if not isinstance(calls, list):
@@ -79,9 +103,10 @@ def parts(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[
         name, given = call.get("name"), call.get("arguments")
         arguments = _loads(given) if isinstance(given, str) else given
         wrong = problems(arguments, schemas[name]) if isinstance(name, str) and name in schemas else ["unknown tool"]
-        own = call.get("id") if isinstance(call.get("id"), str) else None
+        own = _name(call.get("id"))
         wrong += [] if own else ["no identifier"]
-        out.append((i, "call", own, "; ".join(wrong), canonical({"type": "tool_call", "id": own, "name": name, "arguments": arguments if arguments is not None else given})))
+        wrong = "; ".join(wrong).encode("utf-8", "backslashreplace").decode()
+        out.append((i, "call", own, wrong, canonical({"type": "tool_call", "id": own, "name": name, "arguments": arguments if arguments is not None else given})))
     return out
 
 
@@ -91,7 +116,9 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col:
     Ordered by (at_turn, at_stage, at_part, turn), the lines of a conversation are its canonical JSON lines. status: ok; invalid: with
     the reasons; unanswered and orphan for calls without a result and results without a call; duplicate for calls whose identifier an
     earlier call of the conversation has. Null texts are null contents, null roles `unknown`; null conversations link nothing; repeated
-    rows come back as often as they are given. A conversation of any length is never gathered.
+    rows come back as often as they are given. A text that is no JSON object, or holds NaN, infinities or numbers beyond a double, is a
+    plain message; arguments given as such a text are a text. Identifiers that are empty, no texts or without a form in UTF-8 count as
+    none: their calls are invalid, their results plain messages. A conversation of any length is never gathered.
     """
     known = SCHEMAS if schemas is None else schemas
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
@@ -107,6 +134,7 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col:
 
     kinds = [rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
     cut = rows.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, part int, kind string, call_id string, errors string, line string")
+    cut = written(cut)
     key = ["conv_id", "call_id"]
     calls = cut.where("kind = 'call' and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "part")).alias("first"))
     answers = cut.where("kind = 'result'").groupBy(*key).agg(F.count("*").alias("answers"))
