@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -240,6 +241,33 @@ def test_repeats_in_small_chunks(spark, sf, monkeypatch):
     assert got == want
 
 
+def test_equal_strings_need_both_digests():
+    """Keys that agree in the first eight bytes alone are no ties, whatever their order."""
+    first = np.array([5, 9, 5, 5, 9, 7], np.uint64) << np.uint64(60) | np.uint64(3)
+    second = np.array([1, 2, 8, 1, 3, 4], np.uint64) << np.uint64(40)
+    n = repeats.SUFFIX_BYTES
+    blob = repeats._packed(repeats._cut([first, second], n), n)
+    assert len(blob) == 6 * n
+    group = pa.table({"chunk_id": [4, 6], "bucket": [0, 0], "keys": pa.array([blob[: 4 * n], blob[4 * n :]], pa.binary())})
+    maps = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in repeats._tied(n)(group).column("tied").to_pylist()]
+    assert maps[0][:4].tolist() == [1, 0, 0, 1] and maps[1][:2].tolist() == [0, 0]
+    rng = np.random.default_rng(3)
+    keys = [rng.integers(0, 40, 500).astype(np.uint64) << np.uint64(58), rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(50)]
+    for _, kept, index, rows in repeats._dealt(keys, 7, n):
+        assert (kept[:, index] == repeats._cut(keys, n)[:, rows]).all()
+
+
+def test_repeats_of_other_ids(spark):
+    """Ids of any type come back as they are; a failure leaves no table behind."""
+    text = "".join(chr(97 + i * i % 23) for i in range(60))
+    for kind, ids in (("date", ["2026-01-01", "2026-01-02", None]), ("decimal(20,2)", ["1.50", "2.25", None]), ("timestamp", ["2026-01-01 00:00:00", None, "2026-01-03 00:00:00"])):
+        df = spark.createDataFrame([(ids[0], text + "x" * 41), (ids[1], text), (ids[2], "y" + text)], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        out = repeats.remove_repeats(df, length=40, q=5)
+        assert out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+        assert sorted((str(r["doc_id"]), r["n_removed"]) for r in out.collect()) == sorted(zip([str(r["doc_id"]) for r in df.collect()], [101, 60, 60], strict=True))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_chunks")]
+
+
 # Decontamination ----------------------------------------------------------------------------------------------------------------------
 
 

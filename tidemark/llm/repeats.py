@@ -4,8 +4,8 @@ Strings are compared to a depth of `length` bytes, which is all that removal nee
 difference cover are sample suffixes: any two positions meet in the cover after the same number k < V of bytes, so if they share
 `length` bytes, both have a sample suffix k bytes on that shares length - V + 1. Stage one sorts the sample suffixes, one bucket at
 a time, and gives ties; stage two sorts, one bucket at a time, only suffixes with a tied sample in reach, for only these can be
-tied to the full depth. Suffixes are ordered by 64-bit digests of their first bytes, which puts equal strings side by side as the
-order by bytes does. Texts stay where they are: only digests travel, each once a chunk of texts (twice if it repeats within), and
+tied to the full depth. Suffixes are ordered by digests of their first bytes, which puts equal strings side by side as the order by
+bytes does; ties of stage two, which decide what goes, are ties of two independent digests, 96 bits in all. Texts stay where they are: only digests travel, each once a chunk of texts (twice if it repeats within), and
 bitmaps come back, so that a string in a third of all documents costs its bucket one row a chunk.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
 LENGTH = 400
 #: The cover's order: a prime q gives q + 1 residues modulo V = q * q + q + 1.
@@ -35,8 +35,11 @@ BUCKET = 6 << 20
 #: Tables of copied texts are broadcast up to so many rows of about 40 bytes; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SAMPLE_BYTES = 5
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(400).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Bytes of the two digests by which stage two tells strings apart: eight of one and four of the other.
+SUFFIX_BYTES = 12
+# Odd bases of the two digests; their tables of byte values are drawn from the seeds.
+_BASES, _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (400, 401)
+_TABLES = [np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64) for seed in _SEEDS]
 
 
 @lru_cache(maxsize=4)
@@ -77,20 +80,20 @@ def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
 
 
 @lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+    for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
         a = np.full(n, base, np.uint64)
         a[0] = 1
         out.append(np.multiply.accumulate(a))
     return out[0], out[1]
 
 
-def digests(data: np.ndarray, width: int, low: int, high: int) -> np.ndarray:
+def digests(data: np.ndarray, width: int, low: int, high: int, which: int = 0) -> np.ndarray:
     """Digest of the `width` bytes from each position in [low, high); all of them must lie within data."""
-    up, down = _powers(CHUNK + 2 * LENGTH)
+    up, down = _powers(CHUNK + 2 * LENGTH, which)
     sums = np.zeros(high - low + width, np.uint64)
-    np.cumsum(_TABLE[data[low : high + width - 1]] * up[: high - low + width - 1], out=sums[1:])
+    np.cumsum(_TABLES[which][data[low : high + width - 1]] * up[: high - low + width - 1], out=sums[1:])
     out = sums[width:] - sums[:-width]
     out *= down[: high - low]
     out ^= out >> np.uint64(32)
@@ -108,28 +111,29 @@ class Chunk:
         self.width = length - self.v + 1
         self.ends = np.cumsum(self.sizes)
 
-    def _at(self, positions: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _at(self, positions: np.ndarray, width: int, n_digests: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Those positions from which `width` bytes stay in their text, and the digests of these bytes."""
         positions = positions[self.ends[np.searchsorted(self.ends, positions, "right")] - positions >= width]
-        out = np.empty(len(positions), np.uint64)
+        out = [np.empty(len(positions), np.uint64) for _ in range(n_digests)]
         for low in range(0, len(self.data), CHUNK):
             a, b = np.searchsorted(positions, (low, low + CHUNK))
             if a < b:
                 start, stop = int(positions[a]), int(positions[b - 1]) + 1
-                out[a:b] = digests(self.data, width, start, stop)[positions[a:b] - start]
+                for which, keys in enumerate(out):
+                    keys[a:b] = digests(self.data, width, start, stop, which)[positions[a:b] - start]
         return positions, out
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
+    def samples(self) -> tuple[np.ndarray, list[np.ndarray]]:
         rows = np.arange(-(-len(self.data) // self.v), dtype=np.int64)[:, None] * self.v + np.array(self.cover)[None, :]
         flat = rows.ravel()
-        return self._at(flat[flat < len(self.data)], self.width)
+        return self._at(flat[flat < len(self.data)], self.width, 1)
 
-    def suffixes(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def suffixes(self, tied: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Positions with a tied sample suffix less than V bytes on, and the digests of their first `length` bytes."""
         near = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(near, np.maximum(tied - self.v + 1, 0), 1)
         np.add.at(near, tied + 1, -1)
-        return self._at(np.flatnonzero(np.cumsum(near[:-1]) > 0), self.length)
+        return self._at(np.flatnonzero(np.cumsum(near[:-1]) > 0), self.length, 2)
 
     def results(self, starts: np.ndarray) -> Iterator[tuple[int, int, str]]:
         """(bytes removed, runs removed, digest of the rest) of each text, where `starts` are the positions of repeated strings."""
@@ -146,29 +150,54 @@ class Chunk:
             yield int(out.sum()), runs, hashlib.sha256(self.data[end - size : end][~out].tobytes()).hexdigest()
 
 
-def _dealt(keys: np.ndarray, n_buckets: int, n_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bucket, keys sorted, with those that repeat twice; index of each of `order` into them; `order`, the rows of the bucket)."""
-    bucket = (keys % np.uint64(n_buckets)).astype(np.int64)
-    keys = keys >> np.uint64(64 - 8 * n_bytes)
-    order = np.lexsort((keys, bucket))
-    for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        if not len(rows):
+def _cut(keys: list[np.ndarray], n_bytes: int) -> np.ndarray:
+    """The first `n_bytes` of the digests, most significant byte first, as columns of up to eight bytes: (columns, rows)."""
+    parts = [n_bytes - 8 * i for i in range(len(keys))]
+    return np.stack([k >> np.uint64(64 - 8 * min(8, n)) for k, n in zip(keys, parts, strict=True)])
+
+
+def _ordered(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by all columns, and whether a row in that order equals the one before it."""
+    order = np.argsort(columns[0], kind="stable")
+    for _ in range(2):
+        own = columns[:, order]
+        by_first = own[0, 1:] == own[0, :-1]
+        same = (own[:, 1:] == own[:, :-1]).all(axis=0)
+        if len(columns) == 1 or (by_first == same).all():
+            break
+        order = np.lexsort(columns[::-1])  # digests that agree in part, which hardly ever are
+    return order, np.r_[False, same] if len(order) else same
+
+
+def _dealt(keys: list[np.ndarray], n_buckets: int, n_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, keys sorted, with those that repeat twice; index of each of `order` into them; `order`, the rows of the bucket).
+
+    Buckets are even ranges of the keys, so that one sort orders them and what is in them."""
+    columns = _cut(keys, n_bytes)
+    order, same = _ordered(columns)
+    bucket = ((keys[0][order] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket)) + 1
+    for low, high in zip(np.r_[0, edges], np.r_[edges, len(order)], strict=True):
+        if low == high:
             continue
-        own = keys[rows]
-        first = np.r_[True, own[1:] != own[:-1]]
-        second = np.r_[False, first[:-1]] & ~first
-        kept = first | second
-        yield int(bucket[rows[0]]), own[kept], (np.cumsum(kept) - 1), rows
+        again = same[low:high].copy()
+        again[0] = False
+        kept = ~again | np.r_[False, ~again[:-1]]
+        yield int(bucket[low]), columns[:, order[low:high][kept]], np.cumsum(kept) - 1, order[low:high]
 
 
-def _packed(keys: np.ndarray, n_bytes: int) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes]).tobytes()
+def _packed(columns: np.ndarray, n_bytes: int) -> bytes:
+    rows = [c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : min(8, n_bytes - 8 * i)] for i, c in enumerate(columns)]
+    return np.concatenate(rows, axis=1).tobytes()
 
 
 def _unpacked(blob: bytes, n_bytes: int) -> np.ndarray:
-    out = np.zeros((len(blob) // n_bytes, 8), np.uint8)
-    out[:, :n_bytes] = np.frombuffer(blob, np.uint8).reshape(-1, n_bytes)
-    return out.reshape(-1).view("<u8")
+    rows, out = np.frombuffer(blob, np.uint8).reshape(-1, n_bytes), []
+    for i in range(0, n_bytes, 8):
+        own = np.zeros((len(rows), 8), np.uint8)
+        own[:, : min(8, n_bytes - i)] = rows[:, i : i + 8]
+        out.append(own.reshape(-1).view("<u8"))
+    return np.stack(out)
 
 
 def _tied(n_bytes: int):
@@ -177,21 +206,19 @@ def _tied(n_bytes: int):
     def run(group: pa.Table) -> pa.Table:
         blobs = [b.as_py() for b in group.column("keys")]
         sizes = [len(b) // n_bytes for b in blobs]
-        keys = np.concatenate([_unpacked(b, n_bytes) for b in blobs])
-        order = np.argsort(keys, kind="stable")
-        same = np.diff(keys[order]) == 0
-        tied = np.zeros(len(keys), bool)
-        tied[order] = np.r_[same, False] | np.r_[False, same]
+        order, same = _ordered(_unpacked(b"".join(blobs), n_bytes))
+        tied = np.zeros(len(order), bool)
+        tied[order] = same | np.r_[same[1:], False]
         maps = [np.packbits(x).tobytes() for x in np.split(tied, np.cumsum(sizes)[:-1])]
         return pa.table({"chunk_id": group.column("chunk_id"), "bucket": group.column("bucket"), "tied": pa.array(maps, pa.binary())})
 
     return run
 
 
-def _back(keys: np.ndarray, n_buckets: int, n_bytes: int, answers: list[dict] | None) -> np.ndarray:
+def _back(keys: list[np.ndarray], n_buckets: int, n_bytes: int, answers: list[dict] | None) -> np.ndarray:
     """Which of the keys are tied, from the bitmaps of their buckets."""
     maps = {a["bucket"]: np.unpackbits(np.frombuffer(a["tied"], np.uint8)).astype(bool) for a in answers or []}
-    out = np.zeros(len(keys), bool)
+    out = np.zeros(len(keys[0]), bool)
     for bucket, _, index, rows in _dealt(keys, n_buckets, n_bytes):
         out[rows] = maps[bucket][index]
     return out
@@ -251,31 +278,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = _chunks(sorted_in.select("doc_id", F.col("copies").isNotNull().alias("whole"), "data"))
     # a bucketed table, so that answers are joined to chunks without moving them again
     name, n_parts = f"tidemark_chunks_{uuid.uuid4().hex}", int(max(8, total // (8 * CHUNK)))
-    chunks.repartition(n_parts, "chunk_id").write.bucketBy(n_parts, "chunk_id").saveAsTable(name)
-    chunks = spark.table(name)
+    try:
+        chunks.repartition(n_parts, "chunk_id").write.bucketBy(n_parts, "chunk_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        return direct.unionByName(_removed(spark.table(name), total, length, q))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _removed(chunks: DataFrame, total: int, length: int, q: int) -> DataFrame:
+    """The rows of the documents in the chunks that are not marked whole, written."""
+    kind = chunks.schema["ids"].dataType.elementType.simpleString()
     v, cover = difference_cover(q)
     n_samples = total * len(cover) / v
     a_buckets = int(max(8, n_samples * SAMPLE_BYTES // BUCKET))
-    b_buckets = int(max(8, total // BUCKET))
+    b_buckets = int(max(8, total * SUFFIX_BYTES // 8 // BUCKET))
 
     def sort(dealt: DataFrame, n_bytes: int) -> DataFrame:
         tied = dealt.groupBy("bucket").applyInArrow(_tied(n_bytes), "chunk_id long, bucket int, tied binary")
         return written(tied.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "tied")).alias("answers")))
 
-    def forward(chunk_id: int, keys: np.ndarray, n_buckets: int, n_bytes: int) -> pa.RecordBatch:
+    def forward(chunk_id: int, keys: list[np.ndarray], n_buckets: int, n_bytes: int) -> pa.RecordBatch:
         dealt = [(b, _packed(k, n_bytes)) for b, k, _, _ in _dealt(keys, n_buckets, n_bytes)]
         return pa.RecordBatch.from_arrays(
             [pa.array([b for b, _ in dealt], pa.int32()), pa.array([chunk_id] * len(dealt), pa.int64()), pa.array([k for _, k in dealt], pa.binary())], ["bucket", "chunk_id", "keys"]
         )
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Chunk]]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Chunk, pa.DataType | None]]:
         for batch in batches:
+            id_type = next((f.type.value_type for f in batch.schema if f.name == "ids"), None)
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                yield row, Chunk(row["blob"], row["sizes"], length, q)
+                yield row, Chunk(row["blob"], row["sizes"], length, q), id_type
 
     def sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, chunk in each(batches):
+        for row, chunk, _ in each(batches):
             yield forward(row["chunk_id"], chunk.samples()[1], a_buckets, SAMPLE_BYTES)
 
     def candidates(row: dict, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -283,26 +319,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return chunk.suffixes(positions[_back(keys, a_buckets, SAMPLE_BYTES, row["answers"])])
 
     def suffix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, chunk in each(batches):
-            yield forward(row["chunk_id"], candidates(row, chunk)[1], b_buckets, 8)
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+        for row, chunk, _ in each(batches):
+            yield forward(row["chunk_id"], candidates(row, chunk)[1], b_buckets, SUFFIX_BYTES)
 
     def outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, chunk in each(batches):
+        for row, chunk, id_type in each(batches):
             positions, keys = candidates(row, chunk)
-            starts = positions[_back(keys, b_buckets, 8, row["found"])]
+            starts = positions[_back(keys, b_buckets, SUFFIX_BYTES, row["found"])]
             kept = [(i, n, *r) for i, n, w, r in zip(row["ids"], row["sizes"], row["whole"], chunk.results(starts), strict=True) if not w]
             columns = list(zip(*kept, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch_id, pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    batch_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     dealt = "bucket int, chunk_id long, keys binary"
     samples = sort(chunks.select("chunk_id", "sizes", "blob").mapInArrow(sample_keys, dealt), SAMPLE_BYTES)
     chunks = chunks.join(samples, "chunk_id", "left")
-    suffixes = sort(chunks.select("chunk_id", "sizes", "blob", "answers").mapInArrow(suffix_keys, dealt), 8)
+    suffixes = sort(chunks.select("chunk_id", "sizes", "blob", "answers").mapInArrow(suffix_keys, dealt), SUFFIX_BYTES)
     chunks = chunks.join(suffixes.withColumnRenamed("answers", "found"), "chunk_id", "left")
-    sorted_out = chunks.select("ids", "whole", "sizes", "blob", "answers", "found").mapInArrow(outcome, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    done = written(sorted_out)
-    spark.sql(f"DROP TABLE {name}")
-    return direct.unionByName(done)
+    sorted_out = chunks.select("ids", "whole", "sizes", "blob", "answers", "found").mapInArrow(outcome, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return written(sorted_out)
