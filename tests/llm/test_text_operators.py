@@ -1,6 +1,7 @@
 """Operators on documents: brute force on small tables, and the cases every operator has a defined result for."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -332,7 +333,7 @@ def test_decontamination(spark, odd, empty, monkeypatch, limit):
 def test_secrets(spark, odd, empty):
     model = secrets.fit(secrets.labelled_findings(spark))
     held = secrets.labelled_findings(spark, 9600).where("label is not null").exceptAll(secrets.labelled_findings(spark))
-    scored = held.select("label", F.struct(*secrets.features(F.col("value"), F.col("left"), F.col("right"), F.col("path"))).alias("c")).select("label", F.expr(secrets.score(model, "c")).alias("s"))
+    scored = held.select("label", F.struct(*secrets.features(F.col("value"), F.col("left"), F.col("right"), F.col("path"), model.transitions)).alias("c")).select("label", F.expr(secrets.score(model, "c")).alias("s"))
     assert scored.select(F.avg(((F.col("s") >= 0.5).cast("int") == F.col("label")).cast("int"))).first()[0] > 0.97
     key = hashlib.sha1(b"k").hexdigest()
     texts = [f'ok token = "{key}" end {key[:8]}', "call 4111111111111111 now", f"commit {key} fixed it", None, "", f'token = "{key}"token = "{key[::-1]}"']
@@ -371,6 +372,48 @@ def test_secrets_in_whole_texts(spark):
     assert [got[len(lines) + i]["redacted"] for i in range(len(whole))] == whole
 
 
+def plain_candidates(text):
+    """Candidates by a loop over the characters: maximal runs, with one or two '=' behind them unless a value follows."""
+    key, out, i = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"), [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in key:
+            j += 1
+        if j - i >= 16:
+            pad = next((n for n in (2, 1) if text[j : j + n] == "=" * n and text[j + n : j + n + 1] not in key), 0)
+            out.append((i, j + pad - i))
+        i = max(j, i + 1)
+    return out
+
+
+def test_secret_scan_against_loops(spark):
+    """Places of candidates, the share of likely transitions and the masked text, against plain loops over random texts."""
+    import math
+
+    model = secrets.fit(secrets.labelled_findings(spark))
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcXYZ019+/_-== \n\"é😀.:"))
+    texts = ["".join(rng.choice(letters, int(n))) if k % 2 else "".join(rng.choice(letters[:12], int(n))) + "=" * (k % 5) + "x😀" for k, n in enumerate(rng.integers(0, 120, 150))]
+    got = {r["i"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        found = got[i]["findings"]
+        assert [(f["start"], f["length"]) for f in found] == plain_candidates(text)
+        masked, at = "", 0
+        for f in found:
+            if f["secret"]:
+                masked, at = masked + text[at : f["start"]] + secrets.MASK, f["start"] + f["length"]
+        assert got[i]["redacted"] == masked + text[at:]
+    values = ["getAccessTokenFromHeader", "zq9x8kvw7Jqz", "a", "Straße é-1"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, value string")
+    likely = {r["i"]: r["likely"] for r in rows.select("i", *secrets.features(F.col("value"), F.lit(""), F.lit(""), F.lit(""), model.transitions)).collect()}
+    n = len(secrets.CLASSES)
+    for i, value in enumerate(values):
+        codes = [secrets.CLASSES.index("0" if "0" <= c <= "9" else c if "a" <= c <= "z" else "#") for c in value.lower()]
+        want = sum(model.transitions[a * n + b] for a, b in zip(codes, codes[1:])) / max(1, len(value) - 1)
+        assert math.isclose(likely[i], want, abs_tol=1e-9)
+    assert likely[0] > likely[1] + 1
+
+
 def test_secret_path_counts(spark):
     model = secrets.fit(secrets.labelled_findings(spark))
     text = f'token = "{hashlib.sha1(b"path").hexdigest()}"'
@@ -387,8 +430,8 @@ def test_secret_score_is_the_forests(spark):
 
     findings = secrets.labelled_findings(spark, 320)
     model = secrets.fit(findings)
-    rows = findings.select(F.struct(*secrets.features(F.col("value"), F.col("left"), F.col("right"), F.col("path"))).alias("c")).select("c", "c.*")
-    both = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(rows)).select(vector_to_array("probability")[1].alias("p"), F.expr(secrets.score(model, "c")).alias("s"))
+    rows = findings.select(F.struct(*secrets.features(F.col("value"), F.col("left"), F.col("right"), F.col("path"), model.transitions)).alias("c")).select("c", "c.*")
+    both = model.forest.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(rows)).select(vector_to_array("probability")[1].alias("p"), F.expr(secrets.score(model, "c")).alias("s"))
     assert both.select(F.max(F.abs(F.col("p") - F.col("s")))).first()[0] < 1e-4
 
 
@@ -408,6 +451,28 @@ def test_licenses(spark, odd, empty):
         licenses.known(spark, [("x", "nothing to look for")])
 
 
+def plain_canonical(text):
+    out = re.sub(licenses.COPYRIGHT_LINE, "\n", text.lower())
+    for word, same in licenses.SPELLINGS:
+        out = out.replace(word, same)
+    return re.sub(licenses.PUNCTUATION, " ", out).strip()
+
+
+def test_known_licenses_in_other_dress(spark):
+    """Every known text, with another case, spelling, punctuation and copyright line, is found as a whole; digests against plain code."""
+    known = licenses.known(spark)
+    texts = [(name, "Copyright (c) 2031 Some Body. All rights reserved.\n\n" + text.swapcase().replace(", ", " -- ").replace("\n", "\n  ") + "\n") for name, text in licenses.LICENSES]
+    folder = "/usr/share/common-licenses"
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3")):
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}") as f:
+                texts.append((name, f.read().replace("license", "licence").upper()))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licenses.scan(df, known).collect()}
+    assert [out[i]["whole_license"] for i in range(len(texts))] == [name for name, _ in texts]
+    assert all(out[i]["text_digest"] == hashlib.sha256(plain_canonical(t).encode()).hexdigest() for i, (_, t) in enumerate(texts))
+
+
 def test_quality(spark, odd, empty):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     out = quality.classify(docs).join(labels, "doc_id").toPandas()

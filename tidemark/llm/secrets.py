@@ -6,6 +6,9 @@ expressions over each candidate and its neighbours, and the fitted trees are wri
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +21,8 @@ NEIGHBOURS = 40
 MASK = "[SECRET]"
 THRESHOLD = 0.5
 #: Bound of the sample of labelled findings that the forest is fitted on.
-LABELLED = 3200
+LABELLED = 3600
+KINDS = 36
 TREES, DEPTH = 15, 6
 
 # Words whose letters speak against a random string.
@@ -38,11 +42,41 @@ FOR_WORDS = "token|secret|passw|pwd|credential|auth|bearer|api[_ -]?key|access[_
 AGAINST_WORDS = "sha1|sha256|sha512|md5|checksum|digest|commit|etag|uuid|guid|build|version|card|account|invoice|order|isbn|phone"
 PATH_AGAINST = "(^|[^a-z])(tests?|testing|examples?|fixtures?|samples?|mocks?|docs?)([^a-z]|$)"
 
-FEATURES = ["length", "digits", "upper", "hexed", "switches", "vowelled", "distinct", "dictionary", "near_for", "near_against", "assigned", "quoted", "path_against", "slashes"]
+FEATURES = ["length", "digits", "upper", "hexed", "switches", "vowelled", "likely", "distinct", "dictionary", "near_for", "near_against", "assigned", "quoted", "path_against", "slashes"]
+
+
+#: Classes of characters between which transitions are counted: letters whatever their case, any digit, any other.
+CLASSES = "abcdefghijklmnopqrstuvwxyz0#"
+
+
+@dataclass(frozen=True)
+class Model:
+    """A forest, and the log2 probabilities of transitions between CLASSES, row by row."""
+
+    forest: RandomForestClassificationModel
+    transitions: tuple[float, ...]
+
+
+def _pairs(text: Column) -> Column:
+    """The transition from each character of a text to the next, as an index into a table of CLASSES by CLASSES."""
+    n = len(CLASSES)
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), "[^a-z0]", "#")
+    codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(CLASSES)) - 1)
+    return F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: a * n + b)
+
+
+def learn_transitions(texts: Column, findings: DataFrame) -> tuple[float, ...]:
+    """How likely each class follows each other in running text, from the text around labelled findings; unseen pairs count as half."""
+    n, counts = len(CLASSES), {}
+    for r in findings.select(F.explode(_pairs(texts)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).collect():  # n * n rows at most
+        counts[r["pair"]] = r["n"]
+    rows = [[counts.get(a * n + b, 0) + 0.5 for b in range(n)] for a in range(n)]
+    return tuple(round(math.log2(x / sum(row)), 6) for row in rows for x in row)
 
 
-def features(value: Column, left: Column, right: Column, path: Column) -> list[Column]:
+def features(value: Column, left: Column, right: Column, path: Column, transitions: tuple[float, ...]) -> list[Column]:
     """Length, character classes and transitions, dictionary coverage, neighbouring words and path of a candidate."""
+    table = F.lit(list(transitions))
     n, low = F.length(value), F.lower(value)
     share = lambda pattern, of=value: F.regexp_count(of, F.lit(pattern)) / n
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -54,6 +88,7 @@ def features(value: Column, left: Column, right: Column, path: Column) -> list[C
         share("[0-9a-f]", low).alias("hexed"),
         share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])").alias("switches"),
         share("[bcdfghjklmnpqrstvwxyz][aeiou]", low).alias("vowelled"),
+        (F.aggregate(_pairs(value), F.lit(0.0), lambda total, pair: total + F.get(table, pair)) / F.greatest(n - 1, F.lit(1))).alias("likely"),
         (F.size(F.array_distinct(F.split(low, ""))) / F.least(n, F.lit(36))).alias("distinct"),
         (covered / n).alias("dictionary"),
         flag(left.rlike(f"(?i)({FOR_WORDS})")).alias("near_for"),
@@ -66,7 +101,7 @@ def features(value: Column, left: Column, right: Column, path: Column) -> list[C
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """(value, left, right, path, label): findings with known labels, made by rule. Of every 32 kinds, fourteen are secrets, but none under the one path in four for tests and examples."""
+    """(value, left, right, path, label): findings with known labels, made by rule. Of every 36 kinds, 18 are secrets, but none under the one path in four for tests and examples."""
     h = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), F.col("id").cast("string")), 256)
     b64 = lambda salt: F.translate(F.base64(F.unhex(h(salt))), "=", "")
     word = lambda i: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int"))
@@ -97,21 +132,26 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat(word(1), word(2), word(3), word(4), word(5)), other, F.lit(""), 0), (F.concat(made(1), made(2)), other, F.lit(","), 0), (F.concat_ws("/", made(1), made(2), made(3)), F.concat(other, F.lit("/")), F.lit(""), 0),
         (F.upper(F.concat_ws("_", word(1), name, word(2), F.lit("key"), word(3))), F.lit("export "), F.lit("="), 0), (F.concat_ws("-", made(1), word(2), made(3)), plain, F.lit("\""), 0), (ruler, F.concat(other, F.lit("\n")), F.lit("\n"), 0),
         (F.concat_ws("_", word(1), made(2), word(3), word(4)), assign, quote, 0), (h("s"), F.element_at(F.array(*map(F.lit, ["sha256=", "etag=", "commit=", "checksum=", "md5="])), (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int")), F.lit(""), 0),
+        (F.concat(F.lit("eyJ"), F.substring(b64("j"), 1, 33)), F.concat(other, F.lit("Authorization: Bearer ")), F.lit("."), 1), (F.substring(b64("k"), 1, 43), F.concat(assign, F.lit("eyJ"), F.substring(b64("j"), 1, 20), F.lit(".")), F.lit("."), 1),
+        (F.substring(F.concat(b64("f"), b64("g")), 1, 64), F.lit("-----BEGIN PRIVATE KEY-----\n"), F.concat(F.lit("\n"), F.substring(b64("o"), 1, 30)), 1), (F.substring(F.concat(b64("f"), b64("g")), 1, 64), F.concat(F.substring(b64("o"), 1, 40), F.lit("\n")), F.concat(F.lit("\n"), F.substring(b64("q"), 1, 30)), 1),
     ]
+    assert len(kinds) == KINDS
     paths = ["src/app.py", "config/prod.env", "lib/auth.go", "", "web", "deploy/values.yaml", "tests/test_auth.py", "examples/demo.env", "docs/setup.md", "spec/fixtures/keys.json", "src/mock/client.ts", "data/sample.cfg"]
     drawn = F.pmod(F.xxhash64("id", F.lit("path")), F.lit(24))
     against, path = drawn >= 18, F.element_at(F.array(*map(F.lit, paths)), F.when(drawn < 18, drawn % 6).otherwise(drawn - 12).cast("int") + 1)
-    rows = spark.range(n).select("id", F.pmod("id", F.lit(32)).alias("kind"))
+    rows = spark.range(n).select("id", F.pmod("id", F.lit(KINDS)).alias("kind"))
     pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) if isinstance(k[i], int) else k[i] for k in kinds]), (F.col("kind") + 1).cast("int"))
     return rows.select(pick(0).alias("value"), F.concat(other, pick(1)).alias("left"), F.concat(pick(2), F.lit(" "), word(9)).alias("right"), path.alias("path"), F.when(against, 0).otherwise(pick(3)).alias("label"))
 
 
-def fit(findings: DataFrame, bound: int = 4 * LABELLED) -> RandomForestClassificationModel:
-    """A forest on at most `bound` labelled findings (value, left, right, path, label)."""
-    columns = features(F.col("value"), F.col("left"), F.col("right"), F.col("path"))
-    rows = findings.where("label is not null and value <> ''").limit(bound).select(*columns, F.col("label").cast("double").alias("label"))
+def fit(findings: DataFrame, bound: int = 4 * LABELLED) -> Model:
+    """Transitions and a forest from at most `bound` labelled findings (value, left, right, path, label)."""
+    findings = findings.where("label is not null and value <> ''").limit(bound)
+    transitions = learn_transitions(F.concat_ws(" ", "left", "right"), findings)
+    columns = features(F.col("value"), F.col("left"), F.col("right"), F.col("path"), transitions)
+    rows = findings.select(*columns, F.col("label").cast("double").alias("label"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=7, subsamplingRate=0.9).fit(vectors)
+    return Model(RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=7, subsamplingRate=0.9).fit(vectors), transitions)
 
 
 def _case(node, name: str) -> str:
@@ -123,13 +163,13 @@ def _case(node, name: str) -> str:
     return f"CASE WHEN {name}.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D THEN {_case(node.leftChild(), name)} ELSE {_case(node.rightChild(), name)} END"
 
 
-def score(model: RandomForestClassificationModel, name: str) -> str:
+def score(model: Model, name: str) -> str:
     """SQL for the forest's mean leaf probability, over a struct column of that name."""
-    trees = [_case(t._call_java("rootNode"), name) for t in model.trees]
+    trees = [_case(t._call_java("rootNode"), name) for t in model.forest.trees]
     return f"({' + '.join(trees)}) / {len(trees)}D"
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: Model, text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs plus `findings` and `redacted`, names that docs must not have.
 
     findings: every candidate of the whole text as (start from 0 in characters, length, score, secret), in order; secret means a score
@@ -148,7 +188,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str
         lambda i: F.struct(F.element_at("__v", i).alias("value"), F.right(before(i), F.lit(NEIGHBOURS)).alias("left"), F.left(F.element_at("__p", i + 1), F.lit(NEIGHBOURS)).alias("right"), F.length(F.element_at("__p", i)).alias("gap")),
     )
     cut = cut.withColumn("__a", around)
-    cut = cut.withColumn("__f", F.transform("__a", lambda a: F.struct(*features(a["value"], a["left"], a["right"], path))))
+    cut = cut.withColumn("__f", F.transform("__a", lambda a: F.struct(*features(a["value"], a["left"], a["right"], path, model.transitions))))
     cut = cut.withColumn("__s", F.expr(f"transform(__f, c -> {score(model, 'c')})"))
     start = F.aggregate(
         "__a", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
