@@ -95,6 +95,56 @@ def test_anchors_lose_no_link(k, threshold):
     assert all(h in reached[i] for i, h in enumerate(simhash.anchors(x, k, threshold)[0].tolist()))
 
 
+@pytest.mark.parametrize("threshold", [5, 8, 10, 11])
+def test_golay_anchors_lose_no_link(threshold):
+    rng = np.random.default_rng(threshold)
+    a = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    flips = [rng.permutation(64)[:threshold] for _ in a]
+    b = a ^ np.array([np.bitwise_or.reduce(np.uint64(1) << f.astype(np.uint64)) for f in flips])
+    home, index, anchor = simhash.golay_anchors(np.r_[a, b], threshold)
+    at = [set(anchor[index == i].tolist()) for i in range(600)]
+    assert sum(simhash.shares(threshold)) + 3 == threshold + 1
+    assert all(set(home[:, i].tolist()) & at[300 + i] and set(home[:, 300 + i].tolist()) & at[i] for i in range(300))
+    assert all(set(home[:, i].tolist()) <= at[i] for i in range(600))
+    for (low, length), row in zip(simhash.SEGMENTS, home, strict=True):
+        words = (np.r_[a, b] >> np.uint64(low) & np.uint64((1 << length) - 1)).astype(np.int64)
+        assert np.bitwise_count(words ^ (row & (1 << 23) - 1)).max() <= 3
+
+
+@pytest.mark.parametrize("split", [50_000, 7])
+def test_wide_links_against_brute_force(spark, monkeypatch, split):
+    """Ten bits of one fingerprint, 26 of both, over groups of near copies: one large, and some that only chance brings near."""
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, (60, 2), dtype=np.uint64)
+    def flipped(x, n):
+        for bit in rng.permutation(64)[:n]:
+            x = x ^ np.uint64(1) << np.uint64(bit)
+        return x
+    rows = [(flipped(x, int(rng.integers(0, 9))), flipped(y, int(rng.integers(0, 14)))) for x, y in base for _ in range(3)]
+    rows += [(flipped(base[0, 0], int(rng.integers(0, 5))), flipped(base[0, 1], int(rng.integers(0, 5)))) for _ in range(200)]
+    rows += [(base[i, 0], rng.integers(0, 1 << 64, dtype=np.uint64)) for i in range(20)]
+    fp, fp2 = (np.array(x, np.uint64) for x in zip(*rows, strict=True))
+    one = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(int)
+    near = (one <= 10) & (one + np.bitwise_count(fp2[:, None] ^ fp2[None, :]) <= 26)
+    want = roots([(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True) if i != j], range(len(rows)))
+    table = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(zip(fp.view(np.int64), fp2.view(np.int64), strict=True))], "node long, fp long, fp2 long")
+    got = {r["node"]: r["root"] for r in connected_components(simhash.links(table, 10, len(rows), 26)).collect()}
+    assert {i: got.get(i, i) for i in range(len(rows))} == dict(want)
+
+
+def test_wide_near_duplicates_of_edited_texts(spark):
+    """At five words and ten bits, copies with a word in a hundred changed meet, and others stay apart."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        texts += [" ".join(words), " ".join(w if i not in (50, 200) else "changed" for i, w in enumerate(words))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words_per_shingle=5, threshold=10, both=26).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 120, 2)) >= 57 and all(got[i] in (i, i - i % 2) for i in got)
+
+
 def test_near_pairs_by_segments(monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
