@@ -129,6 +129,46 @@ def test_bootstrap_against_a_loop(spark):
     assert research.block_bootstrap(df.where("day < 3"), ["key"], ["day"]).first()["lower"] is None
 
 
+def test_draws_at_once_are_the_stream(spark):
+    rng = research.Mulberry(11)
+    stream = [rng.next() for _ in range(300)]
+    assert research.mulberry(11, 0, 300).tolist() == stream and research.mulberry(11, 120, 50).tolist() == stream[120:170]
+
+
+def test_paired_bounds_against_a_loop(spark):
+    rows = [("k", f"s{i % 6}", 86400 * (i % 4) + 7 * i, (i * 37 % 11) / 10) for i in range(60)] + [("few", "s0", 0, 1.0)]
+    out = {r["key"]: r for r in research.paired_bounds(spark.createDataFrame(rows, "key string, sym string, since long, value double"), ["key"], rounds=120).collect()}
+    days, coins = {}, {}
+    for key, sym, since, value in rows[:60]:
+        days.setdefault((sym, since // 86400), []).append(value)
+        coins.setdefault(sym, []).append(value)
+    days, coins = [days[k] for k in sorted(days)], [sum(coins[k]) / len(coins[k]) for k in sorted(coins)]
+    rng, event, coin = research.Mulberry(7), [], []
+    for _ in range(120):
+        picked = [v for _ in days for v in days[int(rng.next() * len(days))]]
+        event.append(sum(picked) / len(picked))
+        coin.append(sum(coins[int(rng.next() * len(coins))] for _ in coins) / len(coins))
+    got = out["k"]
+    assert (got["event_blocks"], got["coin_blocks"]) == (len(days), 6)
+    assert got["event_lower"] == pytest.approx(sorted(event)[6]) and got["coin_lower"] == pytest.approx(sorted(coin)[6])
+    assert out["few"]["event_lower"] is None and out["few"]["coin_blocks"] == 1
+
+
+def test_weighted_cost_and_active_days_against_loops(spark):
+    from tidemark.operators import deep
+
+    rng = np.random.default_rng(4)
+    charges = [("A" if i % 3 else "B", int(t), float(i % 7)) for i, t in enumerate(rng.integers(0, 500, 80))]
+    positions = [(i, "AB"[i % 2], int(t), int(t) + 90, [(int(t) + int(c), p) for c, p in zip(rng.integers(-5, 120, 2), (0.5, 0.25), strict=True)]) for i, t in enumerate(rng.integers(0, 450, 40))]
+    p = spark.createDataFrame(positions, "id long, sym string, entry long, exit long, cuts array<struct<ts:long,part:double>>")
+    got = {r["id"]: r["cost"] for r in deep.weighted_cost(p, spark.createDataFrame(charges, "sym string, ts long, rate double")).collect()}
+    want = {i: sum(r * (1 - sum(part for at, part in cuts if at < t)) for s, t, r in charges if s == sym and a <= t <= b) for i, sym, a, b, cuts in positions}
+    assert got == {i: pytest.approx(v) for i, v in want.items()}
+    spans = [(i, int(a), int(a) + int(n)) for i, (a, n) in enumerate(zip(rng.integers(0, 60, 25), rng.integers(0, 9, 25), strict=True))]
+    days = {r["day"]: r["members"] for r in evidence.active_days(spark.createDataFrame(spans, "member long, first long, last long")).collect()}
+    assert days == {d: n for d in range(80) if (n := sum(a <= d <= b for _, a, b in spans))}
+
+
 def test_isolation_and_promotion(spark):
     rows = spark.createDataFrame([(1, 0, True), (1, 1, True), (2, 0, False), (3, 0, None)], "id long, seq long, ok boolean")
     out = {(r["id"], r["seq"]): r["reason"] for r in research.isolate(rows, [("bad", ~F.col("ok"))]).collect()}

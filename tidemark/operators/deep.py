@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import folds
 from . import windows as X
+from .asof import range_sum
 from .outcomes import path
 
 
@@ -86,14 +87,15 @@ def select_daily(candidates: DataFrame, quota: int) -> DataFrame:
 def weighted_cost(positions: DataFrame, charges: DataFrame) -> DataFrame:
     """(id, cost): charges (sym, ts, rate) of entry <= ts <= exit, each by the part still open: 1 less the reductions before it, strictly.
 
-    positions: id, sym, entry, exit, cuts array<struct<ts, part>>. Joined by day, so a symbol's charges never meet all its positions.
+    positions: id, sym, entry, exit (whole seconds), cuts array<struct<ts, part>>. The whole span counts by one, what lies behind a cut by
+    minus its part; each is a difference of running sums, so positions never meet charges in pairs, however dense they are.
     """
-    day = lambda c: F.floor(F.col(c) / 86400)
-    p = positions.withColumn("__d", F.explode(F.sequence(day("entry"), day("exit"))))
-    met = p.join(charges.withColumn("__d", day("ts")), ["sym", "__d"]).where("ts between entry and exit")
-    left = 1 - F.aggregate(F.filter("cuts", lambda c: c["ts"] < F.col("ts")), F.lit(0.0), lambda a, c: a + c["part"])
-    sums = met.groupBy("id").agg(F.sum(F.col("rate") * left).alias("cost"))
-    return positions.select("id").join(sums, "id", "left").select("id", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    before = F.col("entry") - 1
+    span = lambda low, weight: F.struct(low.cast("long").alias("low"), weight.cast("double").alias("weight"))
+    spans = F.concat(F.array(span(before, F.lit(1.0))), F.transform("cuts", lambda c: span(F.greatest(c["ts"], before), -c["part"])))
+    rows = positions.select("id", "sym", "exit", F.inline(spans)).withColumn("low", F.least("low", F.col("exit")))
+    sums = range_sum(rows, charges, F.col("low"), F.col("exit"), "rate", "total")
+    return sums.groupBy("id").agg(F.sum(F.col("weight") * F.col("total")).alias("cost"))
 
 
 def holdout(rows: DataFrame, least: int, lift: float) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as X
@@ -96,8 +96,15 @@ def reuse(status: Column, known: Column, found: Column) -> Column:
 
 
 def active_days(members: DataFrame) -> DataFrame:
-    """A row for each day from first to last (days since 1970) of a member."""
-    return members.withColumn("day", F.explode(F.sequence("first", "last")))
+    """(day, members): how many members' spans, first to last (days since 1970), hold each day; days of none are left out.
+
+    Spans come in on one day and go out on another, and a running sum over the calendar gives the rest: no member is spread over days.
+    """
+    moves = members.select(F.inline(F.array(F.struct(F.col("first").alias("day"), F.lit(1).alias("n")), F.struct((F.col("last") + 1).alias("day"), F.lit(-1).alias("n")))))
+    moves = moves.groupBy("day").agg(F.sum("n").alias("n"))  # a row a day: the calendar is all that one window sees
+    w = Window.orderBy("day")
+    steps = moves.select("day", F.sum("n").over(w).alias("members"), (F.lead("day").over(w) - 1).alias("until")).where("members > 0")
+    return steps.select(F.explode(F.sequence("day", "until")).alias("day"), "members")
 
 
 def fingerprint(ids: Column) -> Column:

@@ -71,28 +71,68 @@ class Mulberry:
         return ((t ^ (t >> 14)) & m) / 4294967296
 
 
+def mulberry(seed: int, first: int, n: int) -> np.ndarray:
+    """Draws first to first + n - 1 of Mulberry(seed), at once: its state moves by a fixed step, so any draw can be reached."""
+    m = np.uint64(0xFFFFFFFF)
+    t = (np.uint64(seed & 0xFFFFFFFF) + (np.arange(first + 1, first + n + 1, dtype=np.uint64) & m) * np.uint64(0x6D2B79F5)) & m
+    t = ((t ^ (t >> np.uint64(15))) * (t | np.uint64(1))) & m
+    t ^= (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & m)) & m
+    return (((t ^ (t >> np.uint64(14))) & m) / 4294967296).astype(float)
+
+
+#: Rounds that one task of a bootstrap draws.
+ROUNDS = 50
+
+
+def _resampled(sums: DataFrame, keys: list[str], order: list[str], rounds: int, seed: int, stride: str | None = None, start: str | None = None) -> DataFrame:
+    """(keys, means array): means of `rounds` resamples of a key's block sums (s, n). Round ranges are dealt out, each with its part of
+    the one random stream. stride and start name columns: draws of a round, and the first of them that are for these blocks."""
+    dealt = sums.withColumn("__from", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(ROUNDS))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        s, n, low = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float), int(pdf["__from"].iloc[0])
+        step, skip = (int(pdf[c].iloc[0]) if c else d for c, d in ((stride, len(s)), (start, 0)))
+        means = []
+        for i in range(low, min(rounds, low + ROUNDS)):
+            pick = (mulberry(seed, i * step + skip, len(s)) * len(s)).astype(np.int64)
+            means.append(s[pick].sum() / n[pick].sum())
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "means": means}])
+
+    types = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
+    means = dealt.groupBy(*keys, "__from").applyInPandas(run, f"{types}, means array<double>")
+    return means.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("means"))).alias("means"))
+
+
+def _lower(rounds: int, level: float) -> Column:
+    return F.get("means", F.lit(min(rounds - 1, int(level * rounds))))
+
+
 def block_bootstrap(rows: DataFrame, keys: list[str], block: list[str], rounds: int = 1000, level: float = 0.05, seed: int = 7, least: int = 5) -> DataFrame:
     """(keys, blocks, mean, lower): lower bound of the mean from resampled blocks; null with fewer than `least` blocks.
 
-    Rows are first summed by block on the cluster; all rounds of a key run in one task, over its block sums.
+    Rows are first summed by block; rounds are dealt out in ranges over the block sums of a key.
     """
     sums = rows.groupBy(*keys, *block).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
     order = [c for c in sums.columns if c not in ("s", "n")]
+    whole = sums.groupBy(*keys).agg(F.count("*").alias("blocks"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    means = _resampled(sums, keys, order, rounds, seed).select(*keys, _lower(rounds, level).alias("lower"))
+    return whole.join(means, keys).withColumn("lower", F.when(F.col("blocks") >= least, F.col("lower")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        s, n, rng = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float), Mulberry(seed)
-        lower = None
-        if len(pdf) >= least:
-            means = []
-            for _ in range(rounds):
-                pick = np.fromiter((int(rng.next() * len(s)) for _ in range(len(s))), np.int64, len(s))
-                means.append(s[pick].sum() / n[pick].sum())
-            lower = float(np.sort(means)[min(len(means) - 1, int(level * len(means)))])
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "blocks": len(pdf), "mean": s.sum() / n.sum(), "lower": lower}])
-
-    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return sums.groupBy(*keys).applyInPandas(run, f"{types}, blocks long, mean double, lower double")
+
+def paired_bounds(rows: DataFrame, keys: list[str], rounds: int = 2000, level: float = 0.05, seed: int = 7, least: int = 5) -> DataFrame:
+    """(keys, event_blocks, coin_blocks, event_lower, coin_lower): lower bounds over blocks of a symbol and day, and over symbols.
+
+    rows: keys, sym, since, value. The event bound resamples sums of symbol-days, the coin bound means of symbols; each round draws first
+    the one and then the other from one random stream. Both are null unless there are `least` blocks of either kind.
+    """
+    days = rows.groupBy(*keys, "sym", F.floor(F.col("since") / 86400).alias("day")).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    coins = days.groupBy(*keys, "sym").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("s")).withColumn("n", F.lit(1).cast("long"))
+    sizes = days.groupBy(*keys).agg(F.count("*").alias("event_blocks"), F.count_distinct("sym").alias("coin_blocks"))
+    known = sizes.withColumn("__step", F.col("event_blocks") + F.col("coin_blocks")).where((F.col("event_blocks") >= least) & (F.col("coin_blocks") >= least))
+    event = _resampled(days.join(known, keys), keys, ["sym", "day"], rounds, seed, "__step").select(*keys, _lower(rounds, level).alias("event_lower"))
+    coin = _resampled(coins.join(known, keys), keys, ["sym"], rounds, seed, "__step", "event_blocks").select(*keys, _lower(rounds, level).alias("coin_lower"))
+    return sizes.join(event, keys, "left").join(coin, keys, "left")
 
 
 def placebo(rows: DataFrame, value: str = "value", parts: int = 3) -> DataFrame:

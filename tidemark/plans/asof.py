@@ -11,13 +11,13 @@ from ..registry import query
 from ..sources.tables import EVENT_BARS_SQL, event_bars, table, ticks
 from .bars import rounded
 
-FEED_SQL = "o AS (SELECT sym, ts, seq, px FROM ev WHERE u % 3 = 0)"
+FEED_SQL = "o AS (SELECT sym, ts, seq, px FROM ev)"
 ORDER = ["ts", "seq"]
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third user's ticks: a sparse second feed (sym, ts, seq, px)."""
-    return ticks(spark, sf_dir).where("user % 3 = 0").select("sym", "ts", "seq", "px")
+    """All ticks as a second feed (sym, ts, seq, px)."""
+    return ticks(spark, sf_dir).select("sym", "ts", "seq", "px")
 
 
 def _asof_sql(at: str, age: int, strict: bool = False) -> str:
@@ -105,13 +105,13 @@ def linkage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{EVENT_BARS_SQL}, k AS (SELECT sym, t, close, lag(close) OVER (PARTITION BY sym ORDER BY t) AS pc FROM b), e AS (SELECT sym, t, 'edge' AS kind FROM k WHERE close > 3 * pc),
-n AS (SELECT DISTINCT sym, ts - ts % 3600 AS t, 'notify' AS kind FROM ev WHERE u % 11 = 0)
+n AS (SELECT DISTINCT sym, ts - ts % 3600 AS t, 'notify' AS kind FROM ev WHERE px > 90)
 SELECT * FROM n UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.sym = e.sym AND n.t = e.t)""")
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notifications, and detector edges where no notification stands in the same slot."""
     bars = event_bars(spark, sf_dir)
     edges = bars.withColumn("pc", F.lag("close").over(X.by_time())).where("close > 3 * pc").select("sym", "t", F.lit("edge").alias("kind"))
-    sent = ticks(spark, sf_dir).where("user % 11 = 0").select("sym", (F.col("ts") - F.col("ts") % 3600).alias("t"), F.lit("notify").alias("kind")).distinct()
+    sent = ticks(spark, sf_dir).where("px > 90").select("sym", (F.col("ts") - F.col("ts") % 3600).alias("t"), F.lit("notify").alias("kind")).distinct()
     return sent.unionByName(edges.join(sent, ["sym", "t"], "left_anti"))
 
 

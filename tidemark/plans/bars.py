@@ -43,18 +43,18 @@ def bars_clock_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.rollup_clock(event_bars(spark, sf_dir), 4 * HOUR, 4, now=1706400000), _OHLCQ)
 
 
-@query(f"""{EVENT_BARS_SQL}, p AS (SELECT sym, ts - ts % 60 AS t, last(px ORDER BY ts, seq) AS v FROM ev WHERE u % 7 = 0 GROUP BY 1, 2),
+@query(f"""{EVENT_BARS_SQL}, p AS (SELECT sym, ts - ts % 60 AS t, last(px ORDER BY ts, seq) AS v FROM ev GROUP BY 1, 2),
 f AS (SELECT sym, first(v ORDER BY t) AS v0 FROM p GROUP BY 1)
 SELECT b.sym, b.t, round(coalesce((SELECT last(v ORDER BY p.t) FROM p WHERE p.sym = b.sym AND p.t <= b.t), f.v0, 0), 6) AS v FROM b LEFT JOIN f USING (sym)""")
 def resample_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = ticks(spark, sf_dir).where("user % 7 = 0").groupBy("sym", (F.col("ts") - F.col("ts") % 60).alias("t")).agg(F.max_by("px", F.struct("ts", "seq")).alias("v"))
+    points = ticks(spark, sf_dir).groupBy("sym", (F.col("ts") - F.col("ts") % 60).alias("t")).agg(F.max_by("px", F.struct("ts", "seq")).alias("v"))
     return rounded(B.forward_fill(event_bars(spark, sf_dir), points), {"v": 6})
 
 
-@query(f"""{EVENT_BARS_SQL}, p AS (SELECT sym, CAST(floor(ts / 3600.0 + 0.5) AS BIGINT) * 3600 AS t, last(px ORDER BY ts, seq) AS v FROM ev WHERE u % 5 = 0 GROUP BY 1, 2)
+@query(f"""{EVENT_BARS_SQL}, p AS (SELECT sym, CAST(floor(ts / 3600.0 + 0.5) AS BIGINT) * 3600 AS t, last(px ORDER BY ts, seq) AS v FROM ev GROUP BY 1, 2)
 SELECT b.sym, b.t, round(last_value(v IGNORE NULLS) OVER (PARTITION BY b.sym ORDER BY b.t ROWS UNBOUNDED PRECEDING), 6) AS v FROM b LEFT JOIN p ON p.sym = b.sym AND p.t = b.t""")
 def metrics_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = ticks(spark, sf_dir).where("user % 5 = 0").withColumnRenamed("px", "v")
+    points = ticks(spark, sf_dir).withColumnRenamed("px", "v")
     return rounded(B.attach_nearest(event_bars(spark, sf_dir), points, HOUR).select("sym", "t", "v"), {"v": 6})
 
 

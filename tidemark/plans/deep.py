@@ -61,13 +61,14 @@ def daily_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.select_daily(rows, 3).select("sym", "slot", "day", "outcome")
 
 
-@query("""WITH p AS (SELECT event_id AS id, event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS entry, CAST(floor(epoch(ts)) AS BIGINT) + 172800 AS exit FROM events WHERE event_id % 20 = 0), c AS (SELECT event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value / 1000 AS rate FROM events WHERE user_id % 9 = 0)
+@query("""WITH p AS (SELECT event_id AS id, event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS entry, CAST(floor(epoch(ts)) AS BIGINT) + 172800 AS exit  FROM events), c AS (SELECT event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value / 1000 AS rate FROM events)
 SELECT id, round(coalesce(sum(rate * (1 - CASE WHEN entry + 43200 < ts THEN 0.5 ELSE 0 END - CASE WHEN entry + 86400 < ts THEN 0.3 ELSE 0 END)), 0), 6) AS cost FROM p LEFT JOIN c ON c.sym = p.sym AND c.ts BETWEEN p.entry AND p.exit GROUP BY id""")
 def weighted_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a position of two days, reduced twice, against every event as a charge."""
     rows = ticks(spark, sf_dir)
     cut = lambda h, part: F.struct((F.col("ts") + h * 3600).alias("ts"), F.lit(part).alias("part"))
-    positions = rows.where("seq % 20 = 0").select(F.col("seq").alias("id"), "sym", F.col("ts").alias("entry"), (F.col("ts") + 172800).alias("exit"), F.array(cut(12, 0.5), cut(24, 0.3)).alias("cuts"))
-    charges = rows.where("user % 9 = 0").select("sym", "ts", (F.col("px") / 1000).alias("rate"))
+    positions = rows.select(F.col("seq").alias("id"), "sym", F.col("ts").alias("entry"), (F.col("ts") + 172800).alias("exit"), F.array(cut(12, 0.5), cut(24, 0.3)).alias("cuts"))
+    charges = rows.select("sym", "ts", (F.col("px") / 1000).alias("rate"))
     return rounded(D.weighted_cost(positions, charges), {"cost": 6})
 
 
@@ -112,11 +113,11 @@ def monthly_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS ts, round(value * (1 + CAST(json_extract_string(props, '$.k') AS DOUBLE)), 4) AS usd, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM events WHERE epoch(ts) >= 1705276801""")
 def liquidations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested liquidation events of a symbol and day, exploded; after a time; size by a contract value from the nested JSON."""
-    rows = ticks(spark, sf_dir).select("sym", "ts", "px", "user", "seq").join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("double").alias("size")), "seq")
-    nested = rows.groupBy("sym", F.floor(F.col("ts") / 86400).alias("day")).agg(F.collect_list(F.struct("ts", "px", "size", (F.col("user") % 2 == 0).alias("long"))).alias("ev"))
-    flat = nested.select("sym", F.explode("ev").alias("e")).where("e.ts > 1705276800")
-    return flat.select("sym", "e.ts", F.round(F.col("e.px") * (1 + F.col("e.size")), 4).alias("usd"), F.when(F.col("e.long"), "long").otherwise("short").alias("side"))
+    """Liquidations after a time; size by a contract value from the nested JSON."""
+    size = F.get_json_object("props", "$.k").cast("double")
+    side = F.when(F.col("user_id") % 2 == 0, "long").otherwise("short")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("sym"), epoch(F.col("ts")).alias("ts"), F.round(F.col("value") * (1 + size), 4).alias("usd"), side.alias("side"))
+    return rows.where("ts > 1705276800")
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS key, count(*) AS n, avg(o_totalprice) / 250000 AS lift, avg(o_totalprice) - 249000 AS net FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)

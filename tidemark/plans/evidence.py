@@ -197,13 +197,13 @@ def coverage_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), E.reuse(status, F.when(customer % 11 != 0, F.lit(0)), customer % 3).alias("reused"))
 
 
-@query("""WITH m AS (SELECT o_custkey AS member, CAST(floor(min(epoch(o_orderdate)) / 86400) AS BIGINT) AS first, least(CAST(floor(max(epoch(o_orderdate)) / 86400) AS BIGINT), CAST(floor(min(epoch(o_orderdate)) / 86400) AS BIGINT) + 30) AS last FROM orders GROUP BY 1),
+@query("""WITH m AS (SELECT o_custkey AS member, CAST(floor(min(epoch(o_orderdate)) / 86400) AS BIGINT) AS first, CAST(floor(max(epoch(o_orderdate)) / 86400) AS BIGINT) AS last FROM orders GROUP BY 1),
 d AS (SELECT member, unnest(range(first, last + 1)) AS day FROM m) SELECT day, count(*) AS members FROM d GROUP BY 1""")
 def active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members active each day, of their first thirty days."""
+    """Members active each day, from their first order to their last."""
     day = F.floor(epoch(F.col("o_orderdate")) / DAY).cast("long")
-    m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("member")).agg(F.min(day).alias("first"), F.max(day).alias("end"))
-    return E.active_days(m.select("member", "first", F.least(F.col("end"), F.col("first") + 30).alias("last"))).groupBy("day").agg(F.count("*").alias("members"))
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("member")).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    return E.active_days(m)
 
 
 @query("""SELECT n_regionkey AS base, string_agg(n_name, ',' ORDER BY n_name) AS symbols FROM nation GROUP BY 1""")

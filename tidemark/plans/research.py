@@ -57,6 +57,12 @@ def bootstrap_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.block_bootstrap(rows, ["flag"], ["month"], rounds=200), {"mean": 6, "lower": 6})
 
 
+@query()
+def bootstrap_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds by symbol and day and by symbol on one random stream, per flag; a test holds it against a plain loop."""
+    return rounded(R.paired_bounds(gate_rows(spark, sf_dir), ["flag"]), {"event_lower": 6, "coin_lower": 6})
+
+
 @query(f"""{EVENT_BARS_SQL}, r AS (SELECT sym, t, close, row_number() OVER (PARTITION BY sym ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY sym) AS n FROM b)
 SELECT a.sym, a.t AS since, round(a.close, 6) AS value, round(p.close, 6) AS placebo FROM r a JOIN r p ON a.sym = p.sym AND a.i = (p.i + CAST(floor(p.n / 3) AS BIGINT)) % p.n""")
 def placebo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:

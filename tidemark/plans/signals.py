@@ -110,10 +110,10 @@ def regime_and_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id AS id, CAST(floor(epoch_ms(ts) / 900000) AS BIGINT) AS slot, CAST(ceil(epoch_ms(ts) / 900000.0) * 900000 AS BIGINT) AS next_open, CAST(floor((epoch_ms(ts) / 1000 + 28800) / 86400) AS BIGINT) AS day8,
-upper(trim(event_type)) AS sym, CASE WHEN abs(value) >= 1e3 THEN printf('%.2fK', value / 1e3) ELSE printf('%.2f', value) END AS money FROM events WHERE abs(value) < 900000""")
+upper(trim(event_type)) AS sym, CASE WHEN abs(value) >= 1e3 THEN printf('%.2fK', value / 1e3) ELSE printf('%.2f', value) END AS money FROM events""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
-    rows = table(spark, sf_dir, "events").where("abs(value) < 900000")
+    rows = table(spark, sf_dir, "events")
     return rows.select(
         F.col("event_id").alias("id"), S.slot(ms).alias("slot"), S.next_slot_open(ms).alias("next_open"), S.day_key(ms / 1000, 8).alias("day8"),
         F.upper(F.trim("event_type")).alias("sym"), S.compact(F.col("value")).alias("money"),

@@ -17,7 +17,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EVENT_BARS_SQL} SELECT sym, t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(q, 4) AS q, n FROM b")
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.drain(P.hourly_bars(_stream(spark, sf_dir)), "complete"), {"open": 6, "high": 6, "low": 6, "close": 6, "q": 4})
+    return rounded(P.drain(P.hourly_bars(_stream(spark, sf_dir)), "update", ["sym", "t"]), {"open": 6, "high": 6, "low": 6, "close": 6, "q": 4})
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE value > 80), s AS (SELECT sym, min(ts) AS ts FROM e GROUP BY 1),

@@ -6,6 +6,7 @@ stopped. Late rows are told by their time: a watch ignores what is not after its
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.tables import epoch
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and everything runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="tidemark-")
 
 
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -30,24 +36,31 @@ def tick_stream(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("event_type").alias("sym"), epoch(F.col("ts")).alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("px"), F.col("user_id").alias("user"))
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there now and returns its table. In complete mode each batch replaces the table; else it adds its own part,
-    which a retried batch writes over."""
+def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and returns its table. Each batch adds its own part, which a retried batch writes over; in
+    update mode the last part that has a key counts for it."""
     spark, where = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out" if mode == "complete" else f"{where}/out/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch={n}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/out" if mode == "complete" else f"{where}/out/*")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{where}/out/*")
+    parts = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).option("basePath", f"{where}/out").parquet(f"{where}/out/*")
+    rest = [c for c in stream.columns if c not in key]
+    return parts.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*key, "last.*").select(*stream.columns)
 
 
-def hourly_bars(stream: DataFrame, width: int = 3600) -> DataFrame:
+def hourly_bars(stream: DataFrame, width: int = 3600, late: str = "2 days") -> DataFrame:
+    """Bars as they grow, for update mode: a bar's state goes once the watermark has passed it, and ticks later than `late` are dropped."""
     at = F.struct("ts", "seq")
-    return stream.groupBy("sym", (F.col("ts") - F.col("ts") % width).alias("t")).agg(
+    timed = stream.withColumn("__at", F.timestamp_seconds(F.col("ts"))).withWatermark("__at", late)
+    bars = timed.groupBy("sym", F.window("__at", f"{width} seconds").alias("w")).agg(
         F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"), F.sum("px").alias("q"), F.count("*").alias("n")
     )
+    return bars.select("sym", F.unix_seconds(F.col("w.start")).alias("t"), "open", "high", "low", "close", "q", "n")
 
 
 def cooldown(stream: DataFrame, wait: int) -> DataFrame:
