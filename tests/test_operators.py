@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import asof, bars, books, detectors, evidence, folds, outcomes, research, windows
 from tidemark.plans import books as book_plans
+from tidemark.plans.windows import with_interest
 from tidemark.sources import logs
 from tidemark.sources.tables import event_bars, ticks
 from tidemark.streaming.processors import Watch
@@ -99,6 +100,7 @@ def test_asof_never_reads_the_future(spark):
 def test_features_are_causal_and_order_free(spark, sf):
     b = event_bars(spark, sf)
     cut = 1705276800
+    b = with_interest(b)
     whole = windows.strength(windows.atr(b)).where(F.col("t") < cut).select("sym", "t", F.round("atr", 9), F.round("strength", 9))
     part = windows.strength(windows.atr(b.where(F.col("t") < cut).orderBy(F.rand(3)))).select(*whole.columns[:2], F.round("atr", 9), F.round("strength", 9))
     assert sorted(map(str, whole.collect())) == sorted(map(str, part.collect()))
@@ -125,7 +127,7 @@ def test_bootstrap_against_a_loop(spark):
     for _ in range(100):
         pick = [int(rng.next() * 8) for _ in range(8)]
         means.append(sum(sums[i] for i in pick) / 16)
-    assert a == b and a["lower"] == pytest.approx(sorted(means)[5]) and a["blocks"] == 8
+    assert a["lower"] == b["lower"] == pytest.approx(sorted(means)[5]) and a["blocks"] == b["blocks"] == 8
     assert research.block_bootstrap(df.where("day < 3"), ["key"], ["day"]).first()["lower"] is None
 
 
@@ -169,6 +171,39 @@ def test_weighted_cost_and_active_days_against_loops(spark):
     assert days == {d: n for d in range(80) if (n := sum(a <= d <= b for _, a, b in spans))}
 
 
+def test_bottoms_against_a_loop(spark):
+    rng = np.random.default_rng(2)
+    low = np.round(100 + np.cumsum(rng.normal(0, 2, 160)), 1)
+    high, close = low + np.round(rng.uniform(0, 3, 160), 1), low + np.round(rng.uniform(0, 1, 160), 1)
+    close[60:] = high[60:] + 4 * (rng.random(100) < 0.3)
+    rows = [("A", 3600 * i, *map(float, (low[i], high[i], low[i], close[i], 1, 0.5))) for i in range(160)]
+    got = [(r["w_neck"], r["w_spring"]) for r in windows.bottoms(spark.createDataFrame(rows, BAR), 0.02).orderBy("t").collect()]
+    want = []
+    for i in range(160):
+        least = lambda j: 1 <= j < i and low[j] <= low[j - 1] and low[j] <= low[j + 1]  # noqa: B023, E731
+        neck = spring = False
+        if i >= 29:
+            for j in range(i - 6, i):
+                for k in range(j - 12, j - 1):
+                    neck |= bool(least(j) and least(k) and abs(low[j] / low[k] - 1) <= 0.02 and close[i] > high[k + 1 : j].max())
+            spring = any(least(k) and low[i - 1] < low[k] and close[i - 1] > low[k] for k in range(i - 13, i - 2))
+        want.append((neck, bool(spring)))
+    assert got == want and {x for x, _ in want} == {x for _, x in want} == {True, False}
+
+
+def test_plan_and_scores(spark):
+    rows = [("P", 10.0, 9.0, 12.0), ("A", 10.0, 9.0, 12.0), ("D", 10.0, 9.0, 12.0), ("P", 10.0, None, 12.0), ("A", 10.0, 9.0, None), ("D", 10.0, 9.0, -1.0)]
+    df = spark.createDataFrame(rows, "k string, close double, ema double, base double")
+    out = df.select(*S.plan(F.col("k"), F.col("close"), F.col("ema"), F.col("base"))).collect()
+    assert [(r["kind"], round(r["entry"], 6)) for r in out] == [("pullback", 9.0), ("breakout", 12.012), ("reclaim", 12.0), ("pullback", 10.0), ("breakout", 10.0), ("reclaim", 10.0)]
+    assert [round(out[0][c], 6) for c in ("tp1", "tp2", "tp3", "sl", "runner_pct")] == [9.36, 9.72, 10.35, 8.73, 5]
+    one = lambda *x: [F.lit(v).cast("double") for v in x]
+    rank = lambda *x: df.select(S.rank_score(*one(*x), (0.06, 0.2), 0.7, (4, 80), 0.06)).first()[0]
+    assert rank(-3, 0.2, 0, 4, 0.06) == 100.0 and rank(1, 0.13, 0.35, 42, 0.03) == 50.0 and rank(9, 0, 0.9, 99, -1) == 0.0
+    score = lambda *x: df.select(S.operational_score(*one(*x))).first()[0]
+    assert score(100, 10, 3, 0.75) == 100.0 and score(40, None, None, 0.5) == 20.0 and score(0, 6.5, 1.5, 0.65) == 25.0
+
+
 def test_isolation_and_promotion(spark):
     rows = spark.createDataFrame([(1, 0, True), (1, 1, True), (2, 0, False), (3, 0, None)], "id long, seq long, ok boolean")
     out = {(r["id"], r["seq"]): r["reason"] for r in research.isolate(rows, [("bad", ~F.col("ok"))]).collect()}

@@ -74,3 +74,27 @@ def fnv1a(text: str) -> int:
     for byte in text.encode():
         h = (h ^ byte) * 0x01000193 & 0xFFFFFFFF
     return h
+
+
+def plan(kind: Column, close: Column, pullback: Column, base_high: Column) -> list[Column]:
+    """kind, entry, tp1, tp2, tp3, sl, runner_pct for a regime P, A or D: a pullback to the average, a breakout just above the base, or its
+    reclaim; the close where that is no price."""
+    raw = F.when(kind == "P", pullback).when(kind == "A", base_high * 1.001).otherwise(base_high)
+    entry = F.when(raw > 0, raw).otherwise(close)
+    name = F.when(kind == "P", "pullback").when(kind == "A", "breakout").otherwise("reclaim")
+    targets = {"tp1": 1.04, "tp2": 1.08, "tp3": 1.15, "sl": 0.97}
+    return [name.alias("kind"), entry.alias("entry"), *[(entry * x).alias(n) for n, x in targets.items()], F.lit(5).alias("runner_pct")]
+
+
+def rank_score(gap_atr: Column, drawdown: Column, position: Column, trough_age: Column, rise4: Column, fall: tuple[float, float], top_pos: float, age: tuple[int, int], most_rise: float) -> Column:
+    """Rank of a reclaim candidate, of 100: nearness to the level (its distance in true ranges, over two), depth, room, recency, momentum."""
+    part = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    near, deep = part(1 - F.greatest(F.lit(0.0), gap_atr) / 2), part((drawdown - fall[0]) / (fall[1] - fall[0]))
+    room, recent, rise = part(1 - position / top_pos), part((age[1] - trough_age) / (age[1] - age[0])), part(rise4 / most_rise)
+    return F.round(40 * near + 20 * deep + 15 * room + 15 * recent + 10 * rise, 3)
+
+
+def operational_score(rank: Column, oi4: Column, oi1: Column, buy_share: Column) -> Column:
+    """Half the rank, and quantity changes of four hours and one and the buying share; an unknown quantity adds nothing."""
+    part = lambda x: F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), F.lit(0.0))
+    return F.round(0.5 * rank + 25 * part((oi4 - 3) / 7) + 10 * part(oi1 / 3) + 15 * part((buy_share - 0.55) / 0.2), 3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rank_score
 from . import folds
 from . import windows as X
 from .asof import range_sum
@@ -12,7 +13,7 @@ from .outcomes import path
 
 
 def geometry(bars: DataFrame, frame: int = 96, fall: tuple[float, float] = (0.06, 0.2), age: tuple[int, int] = (4, 80), top_pos: float = 0.7, rise4: float = 0.06, reach: float = 3.0) -> DataFrame:
-    """Adds drawdown, trough_age, level and `reject`: the first reason, in order, against a reclaim, or null for a candidate.
+    """Adds drawdown, trough_age, level, the rank score of candidates and `reject`: the first reason, in order, against a reclaim, or null for a candidate.
 
     The fall is the largest from a peak to a later trough among the last `frame` closes; the level is the higher of EMA50 and the
     highest high since the trough; a close farther than `reach` true ranges above EMA20 is extended.
@@ -40,7 +41,9 @@ def geometry(bars: DataFrame, frame: int = 96, fall: tuple[float, float] = (0.06
         ("return-4h", (F.col("r4") > 0) & (F.col("r4") <= rise4)), ("cross", (c > e) & (F.col("prev_close") <= F.col("prev_ema"))), ("slope", e > F.col("prev_ema")), ("extended", c - e <= reach * F.col("atr")),
     ]
     reject = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
-    return rows.withColumn("reject", reject).drop("cl", "hi", "dd", "i", "pos", "r4", "prev_close", "prev_ema", "ema20", "ema50", "atr")
+    gap = F.try_divide(F.col("level") - c, F.col("atr"))
+    score = rank_score(gap, F.col("drawdown"), F.col("pos"), F.col("trough_age"), F.col("r4"), fall, top_pos, age, rise4)
+    return rows.withColumn("reject", reject).withColumn("score", F.when(F.col("reject").isNull(), score)).drop("cl", "hi", "dd", "i", "pos", "r4", "prev_close", "prev_ema", "ema20", "ema50", "atr")
 
 
 def quantity_decision(age: Column, change1h: Column, change4h: Column, most_age: int = 600) -> Column:

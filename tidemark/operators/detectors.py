@@ -30,12 +30,24 @@ class Params:
     pump_ret4: float = 5.0
     ignite3: float = 6.0
     ignite12: float = 60.0
-    wick: float = 0.6
     reclaim_pos: float = 0.7
+    spring_z: float = 1.25
+    board_pos: float = 0.7
+    ls_drop: float = 5.0
+    rs: float = 2.0
+    pop: float = 5.0
+    deep: float = 8.0
+    mild: float = 3.2
+    flat: float = 0.01
+    flat_oi: float = 1.5
+    spot_z: float = 2.0
+    spot_basis: float = 0.05
+    spot_ratio: float = 1.5
+    upper: float = 0.6
 
 
 PRODUCTION = Params()
-SCALED = replace(PRODUCTION, base_range=100_000.0, funding_abs=0.05, rise4=500.0, top_ret24=15.0, pump=(2.0, 90.0), pump_ret4=500.0, ignite12=6000.0, vol_z=1.0, reclaim_pos=0.9, flush_drop=20.0)
+SCALED = replace(PRODUCTION, base_range=100_000.0, funding_abs=0.05, rise4=500.0, top_ret24=15.0, pump=(2.0, 90.0), pump_ret4=500.0, ignite12=6000.0, vol_z=1.0, reclaim_pos=0.9, flush_drop=20.0, board_pos=0.95, mild=500.0, flat=0.5, flat_oi=20.0, spot_z=1.0, spot_basis=60.0, spot_ratio=1.1, spring_z=0.5)
 
 
 def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
@@ -45,9 +57,10 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
     flush = f"oi_drop >= {p.flush_drop}"
     rebuild = f"{envelope} AND oi4h >= {p.oi4}"
     top = f"ret24h * 100 >= {p.top_ret24} AND pos >= {p.top_pos} AND vol_z >= {p.vol_z}"
-    bottom = f"ret24h * 100 >= 10 AND low < lo8"
+    bottom = "ret24h * 100 >= 10"
     reclaim = f"close > ema20 AND prev_close <= prev_ema20 AND ret4h * 100 <= {p.rise4} AND pos <= {p.reclaim_pos} AND i >= 100"
-    sweep = f"low < lo8 AND (least(open, close) - low) >= {p.wick} * (high - low) AND high > low AND close > lo8"
+    sweep = f"i >= 52 AND swept AND close > prev_high AND vol_z2 >= {p.vol_z}"
+    calm = f"i >= 52 AND ret4h * 100 <= {p.rise4} AND pos24 <= {p.board_pos} AND vol_z >= {p.vol_z}"
     return {
         "breakout-envelope": ("long", envelope),
         "flush-context": ("long", context),
@@ -61,11 +74,12 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
         "virgin-2": ("long", f"{envelope} AND oi24h >= {p.oi24} AND NOT ({flush})"),
         "virgin-3": ("long", f"{envelope} AND oi24h >= {p.oi24} AND NOT ({flush}) AND funding <= {p.crowded}"),
         "top-1-reject": ("short", f"{top} AND high >= hi24 AND close < prev_low"),
-        "top-2-wick": ("short", f"{top} AND new_high AND upper_wick >= {p.wick} AND oi4h <= -1.5"),
+        "top-2-wick": ("short", f"{top} AND new_high AND upper_wick >= {p.upper} AND oi4h <= -1.5"),
         "top-3-climax": ("short", f"{top} AND range_last >= 1.5 * range_avg AND close < open"),
         "top-4-stall": ("short", f"{top} AND funding > f8h AND change1h < 0.5"),
-        "bottom-spring": ("long", f"{bottom} AND close > lo8"),
-        "bottom-oi": ("long", f"{bottom} AND close > lo8 AND oi4h >= 0"),
+        "w-bottom-1": ("long", f"{bottom} AND w_neck AND vol_z >= {p.vol_z}"),
+        "w-bottom-2": ("long", f"{bottom} AND w_spring AND vol_z >= {p.spring_z} AND close > open"),
+        "w-bottom-3": ("long", f"{bottom} AND w_neck AND vol_z >= {p.vol_z} AND oi4h >= 0"),
         "ema-reclaim": ("long", reclaim),
         "boarding-1": ("long", f"{reclaim} AND was_below AND vol_z >= {p.vol_z}"),
         "boarding-2": ("long", f"{reclaim} AND dense100 AND below48 AND vol_z >= {p.vol_z}"),
@@ -76,7 +90,18 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
         "spot-led-pump": ("long", f"ret4h >= 0.02 AND abs(oi4h) < 20 AND vol_z > 1 AND taker4 > 0.55"),
         "stealth-accumulation": ("long", f"abs(ret4h) < 0.5 AND abs(oi4h) < 20 AND taker4 > 0.6"),
         "flush-wick-1": ("long", sweep),
-        "flush-wick-2": ("long", f"{sweep} AND vol_z >= {p.vol_z}"),
+        "flush-wick-2": ("long", f"{sweep} AND ema20 > ema50"),
+        "flush-wick-3": ("long", f"{sweep} AND coiled"),
+        "early-setup": ("long", context),
+        "early-accum": ("long", f"{context} AND ls_drop >= {p.ls_drop} AND rs24 >= {p.rs}"),
+        "ignition-1h": ("long", f"i >= 25 AND change1h >= {p.pop} AND vol_z >= {p.vol_z}"),
+        "boarding-deep": ("long", f"{calm} AND ret24h * 100 <= -{p.deep} AND pos24 <= 0.45 AND change1h >= 2"),
+        "boarding-long": ("long", f"{calm} AND i >= 98 AND close > ema20 AND prev_close <= prev_ema20 AND below48"),
+        "boarding-scan": ("long", f"{calm} AND close > ema20 AND prev_close <= prev_ema20 AND below24"),
+        "boarding-mild": ("long", f"{calm} AND change1h > 0.2 AND change1h <= {p.mild} AND oi4h > 0.8 AND oi4h < 14 AND taker4 > 0.55 AND funding <= {p.crowded}"),
+        "spot-pump": ("long", f"i >= 4 AND ret4h >= 0.02 AND abs(oi4h) < {p.flat_oi} AND spot_z >= {p.spot_z} AND spot_basis <= {p.spot_basis}"),
+        "spot-accum": ("long", f"i >= 48 AND abs(ret4h) < {p.flat} AND spot_ratio >= {p.spot_ratio} AND spot_buy >= 0.55 AND abs(oi4h) < 2 * {p.flat_oi}"),
+        "organic-spot": ("long", f"ret4h >= 0.02 AND abs(oi4h) < {p.flat_oi} AND taker4 > 0.55 AND funding <= {p.crowded}"),
         "leverage-froth": ("short", "oi4h >= 20 AND funding > 0.02 AND taker4 < 0.5"),
     }
 
@@ -84,6 +109,7 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
 #: Insights in order of evaluation: (id, tone, priority, predicate or @detector); the order breaks ties of priority. Thresholds are fixed values.
 INSIGHTS = [
     ("flush-breakout", "bull", 10, "@flush-breakout"),
+    ("early-accum", "info", 8, "@early-accum"),
     ("funding-cooling", "bull", 7, "f8h >= 0.008 AND funding >= 0 AND funding <= 0.003 AND funding < 0.6 * f8h AND ret4h > -0.01 AND change1h > -1"),
     ("funding-flip-negative", "bull", 8, "f8h > 0 AND funding < -0.001 AND ret4h > -0.005"),
     ("funding-overheat", "warn", 9, "funding >= 0.015 AND funding > f8h AND f8h > f24h AND oi4h > 3"),
@@ -123,7 +149,37 @@ INSIGHTS = [
 ]
 
 #: Insights that are only shown where they are switched on.
-SWITCHED = frozenset({"flush-breakout", "spot-led-breakout", "spot-led-pump", "stealth-spot-accum", "squeeze-breakout", "rebuild-breakout", "virgin-breakout", "boarding-reclaim", "squeeze-setup", "volatility-squeeze"})
+SWITCHED = frozenset({"flush-breakout", "early-accum", "spot-led-breakout", "spot-led-pump", "stealth-spot-accum", "squeeze-breakout", "rebuild-breakout", "virgin-breakout", "boarding-reclaim", "squeeze-setup", "volatility-squeeze"})
+
+
+#: Controls: what a detector's events are measured against, as predicates on the same bars.
+def controls(p: Params = PRODUCTION) -> dict[str, str]:
+    known = {name: text for name, (_, text) in predicates(p).items()}
+    return {
+        "all": "close IS NOT NULL",
+        "breakout": known["breakout-envelope"],
+        "early-setup-envelope": f"oi_drop >= {p.flush_drop}",
+        "ema-reclaim": known["ema-reclaim"],
+        "top-envelope": f"ret24h * 100 >= {p.top_ret24} AND pos >= {p.top_pos} AND vol_z >= {p.vol_z}",
+        "w-envelope": f"ret24h * 100 >= 10 AND vol_z >= {p.spring_z}",
+        "early-envelope": "close <= hi24 AND pos >= 0.5 AND ret12 > 0 AND ret4h > 0",
+        "spot-momentum": "i >= 4 AND ret4h >= 0.02",
+        "spot-flat": f"i >= 48 AND abs(ret4h) < {p.flat}",
+    }
+
+
+#: The audit's detectors that read these bars: (key, predicate, control); sides are the predicates'. Strength and rank need the strength series.
+AUDIT = [
+    ("flush-breakout", "flush-breakout", "breakout"), ("early-setup", "early-setup", "early-setup-envelope"), ("squeeze-d3", "squeeze-breakout", "breakout"),
+    ("boarding-b2", "boarding-scan", "ema-reclaim"), ("rebuild-r1", "rebuild-1", "breakout"), ("rebuild-r2", "rebuild-2", "breakout"), ("rebuild-r3", "rebuild-3", "breakout"),
+    ("virgin-v1", "virgin-1", "breakout"), ("virgin-v2", "virgin-2", "breakout"), ("virgin-v3", "virgin-3", "breakout"),
+    ("top-t1", "top-1-reject", "top-envelope"), ("top-t2", "top-2-wick", "top-envelope"), ("top-t3", "top-3-climax", "top-envelope"), ("top-t4", "top-4-stall", "top-envelope"),
+    ("wbottom-w1", "w-bottom-1", "w-envelope"), ("wbottom-w2", "w-bottom-2", "w-envelope"), ("wbottom-w3", "w-bottom-3", "w-envelope"), ("early-pump", "early-pump", "early-envelope"),
+    ("spot-pump", "spot-pump", "spot-momentum"), ("spot-accum", "spot-accum", "spot-flat"), ("organic-spot", "organic-spot", "spot-momentum"), ("leverage-froth", "leverage-froth", "spot-momentum"),
+    ("true-spot-led", "spot-led-pump", "spot-momentum"), ("umm-ema-control", "ema-reclaim", "all"), ("umm-b2", "boarding-2", "ema-reclaim"), ("umm-b2-oi", "boarding-2-oi", "ema-reclaim"),
+]
+#: Audited on rows with strength and its rank: (key, predicate, control).
+AUDIT_STRENGTH = [("strength70", "strength >= 70 AND prev_strength < 70", "all"), ("top10", "place <= 10 AND coalesce(prev_place > 10, true)", "all")]
 
 
 def detect(features: DataFrame, params: Params = PRODUCTION, names: list[str] | None = None) -> DataFrame:

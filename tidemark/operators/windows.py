@@ -113,13 +113,40 @@ def squash(x: Column) -> Column:
 
 
 def strength(bars: DataFrame, per_hour: int = 1) -> DataFrame:
-    """Composite strength in [3, 98] from momentum, volume z, range position and buying share; the warm-up takes the first value."""
-    four, day = 4 * per_hour, 24 * per_hour
-    rows = bars.withColumns({"i": index(), "r4": change(four), "r24": change(day), "vz": zscore(day, 0), "pos": range_position(day), "buy": up_share(four)})
-    score = 50 + 22 * squash(F.col("r4") * 12) + 14 * squash(F.col("r24") * 5) + 10 * squash(F.col("vz") / 2) + 16 * (F.col("pos") - 0.5) + 24 * (F.col("buy") - 0.5)
-    rows = rows.withColumn("s", F.when(F.col("i") >= four, F.least(F.lit(98.0), F.greatest(F.lit(3.0), score))))
+    """Composite strength in [3, 98] of bars with oi and funding: 50, and by fixed weights open interest and price over four hours, buying
+    share, room in the range and volume for it, high funding against it. The first hour takes the first value; 50 if there is none."""
+    hour, four, day = per_hour, 4 * per_hour, 8 * per_hour
+    n, sd = F.count("q").over(before(day)), F.stddev_pop("q").over(before(day))
+    rows = bars.withColumns({
+        "i": index(), "r4": change(four), "pos": range_position(day), "buy": up_share(four + 1),
+        "o4": F.coalesce(F.when(F.coalesce(F.lag("oi", four).over(by_time()), F.first("oi").over(by_time().rowsBetween(Window.unboundedPreceding, 0))) > 0, change(four, "oi")), F.lit(0.0)),
+        "vz": F.when((n > 0) & (sd > 0), (F.col("q") - F.avg("q").over(before(day))) / sd).otherwise(0.0),
+    })
+    within = lambda x, low, high: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
+    score = (
+        50 + 24 * squash(F.col("o4") / 0.05) + 16 * squash(F.col("r4") / 0.06) + 14 * within((F.col("buy") - 0.5) * 2, -1, 1) + 20 * (0.5 - F.col("pos"))
+        + 8 * squash(F.col("vz") / 2) - 14 * within((F.coalesce("funding", F.lit(0.0)) - 0.03) / 0.05, 0, 1)
+    )
+    rows = rows.withColumn("s", F.when(F.col("i") >= hour, within(score, 3, 98)))
     first = F.first("s", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("strength", F.coalesce("s", first, F.lit(50.0))).drop("i", "r4", "r24", "vz", "pos", "buy", "s")
+    return rows.withColumn("strength", F.coalesce("s", first, F.lit(50.0))).drop("i", "r4", "o4", "vz", "pos", "buy", "s")
+
+
+def bottoms(bars: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Adds w_neck: of the last 20 bars, two local minima 2 to 12 apart and within tolerance, the second under seven bars old, and a close
+    above the highest high between; w_spring: the bar before fell below a local minimum 2 to 12 before it and closed above it."""
+    rows = bars.withColumns({"lo": F.collect_list("low").over(upto(20)), "hi": F.collect_list("high").over(upto(20)), "prior": F.lag("close").over(by_time())})
+    at = lambda i: F.get("lo", i)
+    minimum = lambda i: (at(i) <= at(i - 1)) & (at(i) <= at(i + 1))
+    close = lambda j, i: F.abs(F.try_divide(at(j), at(i)) - 1) <= tolerance
+    neck = lambda j, i: F.array_max(F.slice("hi", i + 2, j - i - 1))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    pair = lambda j, i: sure(minimum(j) & minimum(i) & close(j, i) & (neck(j, i) > 0) & (F.col("close") > neck(j, i)))
+    ints = lambda a, b: F.array(*[F.lit(x) for x in range(a, b)])
+    double = F.exists(ints(13, 19), lambda j: F.exists(ints(2, 13), lambda apart: pair(j, j - apart)))
+    spring = F.exists(ints(6, 17), lambda i: sure(minimum(i) & (at(F.lit(18)) < at(i)) & (F.col("prior") > at(i))))
+    whole = (F.size("lo") == 20) & (index() >= 29)
+    return rows.withColumns({"w_neck": whole & double, "w_spring": whole & spring}).drop("lo", "hi", "prior")
 
 
 def ranked(rows: DataFrame, n: int, by: list[Column], within: str = "t") -> DataFrame:

@@ -21,12 +21,13 @@ d1 AS (SELECT *, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - lo
 dw AS (SELECT *, CASE WHEN count(tr0) OVER w14 = 14 THEN avg(tr0) OVER w14 END AS atr, list(close) OVER w96 AS cl, list(high) OVER w96 AS hi, CASE WHEN max(high) OVER w97 > min(low) OVER w97 THEN (close - min(low) OVER w97) / (max(high) OVER w97 - min(low) OVER w97) ELSE 0.5 END AS pos
  FROM d1 WINDOW w14 AS (PARTITION BY sym ORDER BY t ROWS 13 PRECEDING), w96 AS (PARTITION BY sym ORDER BY t ROWS 95 PRECEDING), w97 AS (PARTITION BY sym ORDER BY t ROWS 96 PRECEDING)), {_DD},
 g AS (SELECT sym, t, drawdown, len(cl) - 1 - tr AS trough_age, greatest(ema50, list_max(hi[tr + 2:])) AS level, CASE WHEN NOT coalesce(i >= 95, false) THEN 'history' WHEN NOT coalesce(drawdown BETWEEN 0.06 AND 2, false) THEN 'drawdown' WHEN NOT coalesce(len(cl) - 1 - tr BETWEEN 2 AND 80, false) THEN 'trough-age'
- WHEN NOT coalesce(pos <= 0.9, false) THEN 'position' WHEN NOT coalesce(r4 > 0 AND r4 <= 50, false) THEN 'return-4h' WHEN NOT coalesce(close > ema20 AND pc <= pe, false) THEN 'cross' WHEN NOT coalesce(ema20 > pe, false) THEN 'slope' WHEN NOT coalesce(close - ema20 <= 3 * atr, false) THEN 'extended' END AS reject FROM dm)
-SELECT sym, t, round(drawdown, 6) AS drawdown, CAST(trough_age AS INTEGER) AS trough_age, round(level, 6) AS level, reject FROM g""")
+ WHEN NOT coalesce(pos <= 0.9, false) THEN 'position' WHEN NOT coalesce(r4 > 0 AND r4 <= 50, false) THEN 'return-4h' WHEN NOT coalesce(close > ema20 AND pc <= pe, false) THEN 'cross' WHEN NOT coalesce(ema20 > pe, false) THEN 'slope' WHEN NOT coalesce(close - ema20 <= 3 * atr, false) THEN 'extended' END AS reject, close, atr, pos, r4 FROM dm)
+SELECT sym, t, round(drawdown, 6) AS drawdown, CAST(trough_age AS INTEGER) AS trough_age, round(level, 6) AS level, reject, CASE WHEN reject IS NULL THEN round(40 * least(1, greatest(0, 1 - greatest(0, (level - close) / nullif(atr, 0)) / 2)) + 20 * least(1, greatest(0, (drawdown - 0.06) / (2 - 0.06)))
+ + 15 * least(1, greatest(0, 1 - pos / 0.9)) + 15 * least(1, greatest(0, (80 - trough_age) / 78.0)) + 10 * least(1, greatest(0, r4 / 50)), 3) END AS score FROM g""")
 def deep_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled to the test series; production thresholds are the operator's defaults."""
     rows = D.geometry(event_bars(spark, sf_dir), fall=(0.06, 2), age=(2, 80), top_pos=0.9, rise4=50)
-    return rounded(rows.select("sym", "t", "drawdown", "trough_age", "level", "reject"), {"drawdown": 6, "level": 6})
+    return rounded(rows.select("sym", "t", "drawdown", "trough_age", "level", "reject", "score"), {"drawdown": 6, "level": 6})
 
 
 @query("""SELECT event_id AS id, CASE WHEN user_id % 11 = 0 THEN 'missing' WHEN event_id % 1500 - 300 < 0 THEN 'future' WHEN event_id % 1500 - 300 > 600 THEN 'stale' WHEN value - 50 > 0 AND value / 10 >= 3 THEN 'pass' ELSE 'rejected' END AS decision FROM events""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,13 +12,15 @@ from ..operators import windows as W
 from ..registry import query
 from ..sources.tables import EVENT_BARS_SQL, TRADE_BARS_SQL, event_bars, table, trade_bars
 from .bars import rounded
-from .windows import ema_sql
+from .windows import _STRENGTH, ema_sql, with_interest
 
-FEATURES_SQL = f"{EVENT_BARS_SQL}, {X.sql(ema_sql)}"
+#: Double bottoms of the test series are this far apart.
+TOLERANCE = 0.3
+FEATURES_SQL = f"{EVENT_BARS_SQL}, {X.sql(ema_sql, TOLERANCE)}"
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.feature_rows(event_bars(spark, sf_dir))
+    return X.relative(X.feature_rows(event_bars(spark, sf_dir), tolerance=TOLERANCE), "click")
 
 
 @query(f"""{TRADE_BARS_SQL}, z AS (SELECT sym, t, close, row_number() OVER o - 1 AS i, max(high) OVER p AS hi, CASE WHEN count(q) OVER p >= 8 AND stddev_pop(q) OVER p > 0 THEN (q - avg(q) OVER p) / stddev_pop(q) OVER p ELSE 0 END AS z
@@ -118,3 +120,61 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), S.slot(ms).alias("slot"), S.next_slot_open(ms).alias("next_open"), S.day_key(ms / 1000, 8).alias("day8"),
         F.upper(F.trim("event_type")).alias("sym"), S.compact(F.col("value")).alias("money"),
     )
+
+
+_FLAGS = {"funds_first": "pos < 0.5 AND oi4h > 1.2", "mild_rise": "change1h > 0.2 AND change1h < 3.2", "oi_healthy": "oi4h > 0.8 AND oi4h < 14", "buy_healthy": "buy_share > 0.55"}
+
+
+@query(f"{FEATURES_SQL} SELECT sym, t, " + ", ".join(f"coalesce({text}, false) AS {name}" for name, text in _FLAGS.items()) + " FROM feat")
+def signal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four flags shown beside a symbol; what is unknown is not healthy."""
+    return features(spark, sf_dir).select("sym", "t", *[F.coalesce(F.expr(text), F.lit(False)).alias(name) for name, text in _FLAGS.items()])
+
+
+@query(f"{FEATURES_SQL} SELECT sym, t, round(oi_drop, 4) AS oi_drop, round(ls_drop, 4) AS ls_drop, round(rs24, 4) AS rs24, coalesce(ls_drop >= 5 AND rs24 >= 2, false) AS confirmed FROM feat WHERE {D.predicates(D.SCALED)['early-setup'][1]}")
+def early_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early setups with what confirms them: long positions leave, and the symbol beats the benchmark."""
+    rows = features(spark, sf_dir).where(D.predicates(D.SCALED)["early-setup"][1])
+    confirmed = F.coalesce((F.col("ls_drop") >= D.SCALED.ls_drop) & (F.col("rs24") >= D.SCALED.rs), F.lit(False))
+    return rounded(rows.select("sym", "t", "oi_drop", "ls_drop", "rs24", confirmed.alias("confirmed")), {"oi_drop": 4, "ls_drop": 4, "rs24": 4})
+
+
+def _audit(p: D.Params) -> list[tuple[str, str, str, str, str]]:
+    known, base = D.predicates(p), D.controls(p)
+    rows = [(key, known[name][0], control, known[name][1], base[control]) for key, name, control in D.AUDIT]
+    return rows + [(key, "long", control, text, base[control]) for key, text, control in D.AUDIT_STRENGTH]
+
+
+_RANKED_SQL = f"{_STRENGTH}, sr AS (SELECT sym, t, strength, row_number() OVER (PARTITION BY t ORDER BY round(strength, 6) DESC, sym) AS place FROM st), so AS (SELECT *, lag(strength) OVER (PARTITION BY sym ORDER BY t) AS prev_strength, lag(place) OVER (PARTITION BY sym ORDER BY t) AS prev_place FROM sr)"
+
+
+@query(f"{FEATURES_SQL}, {_RANKED_SQL}, a AS (SELECT feat.*, so.strength, prev_strength, place, prev_place FROM feat JOIN so USING (sym, t)), "
+       + "h AS (" + " UNION ALL ".join(f"SELECT '{key}' AS key, '{side}' AS side, '{control}' AS control, count(CASE WHEN {text} THEN 1 END) AS events, count(CASE WHEN {base} THEN 1 END) AS controls FROM a" for key, side, control, text, base in _audit(D.SCALED)) + ") SELECT * FROM h")
+def detector_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every audited detector with its side and control: how many bars fire, and how many the control has, in one pass."""
+    bars = W.strength(with_interest(event_bars(spark, sf_dir))).select("sym", "t", "strength")
+    place = F.row_number().over(Window.partitionBy("t").orderBy(F.round("strength", 6).desc(), "sym"))
+    bars = bars.withColumn("place", place).withColumns({f"prev_{c}": F.lag(c).over(W.by_time()) for c in ("strength", "place")})
+    audit = _audit(D.SCALED)
+    count = lambda text: F.count_if(F.coalesce(F.expr(text), F.lit(False)))
+    rows = features(spark, sf_dir).join(bars, ["sym", "t"])
+    sums = rows.agg(*[count(text).alias(f"e{i}") for i, (*_, text, _) in enumerate(audit)], *[count(base).alias(f"c{i}") for i, (*_, base) in enumerate(audit)])
+    each = [F.struct(F.lit(key).alias("key"), F.lit(side).alias("side"), F.lit(control).alias("control"), F.col(f"e{i}").alias("events"), F.col(f"c{i}").alias("controls")) for i, (key, side, control, _, _) in enumerate(audit)]
+    return sums.select(F.inline(F.array(*each)))
+
+
+@query(f"""{FEATURES_SQL} SELECT sym, t, round(0.5 * 100 * pos + 25 * coalesce(least(1, greatest(0, (oi4h - 3) / 7)), 0) + 10 * coalesce(least(1, greatest(0, oi1h / 3)), 0) + 15 * coalesce(least(1, greatest(0, (buy_share - 0.55) / 0.2)), 0), 3) AS score FROM feat WHERE oi4h IS NOT NULL AND oi1h IS NOT NULL""")
+def operational_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operational score of every bar with known quantities, its place in the range as the rank score."""
+    rows = features(spark, sf_dir).where("oi4h IS NOT NULL AND oi1h IS NOT NULL")
+    return rows.select("sym", "t", S.operational_score(100 * F.col("pos"), F.col("oi4h"), F.col("oi1h"), F.col("buy_share")).alias("score"))
+
+
+@query(f"""{FEATURES_SQL}, s AS (SELECT sym, t, close, pos, ret4h, CASE WHEN pos + ret4h >= buy_share AND pos + ret4h >= 1 - pos THEN 'pump' WHEN buy_share >= 1 - pos THEN 'accumulate' ELSE 'distribute' END AS regime, close_hi24, ema20 FROM feat WHERE ret4h IS NOT NULL),
+k AS (SELECT *, CASE regime WHEN 'pump' THEN 'pullback' WHEN 'accumulate' THEN 'breakout' ELSE 'reclaim' END AS kind, CASE regime WHEN 'pump' THEN ema20 WHEN 'accumulate' THEN close_hi24 * 1.001 ELSE close_hi24 END AS raw FROM s),
+p AS (SELECT *, CASE WHEN raw > 0 THEN raw ELSE close END AS entry FROM k) SELECT sym, t, kind, round(entry, 6) AS entry, round(entry * 1.04, 6) AS tp1, round(entry * 1.08, 6) AS tp2, round(entry * 1.15, 6) AS tp3, round(entry * 0.97, 6) AS sl, CAST(5 AS INTEGER) AS runner_pct FROM p""")
+def exit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry by regime, anchored to closed bars, with its three targets, stop and runner."""
+    rows = features(spark, sf_dir).where("ret4h IS NOT NULL")
+    regime = S.regime(F.col("pos") + F.col("ret4h"), F.col("buy_share"), 1 - F.col("pos"))
+    return rounded(rows.select("sym", "t", *S.plan(regime, F.col("close"), F.col("ema20"), F.col("close_hi24"))), dict.fromkeys(["entry", "tp1", "tp2", "tp3", "sl"], 6))

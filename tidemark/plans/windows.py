@@ -62,24 +62,30 @@ def range_and_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STRENGTH = f"""x AS (SELECT sym, t, q, close, row_number() OVER o - 1 AS i, close / nullif(coalesce(lag(close, 4) OVER o, first_value(close) OVER o), 0) - 1 AS r4,
- close / nullif(coalesce(lag(close, 24) OVER o, first_value(close) OVER o), 0) - 1 AS r24,
- CASE WHEN stddev_pop(q) OVER p24 > 0 THEN (q - avg(q) OVER p24) / stddev_pop(q) OVER p24 ELSE 0 END AS vz,
+_STRENGTH = f"""b2 AS (SELECT *, sum(tq) OVER ({_W} ROWS 23 PRECEDING) AS oi, (tq / nullif(q, 0) - 0.5) / 10 AS funding FROM b),
+x AS (SELECT sym, t, q, close, funding, row_number() OVER o - 1 AS i, close / nullif(coalesce(lag(close, 4) OVER o, first_value(close) OVER o), 0) - 1 AS r4,
+ CASE WHEN coalesce(lag(oi, 4) OVER o, first_value(oi) OVER o) > 0 THEN coalesce(oi / coalesce(lag(oi, 4) OVER o, first_value(oi) OVER o) - 1, 0) ELSE 0 END AS o4,
+ CASE WHEN stddev_pop(q) OVER p8 > 0 THEN (q - avg(q) OVER p8) / stddev_pop(q) OVER p8 ELSE 0 END AS vz,
  CASE WHEN max(high) OVER w > min(low) OVER w THEN (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) ELSE 0.5 END AS pos,
  coalesce(sum(CASE WHEN close >= open THEN q ELSE 0 END) OVER s / nullif(sum(q) OVER s, 0), 0.5) AS buy
- FROM b WINDOW o AS ({_W}), {P24}, w AS ({_W} ROWS 24 PRECEDING), s AS ({_W} ROWS 3 PRECEDING)),
-y AS (SELECT sym, t, q, close, CASE WHEN i >= 4 THEN least(98.0, greatest(3.0, 50 + 22 * (r4 * 12) / (1 + abs(r4 * 12)) + 14 * (r24 * 5) / (1 + abs(r24 * 5)) + 10 * (vz / 2) / (1 + abs(vz / 2)) + 16 * (pos - 0.5) + 24 * (buy - 0.5))) END AS s FROM x),
+ FROM b2 WINDOW o AS ({_W}), p8 AS ({_W} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), w AS ({_W} ROWS 8 PRECEDING), s AS ({_W} ROWS 4 PRECEDING)),
+y AS (SELECT sym, t, q, close, CASE WHEN i >= 1 THEN least(98.0, greatest(3.0, 50 + 24 * (o4 / 0.05) / (1 + abs(o4 / 0.05)) + 16 * (r4 / 0.06) / (1 + abs(r4 / 0.06)) + 14 * least(1, greatest(-1, (buy - 0.5) * 2)) + 20 * (0.5 - pos) + 8 * (vz / 2) / (1 + abs(vz / 2)) - 14 * least(1, greatest(0, (coalesce(funding, 0) - 0.03) / 0.05)))) END AS s FROM x),
 st AS (SELECT sym, t, q, close, coalesce(s, first_value(s IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 50.0) AS strength FROM y)"""
 
 
+def with_interest(bars: DataFrame) -> DataFrame:
+    """The taker volume of 24 bars stands for open interest, a bar's taker share around one half for funding."""
+    return bars.withColumns({"oi": F.sum("tq").over(X.upto(24)), "funding": (F.try_divide("tq", "q") - 0.5) / 10})
+
+
 @query(f"{EVENT_BARS_SQL}, {_STRENGTH} SELECT sym, t, round(strength, 5) AS strength FROM st")
 def strength_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.strength(event_bars(spark, sf_dir)).select("sym", "t", "strength"), {"strength": 5})
+    return rounded(X.strength(with_interest(event_bars(spark, sf_dir))).select("sym", "t", "strength"), {"strength": 5})
 
 
 @query(f"{TRADE_BARS_SQL}, {_STRENGTH}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(strength, 6) DESC, round(q, 4) DESC, sym) AS rank FROM st) SELECT sym, t, round(strength, 5) AS strength, rank FROM r WHERE rank <= 10")
 def strength_rank_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.ranked(X.strength(trade_bars(spark, sf_dir)), 10, [F.round("strength", 6).desc(), F.round("q", 4).desc(), F.col("sym")])
+    rows = X.ranked(X.strength(with_interest(trade_bars(spark, sf_dir))), 10, [F.round("strength", 6).desc(), F.round("q", 4).desc(), F.col("sym")])
     return rounded(rows.select("sym", "t", "strength", F.col("rank").cast("long").alias("rank")), {"strength": 5})
 
 
