@@ -12,7 +12,7 @@ from tidemark.plans import books as book_plans
 from tidemark.plans.windows import with_interest
 from tidemark.sources import logs
 from tidemark.sources.tables import event_bars, ticks
-from tidemark.streaming.processors import Watch
+from tidemark.streaming.watches import DeepWatch, EntryWatch, decision
 
 BAR = "sym string, t long, open double, high double, low double, close double, q double, tq double"
 
@@ -245,16 +245,61 @@ def test_book_rules():
     assert b.tick(200 + 46 * 60, "A", 100.0, False) == []
 
 
-def test_watches_stream_equals_a_loop(spark, sf):
-    from tidemark.plans.streams import stream_slots, stream_watches
-
-    want, held = [], {}
-    for r in sorted(ticks(spark, sf).collect(), key=lambda r: (r["ts"], r["seq"])):
-        e = held.setdefault(r["sym"], Watch()).observe(r["ts"], r["seq"], r["px"], r["user"] % 13 == 0)
-        want += [(r["sym"], r["ts"], e, r["px"])] if e else []
-    assert sorted(map(tuple, stream_watches(spark, sf).collect())) == sorted(want) and want
-    slots = ticks(spark, sf).select(F.floor(F.col("ts") / 900).alias("s")).distinct().count()
-    assert slots - 10 <= stream_slots(spark, sf).count() < slots
+@pytest.mark.parametrize("name", ["stream_watches", "stream_deep_watches"])
+def test_watches_stream_equals_a_loop(spark, sf, name):
+    """The stream against a plain loop with rules of its own, over all ticks of all symbols."""
+    from tidemark.plans import streams
+
+    entry = name == "stream_watches"
+    rows = (streams.watch_inputs if entry else streams.deep_inputs)(ticks(spark, sf)).collect()
+    want, state = [], {}
+    for r in sorted(rows, key=lambda r: (r["ts"], r["seq"])):
+        w, t, px, out = state.setdefault(r["sym"], {"s": "none"}), r["ts"], r["px"], []
+        if entry:
+            if r["kind"] == "push":
+                if px > 0:
+                    out = ["superseded"] * (w["s"] in ("watching", "ready", "sending")) + ["armed"]
+                    w.clear()
+                    w.update(s="watching", t=t, px=px, low=0.9 * px - 0.3 * px, mid=0.9 * px, top=0.9 * px + 0.3 * px, retry=-1, last=t)
+            elif r["kind"] == "bar":
+                if w["s"] == "watching" and px > 0 and t > w["last"]:
+                    end = "expired" if t >= w["t"] + 86400 else "invalid" if px < w["mid"] - 0.6 * w["px"] else "missed" if px * 1.02 >= w["px"] * 1.15 else None
+                    w["last"] = t
+                    if end is None and t >= w["t"] + 1800 and px * 0.98 <= w["top"] and px * 1.02 >= w["low"] and w["mid"] <= px <= w["top"]:
+                        end = "ready"
+                    if end:
+                        w["s"], out = end, [end]
+            elif r["kind"] == "sending":
+                if w["s"] == "ready" and t >= w["retry"]:
+                    w["s"] = "sending"
+            elif r["kind"] == "failed":
+                if w["s"] == "sending":
+                    w["s"], w["retry"], out = "ready", t + 900, ["delivery-failed"]
+            elif w["s"] in ("ready", "sending"):
+                w["s"], out = "delivered", ["delivered"]
+        else:
+            known = r["age"] is not None and r["change1h"] is not None
+            fresh = known and 0 <= r["age"] <= 600
+            good = fresh and r["change1h"] > 0 and r["change4h"] >= 3
+            if r["kind"] == "setup":
+                if w["s"] != "watching" and good and px > 0:
+                    w.update(s="watching", t=t, px=px, last=t)
+                    out = ["armed"]
+            elif w["s"] == "watching" and px > 0 and t > w["last"]:
+                end = "expired" if t >= w["t"] + 86400 else "invalid" if px < 0.3 * w["px"] else "missed" if px * 1.02 >= w["px"] + 1.6 * w["px"] else None
+                w["last"] = t
+                if end is None and w["px"] <= px <= w["px"] + 0.4 * w["px"]:
+                    end = "confirmed" if good else "oi-rejected" if fresh else None
+                    out = [] if end else ["oi-wait"]
+                if end:
+                    w["s"], out = end, [end]
+        want += [(r["sym"], t, e, px) for e in out]
+    got = sorted(map(tuple, getattr(streams, name)(spark, sf).collect()))
+    assert got == sorted(want)
+    assert {x[2] for x in got} >= ({"armed", "superseded", "missed", "ready", "delivered"} if entry else {"armed", "missed", "confirmed", "oi-rejected", "oi-wait"})
+    if entry:
+        slots = ticks(spark, sf).select(F.floor(F.col("ts") / 900).alias("s")).distinct().count()
+        assert slots - 10 <= streams.stream_slots(spark, sf).count() < slots
 
 
 def test_notifications_equal_a_loop(spark, sf):
@@ -287,10 +332,62 @@ def test_archive_metrics_and_strategies(spark, tmp_path):
     assert c.count() == 1 and o.first()["net"] == 0.5 and c.join(o, "id", "left_anti").count() == 0
 
 
-def test_watch_ignores_what_is_late():
-    w = Watch()
-    assert w.observe(0, 0, 100.0, True) == "armed" and w.observe(3600, 1, 90.0, False) == "ready" and w.observe(3600, 1, 90.0, True) is None
-    assert w.observe(4000, 2, 100.0, True) == "armed" and w.observe(4000 + 86400, 3, 90.0, False) == "expired"
+def test_entry_watch():
+    row = {"source": 1, "support": 100.0, "atr": 10.0, "retry": 0}
+    n = iter(range(10_000))
+    def one(w, t, kind, px=100.0, high=None, low=None, **more):
+        return w.observe(row | {"ts": t, "seq": next(n), "kind": kind, "px": px, "high": high or px, "low": low or px} | more)
+    w = EntryWatch()
+    assert one(w, 0, "push", 104.0, atr=100.0) == [] and one(w, 0, "push", 104.0, support=None) == [] and one(w, 0, "push", 104.0) == ["armed"] and one(w, 5, "push", 104.0) == []
+    assert one(w, 900, "bar", 102.0) == [] and w.observe(row | {"ts": 900, "seq": 0, "kind": "bar", "px": 1.0, "high": 1.0, "low": 1.0}) == []
+    assert one(w, 1800, "bar", 99.0) == [] and one(w, 2700, "bar", 102.0) == ["ready"] and one(w, 2800, "bar", 1.0) == []
+    assert one(w, 2900, "sending") == [] and one(w, 3000, "failed", retry=3000) == [] and one(w, 3000, "failed", retry=3600) == ["delivery-failed"]
+    assert one(w, 3100, "sending") == [] and w.status == "ready" and one(w, 3600, "sending") == [] and w.attempts == 2 and one(w, 3700, "delivered") == ["delivered"]
+    ends = [("expired", 86400, 100.0, 100.0), ("invalid", 900, 89.9, 90.0), ("missed", 900, 118.0, 119.7)]
+    for end, t, px, high in ends:
+        w = EntryWatch()
+        one(w, 0, "push", 104.0)
+        assert one(w, t, "bar", px, high) == [end]
+    w = EntryWatch()
+    one(w, 0, "push", 104.0)
+    assert one(w, 60, "push", 104.0, source=2) == ["superseded", "armed"] and one(w, 1000, "bar", 89.0, 130.0) == ["invalid"]
+
+
+def test_deep_watch():
+    nan = float("nan")
+    assert [decision(*x) for x in ((None, 1, 3), (5, nan, 3), (-1, 1, 3), (601, 1, 3), (600, 1, 2.9), (0, 0, 9), (0, 0.1, 3))] == ["missing", "missing", "future", "stale", "rejected", "rejected", "pass"]
+    n = iter(range(10_000))
+    def one(w, t, kind, px, age=0.0, q1=1.0, q4=3.0, high=None):
+        return w.observe({"ts": t, "seq": next(n), "kind": kind, "px": px, "high": high or px, "trough": 80.0, "level": 100.0, "atr": 10.0, "age": age, "change1h": q1, "change4h": q4})
+    w = DeepWatch()
+    assert one(w, 0, "setup", 95.0, q4=2.0) == [] and one(w, 0, "setup", 95.0) == ["armed"] and one(w, 5, "setup", 95.0) == []
+    assert one(w, 900, "bar", 99.0) == [] and one(w, 1800, "bar", 104.0, age=None) == ["oi-wait"] and one(w, 2700, "bar", 105.0) == ["confirmed"]
+    for end, t, px, more in (("expired", 86400, 101.0, {}), ("invalid", 900, 79.0, {}), ("missed", 900, 101.0, {"high": 120.0}), ("oi-rejected", 900, 101.0, {"q1": -1.0})):
+        w = DeepWatch()
+        one(w, 0, "setup", 95.0)
+        assert one(w, t, "bar", px, **more) == [end]
+
+
+def test_portfolio_limits(spark, sf):
+    p = books.Portfolio(books.Policy())
+    assert p.enter(10, "a", None, None) == ("no-bar", 0.0) and p.enter(10, "a", 1800, 5.0) == ("no-bar", 0.0) and p.enter(10, "a", 900, 5.0, eligible=False) == ("not-eligible", 0.0)
+    outcome, size = p.enter(10, "a", 900, 5.0)
+    assert outcome == "opened" and size == pytest.approx(10_000 * 0.005 / 0.03) and p.enter(20, "a", 900, 5.0)[0] == "held"
+    assert [p.enter(30, s, 900, 5.0)[0] for s in "bcde"] == ["opened"] * 3 + ["full"]
+    assert p.settle(40, "z", 1.0) == ("ignored", 0.0) and p.settle(40, "a", -0.15) == ("settled", pytest.approx(-250)) and p.blocked
+    assert p.enter(50, "e", 900, 5.0)[0] == "day-loss" and p.enter(86400, "e", 86400, 5.0)[0] == "open-risk"
+    p.settle(86500, "b", -0.3), p.settle(86600, "c", -0.2)
+    assert p.locked and p.enter(3 * 86400, "f", 3 * 86400, 1.0)[0] == "drawdown-lock"
+    tight = books.Portfolio(books.Policy(most_open=9))
+    assert [tight.enter(0, s, 0, 1.0)[0] for s in "abcde"] == ["opened"] * 4 + ["open-risk"]
+    rows, held, want = book_plans.portfolio_inputs(spark, sf).collect(), {}, []
+    for r in sorted(rows, key=lambda r: (r["t"], r["seq"])):
+        own = held.setdefault(r["book"], books.Portfolio(books.Policy()))
+        done = own.enter(r["t"], r["sym"], r["bar_t"], r["px"]) if r["kind"] == "enter" else own.settle(r["t"], r["sym"], r["net"])
+        want.append((r["book"], r["t"], r["sym"], *done, own.equity))
+    key = lambda x: (x[0], x[1], x[2], x[3], round(x[4], 6), round(x[5], 6))
+    got = [key(tuple(r)) for r in books.portfolios(book_plans.portfolio_inputs(spark, sf)).collect()]
+    assert sorted(got) == sorted(map(key, want)) and {"opened", "held", "no-bar", "settled"} <= {x[3] for x in got}
 
 
 def test_scalars(spark):

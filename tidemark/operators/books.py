@@ -77,6 +77,90 @@ class Book:
         return t, sym, action, px, part, pnl
 
 
+@dataclass
+class Policy:
+    """Limits of a portfolio, as shares of its equity; the stop turns risk into size."""
+
+    most_open: int = 4
+    risk: float = 0.005
+    open_risk: float = 0.02
+    size: float = 0.2
+    stop: float = 0.03
+    fill_within: int = 45 * 60
+    slot: int = 900
+    #: A day's realised loss that blocks entries until the next, and a fall from the peak that locks for good.
+    day_loss: float = 0.02
+    lock: float = 0.1
+
+
+@dataclass
+class Portfolio:
+    policy: Policy
+    equity: float = 10_000.0
+    peak: float = 10_000.0
+    day: int = -1
+    day_start: float = 10_000.0
+    day_pnl: float = 0.0
+    blocked: bool = False
+    locked: bool = False
+    open: dict[str, dict] = field(default_factory=dict)
+
+    def _roll(self, t: int) -> None:
+        if t // 86400 != self.day:
+            self.day, self.day_start, self.day_pnl, self.blocked = t // 86400, self.equity, 0.0, False
+
+    def enter(self, t: int, sym: str, bar_t: int | None, px: float | None, eligible: bool = True) -> tuple[str, float]:
+        """(outcome, notional): `opened`, or the first of the limits that speaks against it. The fill is the open of the next slot after t."""
+        self._roll(t)
+        p = self.policy
+        risk = self.equity * p.risk
+        reasons = [
+            ("not-eligible", not eligible), ("drawdown-lock", self.locked), ("day-loss", self.blocked), ("no-bar", bar_t is None or px is None or bar_t != -(-t // p.slot) * p.slot),
+            ("too-late", bar_t is not None and bar_t - t > p.fill_within), ("held", sym in self.open), ("full", len(self.open) >= p.most_open),
+            ("open-risk", sum(x["risk"] for x in self.open.values()) + risk > self.equity * p.open_risk + 1e-9),
+        ]
+        for reason, against in reasons:
+            if against:
+                return reason, 0.0
+        notional = min(risk / p.stop, self.equity * p.size)
+        if not (notional > 0 and px > 0):
+            return "invalid", 0.0
+        self.open[sym] = {"notional": notional, "risk": risk, "px": px}
+        return "opened", notional
+
+    def settle(self, t: int, sym: str, net: float) -> tuple[str, float]:
+        """(outcome, gain or loss) of closing a position at a net return."""
+        self._roll(t)
+        if sym not in self.open or net != net:
+            return "ignored", 0.0
+        pnl = self.open.pop(sym)["notional"] * net
+        self.equity = max(0.0, self.equity + pnl)
+        self.peak, self.day_pnl = max(self.peak, self.equity), self.day_pnl + pnl
+        self.blocked = self.blocked or self.day_pnl <= -self.day_start * self.policy.day_loss
+        self.locked = self.locked or (self.peak - self.equity) / self.peak >= self.policy.lock
+        return "settled", pnl
+
+
+def portfolios(inputs: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """(book, t, sym, outcome, amount, equity) from inputs (book, t, seq, sym, kind enter or settle, bar_t, px, net): one row an input."""
+    policy = policy or Policy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own = None, None
+        for pdf in batches:
+            out = []
+            for name, t, sym, kind, bar_t, px, net in zip(*(pdf[c] for c in ("book", "t", "sym", "kind", "bar_t", "px", "net")), strict=True):
+                if name != key:
+                    key, own = name, Portfolio(policy)
+                known = lambda x, as_type: None if x is None or x != x else as_type(x)
+                done = own.enter(int(t), sym, known(bar_t, int), known(px, float)) if kind == "enter" else own.settle(int(t), sym, float(net))
+                out.append((name, int(t), sym, *done, own.equity))
+            yield pd.DataFrame(out, columns=["book", "t", "sym", "outcome", "amount", "equity"])
+
+    rows = inputs.select("book", "t", "seq", "sym", "kind", "bar_t", "px", "net").repartition("book").sortWithinPartitions("book", "t", "seq")
+    return rows.mapInPandas(run, "book string, t long, sym string, outcome string, amount double, equity double")
+
+
 def ledger(ticks: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(book, t, sym, action, px, part, pnl, equity) from ticks (book, t, seq, sym, px, edge)."""
     rules = rules or Rules()

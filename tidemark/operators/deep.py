@@ -70,6 +70,61 @@ def entries(events: DataFrame, bars: DataFrame, horizon: int, methods: dict[str,
     return rows.groupBy("id", "method").agg(F.min("bar_t").alias("entry_t"), F.min_by("bar_close", "bar_t").alias("entry_px"))
 
 
+def fill_methods(pullback: float = 2.0, fixed: float = 0.05, band: float = 0.5) -> dict[str, str]:
+    """Entry method -> when a completed bar is ready, over the path with prior averages, the peak before the bar, and whether the pullback was touched."""
+    back = f"(peak - {pullback} * atr)"
+    return {
+        "breakout-retest": f"bar_high >= support - {band} * atr AND bar_low <= support + {band} * atr AND bar_close >= support AND bar_close <= support + {band} * atr",
+        "atr-ema20": "touched AND bar_low <= bar_prev20 AND bar_close >= bar_prev20",
+        "atr-reclaim": f"bar_low <= {back} AND bar_close >= {back}",
+        "fixed": f"bar_low <= peak * {1 - fixed} AND bar_close >= peak * {1 - fixed}",
+        "ema20": "bar_low <= bar_prev20 AND bar_close >= bar_prev20",
+        "ema50": "bar_low <= bar_prev50 AND bar_close >= bar_prev50",
+    }
+
+
+def entry_fills(events: DataFrame, bars: DataFrame, width: int, wait: int, delay: int, pullback: float = 2.0, fixed: float = 0.05, band: float = 0.5, missed: float = 0.15) -> DataFrame:
+    """(id, method, terminal, fill_t, fill_px) for every event and method: filled at the next bar's open after a bar that is ready, or expired;
+    a retest also ends invalidated or missed, judged before readiness. `immediate` fills at the first open.
+
+    events: id, sym, since, px, support, atr. A bar counts when it has closed: from `delay` after the event on, before `wait` after it.
+    """
+    lag = lambda c: F.lag(c).over(X.by_time())
+    rows = folds.emas(bars, {"ema20": 20, "ema50": 50})
+    rows = rows.select("sym", "t", "open", "high", "low", "close", lag("ema20").alias("prev20"), lag("ema50").alias("prev50"), F.lead("t").over(X.by_time()).alias("next_t"), F.lead("open").over(X.by_time()).alias("next_open"))
+    w = Window.partitionBy("id").orderBy("bar_t")
+    done = F.col("bar_t") + width
+    late, due = done >= F.col("since") + wait, done >= F.col("since") + delay
+    p = path(events, rows, wait).withColumn("peak", F.greatest("px", F.max("bar_high").over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    touch = due & (F.col("bar_low") <= F.col("peak") - pullback * F.col("atr"))
+    p = p.withColumn("touched", F.max(F.coalesce(touch, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    here, after = (F.struct(F.lit("filled").alias("terminal"), F.col(t).alias("fill_t"), F.col(px).alias("fill_px")) for t, px in (("bar_t", "bar_open"), ("bar_next_t", "bar_next_open")))
+    ended = lambda name: F.struct(F.lit(name).alias("terminal"), F.lit(None).cast("long").alias("fill_t"), F.lit(None).cast("double").alias("fill_px"))
+    ends = {"immediate": here}
+    for name, ready in fill_methods(pullback, fixed, band).items():
+        end = F.when(late, ended("expired"))
+        if name == "breakout-retest":
+            end = end.when(F.col("bar_close") < F.col("support") - F.col("atr"), ended("invalidated")).when(F.col("bar_high") >= F.col("px") * (1 + missed), ended("missed"))
+        ends[name] = end.when(due & F.expr(ready) & (F.col("bar_next_t") <= F.col("since") + wait), after)
+    each = [F.when(end.isNotNull(), F.struct(F.lit(name).alias("method"), end.alias("end"))) for name, end in ends.items()]
+    met = p.select("id", "bar_t", F.inline(F.array_compact(F.array(*each)))).groupBy("id", "method").agg(F.min_by("end", "bar_t").alias("end"))
+    every = events.select("id", F.explode(F.array(*map(F.lit, ends))).alias("method"))
+    out = every.join(met, ["id", "method"], "left")
+    return out.select("id", "method", F.coalesce("end.terminal", F.lit("expired")).alias("terminal"), "end.fill_t", "end.fill_px")
+
+
+def fill_outcomes(fills: DataFrame, bars: DataFrame, horizon: int, up: float = 0.1, down: float = 0.05) -> DataFrame:
+    """(id, method, mfe, mae, up_first) of fills (id, method, sym, since, fill_t, fill_px) from the fill to `horizon` after the event: whether the
+    target came before the stop; within one bar the stop counts first."""
+    e = fills.where("fill_px > 0").select("id", "method", "sym", F.col("since").alias("known"), (F.col("fill_t") - 1).alias("since"), F.col("fill_px").alias("px"))
+    p = path(e, bars.select("sym", "t", "high", "low"), horizon).where(F.col("bar_t") < F.col("known") + horizon)
+    stop = F.min(F.when(F.col("bar_low") <= F.col("px") * (1 - down), F.col("bar_t")))
+    hit = F.min(F.when(F.col("bar_high") >= F.col("px") * (1 + up), F.col("bar_t")))
+    rel = lambda x: F.try_divide(x, F.col("px")) - 1
+    out = p.groupBy("id", "method", "px").agg(F.max("bar_high").alias("top"), F.min("bar_low").alias("bottom"), stop.alias("stop"), hit.alias("hit"))
+    return out.select("id", "method", rel(F.greatest("top", "px")).alias("mfe"), rel(F.least("bottom", "px")).alias("mae"), F.coalesce((F.col("hit") < F.col("stop")) | (F.col("hit").isNotNull() & F.col("stop").isNull()), F.lit(False)).alias("up_first"))
+
+
 def grid(rows: DataFrame, cells: dict[str, str], value: str) -> DataFrame:
     """(cell, n, mean, retention): each variant's predicate over the same rows, in one pass; retention is against the first cell."""
     named = F.array_compact(F.array(*[F.when(F.expr(text), F.lit(name)) for name, text in cells.items()]))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as X
+from .outcomes import path
 
 #: States of recorded rows. Thresholds are fixed values; an unknown basis, volume or share closes the state.
 STATES = {
@@ -90,6 +91,40 @@ def busy_until(trades: DataFrame, keys: list[str], at: str, until: str) -> DataF
     return trades.repartition(*keys).sortWithinPartitions(*keys, at, until).mapInPandas(thin, ", ".join(names))
 
 
+# Margin, the two targets, the stop, the share closed at a target.
+LEVERAGE, TARGET1, TARGET2, STOP, CLOSED, DUST = 20, 0.05, 0.1, 0.05, 0.5, 1e-9
+
+
+def day_trades(edges: DataFrame, bars: DataFrame, width: int) -> DataFrame:
+    """(day, sym, since, side, mode, roi): trades of a day on both sides, by ladder and all out, on margin.
+
+    edges: sym, since. A trade opens at the close of the very next slot, or is skipped (roi is null), as is one without a later close on its
+    day; it ends at the stop, the second target when all out, or the day's last close. One trade a day, symbol, side and mode is on at a
+    time: all out, the first is the only one; a ladder's stop frees the symbol.
+    """
+    e = edges.select("sym", "since").withColumn("day", F.floor(F.col("since") / 86400)).withColumn("id", F.concat_ws(":", "sym", "since"))
+    at = bars.select("sym", (F.col("t") - width).alias("since"), F.col("close").alias("px"))
+    e = e.join(at, ["sym", "since"], "left").withColumn("end", (F.col("day") + 1) * 86400)
+    opened = e.where((F.col("px") > 0) & (F.col("since") + width < F.col("end"))).withColumn("since", F.col("since") + width)
+    walked = path(opened, bars.select("sym", "t", "close"), 86400).where((F.col("bar_t") < F.col("end")) & (F.col("bar_close") > 0))
+    sides = [F.struct(F.lit(name).alias("side"), (sign * (F.col("bar_close") / F.col("px") - 1)).alias("gain")) for name, sign in (("long", 1), ("short", -1))]
+    walked = walked.select("id", "bar_t", F.inline(F.array(*sides)))
+    first = lambda on: F.min(F.when(on, F.col("bar_t")))
+    found = walked.groupBy("id", "side").agg(first(F.col("gain") <= -STOP + DUST).alias("stop"), first(F.col("gain") >= TARGET1 - DUST).alias("one"), first(F.col("gain") >= TARGET2 - DUST).alias("two"), F.max_by("gain", "bar_t").alias("last"))
+    before = lambda c: (F.col(c) < F.coalesce("stop", F.lit(1 << 62))) & F.col(c).isNotNull()
+    rest = F.when(F.col("stop").isNotNull(), F.lit(-STOP)).otherwise(F.col("last"))
+    part1 = F.when(before("one"), CLOSED).otherwise(0.0)
+    part2 = F.when(before("two"), (1 - part1) * CLOSED).otherwise(0.0)
+    ladder = LEVERAGE * (TARGET1 * part1 + TARGET2 * part2 + (1 - part1 - part2) * rest)
+    out = LEVERAGE * F.when(before("two"), F.lit(TARGET2)).otherwise(rest)
+    modes = [F.struct(F.lit("ladder").alias("mode"), ladder.alias("roi"), F.coalesce("stop", F.lit(1 << 62)).alias("until")), F.struct(F.lit("allout").alias("mode"), out.alias("roi"), F.lit(1 << 62).alias("until"))]
+    found = found.select("id", "side", F.inline(F.array(*modes)))
+    lanes = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(mode).alias("mode")) for side in ("long", "short") for mode in ("ladder", "allout")])
+    rows = e.select("id", "day", "sym", "since", F.inline(lanes)).join(found, ["id", "side", "mode"], "left")
+    rows = rows.select("day", "sym", "since", "side", "mode", "roi", F.coalesce(F.col("until") + 1, F.col("since")).alias("until"))
+    return busy_until(rows, ["day", "sym", "side", "mode"], "since", "until").drop("until")
+
+
 def reuse(status: Column, known: Column, found: Column) -> Column:
     """Whether an artifact may be used again: a missing one may, an invalid one not, else its digest decides."""
     return F.when(status == "missing", True).when(status == "invalid", False).otherwise(F.coalesce(known == found, F.lit(False)))

@@ -28,6 +28,22 @@ def paper_blotter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.blotter(B.ledger(book_ticks(spark, sf_dir), B.Rules(fill_within=86400))), {"closed": 6, "pnl": 8})
 
 
+def portfolio_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten portfolios by user: even ticks ask to enter, with the next slot's open for most of them, odd ones settle their symbol."""
+    rows = ticks(spark, sf_dir).where("px > 0")
+    slot = F.ceil(F.col("ts") / 900) * 900
+    return rows.select(
+        F.concat(F.lit("b"), (F.col("user") % 10).cast("string")).alias("book"), F.col("ts").alias("t"), "seq", "sym", F.when(F.col("seq") % 2 == 0, "enter").otherwise("settle").alias("kind"),
+        F.when(F.col("seq") % 7 > 0, slot).alias("bar_t"), "px", (F.least(F.col("px"), F.lit(150.0)) / 500 - 0.15).alias("net"),
+    )
+
+
+@query()
+def portfolio_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request and settlement with its outcome under the limits; a greedy fold has no plain SQL, a test holds it against a loop."""
+    return rounded(B.portfolios(portfolio_inputs(spark, sf_dir)), {"amount": 6, "equity": 6})
+
+
 @query("""SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(value - 50), 4) AS total, round(avg(value - 50), 6) AS mean FROM events GROUP BY 1, 2""")
 def daily_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir).select(F.col("ts").alias("since"), F.when(F.col("user") % 2 == 0, "long").otherwise("short").alias("side"), (F.col("px") - 50).alias("net"))

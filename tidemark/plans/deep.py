@@ -45,6 +45,38 @@ def entry_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.entries(events(bars), bars, 12 * 3600, methods), {"entry_px": 6})
 
 
+_WAIT, _DELAY = 24 * 3600, 1800
+_FILL_ENDS = "".join(f" UNION ALL SELECT id, t, '{name}' AS method, CASE WHEN late THEN 'expired'" + (" WHEN close < support - atr THEN 'invalidated' WHEN high >= px * 1.15 THEN 'missed'" if name == "breakout-retest" else "") + f" WHEN due AND next_t <= since + {_WAIT} AND {text.replace('bar_', '')} THEN 'filled' END AS terminal, next_t AS fill_t, next_open AS fill_px FROM q" for name, text in D.fill_methods(0.5, 0.3, 0.5).items())
+_FILLS_SQL = f"""{ema_sql(20, name='ema20')}, {ema_sql(50, name='ema50')}, bb AS (SELECT b.sym, b.t, open, high, low, close, lag(ema20) OVER o AS prev20, lag(ema50) OVER o AS prev50, lead(b.t) OVER o AS next_t, lead(open) OVER o AS next_open FROM b LEFT JOIN e_20 USING (sym, t) LEFT JOIN e_50 USING (sym, t) WINDOW o AS (PARTITION BY b.sym ORDER BY b.t)),
+x AS (SELECT *, px * 0.8 AS support, px * 0.5 AS atr FROM e), p AS (SELECT x.id, x.since, x.px, x.support, x.atr, bb.t, bb.open, bb.high, bb.low, bb.close, prev20, prev50, next_t, next_open, greatest(x.px, max(bb.high) OVER (PARTITION BY x.id ORDER BY bb.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS peak,
+ bb.t + 3600 >= since + {_WAIT} AS late, bb.t + 3600 >= since + {_DELAY} AS due FROM x JOIN bb ON bb.sym = x.sym AND bb.t > since AND bb.t <= since + {_WAIT}),
+q AS (SELECT *, max(CASE WHEN due AND low <= peak - 0.5 * atr THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY t) = 1 AS touched FROM p),
+m AS (SELECT id, t, 'immediate' AS method, 'filled' AS terminal, t AS fill_t, open AS fill_px FROM q{_FILL_ENDS}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, method ORDER BY t) AS rn FROM m WHERE terminal IS NOT NULL) WHERE rn = 1),
+fl AS (SELECT x.id, x.sym, x.since, mm.method, coalesce(f.terminal, 'expired') AS terminal, CASE WHEN f.terminal = 'filled' THEN f.fill_t END AS fill_t, CASE WHEN f.terminal = 'filled' THEN f.fill_px END AS fill_px FROM x CROSS JOIN (SELECT DISTINCT method FROM m) mm LEFT JOIN f ON f.id = x.id AND f.method = mm.method)"""
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bars = event_bars(spark, sf_dir)
+    e = events(bars).withColumns({"support": F.col("px") * 0.8, "atr": F.col("px") * 0.5})
+    return e, bars, D.entry_fills(e, bars, 3600, _WAIT, _DELAY, 0.5, 0.3, 0.5)
+
+
+@query(f"{EVENT_BARS_SQL}, {_EVENTS_SQL}, {_FILLS_SQL} SELECT id, method, terminal, fill_t, round(fill_px, 6) AS fill_px FROM fl")
+def entry_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven entry methods with their ends; bands in true ranges are scaled to the test series."""
+    return rounded(_fills(spark, sf_dir)[2], {"fill_px": 6})
+
+
+@query(f"""{EVENT_BARS_SQL}, {_EVENTS_SQL}, {_FILLS_SQL}, o AS (SELECT fl.id, method, fill_px AS px, greatest(max(b.high), fill_px) / fill_px - 1 AS mfe, least(min(b.low), fill_px) / fill_px - 1 AS mae, min(CASE WHEN b.low <= fill_px * 0.95 THEN b.t END) AS stop, min(CASE WHEN b.high >= fill_px * 1.1 THEN b.t END) AS hit
+ FROM fl JOIN b ON b.sym = fl.sym AND b.t >= fill_t AND b.t < since + 172800 WHERE fill_px > 0 GROUP BY fl.id, method, fill_px)
+SELECT id, method, round(mfe, 6) AS mfe, round(mae, 6) AS mae, coalesce(hit < stop OR (hit IS NOT NULL AND stop IS NULL), false) AS up_first FROM o""")
+def fill_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten percent up before five down, from each fill to two days after its event."""
+    e, bars, fills = _fills(spark, sf_dir)
+    return rounded(D.fill_outcomes(fills.join(e.select("id", "sym", "since"), "id"), bars, 172800), {"mfe": 6, "mae": 6})
+
+
 _CELLS = {"base": "q > 20", "tight": "q > 50", "loose": "q > 5", "rising": "q > 20 AND close > open", "quiet": "n < 3"}
 
 

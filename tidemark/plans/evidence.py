@@ -137,6 +137,28 @@ def daily_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, {"win_rate": 5, "roi": 5})
 
 
+@query(f"""{EVENT_BARS_SQL}, {_EVENTS_SQL}, ed AS (SELECT id, sym, since, CAST(floor(since / 86400) AS BIGINT) AS day FROM e WHERE since - 3600 IN (SELECT t FROM b) AND sym NOT IN ('error', 'signup')),
+op AS (SELECT ed.*, b.close AS px FROM ed JOIN b ON b.sym = ed.sym AND b.t = ed.since + 3600 WHERE b.close > 0 AND ed.since + 3600 < (day + 1) * 86400),
+wk AS (SELECT op.id, s.side, b.t, CASE s.side WHEN 'long' THEN 1 ELSE -1 END * (b.close / op.px - 1) AS gain FROM op JOIN b ON b.sym = op.sym AND b.t > op.since + 3600 AND b.t < (day + 1) * 86400 AND b.close > 0 CROSS JOIN (VALUES ('long'), ('short')) s(side)),
+fo AS (SELECT id, side, min(CASE WHEN gain <= -0.05 + 1e-9 THEN t END) AS stop, min(CASE WHEN gain >= 0.05 - 1e-9 THEN t END) AS one, min(CASE WHEN gain >= 0.1 - 1e-9 THEN t END) AS two, last(gain ORDER BY t) AS fin FROM wk GROUP BY 1, 2),
+pa AS (SELECT *, CASE WHEN one < coalesce(stop, 4611686018427387904) THEN 0.5 ELSE 0 END AS p1, coalesce(two < coalesce(stop, 4611686018427387904), false) AS g2, CASE WHEN stop IS NOT NULL THEN -0.05 ELSE fin END AS rest FROM fo),
+ro AS (SELECT id, side, 'ladder' AS mode, 20 * (0.05 * p1 + 0.1 * CASE WHEN g2 THEN (1 - p1) * 0.5 ELSE 0 END + (1 - p1 - CASE WHEN g2 THEN (1 - p1) * 0.5 ELSE 0 END) * rest) AS roi, coalesce(stop, 4611686018427387904) AS until FROM pa
+ UNION ALL SELECT id, side, 'allout', 20 * CASE WHEN g2 THEN 0.1 ELSE rest END, 4611686018427387904 FROM pa),
+la AS (SELECT concat(ed.day, ed.sym, l.side, l.mode) AS lane, ed.day, ed.since, l.side, l.mode, ro.roi, coalesce(ro.until + 1, ed.since) AS until FROM ed CROSS JOIN (SELECT * FROM (VALUES ('long'), ('short')) a(side) CROSS JOIN (VALUES ('ladder'), ('allout')) m(mode)) l LEFT JOIN ro ON ro.id = ed.id AND ro.side = l.side AND ro.mode = l.mode),
+nx AS (SELECT *, (SELECT min(o.since) FROM la o WHERE o.lane = la.lane AND o.since > la.since AND o.since >= la.until) AS next FROM la),
+tk AS (SELECT n.* FROM nx n JOIN (SELECT lane, min(since) AS since FROM nx GROUP BY 1) f ON f.lane = n.lane AND f.since = n.since UNION ALL SELECT n.* FROM tk JOIN nx n ON n.lane = tk.lane AND n.since = tk.next)
+SELECT day, side, mode, count(roi) AS n, count(*) - count(roi) AS skipped, round(avg(CASE WHEN roi > 0 THEN 1.0 WHEN roi IS NOT NULL THEN 0.0 END), 5) AS win_rate, round(coalesce(sum(roi), 0), 4) AS roi FROM tk GROUP BY 1, 2, 3""")
+def daily_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides, ladder and all out, each day: confirmed entries of guarded edges, without the excluded symbols."""
+    bars = event_bars(spark, sf_dir)
+    slots = bars.select((F.col("t") + HOUR).alias("since")).distinct()
+    edges = events(bars).where(~F.col("sym").isin("error", "signup")).join(slots, "since", "left_semi")
+    trades = E.day_trades(edges, bars, HOUR)
+    won = F.when(F.col("roi").isNotNull(), (F.col("roi") > 0).cast("double"))
+    out = trades.groupBy("day", "side", "mode").agg(F.count("roi").alias("n"), (F.count("*") - F.count("roi")).alias("skipped"), F.avg(won).alias("win_rate"), F.coalesce(F.sum("roi"), F.lit(0.0)).alias("roi"))
+    return rounded(out, {"win_rate": 5, "roi": 4})
+
+
 @query(f"""{EVENT_BARS_SQL}, {_EVENTS_SQL} SELECT id, sym, since FROM e WHERE since - 3600 IN (SELECT t FROM b) AND sym NOT IN ('error', 'signup')""")
 def edges_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges whose slot before was recorded at all, without the excluded symbols."""

@@ -1,7 +1,7 @@
-"""Structured Streaming: bars, thinned events and watches with keyed state.
+"""Structured Streaming: bars, thinned events and notifications with keyed state.
 
 Results go to a Parquet table in the shared folder; state and offsets live in the query's checkpoint there, so a restart goes on where it
-stopped. Late rows are told by their time: a watch ignores what is not after its last observation.
+stopped. Late rows are told by their time: a keyed machine ignores what is not after its last observation.
 """
 
 from __future__ import annotations
@@ -80,54 +80,6 @@ def cooldown(stream: DataFrame, wait: int) -> DataFrame:
     return stream.select("sym", "ts").groupBy("sym").applyInPandasWithState(run, "sym string, ts long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-class Watch:
-    """Entry watch of one symbol: armed by a signal, ended by what comes first of expiry, invalidation, a missed move and readiness."""
-
-    EXPIRY, DELAY = 24 * 3600, 30 * 60
-
-    def __init__(self, since: int = -1, px: float = 0.0, last: int = -1, seq: int = -1) -> None:
-        self.since, self.px, self.last, self.seq = since, px, last, seq
-
-    def observe(self, t: int, seq: int, px: float, signal: bool) -> str | None:
-        """The event that an observation makes: a terminal state, `armed`, or none. What is not after the last observation is ignored."""
-        if (t, seq) <= (self.last, self.seq):
-            return None
-        self.last, self.seq = t, seq
-        if self.since >= 0:
-            end = None
-            if t - self.since >= self.EXPIRY:
-                end = "expired"
-            elif px < 0.2 * self.px:
-                end = "invalid"
-            elif px > 1.8 * self.px:
-                end = "missed"
-            elif t - self.since >= self.DELAY and 0.85 * self.px <= px <= 0.95 * self.px:
-                end = "ready"
-            if end:
-                self.since = -1
-            return end
-        if signal and px > 0:
-            self.since, self.px = t, px
-            return "armed"
-        return None
-
-
-def watches(stream: DataFrame) -> DataFrame:
-    """(sym, t, event, px): events of the watches, one a symbol. Input (sym, ts, seq, px, signal)."""
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        watch, out = Watch(*state.get) if state.exists else Watch(), []
-        rows = sorted((r for pdf in pdfs for r in pdf[["ts", "seq", "px", "signal"]].itertuples(index=False, name=None)), key=lambda r: r[:2])
-        for t, seq, px, signal in rows:
-            event = watch.observe(int(t), int(seq), float(px), bool(signal))
-            if event:
-                out.append((key[0], int(t), event, float(px)))
-        state.update((watch.since, watch.px, watch.last, watch.seq))
-        yield pd.DataFrame(out, columns=["sym", "t", "event", "px"])
-
-    return stream.groupBy("sym").applyInPandasWithState(run, "sym string, t long, event string, px double", "since long, px double, last long, seq long", "append", GroupStateTimeout.NoTimeout)
-
-
 class Notifier:
     """Notification of one class and symbol: a rising edge is sent if the cooldown since the last delivery is over; a failed delivery
     leaves no stamp, so it is tried again while the state stays on. Without an observation nothing changes."""
