@@ -171,6 +171,19 @@ def test_weighted_cost_and_active_days_against_loops(spark):
     assert days == {d: n for d in range(80) if (n := sum(a <= d <= b for _, a, b in spans))}
 
 
+def test_features_by_blocks_are_the_same(spark, sf):
+    """Blocks of 150 bars, with the rows before them, give what one block of all bars gives; row numbers hold over stretches."""
+    from tidemark.operators import features
+
+    b = event_bars(spark, sf)
+    numbers = windows.indexed(b, span=5 * 86400).select("sym", "t", "__i")
+    want = b.withColumn("__i", windows.index()).select("sym", "t", F.col("__i").cast("long"))
+    assert sorted(map(tuple, numbers.collect())) == sorted(map(tuple, want.collect()))
+    plain = lambda df: sorted(str([round(x, 6) + 0.0 if isinstance(x, float) else x for x in r]) for r in df.select(*sorted(df.columns)).collect())
+    one, many = (plain(features.feature_rows(b, tolerance=0.3, block=n)) for n in (100_000, 150))
+    assert one == many and len(one) == b.count()
+
+
 def test_bottoms_against_a_loop(spark):
     rng = np.random.default_rng(2)
     low = np.round(100 + np.cumsum(rng.normal(0, 2, 160)), 1)

@@ -15,16 +15,22 @@ def relative(rows: DataFrame, benchmark: str) -> DataFrame:
     return rows.join(base, "t", "left").withColumn("rs24", (F.col("ret24h") - F.col("__base")) * 100).drop("__base")
 
 
-def feature_rows(bars: DataFrame, width: int = 3600, tolerance: float = 0.01) -> DataFrame:
+def feature_rows(bars: DataFrame, width: int = 3600, tolerance: float = 0.01, block: int = X.BLOCK) -> DataFrame:
     """Features of every bar; tolerance is that of double bottoms. A bar's middle stands for spot, its ticks for spot volume. Open interest stands for the taker volume of the last 24 bars and funding for its share around one half.
 
-    Everything is causal and on one partitioning; nulls mean unknown and close every gate that reads them.
+    Everything is causal; nulls mean unknown and close every gate that reads them. All frames are computed on one partitioning, by symbol
+    and block of bars, so a symbol of any length is many tasks.
     """
-    rows = folds.emas(bars, {"ema20": 20, "ema50": 50})
+    rows = X.indexed(folds.emas(bars, {"ema20": 20, "ema50": 50}))
+    return X.in_blocks(rows, lambda part: _frames(part, width, tolerance), block).drop("__i")
+
+
+def _frames(rows: DataFrame, width: int, tolerance: float) -> DataFrame:
+    """What looks back over rows; at most X.LEAD of them in all."""
     rows = X.squeeze(rows).withColumnsRenamed({"tight": "squeezed", "breakout": "squeeze_up"})
     rows = X.pullback(rows, 24).withColumnRenamed("pullback", "pullback24")
     rows = X.latest_cross(X.wicks(X.atr(X.width_percentile(rows))), "ema20", "ema50").drop("width")
-    rows = rows.withColumns({"i": X.index(), "oi": F.sum("tq").over(X.upto(24)), "funding": (F.try_divide("tq", "q") - 0.5) / 10})
+    rows = rows.withColumns({"i": F.col("__i"), "oi": F.sum("tq").over(X.upto(24)), "funding": (F.try_divide("tq", "q") - 0.5) / 10})
     lag = lambda c, k: F.lag(c, k).over(X.by_time())
     ret = lambda k: F.try_divide(F.col("close"), lag("close", k)) - 1
     day = X.upto(24)

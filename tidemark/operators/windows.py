@@ -5,6 +5,8 @@ Frames count rows, not time. Results are null, or the stated default, while a wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,34 @@ def index() -> Column:
     return F.row_number().over(by_time()) - 1
 
 
+#: Rows of a symbol that one task sorts, and the longest look back of a chain of frames within them.
+BLOCK, LEAD = 4096, 128
+
+
+def indexed(bars: DataFrame, span: int = 30 * 86400, name: str = "__i") -> DataFrame:
+    """Adds the row number of each bar within its symbol, from 0: counts of stretches of time are summed up, and rows numbered within
+    a stretch, so that no task sorts a symbol."""
+    rows = bars.withColumn("__s", F.floor(F.col("t") / span))
+    counts = rows.groupBy(F.col("sym").alias("__sym"), F.col("__s").alias("__stretch")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__sym").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__sym", "__stretch", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
+    rows = rows.join(counts, F.col("sym").eqNullSafe(F.col("__sym")) & (F.col("__s") == F.col("__stretch")))
+    own = F.row_number().over(Window.partitionBy("sym", "__s").orderBy("t")) - 1
+    return rows.withColumn(name, F.col("__n") + own).drop("__s", "__sym", "__stretch", "__n")
+
+
+def in_blocks(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], block: int = BLOCK, lead: int = LEAD) -> DataFrame:
+    """compute(rows) by blocks of rows (numbered as __i) of a symbol: each block gets the `lead` rows before it too, which are dropped after.
+
+    For what looks back at most `lead` rows in all. `sym` is a pair of symbol and block while it computes.
+    """
+    here = F.floor(F.col("__i") / block)
+    both = F.array_compact(F.array(here, F.when(F.col("__i") % block >= block - lead, here + 1)))
+    parts = rows.withColumn("__b", F.explode(both)).withColumn("sym", F.struct("sym", "__b")).drop("__b")
+    out = compute(parts).where(F.col("sym.__b") == here)
+    return out.withColumn("sym", F.col("sym.sym"))
+
+
 def zscore(n: int, least: int = 8, of: str = "q") -> Column:
     """Against the n rows before, population deviation; 0 with fewer than `least` rows or no deviation."""
     w = before(n)
