@@ -14,6 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: A run of 16 or more key characters, wherever it starts; '=' is padding at its end unless a value follows.
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-]))?"
 #: Characters looked at on either side.
@@ -76,7 +78,7 @@ def learn_transitions(texts: Column, findings: DataFrame) -> tuple[float, ...]:
 
 def features(value: Column, left: Column, right: Column, path: Column, transitions: tuple[float, ...]) -> list[Column]:
     """Length, character classes and transitions, dictionary coverage, neighbouring words and path of a candidate."""
-    table = F.lit(list(transitions))
+    table = F.split(F.lit(" ".join(map(repr, transitions))), " ").cast("array<double>")
     n, low = F.length(value), F.lower(value)
     share = lambda pattern, of=value: F.regexp_count(of, F.lit(pattern)) / n
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -100,24 +102,29 @@ def features(value: Column, left: Column, right: Column, path: Column, transitio
     ]
 
 
+def _listed(texts: list[str]) -> Column:
+    """An array of texts, as one literal."""
+    return F.split(F.lit("\x1f".join(texts)), "\x1f")
+
+
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     """(value, left, right, path, label): findings with known labels, made by rule. Of every 36 kinds, 18 are secrets, but none under the one path in four for tests and examples."""
     h = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), F.col("id").cast("string")), 256)
     b64 = lambda salt: F.translate(F.base64(F.unhex(h(salt))), "=", "")
-    word = lambda i: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    name = F.element_at(F.array(*map(F.lit, ["token", "api_key", "secret", "password", "access_key", "auth"])), (F.pmod(F.xxhash64("id"), F.lit(6)) + 1).cast("int"))
-    put = F.element_at(F.array(*map(F.lit, [" = \"", ": \"", "=", "='", " = "])), (F.pmod(F.xxhash64("id", F.lit("p")), F.lit(5)) + 1).cast("int"))
+    word = lambda i: F.element_at(_listed(DICTIONARY), (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    name = F.element_at(_listed(["token", "api_key", "secret", "password", "access_key", "auth"]), (F.pmod(F.xxhash64("id"), F.lit(6)) + 1).cast("int"))
+    put = F.element_at(_listed([" = \"", ": \"", "=", "='", " = "]), (F.pmod(F.xxhash64("id", F.lit("p")), F.lit(5)) + 1).cast("int"))
     quote = F.regexp_extract(put, "[\"']", 0)
     camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.pmod("id", F.lit(97)).cast("string"), F.initcap(word(4)))
     snake = F.concat_ws("_", word(1), word(2), word(3), F.pmod("id", F.lit(9)).cast("string"), word(5))
     digits = F.substring(F.regexp_replace(F.concat(h("a"), h("b"), h("c")), "[a-f]", ""), 1, 16)
     uuid = F.regexp_replace(F.substring(h("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     letters = F.regexp_replace(F.concat(b64("l"), b64("m"), b64("n")), "[^A-Za-z]", "")
-    made = lambda i: F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES)), (F.pmod(F.xxhash64("id", F.lit(f"{i}-{j}")), F.lit(len(SYLLABLES))) + 1).cast("int")) for j in range(4)])
-    ruler = F.repeat(F.element_at(F.array(*map(F.lit, ["-", "_", "/", "x", "+"])), (F.pmod(F.xxhash64("id", F.lit("r")), F.lit(5)) + 1).cast("int")), 40)
+    made = lambda i: F.concat(*[F.element_at(_listed(SYLLABLES), (F.pmod(F.xxhash64("id", F.lit(f"{i}-{j}")), F.lit(len(SYLLABLES))) + 1).cast("int")) for j in range(4)])
+    ruler = F.repeat(F.element_at(_listed(["-", "_", "/", "x", "+"]), (F.pmod(F.xxhash64("id", F.lit("r")), F.lit(5)) + 1).cast("int")), 40)
     setting = F.concat(F.upper(F.concat_ws("_", word(4), name)), F.lit("="))
     parameter = F.concat(F.lit("https://example.com/"), word(4), F.lit("?"), name, F.lit("="))
-    plain = F.concat(word(4), F.element_at(F.array(*map(F.lit, ["=", ": ", " = \"", "=\""])), (F.pmod(F.xxhash64("id", F.lit("q")), F.lit(4)) + 1).cast("int")))
+    plain = F.concat(word(4), F.element_at(_listed(["=", ": ", " = \"", "=\""]), (F.pmod(F.xxhash64("id", F.lit("q")), F.lit(4)) + 1).cast("int")))
     assign, other = F.concat(name, put), F.concat(word(7), F.lit(" "), word(8), F.lit(" "))
     kinds = [
         (F.substring(h("x"), 1, 40), assign, quote, 1), (F.substring(b64("x"), 1, 32), assign, quote, 1), (h("x"), assign, quote, 1),
@@ -131,14 +138,14 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.substring(h("v"), 1, 32), parameter, F.lit("&page=2"), 1), (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64("v"), "[+/]", ""), 1, 36)), setting, F.lit(""), 1),
         (F.concat(word(1), word(2), word(3), word(4), word(5)), other, F.lit(""), 0), (F.concat(made(1), made(2)), other, F.lit(","), 0), (F.concat_ws("/", made(1), made(2), made(3)), F.concat(other, F.lit("/")), F.lit(""), 0),
         (F.upper(F.concat_ws("_", word(1), name, word(2), F.lit("key"), word(3))), F.lit("export "), F.lit("="), 0), (F.concat_ws("-", made(1), word(2), made(3)), plain, F.lit("\""), 0), (ruler, F.concat(other, F.lit("\n")), F.lit("\n"), 0),
-        (F.concat_ws("_", word(1), made(2), word(3), word(4)), assign, quote, 0), (h("s"), F.element_at(F.array(*map(F.lit, ["sha256=", "etag=", "commit=", "checksum=", "md5="])), (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int")), F.lit(""), 0),
+        (F.concat_ws("_", word(1), made(2), word(3), word(4)), assign, quote, 0), (h("s"), F.element_at(_listed(["sha256=", "etag=", "commit=", "checksum=", "md5="]), (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int")), F.lit(""), 0),
         (F.concat(F.lit("eyJ"), F.substring(b64("j"), 1, 33)), F.concat(other, F.lit("Authorization: Bearer ")), F.lit("."), 1), (F.substring(b64("k"), 1, 43), F.concat(assign, F.lit("eyJ"), F.substring(b64("j"), 1, 20), F.lit(".")), F.lit("."), 1),
         (F.substring(F.concat(b64("f"), b64("g")), 1, 64), F.lit("-----BEGIN PRIVATE KEY-----\n"), F.concat(F.lit("\n"), F.substring(b64("o"), 1, 30)), 1), (F.substring(F.concat(b64("f"), b64("g")), 1, 64), F.concat(F.substring(b64("o"), 1, 40), F.lit("\n")), F.concat(F.lit("\n"), F.substring(b64("q"), 1, 30)), 1),
     ]
     assert len(kinds) == KINDS
     paths = ["src/app.py", "config/prod.env", "lib/auth.go", "", "web", "deploy/values.yaml", "tests/test_auth.py", "examples/demo.env", "docs/setup.md", "spec/fixtures/keys.json", "src/mock/client.ts", "data/sample.cfg"]
     drawn = F.pmod(F.xxhash64("id", F.lit("path")), F.lit(24))
-    against, path = drawn >= 18, F.element_at(F.array(*map(F.lit, paths)), F.when(drawn < 18, drawn % 6).otherwise(drawn - 12).cast("int") + 1)
+    against, path = drawn >= 18, F.element_at(_listed(paths), F.when(drawn < 18, drawn % 6).otherwise(drawn - 12).cast("int") + 1)
     rows = spark.range(n).select("id", F.pmod("id", F.lit(KINDS)).alias("kind"))
     pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) if isinstance(k[i], int) else k[i] for k in kinds]), (F.col("kind") + 1).cast("int"))
     return rows.select(pick(0).alias("value"), F.concat(other, pick(1)).alias("left"), F.concat(pick(2), F.lit(" "), word(9)).alias("right"), path.alias("path"), F.when(against, 0).otherwise(pick(3)).alias("label"))
@@ -146,7 +153,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
 
 def fit(findings: DataFrame, bound: int = 4 * LABELLED) -> Model:
     """Transitions and a forest from at most `bound` labelled findings (value, left, right, path, label)."""
-    findings = findings.where("label is not null and value <> ''").limit(bound)
+    findings = written(findings.where("label is not null and value <> ''").select("value", "left", "right", "path", "label").limit(bound))
     transitions = learn_transitions(F.concat_ws(" ", "left", "right"), findings)
     columns = features(F.col("value"), F.col("left"), F.col("right"), F.col("path"), transitions)
     rows = findings.select(*columns, F.col("label").cast("double").alias("label"))
