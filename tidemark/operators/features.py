@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import folds
@@ -11,8 +11,9 @@ from . import windows as X
 
 def relative(rows: DataFrame, benchmark: str) -> DataFrame:
     """Adds rs24: percent by which a symbol's return of 24 bars beats the benchmark's at the same time; null where that is unknown."""
-    base = rows.where(F.col("sym") == benchmark).select("t", F.col("ret24h").alias("__base"))
-    return rows.join(base, "t", "left").withColumn("rs24", (F.col("ret24h") - F.col("__base")) * 100).drop("__base")
+    here = Window.partitionBy("t")
+    base = F.max(F.when(F.col("sym") == benchmark, F.col("ret24h"))).over(here)
+    return rows.withColumn("rs24", (F.col("ret24h") - base) * 100)
 
 
 def feature_rows(bars: DataFrame, width: int = 3600, tolerance: float = 0.01, block: int = X.BLOCK) -> DataFrame:
@@ -21,7 +22,7 @@ def feature_rows(bars: DataFrame, width: int = 3600, tolerance: float = 0.01, bl
     Everything is causal; nulls mean unknown and close every gate that reads them. All frames are computed on one partitioning, by symbol
     and block of bars, so a symbol of any length is many tasks.
     """
-    rows = X.indexed(folds.emas(bars, {"ema20": 20, "ema50": 50}))
+    rows = folds.emas(X.indexed(bars), {"ema20": 20, "ema50": 50})
     return X.in_blocks(rows, lambda part: _frames(part, width, tolerance), block).drop("__i")
 
 

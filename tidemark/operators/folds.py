@@ -26,8 +26,8 @@ def _carry(j: int, k: float):
 
 def emas(bars: DataFrame, periods: dict[str, int], of: str = "close", block: int = BLOCK) -> DataFrame:
     """Adds an exponential average for each name and period: k = 2 / (period + 1), seeded by the mean of the first `period` values at
-    index period - 1, null before. All are folded together, so the bars are read once more for the carries, however many there are."""
-    rows = indexed(bars).withColumn("__b", F.floor(F.col("__i") / block))
+    index period - 1, null before. Rows that are numbered already (`__i`) stay so. All are folded together, so the bars are read once more for the carries, however many there are."""
+    rows = (bars if "__i" in bars.columns else indexed(bars)).withColumn("__b", F.floor(F.col("__i") / block))
     ks = {name: 2.0 / (n + 1) for name, n in periods.items()}
     # within a block, the value at offset j from its end weighs k (1 - k)^j; far offsets vanish
     back = (F.col("__b") + 1) * block - 1 - F.col("__i")
