@@ -52,6 +52,16 @@ def watch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.merged_watches(e, ["px", "status"])
 
 
+@query("""WITH m AS (SELECT user_id AS watch, last(value ORDER BY event_id) FILTER (event_type = 'view') AS px, last(event_type ORDER BY event_id) AS status, count(*) AS events FROM events GROUP BY 1),
+a AS (SELECT c_custkey AS watch, CASE WHEN c_nationkey < 12 THEN round(c_acctbal, 2) END AS px, c_mktsegment AS status FROM customer WHERE c_acctbal > 5000)
+SELECT coalesce(m.watch, a.watch) AS watch, coalesce(a.px, m.px) AS px, coalesce(a.status, m.status) AS status, coalesce(events, 0) AS events FROM m FULL JOIN a ON a.watch = m.watch""")
+def watch_merge_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events merged as in watch_merge, then the states that are on now over them."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("watch"), F.when(F.col("event_type") == "view", F.col("value")).alias("px"), F.col("event_type").alias("status"), F.col("event_id").alias("no"))
+    now = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("watch"), F.when(F.col("c_nationkey") < 12, F.round("c_acctbal", 2)).alias("px"), F.col("c_mktsegment").alias("status"))
+    return L.merged_watches(e, ["px", "status"], active=now)
+
+
 @query("""SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) AS slot, count(DISTINCT CASE WHEN value > 30 OR user_id % 5 = 0 THEN event_type END) AS n, max(CASE WHEN event_type = 'click' AND (value > 30 OR user_id % 5 = 0) THEN 1 ELSE 0 END) AS click FROM events GROUP BY 1""")
 def sparse_flag_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).groupBy("slot", F.col("event_type").alias("sym")).agg(F.max(F.col("value") > 30).alias("big"), F.max(F.col("user_id") % 5 == 0).alias("fifth"))
@@ -65,6 +75,23 @@ def served_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.serve(rows, 19724, 19740, "events")
 
 
+@query("""WITH p AS (SELECT event_id AS id, concat(event_type, user_id % 40) AS sym, CAST(user_id % 3 AS VARCHAR) AS cls, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value AS px FROM events WHERE floor(epoch(ts)) >= 1704672000),
+w AS (SELECT max(event_id) AS watch, concat(event_type, user_id % 40) AS sym, CASE WHEN user_id % 3 < 2 THEN CAST(user_id % 3 AS VARCHAR) END AS cls, CASE WHEN user_id % 40 < 20 THEN max(event_id) END AS source, CAST(floor(max(epoch(ts))) AS BIGINT) + 30 AS push_ts, CASE user_id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'waiting' ELSE 'invalid' END AS status FROM events GROUP BY event_type, user_id % 40, user_id % 3),
+g AS (SELECT sym, count(*) AS n, string_agg(DISTINCT cls, ',' ORDER BY cls) AS classes FROM p GROUP BY 1), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY ts DESC, id DESC) AS k FROM p) WHERE k = 1),
+o AS (SELECT * FROM (SELECT w.watch, w.status, p.id, p.ts, p.px, p.sym, row_number() OVER (PARTITION BY p.sym ORDER BY w.watch) AS k FROM w JOIN p ON p.sym = w.sym AND p.id = w.source) WHERE k = 1),
+y AS (SELECT * FROM (SELECT w.watch, w.status, l.sym, row_number() OVER (PARTITION BY l.sym ORDER BY w.watch) AS k FROM w JOIN l ON l.sym = w.sym AND w.source IS NULL AND (w.cls IS NULL OR w.cls = l.cls) AND abs(push_ts - l.ts) < 60) WHERE k = 1)
+SELECT g.sym, g.n, g.classes, coalesce(o.id, l.id) AS id, coalesce(o.ts, l.ts) AS ts, coalesce(o.px, l.px) AS px, coalesce(o.watch, y.watch) AS watch, coalesce(o.status, y.status) AS status FROM g JOIN l USING (sym) LEFT JOIN o USING (sym) LEFT JOIN y USING (sym)""")
+def push_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushes by symbol with the watch that one of them armed, else one pushed at the time of the latest."""
+    e = _events(spark, sf_dir)
+    sym, cls = F.concat("event_type", (F.col("user_id") % 40).cast("string")), F.col("user_id") % 3
+    pushes = e.where("s >= 1704672000").select(F.col("event_id").alias("id"), sym.alias("sym"), cls.cast("string").alias("cls"), F.col("s").alias("ts"), F.col("value").alias("px"))
+    w = e.groupBy(sym.alias("sym"), cls.alias("c"), (F.col("user_id") % 40).alias("u")).agg(F.max("event_id").alias("watch"), (F.max("s") + 30).alias("push_ts"))
+    status = F.when(F.col("c") == 0, "ready").when(F.col("c") == 1, "waiting").otherwise("invalid")
+    w = w.select("watch", "sym", F.when(F.col("c") < 2, F.col("c").cast("string")).alias("cls"), F.when(F.col("u") < 20, F.col("watch")).alias("source"), "push_ts", status.alias("status"))
+    return L.watched_pushes(pushes, w)
+
+
 @query("""WITH p AS (SELECT event_type AS sym, count(*) AS n, max(event_id) AS last_id, string_agg(DISTINCT CAST(user_id % 3 AS VARCHAR), ',' ORDER BY CAST(user_id % 3 AS VARCHAR)) AS classes FROM events WHERE epoch(ts) >= 1706140800 GROUP BY 1),
 px AS (SELECT event_type AS sym, last(value ORDER BY ts, event_id) AS now_px FROM events GROUP BY 1), l AS (SELECT p.*, e.value AS px FROM p JOIN events e ON e.event_id = p.last_id)
 SELECT sym, n, classes, round(px, 6) AS px, round(now_px / nullif(px, 0) - 1, 6) AS ret, row_number() OVER (ORDER BY now_px / nullif(px, 0) - 1 DESC NULLS LAST, sym) AS place FROM l JOIN px USING (sym)""")

@@ -72,12 +72,36 @@ def notifications(lines: DataFrame) -> DataFrame:
     return best.select("id", "r.*")
 
 
-def merged_watches(events: DataFrame, columns: list[str], key: str = "watch", order: str = "no") -> DataFrame:
-    """Delta merge: per watch the last known value of every column, in log order."""
+def merged_watches(events: DataFrame, columns: list[str], key: str = "watch", order: str = "no", active: DataFrame | None = None) -> DataFrame:
+    """Delta merge: per watch the last known value of every column, in log order. `active` holds states that are on now: what they know
+    counts after any event, and a watch that no event names is there too; they are not counted as events."""
+    if active is not None:
+        now = active.select(key, *columns, F.lit(True).alias("__now"))
+        rank = F.struct(F.coalesce("__now", F.lit(False)).alias("now"), F.col(order).alias("no"))
+        events = events.unionByName(now, allowMissingColumns=True).withColumn("__rank", rank)
+        known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__rank"))).alias(c) for c in columns]
+        return events.groupBy(key).agg(*known, F.count_if(F.col("__now").isNull()).alias("events"))
     known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
     return events.groupBy(key).agg(*known, F.count("*").alias("events"))
 
 
+def watched_pushes(pushes: DataFrame, watches: DataFrame, within: int = 60) -> DataFrame:
+    """One row a symbol of pushes (id, sym, cls, ts, px): how many, their classes, the push it stands for, and its watch, or null.
+
+    watches: watch, sym, source, cls, push_ts, status. A watch of one of the symbol's pushes comes first, the smallest of several, and its
+    push is the row's; else the latest push takes the smallest watch without a source, of its class or none, pushed within `within` seconds.
+    """
+    push = F.struct("ts", "id", "px", "cls")
+    rows = pushes.groupBy("sym").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("cls")), ",").alias("classes"), F.max(push).alias("latest"))
+    owned = watches.join(pushes.select("sym", F.col("id").alias("source"), push.alias("push")), ["sym", "source"]).groupBy("sym").agg(F.min(F.struct("watch", "status", "push")).alias("own"))
+    w = watches.where("source is null").select("sym", F.col("cls").alias("wcls"), "push_ts", "watch", "status")
+    near = rows.select("sym", "latest").join(w, "sym").where((F.col("wcls").isNull() | (F.col("wcls") == F.col("latest.cls"))) & (F.abs(F.col("push_ts") - F.col("latest.ts")) < within))
+    near = near.groupBy("sym").agg(F.min(F.struct("watch", "status")).alias("by"))
+    out = rows.join(owned, "sym", "left").join(near, "sym", "left")
+    chosen = F.coalesce("own.push", "latest")
+    return out.select("sym", "n", "classes", chosen["id"].alias("id"), chosen["ts"].alias("ts"), chosen["px"].alias("px"), F.coalesce("own.watch", "by.watch").alias("watch"), F.coalesce("own.status", "by.status").alias("status"))
+
+
 def serve(rows: DataFrame, first_day: int, last_day: int, kind: str = "recordings", day: str = "day") -> DataFrame:
     """Rows of a range of days, by the partition column; ranges that are reversed or too long are refused."""
     if last_day < first_day or last_day - first_day + 1 > MAX_DAYS[kind]:
