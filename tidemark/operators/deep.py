@@ -12,14 +12,14 @@ from .asof import range_sum
 from .outcomes import path
 
 
-def geometry(bars: DataFrame, frame: int = 96, fall: tuple[float, float] = (0.06, 0.2), age: tuple[int, int] = (4, 80), top_pos: float = 0.7, rise4: float = 0.06, reach: float = 3.0) -> DataFrame:
-    """Adds drawdown, trough_age, level, the rank score of candidates and `reject`: the first reason, in order, against a reclaim, or null for a candidate.
+def measures(bars: DataFrame, frame: int = 96) -> DataFrame:
+    """Adds what reclaims are judged by: drawdown, trough_age, trough_low, level, pos, r4, atr, ema20, ema50, prev_close, prev_ema and the row number i.
 
     The fall is the largest from a peak to a later trough among the last `frame` closes; the level is the higher of EMA50 and the
-    highest high since the trough; a close farther than `reach` true ranges above EMA20 is extended.
+    highest high since the trough.
     """
     rows = folds.emas(X.atr(bars), {"ema20": 20, "ema50": 50})
-    rows = rows.withColumns({"cl": F.collect_list("close").over(X.upto(frame)), "hi": F.collect_list("high").over(X.upto(frame))})
+    rows = rows.withColumns({"cl": F.collect_list("close").over(X.upto(frame)), "hi": F.collect_list("high").over(X.upto(frame)), "lo": F.collect_list("low").over(X.upto(frame))})
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("worst"), F.lit(0).alias("at"), F.lit(0).alias("i"))
 
     def step(a: Column, x: Column) -> Column:
@@ -32,18 +32,28 @@ def geometry(bars: DataFrame, frame: int = 96, fall: tuple[float, float] = (0.06
     n = F.size("cl")
     after = F.slice("hi", F.col("dd.at") + 2, F.greatest(n - F.col("dd.at") - 1, F.lit(0)))
     rows = rows.withColumns({
-        "i": X.index(), "drawdown": F.col("dd.worst"), "trough_age": n - 1 - F.col("dd.at"), "level": F.greatest(F.col("ema50"), F.array_max(after)), "pos": X.range_position(frame), "r4": X.change(4),
+        "i": X.index(), "drawdown": F.col("dd.worst"), "trough_age": n - 1 - F.col("dd.at"), "trough_low": F.get("lo", F.col("dd.at")), "level": F.greatest(F.col("ema50"), F.array_max(after)), "pos": X.range_position(frame), "r4": X.change(4),
         "prev_close": F.lag("close").over(X.by_time()), "prev_ema": F.lag("ema20").over(X.by_time()),
     })
+    return rows.drop("cl", "hi", "lo", "dd")
+
+
+def rejections(frame: int, fall: tuple[float, float], age: tuple[int, int], top_pos: float, rise4: float, reach: float) -> list[tuple[str, Column]]:
+    """Rules over measures, in order: (reason, what must hold). A close farther than `reach` true ranges above EMA20 is extended."""
     c, e = F.col("close"), F.col("ema20")
-    rules = [
+    return [
         ("history", F.col("i") >= frame - 1), ("drawdown", F.col("drawdown").between(*fall)), ("trough-age", F.col("trough_age").between(*age)), ("position", F.col("pos") <= top_pos),
         ("return-4h", (F.col("r4") > 0) & (F.col("r4") <= rise4)), ("cross", (c > e) & (F.col("prev_close") <= F.col("prev_ema"))), ("slope", e > F.col("prev_ema")), ("extended", c - e <= reach * F.col("atr")),
     ]
-    reject = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
-    gap = F.try_divide(F.col("level") - c, F.col("atr"))
+
+
+def geometry(bars: DataFrame, frame: int = 96, fall: tuple[float, float] = (0.06, 0.2), age: tuple[int, int] = (4, 80), top_pos: float = 0.7, rise4: float = 0.06, reach: float = 3.0) -> DataFrame:
+    """Adds drawdown, trough_age, trough_low, level, the rank score of candidates and `reject`: the first reason, in order, against a reclaim, or null for a candidate."""
+    rows = measures(bars, frame)
+    reject = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rejections(frame, fall, age, top_pos, rise4, reach)])
+    gap = F.try_divide(F.col("level") - F.col("close"), F.col("atr"))
     score = rank_score(gap, F.col("drawdown"), F.col("pos"), F.col("trough_age"), F.col("r4"), fall, top_pos, age, rise4)
-    return rows.withColumn("reject", reject).withColumn("score", F.when(F.col("reject").isNull(), score)).drop("cl", "hi", "dd", "i", "pos", "r4", "prev_close", "prev_ema", "ema20", "ema50", "atr")
+    return rows.withColumn("reject", reject).withColumn("score", F.when(F.col("reject").isNull(), score)).drop("i", "pos", "r4", "prev_close", "prev_ema", "ema20", "ema50", "atr")
 
 
 def quantity_decision(age: Column, change1h: Column, change4h: Column, most_age: int = 600) -> Column:

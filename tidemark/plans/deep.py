@@ -16,10 +16,14 @@ _DD = """dl AS (SELECT *, list_transform(cl, lambda x, i: coalesce(1 - x / nulli
 dm AS (SELECT *, greatest(list_max(dds), 0) AS drawdown, CASE WHEN list_max(dds) > 0 THEN len(dds) - list_position(list_reverse(dds), list_max(dds)) ELSE 0 END AS tr FROM dl)"""
 
 
-@query(f"""{EVENT_BARS_SQL}, {ema_sql(20, name='ema20')}, {ema_sql(50, name='ema50')}, d0 AS (SELECT b.*, e_20.ema20, e_50.ema50 FROM b LEFT JOIN e_20 USING (sym, t) LEFT JOIN e_50 USING (sym, t)),
+#: Measures of reclaims, after b: common table expressions that end in dm.
+GEOMETRY_SQL = f"""{ema_sql(20, name='ema20')}, {ema_sql(50, name='ema50')}, d0 AS (SELECT b.*, e_20.ema20, e_50.ema50 FROM b LEFT JOIN e_20 USING (sym, t) LEFT JOIN e_50 USING (sym, t)),
 d1 AS (SELECT *, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr0, row_number() OVER o - 1 AS i, lag(close) OVER o AS pc, lag(ema20) OVER o AS pe, close / nullif(coalesce(lag(close, 4) OVER o, first_value(close) OVER o), 0) - 1 AS r4 FROM d0 WINDOW o AS (PARTITION BY sym ORDER BY t)),
-dw AS (SELECT *, CASE WHEN count(tr0) OVER w14 = 14 THEN avg(tr0) OVER w14 END AS atr, list(close) OVER w96 AS cl, list(high) OVER w96 AS hi, CASE WHEN max(high) OVER w97 > min(low) OVER w97 THEN (close - min(low) OVER w97) / (max(high) OVER w97 - min(low) OVER w97) ELSE 0.5 END AS pos
- FROM d1 WINDOW w14 AS (PARTITION BY sym ORDER BY t ROWS 13 PRECEDING), w96 AS (PARTITION BY sym ORDER BY t ROWS 95 PRECEDING), w97 AS (PARTITION BY sym ORDER BY t ROWS 96 PRECEDING)), {_DD},
+dw AS (SELECT *, CASE WHEN count(tr0) OVER w14 = 14 THEN avg(tr0) OVER w14 END AS atr, list(close) OVER w96 AS cl, list(high) OVER w96 AS hi, list(low) OVER w96 AS lo, CASE WHEN max(high) OVER w97 > min(low) OVER w97 THEN (close - min(low) OVER w97) / (max(high) OVER w97 - min(low) OVER w97) ELSE 0.5 END AS pos
+ FROM d1 WINDOW w14 AS (PARTITION BY sym ORDER BY t ROWS 13 PRECEDING), w96 AS (PARTITION BY sym ORDER BY t ROWS 95 PRECEDING), w97 AS (PARTITION BY sym ORDER BY t ROWS 96 PRECEDING)), {_DD}"""
+
+
+@query(f"""{EVENT_BARS_SQL}, {GEOMETRY_SQL},
 g AS (SELECT sym, t, drawdown, len(cl) - 1 - tr AS trough_age, greatest(ema50, list_max(hi[tr + 2:])) AS level, CASE WHEN NOT coalesce(i >= 95, false) THEN 'history' WHEN NOT coalesce(drawdown BETWEEN 0.06 AND 2, false) THEN 'drawdown' WHEN NOT coalesce(len(cl) - 1 - tr BETWEEN 2 AND 80, false) THEN 'trough-age'
  WHEN NOT coalesce(pos <= 0.9, false) THEN 'position' WHEN NOT coalesce(r4 > 0 AND r4 <= 50, false) THEN 'return-4h' WHEN NOT coalesce(close > ema20 AND pc <= pe, false) THEN 'cross' WHEN NOT coalesce(ema20 > pe, false) THEN 'slope' WHEN NOT coalesce(close - ema20 <= 3 * atr, false) THEN 'extended' END AS reject, close, atr, pos, r4 FROM dm)
 SELECT sym, t, round(drawdown, 6) AS drawdown, CAST(trough_age AS INTEGER) AS trough_age, round(level, 6) AS level, reject, CASE WHEN reject IS NULL THEN round(40 * least(1, greatest(0, 1 - greatest(0, (level - close) / nullif(atr, 0)) / 2)) + 20 * least(1, greatest(0, (drawdown - 0.06) / (2 - 0.06)))
