@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import arms as A
 from ..operators import books as B
 from ..registry import query
 from ..sources.tables import ticks
@@ -28,6 +29,24 @@ def paper_blotter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.blotter(B.ledger(book_ticks(spark, sf_dir), B.Rules(fill_within=86400))), {"closed": 6, "pnl": 8})
 
 
+def arm_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of a quarter of an hour, of ten books by user; entries are disabled on every seventh day."""
+    rows = book_ticks(spark, sf_dir)
+    return rows.select("book", (F.col("t") - F.col("t") % 900).alias("t"), "seq", "sym", (100 + F.col("px") / 5).alias("px"), "edge", (F.floor(F.col("t") / 86400) % 7 > 0).alias("enabled"))
+
+
+@query()
+def paper_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills of the arms A, B, C and of the confirmed one; a greedy fold has no plain SQL, a test holds it against a loop."""
+    return rounded(A.arms(arm_sweeps(spark, sf_dir), A.Settings(fill_within=86400)), {"px": 6, "part": 6, "pnl": 6, "equity": 6})
+
+
+@query()
+def arm_blotter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line an open and one a fill, of all arms, as a CSV export has them."""
+    return rounded(A.blotter_lines(A.arms(arm_sweeps(spark, sf_dir), A.Settings(fill_within=86400))), {"entry": 6, "px": 6, "part": 6, "pnl": 6})
+
+
 def portfolio_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten portfolios by user: even ticks ask to enter, with the next slot's open for most of them, odd ones settle their symbol."""
     rows = ticks(spark, sf_dir).where("px > 0")
