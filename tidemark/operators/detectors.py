@@ -197,15 +197,26 @@ def insight_rules(switches: frozenset[str] = frozenset(), params: Params = PRODU
     return [(name, tone, priority, text + but if name == "breakout-confirmed" else text) for name, tone, priority, text in rules]
 
 
-def insights(features: DataFrame, most: int = 6, switches: frozenset[str] = frozenset(), params: Params = PRODUCTION) -> DataFrame:
-    """(sym, t, rank, id, tone, priority): insights of a bar by priority, ties in order of evaluation, the first `most` of them."""
+def insights(features: DataFrame, most: int = 6, switches: frozenset[str] = frozenset(), params: Params = PRODUCTION, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sym, t, rank, id, tone, priority and the features to keep): insights of a bar by priority, ties in order of evaluation, the first `most` of them."""
     fired = [
         F.when(F.expr(text), F.struct(F.lit(-priority).alias("p"), F.lit(i).alias("i"), F.lit(name).alias("id"), F.lit(tone).alias("tone")))
         for i, (name, tone, priority, text) in enumerate(insight_rules(switches, params))
     ]
     best = F.slice(F.array_sort(F.filter(F.array(*fired), lambda x: x.isNotNull())), 1, most)
-    rows = features.select("sym", "t", F.posexplode(best).alias("k", "x"))
-    return rows.select("sym", "t", (F.col("k") + 1).alias("rank"), "x.id", "x.tone", (-F.col("x.p")).alias("priority"))
+    rows = features.select("sym", "t", *keep, F.posexplode(best).alias("k", "x"))
+    return rows.select("sym", "t", (F.col("k") + 1).alias("rank"), "x.id", "x.tone", (-F.col("x.p")).alias("priority"), *keep)
+
+
+#: Insights of an event: the feature that holds the time of its bar. All others are of the last bar.
+ANCHORS = {"ema-golden-cross": "cross_t", "ema-death-cross": "cross_t", "upthrust-rejection": "upper_t", "capitulation-wick": "lower_t"}
+
+
+def anchored_insights(features: DataFrame, **how) -> DataFrame:
+    """insights with anchor_t: the bar that an insight marks."""
+    columns = tuple(dict.fromkeys(ANCHORS.values()))
+    at = F.coalesce(*[F.when(F.col("id") == name, F.col(c)) for name, c in ANCHORS.items()], F.col("t"))
+    return insights(features, keep=columns, **how).withColumn("anchor_t", at).drop(*columns)
 
 
 def remediation(side: Column) -> dict[str, Column]:

@@ -228,10 +228,11 @@ def below_run(rows: DataFrame, flag: Column, n: int) -> DataFrame:
 
 
 def latest_cross(rows: DataFrame, fast: str, slow: str, n: int = 8) -> DataFrame:
-    """Adds `cross`: 1 or -1 for the latest sign change of fast - slow within n rows, 0 without one."""
+    """Adds `cross`: 1 or -1 for the latest sign change of fast - slow within n rows, 0 without one; and cross_t, its time."""
     sign = F.signum(F.col(fast) - F.col(slow)).cast("int")
     rows = rows.withColumn("sg", sign).withColumn("pv", F.lag("sg").over(by_time()))
     rows = rows.withColumn("x", F.when((F.col("sg") != F.col("pv")) & (F.col("sg") != 0), F.col("sg")))
+    rows = rows.withColumn("cross_t", F.max(F.when(F.col("x").isNotNull(), F.col("t"))).over(upto(n)))
     return rows.withColumn("cross", F.coalesce(F.last("x", ignorenulls=True).over(upto(n)), F.lit(0))).drop("sg", "pv", "x")
 
 

@@ -9,8 +9,9 @@ from ..functions import scalars as S
 from ..operators import detectors as D
 from ..operators import features as X
 from ..operators import windows as W
+from ..operators.deep import store_state
 from ..registry import query
-from ..sources.tables import EVENT_BARS_SQL, TRADE_BARS_SQL, event_bars, table, trade_bars
+from ..sources.tables import EVENT_BARS_SQL, TRADE_BARS_SQL, event_bars, table, ticks, trade_bars
 from .bars import rounded
 from .windows import _STRENGTH, ema_sql, with_interest
 
@@ -86,6 +87,33 @@ def insights_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.insights(features(spark, sf_dir), switches=D.SWITCHED, params=D.SCALED)
 
 
+_INSIGHTS = _insight_sql(D.insight_rules()).replace("SELECT sym, t, CAST(rank AS INTEGER) AS rank", ", r6 AS (SELECT sym, t, CAST(rank AS INTEGER) AS rank") + ")"
+_MARKS = """w1 AS (SELECT sym, t, max(CASE WHEN cx IS NOT NULL THEN t END) OVER (PARTITION BY sym ORDER BY t ROWS 7 PRECEDING) AS cross_t, list({'v': uw, 'nt': -t}) OVER w4 AS us, list({'v': lw, 'nt': -t}) OVER w4 AS ls FROM f3 WINDOW w4 AS (PARTITION BY sym ORDER BY t ROWS 3 PRECEDING)),
+w2 AS (SELECT sym, t, cross_t, -list_max(us).nt AS upper_t, -list_max(ls).nt AS lower_t FROM w1)"""
+
+
+@query(f"{_INSIGHTS}, {_MARKS} SELECT r6.*, coalesce(CASE id " + " ".join(f"WHEN '{name}' THEN {c}" for name, c in D.ANCHORS.items()) + " END, t) AS anchor_t FROM r6 JOIN w2 USING (sym, t)")
+def insight_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insights with the bar that each marks: a cross, the longest wick, or the last bar."""
+    return D.anchored_insights(features(spark, sf_dir))
+
+
+_NOW = 1706400000
+
+
+@query(f"""{FEATURES_SQL}, one AS (SELECT * FROM feat WHERE sym = 'view' AND t + 3600 <= {_NOW} ORDER BY t DESC LIMIT 1),
+st AS (SELECT count(*) FILTER (ts <= {_NOW} - 169200) > 0 AND max(ts) >= {_NOW} - 1200 AS ready FROM ev WHERE sym = 'view' AND ts > {_NOW} - 176400 AND ts <= {_NOW})
+SELECT 'cold' AS mode, sym, t, round(ret24h, 4) AS ret24h, round(vol_z, 4) AS vol_z, round(oi4h, 4) AS oi4h FROM one UNION ALL SELECT 'warm', sym, CASE WHEN ready THEN t END, CASE WHEN ready THEN round(ret24h, 4) END, CASE WHEN ready THEN round(vol_z, 4) END, CASE WHEN ready THEN round(oi4h, 4) END FROM one, st""")
+def single_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last closed bar of one symbol on demand; warm, its values are null unless the store is ready. Only that symbol's ticks are shuffled."""
+    bars = event_bars(spark, sf_dir).where("sym = 'view'")
+    last = X.feature_rows(bars, tolerance=TOLERANCE).where(F.col("t") + 3600 <= _NOW).groupBy("sym").agg(F.max_by(F.struct("t", "ret24h", "vol_z", "oi4h"), "t").alias("r")).select("sym", "r.*")
+    state = store_state(ticks(spark, sf_dir).where("sym = 'view'"), _NOW).select("sym", (F.col("warm") & F.col("fresh")).alias("ready"))
+    names = ["t", "ret24h", "vol_z", "oi4h"]
+    warm = last.join(state, "sym", "left").select(F.lit("warm").alias("mode"), "sym", *[F.when(F.col("ready"), F.col(c)).alias(c) for c in names])
+    return rounded(last.select(F.lit("cold").alias("mode"), "sym", *names).unionByName(warm), dict.fromkeys(names[1:], 4))
+
+
 @query(f"{FEATURES_SQL}, f AS ({_detector_sql(D.SCALED)}) " + " UNION ALL ".join(f"SELECT '{n}' AS filter, side, count(*) AS n FROM f JOIN feat USING (sym, t) WHERE coalesce(CASE WHEN side = 'long' THEN {a} ELSE {b} END, false) GROUP BY side" for n, (a, b) in D.REMEDIATION_SQL.items()))
 def remediation_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
