@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, lang_id, licenses, packing, quality, repeats, secrets, simhash
+from . import audit, chat, decontaminate, embeddings, lang_id, licenses, packing, quality, repeats, secrets, simhash
 from .common import table, written
 
 
@@ -67,9 +67,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by language."""
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = (
     op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_best_fit_packing, op5_chat_linking,
     op6_simhash_near_dedup, op7_suffix_repeats, op8_decontaminate, op9_license_scan, op10_language_id,
+    op11_filter_audit,
 )
 
 
@@ -79,4 +85,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Where there is none, SQL can't express the query (trees, hashes, tokenizers) or not in useful time (all 400-byte strings)."""
-    return {"op2_embedding_near_dedup": embeddings.SQL, "op8_decontaminate": decontaminate.SQL, "op9_license_scan": licenses.sql()}
+    return {"op2_embedding_near_dedup": embeddings.SQL, "op8_decontaminate": decontaminate.SQL, "op9_license_scan": licenses.sql(), "op11_filter_audit": audit.SQL}
