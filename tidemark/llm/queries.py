@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontaminate, embeddings, lang_id, licenses, packing, quality, repeats, secrets, simhash
+from . import alignment, audit, chat, decontaminate, embeddings, lang_id, licenses, packing, quality, repeats, secrets, simhash, topk
 from .common import table, written
 
 
@@ -72,10 +72,23 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by quantised inner product of every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers' tokens; the groups themselves as a digest."""
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    found = written(found.select("doc_id", "row", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"))
+    return alignment.score(found, alignment.n_pieces()).drop("row")
+
+
 QUERIES = (
     op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_best_fit_packing, op5_chat_linking,
     op6_simhash_near_dedup, op7_suffix_repeats, op8_decontaminate, op9_license_scan, op10_language_id,
-    op11_filter_audit,
+    op11_filter_audit, op12_exact_top_k, op13_token_alignment,
 )
 
 
@@ -85,4 +98,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Where there is none, SQL can't express the query (trees, hashes, tokenizers) or not in useful time (all 400-byte strings)."""
-    return {"op2_embedding_near_dedup": embeddings.SQL, "op8_decontaminate": decontaminate.SQL, "op9_license_scan": licenses.sql(), "op11_filter_audit": audit.SQL}
+    return {"op2_embedding_near_dedup": embeddings.SQL, "op8_decontaminate": decontaminate.SQL, "op9_license_scan": licenses.sql(), "op11_filter_audit": audit.SQL, "op12_exact_top_k": topk.SQL}
