@@ -1,10 +1,13 @@
-"""As-of and range joins on built-in windows: one shuffle by key and one sort, no range self-join."""
+"""As-of and range joins by blocks of time: a block is read with what is carried in from the ones before, so neither a range self-join nor a
+task with a whole key is needed."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def _stacked(left: DataFrame, right: DataFrame, by: str, at: Column, ts: str, order: list[str], right_first: bool) -> DataFrame:
     a = left.select(by, at.alias("__k"), F.lit(1).alias("__side"), F.lit(None).cast("struct<" + ",".join(f"{c}:{right.schema[c].dataType.simpleString()}" for c in order) + ">").alias("__o"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in right.schema)}>").alias("__r"))
@@ -12,23 +15,21 @@ def _stacked(left: DataFrame, right: DataFrame, by: str, at: Column, ts: str, or
     return a.unionByName(b)
 
 
-def asof(left: DataFrame, right: DataFrame, at: Column, names: dict[str, str], by: str = "sym", ts: str = "ts", order: list[str] | None = None, max_age: int | None = None, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, at: Column, names: dict[str, str], by: str = "sym", ts: str = "ts", order: list[str] | None = None, max_age: int | None = None, strict: bool = False, span: int = scan.SPAN) -> DataFrame:
     """Adds to each left row columns of the last right row with ts <= at (< at if strict), null if it is older than max_age.
 
     names: right column -> new name. Of right rows of one time the last by `order` (default ts) counts. Never reads the future.
     """
     rows = _stacked(left, right, by, at, ts, order or [ts], not strict)
-    w = Window.partitionBy(by).orderBy("__k", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__l is not null")
+    rows = scan.running(rows, [by], ["__k", "__side", "__o"], {"__m": ("last", F.col("__r"))}, span).where("__l is not null")
     fresh = F.lit(True) if max_age is None else F.col("__k") - F.col(f"__m.{ts}") <= max_age
     return rows.select("__l.*", *[F.when(fresh, F.col(f"__m.{c}")).alias(n) for c, n in names.items()])
 
 
-def asof_forward(left: DataFrame, right: DataFrame, at: Column, names: dict[str, str], by: str = "sym", ts: str = "ts", order: list[str] | None = None, within: int | None = None) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, at: Column, names: dict[str, str], by: str = "sym", ts: str = "ts", order: list[str] | None = None, within: int | None = None, span: int = scan.SPAN) -> DataFrame:
     """As asof, but the first right row with ts > at, at most `within` later."""
     rows = _stacked(left, right, by, at, ts, order or [ts], True)
-    w = Window.partitionBy(by).orderBy("__k", "__side", "__o").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("__m", F.first("__r", ignorenulls=True).over(w)).where("__l is not null")
+    rows = scan.running(rows, [by], ["__k", "__side", "__o"], {"__m": ("first", F.col("__r"))}, span, ahead=True).where("__l is not null")
     near = F.lit(True) if within is None else F.col(f"__m.{ts}") - F.col("__k") <= within
     return rows.select("__l.*", *[F.when(near, F.col(f"__m.{c}")).alias(n) for c, n in names.items()])
 
@@ -40,13 +41,13 @@ def nearest(left: DataFrame, right: DataFrame, at: Column, value: str, name: str
     return rows.withColumn(name, F.coalesce("__back", "__next")).drop("__back", "__next")
 
 
-def range_sum(left: DataFrame, right: DataFrame, low: Column, high: Column, value: str, name: str, by: str = "sym", ts: str = "ts", order: list[str] | None = None) -> DataFrame:
+def range_sum(left: DataFrame, right: DataFrame, low: Column, high: Column, value: str, name: str, by: str = "sym", ts: str = "ts", order: list[str] | None = None, span: int = scan.SPAN) -> DataFrame:
     """Sum of right values with low < ts <= high: the difference of two as-of reads of the running sum, so no pairs are made."""
     order = order or [ts]
-    w = Window.partitionBy(by).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
-    run = right.select(by, ts, *[c for c in order if c != ts], F.sum(value).over(w).alias("__s"), F.count("*").over(w).alias("__n"))
-    rows = asof(left, run, low, {"__s": "__s0", "__n": "__n0"}, by, ts, order)
-    rows = asof(rows, run, high, {"__s": "__s1", "__n": "__n1"}, by, ts, order)
+    run = right.select(by, ts, *[c for c in order if c != ts], F.col(value).alias("__x"))
+    run = scan.running(run, [by], [ts, *[c for c in order if c != ts]], {"__s": ("sum", F.col("__x")), "__n": ("count", F.lit(1))}, span).drop("__x")
+    rows = asof(left, run, low, {"__s": "__s0", "__n": "__n0"}, by, ts, order, span=span)
+    rows = asof(rows, run, high, {"__s": "__s1", "__n": "__n1"}, by, ts, order, span=span)
     none = F.lit(0)
     return rows.withColumns({name: F.coalesce("__s1", F.lit(0.0)) - F.coalesce("__s0", F.lit(0.0)), f"{name}_n": F.coalesce("__n1", none) - F.coalesce("__n0", none)}).drop("__s0", "__s1", "__n0", "__n1")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def by_time():
     return Window.partitionBy("sym").orderBy("t")
@@ -59,16 +61,16 @@ def rollup_clock(bars: DataFrame, width: int, children: int, now: int | None = N
 def forward_fill(grid: DataFrame, points: DataFrame) -> DataFrame:
     """grid (sym, t), points (sym, t, v): last value at or before t; before the first point the first value; 0 without any point."""
     rows = grid.select("sym", "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("side")).unionByName(points.select("sym", "t", "v", F.lit(0).alias("side")))
-    upto = Window.partitionBy("sym").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     first = points.groupBy("sym").agg(F.min_by("v", "t").alias("v0"))
-    rows = rows.withColumn("v", F.last("v", ignorenulls=True).over(upto)).where("side = 1")
+    rows = scan.running(rows.withColumnRenamed("v", "x"), ["sym"], ["t", "side"], {"v": ("last", F.col("x"))}).where("side = 1")
     return rows.join(first, "sym", "left").select("sym", "t", F.coalesce("v", "v0", F.lit(0.0)).alias("v"))
 
 
 def attach_nearest(bars: DataFrame, points: DataFrame, width: int) -> DataFrame:
     """Points go to the bar of the nearest index (half up), the last one wins; then forward fill, null before the first."""
     at = points.withColumn("t", F.floor(F.col("ts") / width + 0.5).cast("long") * width).groupBy("sym", "t").agg(F.max_by("v", F.struct("ts", "seq")).alias("v"))
-    return bars.join(at, ["sym", "t"], "left").withColumn("v", F.last("v", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = bars.join(at.withColumnRenamed("v", "__x"), ["sym", "t"], "left")
+    return scan.running(rows, ["sym"], ["t"], {"v": ("last", F.col("__x"))}).drop("__x")
 
 
 def sparkline(bars: DataFrame, last: int = 289, every: int = 6, digits: int = 5) -> DataFrame:

@@ -7,11 +7,12 @@ holds more than a block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import indexed
@@ -26,7 +27,10 @@ def _carry(j: int, k: float):
 
 def emas(bars: DataFrame, periods: dict[str, int], of: str = "close", block: int = BLOCK) -> DataFrame:
     """Adds an exponential average for each name and period: k = 2 / (period + 1), seeded by the mean of the first `period` values at
-    index period - 1, null before. Rows that are numbered already (`__i`) stay so. All are folded together, so the bars are read once more for the carries, however many there are."""
+    index period - 1, null before. Rows that are numbered already (`__i`) stay so. All are folded together, so the bars are read once more
+    for the carries, however many there are. Within a block an average is a weighted running sum, so all of it stays in built-in functions;
+    blocks are short enough that the weights, powers of 1 - k, stay within a double."""
+    block = max(1, min(block, *(int(300 / -math.log(1 - 2.0 / (n + 1))) if n > 1 else block for n in periods.values())))
     rows = (bars if "__i" in bars.columns else indexed(bars)).withColumn("__b", F.floor(F.col("__i") / block))
     ks = {name: 2.0 / (n + 1) for name, n in periods.items()}
     # within a block, the value at offset j from its end weighs k (1 - k)^j; far offsets vanish
@@ -46,24 +50,15 @@ def emas(bars: DataFrame, periods: dict[str, int], of: str = "close", block: int
         seed = F.when(total(f"n{j}") == n, total(f"e{j}") / n)
         carried.append(F.aggregate("c", F.struct(seed.alias("y"), F.array().cast("array<double>").alias("in")), _carry(j, ks[name]), lambda a: a["in"]).alias(f"__in{j}"))
     carry = chain.select(F.col("sym").alias("__sym"), F.posexplode(F.arrays_zip(*carried)).alias("__cb", "__in")).select("__sym", "__cb", *[f"__in.__in{j}" for j in range(len(periods))])
-    columns = [*bars.columns, *periods]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__i")
-        x, i = pdf[of].to_numpy(float), pdf["__i"].to_numpy()
-        for j, (name, n) in enumerate(periods.items()):
-            k, y, out = ks[name], pdf[f"__in{j}"].iloc[0], np.full(len(x), np.nan)
-            for at in range(len(x)):
-                if i[at] >= n:
-                    y = x[at] * k + y * (1 - k)
-                if i[at] >= n - 1:
-                    out[at] = y
-            pdf[name] = pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None)
-        return pdf[columns]
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields), *(f"`{n}` double" for n in periods)])
     met = rows.join(carry, (F.col("sym") == F.col("__sym")) & (F.col("__b") == F.col("__cb")))
-    return met.groupBy("sym", "__b").applyInPandas(fold, schema)
+    w = Window.partitionBy("sym", "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    offset = F.col("__i") - F.col("__b") * block
+    for j, (name, n) in enumerate(periods.items()):
+        late, rest = F.col("__i") >= n, 1 - ks[name]
+        # values divided by the power of their place, summed, and multiplied by the power of the row's own place
+        inside = F.coalesce(F.sum(F.when(late, F.col(of) * ks[name] * F.pow(F.lit(rest), -offset))).over(w), F.lit(0.0)) * F.pow(F.lit(rest), offset)
+        met = met.withColumn(name, F.when(F.col("__i") >= n - 1, F.col(f"__in{j}") * F.pow(F.lit(rest), F.count(F.when(late, 1)).over(w)) + inside))
+    return met.select(*bars.columns, *periods)
 
 
 def ema(bars: DataFrame, period: int, of: str = "close", name: str = "ema", block: int = BLOCK) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def by_time():
     return Window.partitionBy("sym").orderBy("t")
@@ -93,12 +95,11 @@ def ladder(events: DataFrame, bars: DataFrame, width: int, horizon: int, targets
     return rows.select(*events.columns, state.alias("terminal"), gross.alias("gross"), (gross - cost).alias("net"))
 
 
-def equity_drawdown(trades: DataFrame, keys: list[str], at: list[str], value: str = "net", floor: float = 0.01) -> DataFrame:
-    """(keys, drawdown): largest fall of the compounded equity from its running peak, which starts at 1; a trade never takes it under floor."""
-    w = Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("__e", F.exp(F.sum(F.log(F.greatest(F.lit(floor), 1 + F.col(value)))).over(w)))
-    rows = rows.withColumn("__p", F.greatest(F.lit(1.0), F.max("__e").over(w)))
-    return rows.groupBy(*keys).agg(F.max(1 - F.col("__e") / F.col("__p")).alias("drawdown"))
+def equity_drawdown(trades: DataFrame, keys: list[str], at: list[str], value: str = "net", floor: float = 0.01, span: int = scan.SPAN) -> DataFrame:
+    """(keys, drawdown): largest fall of the compounded equity from its running peak, which starts at 1; a trade never takes it under floor.
+    The fall is that of the sum of logarithms, found by blocks of the first of the ordering columns."""
+    step = F.log(F.greatest(F.lit(floor), 1 + F.col(value)))
+    return scan.deepest_fall(trades, keys, at, step, span).select(*keys, (1 - F.exp(-F.col("fall"))).alias("drawdown"))
 
 
 def concentration(rows: DataFrame, keys: list[str], by: str, value: str = "net") -> DataFrame:

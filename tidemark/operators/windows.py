@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def by_time():
     return Window.partitionBy("sym").orderBy("t")
@@ -57,6 +59,56 @@ def in_blocks(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], block:
     return out.withColumn("sym", F.col("sym.sym"))
 
 
+def slide(rows: DataFrame, n: int, values: dict[str, tuple[str, Column]], skip: int = 0) -> DataFrame:
+    """Adds max, min, sum, count or z of a column over the n rows that end `skip` rows before each one, at a cost that doesn't grow with n.
+
+    Rows (numbered as __i) are cut into stretches of n. Any n rows are the end of one stretch and the start of the next, so running values
+    from the start and towards the end of stretches, which grow row by row, combine into each frame; no row carries an array. Near the
+    start of a symbol, frames are shorter. z is the current row's deviation from the frame's mean in population deviations, 0 without any.
+    """
+    stretch = Window.partitionBy("sym", F.floor(F.col("__i") / n))
+    up, down = stretch.orderBy("__i").rowsBetween(Window.unboundedPreceding, 0), stretch.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
+    plain = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
+    moments = lambda c, w: F.struct(F.count(c).over(w).alias("n"), F.avg(c).over(w).alias("m"), F.var_pop(c).over(w).alias("v"))
+    run = lambda kind, c, w: moments(c, w) if kind == "z" else plain[kind](c).over(w)
+    rows = rows.withColumns({f"__x_{name}": c for name, (_, c) in values.items()})
+    rows = rows.withColumns({f"__u_{name}": run(kind, F.col(f"__x_{name}"), up) for name, (kind, _) in values.items()})
+    rows = rows.withColumns({f"__d_{name}": run(kind, F.col(f"__x_{name}"), down) for name, (kind, _) in values.items()})
+    start = F.col("__i") - (n - 1 + skip)
+    near = {name: F.lag(f"__u_{name}", skip).over(by_time()) if skip else F.col(f"__u_{name}") for name in values}
+    far = {name: F.when((start > 0) & (start % n != 0), F.lag(f"__d_{name}", n - 1 + skip).over(by_time())) for name in values}
+    rows = rows.withColumns({f"__n_{name}": c for name, c in near.items()}).withColumns({f"__f_{name}": c for name, c in far.items()})
+    out = {}
+    for name, (kind, _) in values.items():
+        a, b = F.col(f"__f_{name}"), F.col(f"__n_{name}")
+        if kind == "z":
+            x, count = F.col(f"__x_{name}"), F.coalesce(a["n"], F.lit(0)) + F.coalesce(b["n"], F.lit(0))
+            weight = lambda s, field: F.coalesce(s["n"] * s[field], F.lit(0.0))
+            mean = F.try_divide(weight(a, "m") + weight(b, "m"), count)
+            spread = F.try_divide(weight(a, "v") + weight(b, "v"), count) + F.coalesce(a["n"] * b["n"] * F.pow(a["m"] - b["m"], 2) / (count * count), F.lit(0.0))
+            out[name] = F.when(count > 0, F.when(spread > 0, (x - mean) / F.sqrt(spread)).otherwise(0.0))
+        elif kind in ("sum", "count"):
+            out[name] = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+        else:
+            out[name] = (F.greatest if kind == "max" else F.least)(a, b)
+    return rows.withColumns(out).drop(*[f"__{k}_{name}" for name in values for k in "xudnf"])
+
+
+def slide_fall(rows: DataFrame, n: int, of: str, name: str) -> DataFrame:
+    """Adds the deepest fall of `of` from a value before it within the last n rows, as a share (0 or less): as in slide, from the falls
+    within both parts of a frame and that from the highest of the first part to the lowest of the second."""
+    stretch = Window.partitionBy("sym", F.floor(F.col("__i") / n))
+    up, down = stretch.orderBy("__i").rowsBetween(Window.unboundedPreceding, 0), stretch.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(of)
+    rows = rows.withColumns({"__hu": F.max(x).over(up), "__lu": F.min(x).over(up), "__hd": F.max(x).over(down), "__ld": F.min(x).over(down)})
+    rows = rows.withColumns({"__fu": F.try_divide(x, F.col("__hu")) - 1, "__fd": F.try_divide(F.col("__ld"), x) - 1})
+    rows = rows.withColumns({"__fu": F.min("__fu").over(up), "__fd": F.min("__fd").over(down)})
+    start = F.col("__i") - (n - 1)
+    apart = (start > 0) & (start % n != 0)
+    rows = rows.withColumns({"__ff": F.when(apart, F.lag("__fd", n - 1).over(by_time())), "__fh": F.when(apart, F.lag("__hd", n - 1).over(by_time()))})
+    return rows.withColumn(name, F.least("__fu", "__ff", F.try_divide("__lu", "__fh") - 1)).drop("__hu", "__lu", "__hd", "__ld", "__fu", "__fd", "__ff", "__fh")
+
+
 def zscore(n: int, least: int = 8, of: str = "q") -> Column:
     """Against the n rows before, population deviation; 0 with fewer than `least` rows or no deviation."""
     w = before(n)
@@ -105,10 +157,22 @@ def rolling_vwap(bars: DataFrame, n: int = 24) -> DataFrame:
 
 def anchored_vwap(bars: DataFrame, anchor: Column) -> DataFrame:
     """From the first row where `anchor` holds on; null before it and while no volume was seen."""
-    w = by_time().rowsBetween(Window.unboundedPreceding, 0)
-    rows = bars.withColumn("on", F.max(F.coalesce(anchor, F.lit(False)).cast("int")).over(w) == 1).withColumn("base", F.when(F.col("on"), base_volume()))
-    q, b = F.sum(F.when(F.col("on"), F.col("q"))).over(w), F.sum("base").over(w)
-    return rows.withColumn("vwap", F.when(b > 0, q / b)).drop("on", "base")
+    first = bars.where(anchor).groupBy(F.col("sym").alias("__sym")).agg(F.min("t").alias("__from"))
+    rows = bars.join(first, F.col("sym").eqNullSafe(F.col("__sym")), "left").drop("__sym").withColumn("on", F.coalesce(F.col("t") >= F.col("__from"), F.lit(False)))
+    rows = scan.running(rows, ["sym"], ["t"], {"__q": ("sum", F.when(F.col("on"), F.col("q"))), "__b": ("sum", F.when(F.col("on"), base_volume()))})
+    return rows.withColumn("vwap", F.when(F.col("__b") > 0, F.col("__q") / F.col("__b"))).drop("on", "__from", "__q", "__b")
+
+
+def day_position(n: int = 24) -> Column:
+    """Place of the close in the range of the last n bars, itself included; one half without a range."""
+    low, high = F.min("low").over(upto(n)), F.max("high").over(upto(n))
+    return F.when(high > low, (F.col("close") - low) / (high - low)).otherwise(0.5)
+
+
+def day_position_before(n: int = 24) -> Column:
+    """The same of the bar before, in the range of the n bars that end with it."""
+    low, high = F.min("low").over(before(n)), F.max("high").over(before(n))
+    return F.when(high > low, (F.lag("close").over(by_time()) - low) / (high - low)).otherwise(0.5)
 
 
 def range_position(n: int = 96) -> Column:
@@ -239,9 +303,11 @@ def latest_cross(rows: DataFrame, fast: str, slow: str, n: int = 8) -> DataFrame
 def presence_start(rows: DataFrame, on: Column) -> DataFrame:
     """Adds `since`: first t of the current run of rows on which the flag holds, null while it doesn't (gaps and islands)."""
     rows = rows.withColumn("on", F.coalesce(on, F.lit(False)))
-    edge = (F.col("on") & ~F.coalesce(F.lag("on").over(by_time()), F.lit(False))).cast("int")
-    rows = rows.withColumn("edge", edge).withColumn("run", F.sum("edge").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("since", F.when(F.col("on"), F.min(F.when(F.col("on"), F.col("t"))).over(Window.partitionBy("sym", "run")))).drop("edge", "run")
+    # a run goes on while no row without the flag lies between: its start is the first row with it after the last one without
+    rows = scan.running(rows, ["sym"], ["t"], {"__off": ("max", F.when(~F.col("on"), F.col("t")))})
+    starts = rows.where("on").groupBy(F.col("sym").alias("__sym"), F.col("__off").alias("__after")).agg(F.min("t").alias("since"))
+    same = F.col("sym").eqNullSafe(F.col("__sym")) & F.col("__off").eqNullSafe(F.col("__after")) & F.col("on")
+    return rows.join(starts, same, "left").drop("__off", "__sym", "__after")
 
 
 def squeeze(bars: DataFrame, n: int = 20) -> DataFrame:

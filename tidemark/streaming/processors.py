@@ -6,8 +6,6 @@ stopped. Late rows are told by their time: a keyed machine ignores what is not a
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,17 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..shared import shared_dir
 from ..sources.tables import epoch
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset and everything runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="tidemark-")
-
-
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
     """(sym, ts, seq, px, user) as a stream over the files of an events table."""
     schema = spark.read.parquet(path).schema
