@@ -25,6 +25,8 @@ from .common import written
 #: Characters in a batch, and in a piece of a longer text; texts are cut where white space follows another character, where both
 #: tokenizers end a token.
 BATCH, PIECE = 400_000, 400_000
+#: Chunks whose ids a worker keeps for each side; beyond, it starts anew.
+CACHED = 300_000
 #: Pairs of ids in the table that every task gets, at most (17 bytes each).
 HOT = 400_000
 #: Links of a group that are made pair by pair; a larger group's are products of the counts of its ids.
@@ -60,6 +62,8 @@ class ByteSide:
             self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(packing._known.get(self.path, ())) > CACHED:
+            packing._known[self.path].clear()
         odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
         aside = set(odd)
         ids = [np.frombuffer(x, "<u4") for x in packing.encode(["" if i in aside else t for i, t in enumerate(texts)] if odd else texts, self.path)]
@@ -115,7 +119,7 @@ class PieceSide:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
             return self._raw([t[1:] for t in texts])
-        if len(self.known) > packing.CACHED:
+        if len(self.known) > CACHED:
             self.known.clear()
         chunks = [self.chunk.findall(t) for t in texts]
         found = [list(map(self.known.get, row)) for row in chunks]
