@@ -78,22 +78,25 @@ def prefixes(found: DataFrame, filters: Sequence[str]) -> tuple[DataFrame, DataF
     """(removals, survivors) of each set of filters applied before: rows (part, applied, filter, removed, good_lost, toxic_lost) and
     (part, applied, kept), where applied has bit i for filters[i]. Sets and filters without a row have zeros."""
     spark, letters, removed, kept = found.sparkSession, list(filters), [], []
+    some = lambda parts: written(reduce(DataFrame.unionByName, parts))
     rows = ["part", "n", "good", "toxic"]
     tally = lambda flag: F.sum(F.when(F.col(flag), F.col("n")).otherwise(0))
     with _bucketed(spark, int(max(4, found.count() // BUCKET_ROWS))) as put:
         failing = {f: put((copies(found) if f == "E" else found.where(f)).select(*KEY)) for f in letters}
         left = put(found.select(*KEY, *rows, F.lit(0).alias("applied")))
         for level in range(len(letters) + 1):
-            kept.append(left.groupBy("part", "applied").agg(F.sum("n").alias("kept")))
+            kept.append(written(left.groupBy("part", "applied").agg(F.sum("n").alias("kept"))))
             if level == len(letters):
                 break
+            each = []
             for i, f in enumerate(letters):
                 gone = left.where(F.col("applied").bitwiseAND(1 << i) == 0).join(failing[f], KEY, "left_semi")
-                removed.append(gone.groupBy("part", "applied").agg(F.lit(f).alias("filter"), F.sum("n").alias("removed"), tally("good").alias("good_lost"), tally("toxic").alias("toxic_lost")))
+                each.append(gone.groupBy("part", "applied").agg(F.lit(f).alias("filter"), F.sum("n").alias("removed"), tally("good").alias("good_lost"), tally("toxic").alias("toxic_lost")))
+            removed.append(some(each))  # by levels, so that no plan is large
             # each set comes once: by the filter of its highest bit
             longer = [left.where(F.col("applied") < 1 << i).join(failing[f], KEY, "left_anti").withColumn("applied", F.col("applied") + (1 << i)) for i, f in enumerate(letters)]
             left = put(reduce(DataFrame.unionByName, longer))
-        return written(reduce(DataFrame.unionByName, removed)), written(reduce(DataFrame.unionByName, kept))
+        return some(removed), some(kept)
 
 
 def interactions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
