@@ -265,9 +265,20 @@ def test_watches_stream_equals_a_loop(spark, sf, name):
 
     entry = name == "stream_watches"
     rows = (streams.watch_inputs if entry else streams.deep_inputs)(ticks(spark, sf)).collect()
-    want, state = [], {}
+    want, state, width = [], {}, 6 * 3600
+    passed = max(r["ts"] for r in rows) // width * width  # what the watermark lets through
+
+    def expire(sym, until):
+        w = state[sym]
+        if w["s"] == "watching" and w["t"] + 86400 <= until:
+            w["s"] = "expired"
+            want.append((sym, w["t"] + 86400, "expired", None))
+
     for r in sorted(rows, key=lambda r: (r["ts"], r["seq"])):
+        if r["ts"] > passed:
+            continue
         w, t, px, out = state.setdefault(r["sym"], {"s": "none"}), r["ts"], r["px"], []
+        expire(r["sym"], t)
         if entry:
             if r["kind"] == "push":
                 if px > 0:
@@ -276,7 +287,7 @@ def test_watches_stream_equals_a_loop(spark, sf, name):
                     w.update(s="watching", t=t, px=px, low=0.9 * px - 0.3 * px, mid=0.9 * px, top=0.9 * px + 0.3 * px, retry=-1, last=t)
             elif r["kind"] == "bar":
                 if w["s"] == "watching" and px > 0 and t > w["last"]:
-                    end = "expired" if t >= w["t"] + 86400 else "invalid" if px < w["mid"] - 0.6 * w["px"] else "missed" if px * 1.02 >= w["px"] * 1.15 else None
+                    end = "invalid" if px < w["mid"] - 0.6 * w["px"] else "missed" if px * 1.02 >= w["px"] * 1.15 else None
                     w["last"] = t
                     if end is None and t >= w["t"] + 1800 and px * 0.98 <= w["top"] and px * 1.02 >= w["low"] and w["mid"] <= px <= w["top"]:
                         end = "ready"
@@ -299,7 +310,7 @@ def test_watches_stream_equals_a_loop(spark, sf, name):
                     w.update(s="watching", t=t, px=px, last=t)
                     out = ["armed"]
             elif w["s"] == "watching" and px > 0 and t > w["last"]:
-                end = "expired" if t >= w["t"] + 86400 else "invalid" if px < 0.3 * w["px"] else "missed" if px * 1.02 >= w["px"] + 1.6 * w["px"] else None
+                end = "invalid" if px < 0.3 * w["px"] else "missed" if px * 1.02 >= w["px"] + 1.6 * w["px"] else None
                 w["last"] = t
                 if end is None and w["px"] <= px <= w["px"] + 0.4 * w["px"]:
                     end = "confirmed" if good else "oi-rejected" if fresh else None
@@ -307,12 +318,41 @@ def test_watches_stream_equals_a_loop(spark, sf, name):
                 if end:
                     w["s"], out = end, [end]
         want += [(r["sym"], t, e, px) for e in out]
-    got = sorted(map(tuple, getattr(streams, name)(spark, sf).collect()))
-    assert got == sorted(want)
+    for sym in state:
+        expire(sym, passed)
+    key = lambda x: (x[0], x[1], x[2], x[3] or 0)
+    got = sorted(map(tuple, getattr(streams, name)(spark, sf).collect()), key=key)
+    assert got == sorted(want, key=key)
     assert {x[2] for x in got} >= ({"armed", "superseded", "missed", "ready", "delivered"} if entry else {"armed", "missed", "confirmed", "oi-rejected", "oi-wait"})
-    if entry:
-        slots = ticks(spark, sf).select(F.floor(F.col("ts") / 900).alias("s")).distinct().count()
-        assert slots - 10 <= streams.stream_slots(spark, sf).count() < slots
+
+
+def test_a_silent_watch_expires_and_a_restart_goes_on(spark, tmp_path):
+    """One symbol arms a watch and falls silent; another keeps the watermark going. The stream is stopped in between and late input comes."""
+    from tidemark.streaming import timed, watches
+
+    source, schema = str(tmp_path / "in"), "sym string, ts long, seq long, kind string, px double, high double, low double, support double, atr double, source long, retry long"
+    push = lambda sym, t, n: (sym, t, n, "push", 10.0, None, None, 9.0, 1.0, n, None)
+    bar = lambda sym, t, n, px=10.0: (sym, t, n, "bar", px, px, px, None, None, None, None)
+
+    def more(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def go():
+        out = []
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        with timed.state_store(spark):
+            q = watches.entry_watches(stream, 60).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).start()
+            q.awaitTermination()
+        return sorted(out, key=str)
+
+    more([push("quiet", 1000, 0), bar("busy", 2000, 1)])
+    assert go() == [("quiet", 1000, "armed", 10.0)]
+    more([bar("busy", 1000 + 86400, 2)])
+    assert go() == []  # the stretch of the end is still open
+    more([bar("busy", 1000 + 86400 + 120, 3), push("busy", 500, 4)])  # the second is late
+    assert go() == [("quiet", 1000 + 86400, "expired", None)]
+    more([bar("quiet", 1000 + 90000, 5), bar("busy", 1000 + 99999, 6)])
+    assert go() == []
 
 
 def test_notifications_equal_a_loop(spark, sf):

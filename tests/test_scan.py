@@ -87,7 +87,7 @@ def test_asof_both_ways_and_sums(spark, frame, rows, span):
     back = asof.asof(asked, right, F.col("at"), {"x": "v"}, order=["ts", "seq"], max_age=5, span=span).collect()
     strict = asof.asof(asked, right, F.col("at"), {"x": "v"}, order=["ts", "seq"], strict=True, span=span).collect()
     ahead = asof.asof_forward(asked, right, F.col("at"), {"x": "v"}, order=["ts", "seq"], within=5, span=span).collect()
-    sums = asof.range_sum(asked, right, F.col("at") - 20, F.col("at"), "x", "s", order=["ts", "seq"], span=span).collect()
+    sums = asof.range_sum(asked, right, F.col("at") - 20, F.col("at"), "x", "s", span=span).collect()
     known = {k: sorted((t, i, x) for s, t, i, x in rows if s == k and x is not None) for k in ("hot", "a", "none")}
 
     def last(k, keep):

@@ -41,13 +41,13 @@ def nearest(left: DataFrame, right: DataFrame, at: Column, value: str, name: str
     return rows.withColumn(name, F.coalesce("__back", "__next")).drop("__back", "__next")
 
 
-def range_sum(left: DataFrame, right: DataFrame, low: Column, high: Column, value: str, name: str, by: str = "sym", ts: str = "ts", order: list[str] | None = None, span: int = scan.SPAN) -> DataFrame:
+def range_sum(left: DataFrame, right: DataFrame, low: Column, high: Column, value: str, name: str, by: str = "sym", ts: str = "ts", span: int = scan.SPAN) -> DataFrame:
     """Sum of right values with low < ts <= high: the difference of two as-of reads of the running sum, so no pairs are made."""
-    order = order or [ts]
-    run = right.select(by, ts, *[c for c in order if c != ts], F.col(value).alias("__x"))
-    run = scan.running(run, [by], [ts, *[c for c in order if c != ts]], {"__s": ("sum", F.col("__x")), "__n": ("count", F.lit(1))}, span).drop("__x")
-    rows = asof(left, run, low, {"__s": "__s0", "__n": "__n0"}, by, ts, order, span=span)
-    rows = asof(rows, run, high, {"__s": "__s1", "__n": "__n1"}, by, ts, order, span=span)
+    # values of one time are one, so the running sum has no ties
+    run = right.groupBy(by, ts).agg(F.sum(value).alias("__x"), F.count("*").alias("__y"))
+    run = scan.running(run, [by], [ts], {"__s": ("sum", F.col("__x")), "__n": ("sum", F.col("__y"))}, span).drop("__x", "__y")
+    rows = asof(left, run, low, {"__s": "__s0", "__n": "__n0"}, by, ts, span=span)
+    rows = asof(rows, run, high, {"__s": "__s1", "__n": "__n1"}, by, ts, span=span)
     none = F.lit(0)
     return rows.withColumns({name: F.coalesce("__s1", F.lit(0.0)) - F.coalesce("__s0", F.lit(0.0)), f"{name}_n": F.coalesce("__n1", none) - F.coalesce("__n0", none)}).drop("__s0", "__s1", "__n0", "__n1")
 

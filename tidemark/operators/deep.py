@@ -193,12 +193,36 @@ def vwap_reclaim(bars: DataFrame, frame: int = 24) -> DataFrame:
 
 
 def squeeze_definitions(bars: DataFrame) -> DataFrame:
-    """Adds d1 to d4: width in the lowest fifth of 48, under half the largest of 8, Bollinger inside Keltner, lowest fifth of 8."""
-    rows = X.width_percentile(X.atr(X.width_percentile(bars, 20, 48).withColumnRenamed("pctile", "p48").drop("width"), 20), 20, 8)
-    keltner = F.col("width") <= F.try_divide(3 * F.col("atr"), F.abs(F.avg("close").over(X.upto(20))))
-    closed = lambda c: F.coalesce(c, F.lit(False))
-    rows = rows.withColumns({"d1": closed(F.col("p48") <= 0.2), "d2": closed(F.col("width") <= 0.5 * F.max("width").over(X.upto(8))), "d3": closed(keltner), "d4": closed(F.col("pctile") <= 0.2)})
-    return rows.drop("p48", "width", "pctile", "atr")
+    """Adds d1 to d4, null never: the band width among the lowest tenth of 48 (24 known at least), at most 0.35 of the largest of 9, the
+    Bollinger inside the Keltner band of 1.5 mean true ranges (the first bar's from its open), among the lowest 0.15 of 8 known ones."""
+    before = F.coalesce(F.lag("close").over(X.by_time()), F.col("open"))
+    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    rows = bars.withColumns({"__w": F.when(F.avg("close").over(X.upto(20)) > 0, F.round(X.bandwidth(20), 9)), "__tr": true_range})
+    rows = rows.withColumns({"__k": F.try_divide(F.avg("__tr").over(X.upto(20)), F.avg("close").over(X.upto(20))), "__48": F.collect_list("__w").over(X.upto(48)), "__8": F.collect_list("__w").over(X.upto(8))})
+    share = lambda c: F.size(F.filter(c, lambda w: w <= F.col("__w"))) / F.size(c)
+    rules = {
+        "d1": (F.size("__48") >= 24) & (share("__48") <= 0.1), "d2": F.col("__w") <= 0.35 * F.nullif(F.max("__w").over(X.upto(9)), F.lit(0.0)),
+        "d3": (F.col("__k") > 0) & (F.col("__w") <= 3 * F.col("__k")), "d4": (F.size("__8") >= 8) & (share("__8") <= 0.15),
+    }
+    return rows.withColumns({n: F.coalesce(F.col("__w").isNotNull() & rule, F.lit(False)) for n, rule in rules.items()}).drop("__w", "__tr", "__k", "__48", "__8")
+
+
+def squeeze_confirmed(setup: Column, mode: str) -> Column:
+    """A squeeze with what confirms it: `funding` at most 0, `oi` not falling over 4 bars with takers buying half at least, `both`, `either`
+    or `none`. Unknown inputs confirm nothing."""
+    four = X.upto(4)
+    cheap = F.coalesce(F.col("funding") <= 0, F.lit(False))
+    held = F.coalesce((F.lag("oi", 4).over(X.by_time()) > 0) & (F.col("oi") >= F.lag("oi", 4).over(X.by_time())) & (F.try_divide(F.sum("tq").over(four), F.sum("q").over(four)) >= 0.5), F.lit(False))
+    return setup & {"none": F.lit(True), "funding": cheap, "oi": held, "both": cheap & held, "either": cheap | held}[mode]
+
+
+def squeeze_released(rows: DataFrame, setup: str, name: str, recent: int = 6, least_z: float = 1.5) -> DataFrame:
+    """Adds whether a bar closes above every high since the first squeeze of the `recent` bars before it, on volume."""
+    w = X.before(recent)
+    seen = F.collect_list(F.struct(F.col(setup).alias("on"), "high")).over(w)
+    since = F.aggregate("__s", F.struct(F.lit(False).alias("on"), F.lit(None).cast("double").alias("top")), lambda a, x: F.struct((a["on"] | x["on"]).alias("on"), F.when(a["on"] | x["on"], F.greatest(a["top"], x["high"])).alias("top")), lambda a: a["top"])
+    rows = rows.withColumns({"__s": seen, "__z": X.zscore(24)})
+    return rows.withColumn(name, F.coalesce((F.col("close") > since) & (F.col("__z") >= least_z), F.lit(False))).drop("__s", "__z")
 
 
 def store_state(points: DataFrame, now: int, hours: int = 49) -> DataFrame:

@@ -17,7 +17,7 @@ class Params:
     least_index: int = 25
     vol_z: float = 1.5
     flush_drop: float = 8.0
-    flush_rebound: float = 0.5
+    turn: float = 1.005
     base_range: float = 6.0
     funding_abs: float = 0.01
     rise4: float = 6.0
@@ -26,10 +26,6 @@ class Params:
     crowded: float = 0.02
     top_ret24: float = 15.0
     top_pos: float = 0.8
-    pump: tuple[float, float] = (2.0, 12.0)
-    pump_ret4: float = 5.0
-    ignite3: float = 6.0
-    ignite12: float = 60.0
     reclaim_pos: float = 0.7
     spring_z: float = 1.25
     board_pos: float = 0.7
@@ -43,20 +39,21 @@ class Params:
     spot_z: float = 2.0
     spot_basis: float = 0.05
     spot_ratio: float = 1.5
-    upper: float = 0.6
+    climax_z: float = 2.5
+    spot_share: float = 0.55
 
 
 PRODUCTION = Params()
-SCALED = replace(PRODUCTION, base_range=100_000.0, funding_abs=0.05, rise4=500.0, top_ret24=15.0, pump=(2.0, 90.0), pump_ret4=500.0, ignite12=6000.0, vol_z=1.0, reclaim_pos=0.9, flush_drop=20.0, board_pos=0.95, mild=500.0, flat=0.5, flat_oi=20.0, spot_z=1.0, spot_basis=60.0, spot_ratio=1.1, spring_z=0.5)
+SCALED = replace(PRODUCTION, climax_z=1.5, base_range=100_000.0, funding_abs=0.05, rise4=500.0, vol_z=1.0, reclaim_pos=0.9, flush_drop=20.0, board_pos=0.95, mild=500.0, flat=0.5, flat_oi=20.0, spot_z=1.0, spot_basis=60.0, spot_ratio=1.1, spring_z=0.5)
 
 
 def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
     """name -> (side, SQL predicate)."""
     envelope = f"i >= {p.least_index} AND close > hi24 AND vol_z >= {p.vol_z}"
-    context = f"oi_drop >= {p.flush_drop} AND oi_rebound > {p.flush_rebound} AND range24 <= {p.base_range} AND abs(funding) <= {p.funding_abs}"
+    context = f"i >= 31 AND oi_max > 0 AND oi <= oi_max * {1 - p.flush_drop / 100} AND oi > oi_then * {p.turn} AND range24 <= {p.base_range} AND abs(funding) <= {p.funding_abs}"
     flush = f"oi_drop >= {p.flush_drop}"
     rebuild = f"{envelope} AND oi4h >= {p.oi4}"
-    top = f"ret24h * 100 >= {p.top_ret24} AND pos >= {p.top_pos} AND vol_z >= {p.vol_z}"
+    top = f"i >= 32 AND ret24h * 100 >= {p.top_ret24} AND pos24 >= {p.top_pos} AND vol_z >= {p.vol_z}"
     bottom = "ret24h * 100 >= 10"
     reclaim = f"close > ema20 AND prev_close <= prev_ema20 AND ret4h * 100 <= {p.rise4} AND pos <= {p.reclaim_pos} AND i >= 100"
     sweep = f"i >= 52 AND swept AND close > prev_high AND vol_z2 >= {p.vol_z}"
@@ -65,18 +62,16 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
         "breakout-envelope": ("long", envelope),
         "flush-context": ("long", context),
         "flush-breakout": ("long", f"{context} AND close > close_hi24 AND vol_z >= {p.vol_z}"),
-        "early-pump": ("long", f"close <= hi24 * {1 - p.pump[0] / 100} AND close >= hi24 * {1 - p.pump[1] / 100} AND pos >= 0.5 AND ret12 > 0 AND ret4h > 0 AND ret4h * 100 <= {p.pump_ret4} AND vol_z >= {p.vol_z}"),
-        "ignition": ("long", f"ret3 * 100 >= {p.ignite3} AND ret12 * 100 <= {p.ignite12} AND vol_z >= {p.vol_z}"),
         "rebuild-1": ("long", f"{rebuild} AND {flush}"),
         "rebuild-2": ("long", f"{rebuild} AND ret4h >= 0 AND ret4h * 100 <= {p.rise4}"),
         "rebuild-3": ("long", f"{rebuild} AND {flush} AND funding <= {p.crowded}"),
         "virgin-1": ("long", f"{rebuild} AND NOT ({flush})"),
         "virgin-2": ("long", f"{envelope} AND oi24h >= {p.oi24} AND NOT ({flush})"),
         "virgin-3": ("long", f"{envelope} AND oi24h >= {p.oi24} AND NOT ({flush}) AND funding <= {p.crowded}"),
-        "top-1-reject": ("short", f"{top} AND high >= hi24 AND close < prev_low"),
-        "top-2-wick": ("short", f"{top} AND new_high AND upper_wick >= {p.upper} AND oi4h <= -1.5"),
-        "top-3-climax": ("short", f"{top} AND range_last >= 1.5 * range_avg AND close < open"),
-        "top-4-stall": ("short", f"{top} AND funding > f8h AND change1h < 0.5"),
+        "top-1-reject": ("short", f"{top} AND twin_high > 0 AND abs(high / twin_high - 1) <= 0.01 AND close <= high * 0.99 AND close <= open"),
+        "top-2-wick": ("short", f"{top} AND high > hi24 AND wick >= 0.5 AND oi4h <= -1.5"),
+        "top-3-climax": ("short", f"{top} AND prev_z >= {p.climax_z} AND prev_pos >= 0.85 AND close < prev_low"),
+        "top-4-stall": ("short", f"{top} AND funding >= 0.015 AND funding > f8h AND ret4h * 100 <= 1"),
         "w-bottom-1": ("long", f"{bottom} AND w_neck AND vol_z >= {p.vol_z}"),
         "w-bottom-2": ("long", f"{bottom} AND w_spring AND vol_z >= {p.spring_z} AND close > open"),
         "w-bottom-3": ("long", f"{bottom} AND w_neck AND vol_z >= {p.vol_z} AND oi4h >= 0"),
@@ -87,8 +82,6 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
         "squeeze-setup": ("long", "squeezed"),
         "squeeze-breakout": ("long", "squeeze_up"),
         "boarding-oi": ("long", f"{reclaim} AND was_below AND oi4h >= {p.oi4}"),
-        "spot-led-pump": ("long", f"ret4h >= 0.02 AND abs(oi4h) < 20 AND vol_z > 1 AND taker4 > 0.55"),
-        "stealth-accumulation": ("long", f"abs(ret4h) < 0.5 AND abs(oi4h) < 20 AND taker4 > 0.6"),
         "flush-wick-1": ("long", sweep),
         "flush-wick-2": ("long", f"{sweep} AND ema20 > ema50"),
         "flush-wick-3": ("long", f"{sweep} AND coiled"),
@@ -101,8 +94,8 @@ def predicates(p: Params = PRODUCTION) -> dict[str, tuple[str, str]]:
         "boarding-mild": ("long", f"{calm} AND change1h > 0.2 AND change1h <= {p.mild} AND oi4h > 0.8 AND oi4h < 14 AND taker4 > 0.55 AND funding <= {p.crowded}"),
         "spot-pump": ("long", f"i >= 4 AND ret4h >= 0.02 AND abs(oi4h) < {p.flat_oi} AND spot_z >= {p.spot_z} AND spot_basis <= {p.spot_basis}"),
         "spot-accum": ("long", f"i >= 48 AND abs(ret4h) < {p.flat} AND spot_ratio >= {p.spot_ratio} AND spot_buy >= 0.55 AND abs(oi4h) < 2 * {p.flat_oi}"),
-        "organic-spot": ("long", f"ret4h >= 0.02 AND abs(oi4h) < {p.flat_oi} AND taker4 > 0.55 AND funding <= {p.crowded}"),
-        "leverage-froth": ("short", "oi4h >= 20 AND funding > 0.02 AND taker4 < 0.5"),
+        "organic-spot": ("long", f"ret4h * 100 >= 2 AND taker4 > {p.spot_share} AND spot_basis <= 0 AND spot24 >= perp24"),
+        "leverage-froth": ("short", "funding >= 0.01 AND spot_basis >= 0.1 AND spot24 < 0.5 * perp24"),
     }
 
 
@@ -125,8 +118,8 @@ INSIGHTS = [
     ("oi-spike", "warn", 7, "oi4h >= 8 AND abs(ret4h) < 0.025"),
     ("oi-divergence-high", "warn", 8, "new_high AND oi4h <= -1.5"),
     ("spot-led-breakout", "bull", 5, "ret4h >= 0.02 AND abs(oi4h) < 1.5 AND buy_share > 0.55 AND vol_z > 1"),
-    ("spot-led-pump", "bull", 8, "@spot-led-pump"),
-    ("stealth-spot-accum", "info", 6, "@stealth-accumulation"),
+    ("spot-led-pump", "bull", 8, "@spot-pump"),
+    ("stealth-spot-accum", "info", 6, "@spot-accum"),
     ("volume-ignition", "bull", 8, "vol_z >= 2 AND pos < 0.4 AND change1h >= 1.5 AND ret4h > 0"),
     ("volume-climax", "warn", 9, "vol_z >= 2.5 AND pos > 0.85 AND ret4h > 0.03 AND range_last >= 1.5 * range_avg"),
     ("absorption-stall", "warn", 7, "pos > 0.75 AND vol_z >= 1.5 AND abs(change1h) < 0.5 AND ret4h < 0.01 AND upper_wick > 0.3 AND NOT coalesce(vol_z >= 2.5 AND ret4h > 0.03, false)"),
@@ -140,8 +133,8 @@ INSIGHTS = [
     ("ema-death-cross", "bear", 7, "`cross` = -1"),
     ("breakout-confirmed", "bull", 9, "close > hi24 AND vol_z >= 1.8 AND buy_share > 0.55"),
     ("breakout-thin", "warn", 6, "close > hi24 AND vol_z < 0.8"),
-    ("upthrust-rejection", "bear", 8, "pos > 0.85 AND upper_wick >= 0.55 AND vol_z >= 1.5 AND ret4h < 0.015 AND close < open"),
-    ("capitulation-wick", "bull", 8, "pos < 0.15 AND lower_wick >= 0.55 AND vol_z >= 2 AND close > open"),
+    ("upthrust-rejection", "bear", 8, "pos > 0.85 AND upper_wick >= 0.55 AND vol_z >= 1.5 AND ret4h < 0.015 AND upper_red"),
+    ("capitulation-wick", "bull", 8, "pos < 0.15 AND lower_wick >= 0.55 AND vol_z >= 2 AND lower_strong"),
     ("buy-pressure-divergence", "info", 6, "buy_share > 0.6 AND ret4h >= -0.01 AND ret4h <= 0.005 AND pos < 0.85"),
     ("trend-health", "bull", 7, "ret24h > 0.03 AND green24 >= 0.55 AND pullback24 > -0.08 AND close > ema20 AND close > ema50"),
     ("failed-breakdown-reclaim", "bull", 7, "pos < 0.3 AND was_below AND close > ema20 AND change1h > 1 AND vol_z >= 1.2"),
@@ -160,7 +153,7 @@ def controls(p: Params = PRODUCTION) -> dict[str, str]:
         "breakout": known["breakout-envelope"],
         "early-setup-envelope": f"oi_drop >= {p.flush_drop}",
         "ema-reclaim": known["ema-reclaim"],
-        "top-envelope": f"ret24h * 100 >= {p.top_ret24} AND pos >= {p.top_pos} AND vol_z >= {p.vol_z}",
+        "top-envelope": f"i >= 32 AND ret24h * 100 >= {p.top_ret24} AND pos24 >= {p.top_pos} AND vol_z >= {p.vol_z}",
         "w-envelope": f"ret24h * 100 >= 10 AND vol_z >= {p.spring_z}",
         "early-envelope": "close <= hi24 AND pos >= 0.5 AND ret12 > 0 AND ret4h > 0",
         "spot-momentum": "i >= 4 AND ret4h >= 0.02",
@@ -174,9 +167,8 @@ AUDIT = [
     ("boarding-b2", "boarding-scan", "ema-reclaim"), ("rebuild-r1", "rebuild-1", "breakout"), ("rebuild-r2", "rebuild-2", "breakout"), ("rebuild-r3", "rebuild-3", "breakout"),
     ("virgin-v1", "virgin-1", "breakout"), ("virgin-v2", "virgin-2", "breakout"), ("virgin-v3", "virgin-3", "breakout"),
     ("top-t1", "top-1-reject", "top-envelope"), ("top-t2", "top-2-wick", "top-envelope"), ("top-t3", "top-3-climax", "top-envelope"), ("top-t4", "top-4-stall", "top-envelope"),
-    ("wbottom-w1", "w-bottom-1", "w-envelope"), ("wbottom-w2", "w-bottom-2", "w-envelope"), ("wbottom-w3", "w-bottom-3", "w-envelope"), ("early-pump", "early-pump", "early-envelope"),
-    ("spot-pump", "spot-pump", "spot-momentum"), ("spot-accum", "spot-accum", "spot-flat"), ("organic-spot", "organic-spot", "spot-momentum"), ("leverage-froth", "leverage-froth", "spot-momentum"),
-    ("true-spot-led", "spot-led-pump", "spot-momentum"), ("umm-ema-control", "ema-reclaim", "all"), ("umm-b2", "boarding-2", "ema-reclaim"), ("umm-b2-oi", "boarding-2-oi", "ema-reclaim"),
+    ("wbottom-w1", "w-bottom-1", "w-envelope"), ("wbottom-w2", "w-bottom-2", "w-envelope"), ("wbottom-w3", "w-bottom-3", "w-envelope"), ("spot-pump", "spot-pump", "spot-momentum"), ("spot-accum", "spot-accum", "spot-flat"), ("organic-spot", "organic-spot", "spot-momentum"), ("leverage-froth", "leverage-froth", "spot-momentum"),
+    ("true-spot-led", "organic-spot", "spot-momentum"), ("umm-ema-control", "ema-reclaim", "all"), ("umm-b2", "boarding-2", "ema-reclaim"), ("umm-b2-oi", "boarding-2-oi", "ema-reclaim"),
 ]
 #: Audited on rows with strength and its rank: (key, predicate, control).
 AUDIT_STRENGTH = [("strength70", "strength >= 70 AND prev_strength < 70", "all"), ("top10", "place <= 10 AND coalesce(prev_place > 10, true)", "all")]
@@ -220,22 +212,32 @@ def anchored_insights(features: DataFrame, **how) -> DataFrame:
 
 
 def remediation(side: Column) -> dict[str, Column]:
-    """Side-aware filters; unknown inputs never pass."""
-    by_side = lambda long, short: F.coalesce(F.when(side == "long", F.expr(long)).otherwise(F.expr(short)), F.lit(False))
+    """Side-aware filters; an unknown input never passes, also one that the side doesn't read. Returns and the change of open interest are
+    shares, funding a rate, as rows() gives them."""
+    long, c = side == "long", F.col
+
+    def rule(read: list[str], of_long: Column, of_short: Column) -> Column:
+        known = F.lit(True)
+        for name in read:
+            known &= c(name).isNotNull() & ~F.isnan(name)
+        return F.coalesce(known & F.when(long, of_long).otherwise(of_short), F.lit(False))
+
+    quiet = lambda most: c("oi4h").between(0, most)
+    busy = (c("volume_ratio") >= 1.2) & c("strength").between(55, 85)
     return {
-        "trend-aligned": by_side("close > ema50 AND ret24h > 0", "close < ema50 AND ret24h < 0"),
-        "flow-confirmed": by_side("taker4 > 0.52", "taker4 < 0.48"),
-        "uncrowded-trend": by_side("close > ema50 AND funding <= 0.01", "close < ema50 AND funding >= -0.01"),
-        "reversal-confirmed": by_side("lower_wick >= 0.5 AND close > open", "upper_wick >= 0.5 AND close < open"),
-        "participation-quality": by_side("vol_z >= 1 AND oi4h > 0", "vol_z >= 1 AND oi4h > 0"),
-    }
-
-
-#: The same in SQL, for the oracle: name -> (for long, for short).
-REMEDIATION_SQL = {
-    "trend-aligned": ("close > ema50 AND ret24h > 0", "close < ema50 AND ret24h < 0"),
-    "flow-confirmed": ("taker4 > 0.52", "taker4 < 0.48"),
-    "uncrowded-trend": ("close > ema50 AND funding <= 0.01", "close < ema50 AND funding >= -0.01"),
-    "reversal-confirmed": ("lower_wick >= 0.5 AND close > open", "upper_wick >= 0.5 AND close < open"),
-    "participation-quality": ("vol_z >= 1 AND oi4h > 0", "vol_z >= 1 AND oi4h > 0"),
-}
+        "trend-aligned": rule(["ret4h", "ret24h", "bench24h"], (c("ret4h") > 0) & (c("ret24h") > 0) & (c("bench24h") >= 0), (c("ret4h") < 0) & (c("bench24h") <= 0)),
+        "flow-confirmed": rule(["ret1h", "oi4h", "rate", "taker1h"], (c("ret1h") > 0) & quiet(0.15) & (c("rate") <= 0.0003) & (c("taker1h") >= 0.52), (c("ret1h") < 0) & quiet(0.15) & (c("rate") >= 0) & (c("taker1h") <= 0.48)),
+        "uncrowded-trend": rule(["ret4h", "bench24h", "oi4h", "rate"], (c("ret4h") > 0) & (c("ret4h") <= 0.06) & (c("bench24h") >= 0) & quiet(0.1) & (c("rate") <= 0.0001), (c("ret4h") < 0) & (c("bench24h") <= 0) & quiet(0.1) & (c("rate") >= 0)),
+        "reversal-confirmed": rule(["ret1h", "ret24h", "pos", "oi4h"], (c("ret24h") < 0) & (c("ret1h") > 0) & (c("pos") <= 0.65) & (c("oi4h") >= 0), (c("ret24h") > 0) & (c("ret1h") < 0) & (c("pos") >= 0.65) & (c("oi4h") >= 0)),
+        "participation-quality": rule(["ret1h", "taker1h", "volume_ratio", "strength"], busy & (c("ret1h") > 0) & (c("taker1h") >= 0.52), busy & (c("ret1h") < 0) & (c("taker1h") <= 0.48)),
+    }
+
+
+def remediation_inputs(features: DataFrame, strength: DataFrame, benchmark: str) -> DataFrame:
+    """What remediation() reads, beside sym and t: of feature rows with the benchmark's return of a day at the same time, and of
+    strength (sym, t, strength)."""
+    base = features.where(F.col("sym") == benchmark).select("t", F.col("ret24h").alias("bench24h"))
+    rows = features.join(base, "t", "left").join(strength, ["sym", "t"], "left")
+    return rows.select(
+        "sym", "t", "ret4h", "ret24h", "bench24h", "pos", "strength", "volume_ratio", (F.col("change1h") / 100).alias("ret1h"), (F.col("oi4h") / 100).alias("oi4h"), (F.col("funding") / 100).alias("rate"), F.try_divide("tq", "q").alias("taker1h"),
+    )

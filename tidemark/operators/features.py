@@ -47,6 +47,8 @@ def _frames(rows: DataFrame, width: int, tolerance: float) -> DataFrame:
         "was_below": F.coalesce(F.max((F.col("close") < F.col("ema20")).cast("int")).over(X.before(6)) == 1, F.lit(False)), "lo8": F.min("low").over(X.before(8)),
         "oi1h": (F.try_divide("oi", lag("oi", 1)) - 1) * 100, "prev_ema20": lag("ema20", 1), "dense100": F.coalesce(F.col("t") - lag("t", 99) == 99 * width, F.lit(False)),
         "below48": F.sum((F.col("close") < F.col("ema50")).cast("int")).over(X.before(48)) == 48,
+        "oi_max": F.max("oi").over(X.upto(48)), "oi_then": lag("oi", 6), "twin_high": F.max("high").over(X.before(22, 3)), "wick": F.try_divide(F.col("high") - F.greatest("open", "close"), F.col("high") - F.col("low")), "prev_pos": X.day_position_before(24),
+        "spot24": F.sum("n").over(day) * 20.0, "perp24": F.sum("q").over(day), "volume_ratio": F.try_divide("q", F.avg("q").over(X.before(24))),
         "prev_high": lag("high", 1), "prev_low": lag("low", 1), "prev_close": lag("close", 1),
         "pos24": F.coalesce(F.try_divide(F.col("close") - F.min("low").over(day), F.max("high").over(day) - F.min("low").over(day)), F.lit(0.5)),
         "below24": F.sum((F.col("close") < F.col("ema20")).cast("int")).over(X.before(24)) == 24,
@@ -55,7 +57,7 @@ def _frames(rows: DataFrame, width: int, tolerance: float) -> DataFrame:
         "spot_ratio": F.try_divide(F.avg("n").over(X.before(8)), F.when(F.col("i") >= 48, F.avg("n").over(X.before(40, 9)))), "spot_buy": F.try_divide(F.sum("tq").over(X.before(24)), F.sum("q").over(X.before(24))),
     })
     return rows.withColumns({
-        "ls_drop": (1 - F.try_divide("ls", lag("ls", 24))) * 100, "swept": F.coalesce(lag("sweep", 1), F.lit(False)), "vol_z2": F.greatest("vol_z", lag("vol_z", 1)),
+        "ls_drop": (1 - F.try_divide("ls", lag("ls", 24))) * 100, "swept": F.coalesce(lag("sweep", 1), F.lit(False)), "vol_z2": F.greatest("vol_z", lag("vol_z", 1)), "prev_z": lag("vol_z", 1),
         "coiled": F.coalesce(F.max(F.col("squeezed").cast("int")).over(X.before(7)) == 1, F.lit(False)),
     }).drop("sweep", "ls")
 
@@ -82,16 +84,18 @@ f5 AS (SELECT *, CASE WHEN count(tr) OVER w14 = 14 THEN avg(tr) OVER w14 END AS
  high >= max(high) OVER w24 AS new_high, avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) OVER w24 AS green24, coalesce(max(CAST(close < ema20 AS INTEGER)) OVER p6 = 1, false) AS was_below, min(low) OVER p8 AS lo8,
  (oi / nullif(lag(oi) OVER o, 0) - 1) * 100 AS oi1h, lag(ema20) OVER o AS prev_ema20, coalesce(t - lag(t, 99) OVER o = 356400, false) AS dense100, sum(CAST(close < ema50 AS INTEGER)) OVER p48 = 48 AS below48,
  coalesce(list_contains(fl, true) AND close > list_max(hi6[list_position(fl, true):]), false) AS squeeze_up, -greatest(0, list_max(list_transform(cls, lambda x, i: 1 - x / nullif(list_max(cls[1:i]), 0)))) AS pullback24,
+ max(oi) OVER w48 AS oi_max, lag(oi, 6) OVER o AS oi_then, max(high) OVER p22 AS twin_high, (high - greatest(open, close)) / nullif(high - low, 0) AS wick, coalesce((lag(close) OVER o - min(low) OVER p24) / nullif(max(high) OVER p24 - min(low) OVER p24, 0), 0.5) AS prev_pos,
+ sum(n) OVER w24 * 20.0 AS spot24, sum(q) OVER w24 AS perp24, q / nullif(avg(q) OVER p24, 0) AS volume_ratio, list({{'w': uw, 'at': -t, 'mark': close <= open}}) OVER w4 AS uppers, list({{'w': lw, 'at': -t, 'mark': close > low + 0.5 * (high - low)}}) OVER w4 AS lowers,
  lag(high) OVER o AS prev_high, lag(low) OVER o AS prev_low, lag(close) OVER o AS prev_close,
  coalesce((close - min(low) OVER w24) / nullif(max(high) OVER w24 - min(low) OVER w24, 0), 0.5) AS pos24, sum(CAST(close < ema20 AS INTEGER)) OVER p24 = 24 AS below24,
  coalesce(high > low AND low < min(low) OVER p24 AND least(open, close) - low >= 0.6 * (high - low) AND close >= low + 0.5 * (high - low), false) AS sweep,
  (close * 2 / nullif(high + low, 0) - 1) * 100 AS spot_basis, CASE WHEN count(n) OVER p24 >= 8 THEN CASE WHEN stddev_pop(n) OVER p24 > 0 THEN (n - avg(n) OVER p24) / stddev_pop(n) OVER p24 ELSE 0 END END AS spot_z,
  avg(n) OVER p8 / nullif(CASE WHEN i >= 48 THEN avg(n) OVER p40 END, 0) AS spot_ratio, sum(tq) OVER p24 / nullif(sum(q) OVER p24, 0) AS spot_buy,
  list(low) OVER w20 AS lo20, list(high) OVER w20 AS hi20
- FROM f4 WINDOW {_O}, w4 AS (PARTITION BY sym ORDER BY t ROWS 3 PRECEDING), w8 AS (PARTITION BY sym ORDER BY t ROWS 7 PRECEDING), w14 AS (PARTITION BY sym ORDER BY t ROWS 13 PRECEDING), w24 AS (PARTITION BY sym ORDER BY t ROWS 23 PRECEDING), w25 AS (PARTITION BY sym ORDER BY t ROWS 24 PRECEDING),
+ FROM f4 WINDOW {_O}, w48 AS (PARTITION BY sym ORDER BY t ROWS 47 PRECEDING), p22 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 24 PRECEDING AND 3 PRECEDING), w4 AS (PARTITION BY sym ORDER BY t ROWS 3 PRECEDING), w8 AS (PARTITION BY sym ORDER BY t ROWS 7 PRECEDING), w14 AS (PARTITION BY sym ORDER BY t ROWS 13 PRECEDING), w24 AS (PARTITION BY sym ORDER BY t ROWS 23 PRECEDING), w25 AS (PARTITION BY sym ORDER BY t ROWS 24 PRECEDING),
  p24 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), p6 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), p8 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), p48 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING),
  p40 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 48 PRECEDING AND 9 PRECEDING), w20 AS (PARTITION BY sym ORDER BY t ROWS 19 PRECEDING)),
-f6 AS (SELECT *, (1 - taker4 / nullif(1 - taker4, 0) / nullif(lag(taker4 / nullif(1 - taker4, 0), 24) OVER o, 0)) * 100 AS ls_drop, coalesce(lag(sweep) OVER o, false) AS swept, greatest(vol_z, lag(vol_z) OVER o) AS vol_z2,
+f6 AS (SELECT *, (1 - taker4 / nullif(1 - taker4, 0) / nullif(lag(taker4 / nullif(1 - taker4, 0), 24) OVER o, 0)) * 100 AS ls_drop, coalesce(lag(sweep) OVER o, false) AS swept, greatest(vol_z, lag(vol_z) OVER o) AS vol_z2, lag(vol_z) OVER o AS prev_z, upper_wick > 0 AND list_max(uppers)['mark'] AS upper_red, lower_wick > 0 AND list_max(lowers)['mark'] AS lower_strong,
  coalesce(max(CAST(squeezed AS INTEGER)) OVER p7 = 1, false) AS coiled,
  i >= 29 AND coalesce(list_bool_or(list_transform(range(14, 20), lambda j: list_bool_or(list_transform(range(2, 13), lambda a: coalesce(lo20[j] <= lo20[j - 1] AND lo20[j] <= lo20[j + 1] AND lo20[j - a] <= lo20[j - a - 1] AND lo20[j - a] <= lo20[j - a + 1]
   AND abs(lo20[j] / nullif(lo20[j - a], 0) - 1) <= {tolerance} AND list_max(hi20[j - a + 1:j - 1]) > 0 AND close > list_max(hi20[j - a + 1:j - 1]), false))))), false) AS w_neck,

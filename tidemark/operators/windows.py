@@ -273,15 +273,18 @@ def high_age(bars: DataFrame, cap: int = 240) -> DataFrame:
 
 
 def wicks(bars: DataFrame, n: int = 4) -> DataFrame:
-    """Largest upper and lower wick share of the last n bars, with the time of the bar that has it, the earliest on ties."""
+    """Largest upper and lower wick share of the last n bars, with the time of the bar that has it, the earliest on ties, and whether that
+    bar closed at or under its open, or in the upper half of its range."""
     span = F.col("high") - F.col("low")
     rows = bars.withColumns({
         "uw": F.coalesce(F.try_divide(F.col("high") - F.greatest("open", "close"), span), F.lit(0.0)),
         "lw": F.coalesce(F.try_divide(F.least("open", "close") - F.col("low"), span), F.lit(0.0)),
     })
-    best = lambda x: F.max(F.struct(F.col(x).alias("v"), (-F.col("t")).alias("nt"))).over(upto(n))
-    rows = rows.withColumns({"u": best("uw"), "l": best("lw")})
-    return rows.withColumns({"upper_wick": F.col("u.v"), "upper_t": -F.col("u.nt"), "lower_wick": F.col("l.v"), "lower_t": -F.col("l.nt")}).drop("uw", "lw", "u", "l")
+    best = lambda x, mark: F.max(F.struct(F.col(x).alias("v"), (-F.col("t")).alias("nt"), mark.alias("mark"))).over(upto(n))
+    rows = rows.withColumns({"u": best("uw", F.col("close") <= F.col("open")), "l": best("lw", F.col("close") > F.col("low") + 0.5 * span)})
+    return rows.withColumns({
+        "upper_wick": F.col("u.v"), "upper_t": -F.col("u.nt"), "upper_red": (F.col("u.v") > 0) & F.col("u.mark"), "lower_wick": F.col("l.v"), "lower_t": -F.col("l.nt"), "lower_strong": (F.col("l.v") > 0) & F.col("l.mark"),
+    }).drop("uw", "lw", "u", "l")
 
 
 def below_run(rows: DataFrame, flag: Column, n: int) -> DataFrame:

@@ -62,7 +62,7 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EVENT_BARS_SQL}, {FEED_SQL} SELECT x.sym, x.t, round(coalesce((SELECT sum(px) FROM o WHERE o.sym = x.sym AND o.ts > x.t AND o.ts <= x.t + 28800), 0), 4) AS cost, (SELECT count(*) FROM o WHERE o.sym = x.sym AND o.ts > x.t AND o.ts <= x.t + 28800) AS cost_n FROM b x")
 def funding_range_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.range_sum(event_bars(spark, sf_dir).select("sym", "t"), feed(spark, sf_dir), F.col("t"), F.col("t") + 28800, "px", "cost", order=ORDER)
+    rows = A.range_sum(event_bars(spark, sf_dir).select("sym", "t"), feed(spark, sf_dir), F.col("t"), F.col("t") + 28800, "px", "cost")
     return rounded(rows, {"cost": 4})
 
 

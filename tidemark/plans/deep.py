@@ -9,6 +9,7 @@ from ..operators import deep as D
 from ..registry import query
 from ..sources.tables import EVENT_BARS_SQL, epoch, event_bars, table, ticks
 from .bars import rounded
+from .windows import with_interest
 from .outcomes import _EVENTS_SQL, events
 from .windows import ema_sql
 
@@ -116,15 +117,36 @@ def vwap_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.vwap_reclaim(event_bars(spark, sf_dir)).select("sym", "t", "rolling", "anchored")
 
 
-@query(f"""{EVENT_BARS_SQL}, r AS (SELECT *, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr FROM b WINDOW o AS (PARTITION BY sym ORDER BY t)),
-w AS (SELECT sym, t, CASE WHEN count(*) OVER w = 20 THEN round(4 * stddev_pop(close) OVER w / nullif(abs(avg(close) OVER w), 0), 9) END AS width, CASE WHEN count(tr) OVER w = 20 THEN 3 * avg(tr) OVER w / nullif(abs(avg(close) OVER w), 0) END AS k FROM r WINDOW w AS (PARTITION BY sym ORDER BY t ROWS 19 PRECEDING)),
-l AS (SELECT *, list(width) OVER a AS w48, list(width) OVER z AS w8, max(width) OVER z AS m8 FROM w WINDOW a AS (PARTITION BY sym ORDER BY t ROWS 47 PRECEDING), z AS (PARTITION BY sym ORDER BY t ROWS 7 PRECEDING))
-SELECT sym, t, coalesce(len(list_filter(w48, lambda x: x <= width)) / nullif(len(list_filter(w48, lambda x: x IS NOT NULL)), 0) <= 0.2 AND width IS NOT NULL, false) AS d1, coalesce(width <= 0.5 * m8, false) AS d2, coalesce(width <= k, false) AS d3,
- coalesce(len(list_filter(w8, lambda x: x <= width)) / nullif(len(list_filter(w8, lambda x: x IS NOT NULL)), 0) <= 0.2 AND width IS NOT NULL, false) AS d4 FROM l""")
+_SQUEEZE = f"""{EVENT_BARS_SQL}, r AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) OVER o, open)), abs(low - coalesce(lag(close) OVER o, open))) AS tr FROM b WINDOW o AS (PARTITION BY sym ORDER BY t)),
+w AS (SELECT *, CASE WHEN count(*) OVER w = 20 AND avg(close) OVER w > 0 THEN round(4 * stddev_pop(close) OVER w / avg(close) OVER w, 9) END AS width, avg(tr) OVER w / nullif(avg(close) OVER w, 0) AS k, sum(tq) OVER d AS oi, (tq / nullif(q, 0) - 0.5) / 10 AS funding,
+ CASE WHEN count(q) OVER p24 >= 8 AND stddev_pop(q) OVER p24 > 0 THEN (q - avg(q) OVER p24) / stddev_pop(q) OVER p24 ELSE 0 END AS z FROM r WINDOW w AS (PARTITION BY sym ORDER BY t ROWS 19 PRECEDING), d AS (PARTITION BY sym ORDER BY t ROWS 23 PRECEDING), p24 AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, list(width) FILTER (width IS NOT NULL) OVER a AS w48, list(width) FILTER (width IS NOT NULL) OVER z AS w8, max(width) OVER n AS m9, lag(oi, 4) OVER o AS oi_4, sum(tq) OVER f / nullif(sum(q) OVER f, 0) AS buys
+ FROM w WINDOW o AS (PARTITION BY sym ORDER BY t), a AS (PARTITION BY sym ORDER BY t ROWS 47 PRECEDING), z AS (PARTITION BY sym ORDER BY t ROWS 7 PRECEDING), n AS (PARTITION BY sym ORDER BY t ROWS 8 PRECEDING), f AS (PARTITION BY sym ORDER BY t ROWS 3 PRECEDING)),
+sq AS (SELECT *, coalesce(width IS NOT NULL AND len(w48) >= 24 AND len(list_filter(w48, lambda x: x <= width)) <= 0.1 * len(w48), false) AS d1, coalesce(m9 > 0 AND width / m9 <= 0.35, false) AS d2, coalesce(k > 0 AND width <= 3 * k, false) AS d3,
+ coalesce(width IS NOT NULL AND len(w8) >= 8 AND len(list_filter(w8, lambda x: x <= width)) <= 0.15 * len(w8), false) AS d4, coalesce(funding <= 0, false) AS cheap, coalesce(oi_4 > 0 AND oi / oi_4 >= 1 AND buys >= 0.5, false) AS held FROM l)"""
+
+
+@query(f"{_SQUEEZE} SELECT sym, t, d1, d2, d3, d4 FROM sq")
 def squeeze_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.squeeze_definitions(event_bars(spark, sf_dir)).select("sym", "t", "d1", "d2", "d3", "d4")
 
 
+_MODES = ("none", "funding", "oi", "both", "either")
+
+
+@query(f"""{_SQUEEZE}, m AS (SELECT *, unnest(['none', 'funding', 'oi', 'both', 'either']) AS mode FROM sq), c AS (SELECT sym, t, mode, high, close, z, d3 AND CASE mode WHEN 'none' THEN true WHEN 'funding' THEN cheap WHEN 'oi' THEN held WHEN 'both' THEN cheap AND held ELSE cheap OR held END AS setup FROM m),
+e AS (SELECT *, min(CASE WHEN setup THEN t END) OVER p AS since, list({{'t': t, 'h': high}}) OVER p AS path FROM c WINDOW p AS (PARTITION BY sym, mode ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
+SELECT mode, count(*) FILTER (setup) AS setups, count(*) FILTER (since IS NOT NULL AND z >= 1.5 AND close > list_max(list_transform(list_filter(path, lambda x: x.t >= since), lambda x: x.h))) AS releases FROM e GROUP BY 1""")
+def squeeze_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squeezes inside the Keltner band and what came of them, by what confirms them."""
+    rows = D.squeeze_definitions(with_interest(event_bars(spark, sf_dir)))
+    rows = rows.withColumns({f"s_{m}": D.squeeze_confirmed(F.col("d3"), m) for m in _MODES})
+    for m in _MODES:
+        rows = D.squeeze_released(rows, f"s_{m}", f"r_{m}")
+    sums = rows.agg(*[F.count_if(f"{k}_{m}").alias(f"{k}_{m}") for m in _MODES for k in "sr"])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"s_{m}").alias("setups"), F.col(f"r_{m}").alias("releases")) for m in _MODES])))
+
+
 @query("""WITH p AS (SELECT event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE epoch(ts) > 1706400000 - 176400 AND floor(epoch(ts)) <= 1706400000 AND floor(epoch(ts)) > 1706400000 - 176400)
 SELECT sym, count(*) AS points, min(ts) <= 1706400000 - 169200 AS warm, min(ts) <= 1706400000 - 16200 AS recent, max(ts) >= 1706400000 - 1200 AS fresh FROM p GROUP BY 1""")
 def store_warmth(spark: SparkSession, sf_dir: str) -> DataFrame:

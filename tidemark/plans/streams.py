@@ -9,6 +9,7 @@ from ..registry import query
 from ..sources.tables import EVENT_BARS_SQL, ticks
 from ..streaming import processors as P
 from ..streaming import watches as V
+from ..streaming.timed import state_store
 from .bars import rounded
 
 
@@ -48,13 +49,15 @@ def deep_inputs(rows: DataFrame) -> DataFrame:
 @query()
 def stream_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyed state machine has no plain SQL; a test holds it against a loop over all ticks."""
-    return P.drain(V.entry_watches(watch_inputs(_stream(spark, sf_dir))), "append")
+    with state_store(spark):
+        return P.drain(V.entry_watches(watch_inputs(_stream(spark, sf_dir)), 6 * 3600), "append")
 
 
 @query()
 def stream_deep_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As stream_watches, over setups and bars with and without observations."""
-    return P.drain(V.deep_watches(deep_inputs(_stream(spark, sf_dir))), "append")
+    with state_store(spark):
+        return P.drain(V.deep_watches(deep_inputs(_stream(spark, sf_dir)), 6 * 3600), "append")
 
 
 @query("""WITH s AS (SELECT event_id AS id, event_id - 2 AS source, CAST(floor(epoch(ts)) AS BIGINT) AS since, value - 5 AS px, value * 0.9 AS support, value - 20 AS atr, CASE user_id % 5 WHEN 0 THEN 'watching' WHEN 1 THEN 'ready' WHEN 2 THEN 'sending' WHEN 3 THEN 'expired' END AS status,
@@ -69,9 +72,9 @@ def watch_states_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).select(F.col("seq").alias("id"), V.valid(F.col("seq") - 2, since, v - 5, v * 0.9, v - 20, status, last, retry).alias("valid"))
 
 
-@query()
+@query("""WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events) SELECT ts - ts % 900 AS slot, count(*) AS n FROM e GROUP BY 1 HAVING slot + 900 <= (SELECT max(ts) FROM e) - 3600""")
 def stream_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed slots; the tail behind the watermark is not given out, which a test counts."""
+    """Closed slots: those whose end the watermark, an hour behind the newest tick, has passed."""
     return P.drain(P.slot_counts(_stream(spark, sf_dir)), "append")
 
 

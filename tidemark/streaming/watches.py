@@ -1,19 +1,18 @@
 """Watches of one symbol as keyed state machines: entry watches after a push, and watches of a deep reclaim.
 
-Machines take completed bars and other inputs in time order; what is not after the last input seen is ignored, so a replay changes
-nothing. Ends are judged in a fixed order before readiness, so that a bar that also touches the band never counts for more than it shows.
+Machines take completed bars and other inputs in time order (see timed); what is not after the last input seen is ignored, so a replay
+changes nothing. A watch that still waits expires by a timer. Ends are judged in a fixed order before readiness, so that a bar that also touches the band never counts for more than it shows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from dataclasses import astuple, dataclass, fields
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from . import timed
 
 # Bands in true ranges, windows in seconds, and the move that counts as missed.
 BAND_ATR, INVALID_ATR, MISSED_ATR = 0.5, 1.0, 2.0
@@ -91,6 +90,13 @@ class EntryWatch:
     def _delivered(self, r: dict) -> list[str]:
         return self._end("delivered") if self.status in ("ready", "sending") else []
 
+    def due(self) -> int | None:
+        """When the watch would expire; only one that still waits for its band does."""
+        return self.since + EXPIRY if self.status == "watching" else None
+
+    def expire(self) -> list[str]:
+        return self._end("expired")
+
     def _end(self, status: str) -> list[str]:
         self.status = status
         return [status]
@@ -143,34 +149,24 @@ class DeepWatch:
             return self._end("confirmed")
         return self._end("oi-rejected") if found == "rejected" else ["oi-wait"]
 
+    def due(self) -> int | None:
+        return self.since + EXPIRY if self.status == "watching" else None
+
+    def expire(self) -> list[str]:
+        return self._end("expired")
+
     def _end(self, status: str) -> list[str]:
         self.status = status
         return [status]
 
 
-def _run(machine: Callable, stream: DataFrame) -> DataFrame:
-    """(sym, t, event, px): events of a machine a symbol, from inputs with sym, ts, seq, kind, px and what the machine reads."""
-    kinds = {"int": "long", "float": "double", "str": "string"}
-    state_type = ", ".join(f"`{f.name}` {kinds[f.type]}" for f in fields(machine))
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own, out = machine(*state.get) if state.exists else machine(), []
-        rows = pd.concat(pdfs).sort_values(["ts", "seq"], kind="stable")
-        for r in rows.itertuples(index=False):
-            row = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r._asdict().items()}
-            out += [(key[0], int(row["ts"]), event, row["px"]) for event in own.observe(row)]
-        state.update(astuple(own))
-        yield pd.DataFrame(out, columns=["sym", "t", "event", "px"])
-
-    return stream.groupBy("sym").applyInPandasWithState(run, "sym string, t long, event string, px double", state_type, "append", GroupStateTimeout.NoTimeout)
-
-
-def entry_watches(stream: DataFrame) -> DataFrame:
-    return _run(EntryWatch, stream)
+def entry_watches(stream: DataFrame, width: int = 60, late: str = "0 seconds") -> DataFrame:
+    """Events of entry watches from inputs with sym, ts, seq, kind, px and what EntryWatch reads; expiry needs no further input."""
+    return timed.run(EntryWatch, stream, width, late)
 
 
-def deep_watches(stream: DataFrame) -> DataFrame:
-    return _run(DeepWatch, stream)
+def deep_watches(stream: DataFrame, width: int = 60, late: str = "0 seconds") -> DataFrame:
+    return timed.run(DeepWatch, stream, width, late)
 
 
 def valid(source: Column, since: Column, px: Column, support: Column, atr: Column, status: Column, last: Column, retry: Column) -> Column:
