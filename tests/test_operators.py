@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import asof, bars, books, detectors, evidence, folds, outcomes, research, windows
+from tidemark.operators import asof, bars, books, detectors, evidence, folds, outcomes, research, windows, thinning
 from tidemark.plans import books as book_plans
 from tidemark.plans.windows import with_interest
 from tidemark.sources import logs
@@ -83,7 +83,7 @@ def test_ema_over_blocks(spark, block):
 
 def test_cooldown(spark):
     rows = [("a", t) for t in (0, 5, 10, 14, 21, 21, 40)] + [("b", 3)]
-    out = folds.cooldown(spark.createDataFrame(rows, "sym string, t long"), 10, ["sym"])
+    out = thinning.cooldown(spark.createDataFrame(rows, "sym string, t long"), 10, ["sym"])
     assert sorted(map(tuple, out.collect())) == [("a", 0), ("a", 10), ("a", 21), ("a", 40), ("b", 3)]
 
 
@@ -499,7 +499,7 @@ def test_busy_until(spark):
         if t >= end.get(s, -1):
             want.append((s, t, u))
             end[s] = u
-    got = evidence.busy_until(spark.createDataFrame(rows, "sym string, since long, until long"), ["sym"], "since", "until").collect()
+    got = thinning.thin(spark.createDataFrame(rows, "sym string, since long, until long"), ["sym"], "since", F.col("until")).collect()
     assert sorted(map(tuple, got)) == want
 
 

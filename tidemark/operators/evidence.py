@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as X
 from .outcomes import path
+from .thinning import thin
 
 #: States of recorded rows. Thresholds are fixed values; an unknown basis, volume or share closes the state.
 STATES = {
@@ -73,24 +71,6 @@ def anchors(bars: DataFrame, width: int = 3600, hours: int = 24, n: int = 14) ->
     return rows.withColumns({k: F.when(whole, v) for k, v in own.items()}).drop("__tr")
 
 
-def busy_until(trades: DataFrame, keys: list[str], at: str, until: str) -> DataFrame:
-    """Greedy: a trade is taken only if the last one taken of its keys has ended. Rows pass by sorted, one end a key is held."""
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in trades.schema.fields]
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, end = None, None
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for n, (own, t, stop) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), pdf[at], pdf[until], strict=True)):
-                if own != key:
-                    key, end = own, None
-                if end is None or t >= end:
-                    keep[n], end = True, stop
-            yield pdf[keep]
-
-    return trades.repartition(*keys).sortWithinPartitions(*keys, at, until).mapInPandas(thin, ", ".join(names))
-
-
 # Margin, the two targets, the stop, the share closed at a target.
 LEVERAGE, TARGET1, TARGET2, STOP, CLOSED, DUST = 20, 0.05, 0.1, 0.05, 0.5, 1e-9
 
@@ -122,7 +102,7 @@ def day_trades(edges: DataFrame, bars: DataFrame, width: int) -> DataFrame:
     lanes = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(mode).alias("mode")) for side in ("long", "short") for mode in ("ladder", "allout")])
     rows = e.select("id", "day", "sym", "since", F.inline(lanes)).join(found, ["id", "side", "mode"], "left")
     rows = rows.select("day", "sym", "since", "side", "mode", "roi", F.coalesce(F.col("until") + 1, F.col("since")).alias("until"))
-    return busy_until(rows, ["day", "sym", "side", "mode"], "since", "until").drop("until")
+    return thin(rows, ["day", "sym", "side", "mode"], "since", F.col("until")).drop("until")
 
 
 def reuse(status: Column, known: Column, found: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Order-dependent folds: exponential averages and greedy thinning.
+"""Order-dependent folds: exponential averages.
 
 A series is cut into blocks of rows. A linear recurrence y = (1 - k) y + k x carries over a block as one pair (decay, sum), so blocks are
 folded apart, their pairs are chained per symbol (a few rows), and the blocks are folded once more with what is carried in: no task
@@ -8,10 +8,7 @@ holds more than a block.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +60,3 @@ def emas(bars: DataFrame, periods: dict[str, int], of: str = "close", block: int
 
 def ema(bars: DataFrame, period: int, of: str = "close", name: str = "ema", block: int = BLOCK) -> DataFrame:
     return emas(bars, {name: period}, of, block)
-
-
-def cooldown(events: DataFrame, wait: int, keys: list[str], at: str = "t") -> DataFrame:
-    """Greedy thinning: an event is kept if at least `wait` has passed since the last one kept of its keys.
-
-    Keys' events pass by sorted, one row at a time, so a key of any length needs no more memory than its last kept time. Of events of
-    one key at one time, the first is kept where wait is positive.
-    """
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields]
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for n, (own, t) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), pdf[at], strict=True)):
-                if own != key:
-                    key, last = own, None
-                if last is None or t - last >= wait:
-                    keep[n], last = True, t
-            yield pdf[keep]
-
-    return events.repartition(*keys).sortWithinPartitions(*keys, at).mapInPandas(thin, ", ".join(names))

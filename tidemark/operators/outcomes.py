@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scan
+from . import scan, selection
 
 
 def by_time():
@@ -113,21 +113,20 @@ def summary(rows: DataFrame, keys: list[str], value: str = "net") -> DataFrame:
     """Trades, coins, days, mean, median, win rate, profit factor (null without losses) and concentration."""
     r, v = rows.withColumn("day", F.floor(F.col("since") / 86400).cast("long")), F.col(value)
     out = r.groupBy(*keys).agg(
-        F.count(v).alias("trades"), F.count_distinct("sym").alias("coins"), F.count_distinct("day").alias("days"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"),
+        F.count(v).alias("trades"), F.count_distinct("sym").alias("coins"), F.count_distinct("day").alias("days"), F.avg(v).alias("mean"),
         F.avg((v > 0).cast("double")).alias("win_rate"), F.try_divide(F.sum(F.when(v > 0, v)), -F.sum(F.when(v < 0, v))).alias("profit_factor"),
     )
-    return out.join(concentration(r, keys, "sym", value), keys).join(concentration(r, keys, "day", value), keys)
+    n = F.col("n")
+    middles = selection.at_ranks(r, keys, value, {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)}).select(*keys, ((F.col("__low") + F.col("__high")) / 2).alias("median"))
+    return out.join(middles, keys).join(concentration(r, keys, "sym", value), keys).join(concentration(r, keys, "day", value), keys)
 
 
 def order_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The five order statistics: mean of the middles, index round(f (n - 1)), floor(q n), upper and lower middle.
 
-    Rows are ranked by a window, which spills, and only those at the five places are gathered; nulls are left out.
+    Found by counting passes (see selection), so a key of any length is many tasks; nulls are left out.
     """
-    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
-    counts = known.groupBy(*keys).agg(F.count("*").alias("n"))
-    ranked = known.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1).join(counts, keys)
     n = F.col("n")
     places = {"lower_middle": F.floor((n - 1) / 2), "upper_middle": F.floor(n / 2), "p25": F.floor(0.25 * (n - 1) + 0.5), "q90": F.least(F.floor(0.9 * n), n - 1)}
-    found = ranked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("i") == at, F.col("v"))).alias(name) for name, at in places.items()])
+    found = selection.at_ranks(rows, keys, value, places)
     return found.select(*keys, "n", ((F.col("lower_middle") + F.col("upper_middle")) / 2).alias("median"), "p25", "q90", "upper_middle", "lower_middle")

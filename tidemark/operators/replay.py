@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import outcomes as O
 from .asof import nearest
 from .deep import rejections, weighted_cost
-from .folds import cooldown
+from .thinning import cooldown
 
 HOUR = 3600
 

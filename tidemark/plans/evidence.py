@@ -10,6 +10,7 @@ from ..operators import deep as D
 from ..operators import evidence as E
 from ..operators import outcomes as O
 from ..operators import windows as X
+from ..operators.thinning import thin
 from ..registry import query
 from ..sources import logs as L
 from ..sources.tables import EVENT_BARS_SQL, epoch, event_bars, table, ticks
@@ -132,7 +133,7 @@ def daily_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda win, lose, end: F.when(won, win).when(F.col("stop_t").isNotNull(), lose).otherwise(end)
     rows = e.join(O.first_touch(e, bars, 12 * HOUR, (0.04,)), "id").where("n = 12")
     rows = rows.select("sym", "since", pick(F.col("t1"), F.col("stop_t"), F.col("end_t")).alias("until"), pick(F.lit(0.04), F.lit(-0.03), F.try_divide("end_px", "px") - 1).alias("gross"))
-    taken = E.busy_until(rows, ["sym"], "since", "until").withColumn("net", F.col("gross") - 0.003)
+    taken = thin(rows, ["sym"], "since", F.col("until")).withColumn("net", F.col("gross") - 0.003)
     out = taken.groupBy(F.floor(F.col("since") / DAY).cast("long").alias("day")).agg(F.count("*").alias("n"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.sum(F.greatest(F.lit(-1.0), 20 * F.col("net"))).alias("roi"))
     return rounded(out, {"win_rate": 5, "roi": 5})
 

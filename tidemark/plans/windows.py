@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, windows as X
+from ..operators import folds, thinning, windows as X
 from ..registry import query
 from ..sources.tables import EVENT_BARS_SQL, TRADE_BARS_SQL, event_bars, trade_bars
 from .bars import rounded
@@ -174,7 +174,7 @@ def double_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT sym, t, i FROM h WHERE i = 1 UNION ALL SELECT sym, t, i FROM (SELECT h.sym, h.t, h.i, row_number() OVER (PARTITION BY h.sym, k.t ORDER BY h.t) AS rn FROM k JOIN h ON h.sym = k.sym AND h.t >= k.t + 86400) WHERE rn = 1)
 SELECT sym, t FROM k""")
 def cooldown_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.cooldown(event_bars(spark, sf_dir).where("close > open").select("sym", "t"), 86400, ["sym"])
+    return thinning.cooldown(event_bars(spark, sf_dir).where("close > open").select("sym", "t"), 86400, ["sym"])
 
 
 @query(f"""{EVENT_BARS_SQL}, f AS (SELECT sym, t, list(close) OVER ({_W} ROWS 23 PRECEDING) AS f FROM b)
