@@ -166,7 +166,7 @@ def test_alignment_is_brute_force(spark, sf, pair, monkeypatch, hot, piece, grou
     rows = [(i if i % 17 else None, t, 1, [5], "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int, pairs array<int>, groups string").coalesce(2)
     # functions sent to tasks carry the module's numbers only where workers are forked anew, so the batch is checked here too
-    parts = alignment._pieces(" " + texts[0], piece, pair.b.cut)
+    parts = alignment._pieces(" " + texts[0], piece, pair.cut)
     assert "".join(parts) == " " + texts[0]
     found = alignment.score(common.written(alignment.align(docs)), alignment.n_pieces(), hot=hot)
     got = Counter(tuple(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")) for r in found.collect())
@@ -178,7 +178,7 @@ def test_pieces_and_large_groups_change_nothing(pair, monkeypatch):
     whole = alignment.align_texts(texts, pair)
     monkeypatch.setattr(alignment, "GROUP", 1)
     for t, want in zip(texts, whole):
-        parts = alignment._pieces(t, 25, pair.b.cut)
+        parts = alignment._pieces(t, 25, pair.cut)
         got = alignment._joined(alignment.align_texts(parts, pair))
         assert (got is None) == (want is None)
         if want:

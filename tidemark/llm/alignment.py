@@ -25,8 +25,8 @@ from .common import written
 #: Characters in a batch, and in a piece of a longer text; texts are cut where white space follows another character, where both
 #: tokenizers end a token.
 BATCH, PIECE = 400_000, 400_000
-#: Chunks whose ids a worker keeps for each side; beyond, it starts anew.
-CACHED = 300_000
+#: Chunks whose ids a worker keeps (some 250 bytes each); beyond, it starts anew.
+CACHED = 500_000
 #: Pairs of ids in the table that every task gets, at most (17 bytes each).
 HOT = 400_000
 #: Links of a group that are made pair by pair; a larger group's are products of the counts of its ids.
@@ -61,22 +61,20 @@ class ByteSide:
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(packing._known.get(self.path, ())) > CACHED:
-            packing._known[self.path].clear()
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        aside = set(odd)
-        ids = [np.frombuffer(x, "<u4") for x in packing.encode(["" if i in aside else t for i, t in enumerate(texts)] if odd else texts, self.path)]
-        for i in odd:
-            ids[i] = np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, "<u4")
-        return ids
+    def whole(self, text: str) -> bytes:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk, little-endian 32-bit numbers."""
+        odd = {c for c in chunks if any(s in c for s in self.special)}
+        found = dict(packing._encode_chunks([c for c in chunks if c not in odd], self.path))
+        return found | {c: self.whole(c) for c in odd}
 
 
 class PieceSide:
     """The tokenizer of pieces, which itself adds the space before a text; texts come with that space.
 
-    No piece reaches from another character into some kinds of white space, the space among them; so the pieces of a chunk, such white
-    space and what follows, depend on the chunk alone, and each is encoded once a worker.
+    inner: characters that a piece can have behind others, the mark of a space apart where it opens the piece.
     """
 
     def __init__(self, path: str) -> None:
@@ -87,28 +85,30 @@ class PieceSide:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.opens = np.array([p.startswith("▁") for p in names])
         self.space = self.model.piece_to_id("▁")
-        inner = {c for p in names for c in (p.lstrip("▁") if p[0] == "▁" else p[1:])}
+        self.inner = {c for p in names for c in (p.lstrip("▁") if p[0] == "▁" else p[1:])}
         probe = "\ufb01 \uff21  x\u0301\t\u3000"  # what a normaliser would change
-        self.apart = "▁" not in inner and b"".join(self.bytes[i] for i in self.model.encode(probe)).decode() == " " + probe
-        blank = "".join(re.escape(c) for c in sorted(packing._BLANK - inner))
-        self.chunk, self.cut = re.compile(f"[{blank}]*+[^{blank}]++|[{blank}]++"), re.compile(f"(?<=[^{packing._SPACE}])(?=[{blank}])")
-        self.known: dict[str, bytes] = {}
+        self.plain = b"".join(self.bytes[i] for i in self.model.encode(probe)).decode() == " " + probe
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, "<u4") for x in self.model.encode(texts, num_threads=1)]
 
-    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
+    def whole(self, text: str) -> bytes:
+        return self._raw([text[1:]])[0].tobytes()
+
+    def chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk. Those of one space and a word are encoded end to end and told apart by the pieces that open with a space."""
         out, joined, rest = {}, [], []
         for c in chunks:
             (joined if c[0] == " " and len(c) > 1 and c[1] not in packing._BLANK and "▁" not in c else rest).append(c)
         for start in range(0, len(joined), 512):
             part = joined[start : start + 512]
             ids = self._raw(["".join(part)[1:]])[0]
-            first = np.flatnonzero(self.opens[ids])
+            first = np.flatnonzero(self.opens[ids]).tolist()
             if len(first) != len(part):
                 rest += part
                 continue
-            out.update(zip(part, [x.tobytes() for x in np.split(ids, first[1:])], strict=True))
+            blob, stops = ids.tobytes(), [*(4 * i for i in first), 4 * len(ids)]
+            out.update((c, blob[x:y]) for c, x, y in zip(part, stops, stops[1:]))
         # a chunk that opens with a space has the one that the model adds; of the others that one is taken away again
         for c, ids in zip(rest, self._raw([c[1:] if c[0] == " " else c for c in rest]), strict=True):
             if c == " ":
@@ -116,26 +116,25 @@ class PieceSide:
             out[c] = (ids if c[0] == " " else ids[1:]).tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.apart:
-            return self._raw([t[1:] for t in texts])
-        if len(self.known) > CACHED:
-            self.known.clear()
-        chunks = [self.chunk.findall(t) for t in texts]
-        found = [list(map(self.known.get, row)) for row in chunks]
-        fresh = self._fresh(list({c for row, x in zip(chunks, found, strict=True) if None in x for c, ids in zip(row, x, strict=True) if ids is None}))
-        self.known.update((c, ids) for c, ids in fresh.items() if len(c) <= packing.LONGEST)
-        found = [[fresh[c] if ids is None else ids for c, ids in zip(row, x, strict=True)] if None in x else x for row, x in zip(chunks, found, strict=True)]
-        return [np.frombuffer(b"".join(x), "<u4") for x in found]
-
 
 class Pair:
-    """Both tokenizers with the tables of their entries."""
+    """Both tokenizers with the tables of their entries.
+
+    Texts fall into chunks at white space that follows another character and that no piece has behind others. There both tokenizers end a
+    token whatever stands around, so the ids of a chunk depend on it alone and each is encoded once a worker. Tokenizers that are not of
+    this kind encode whole texts (apart is false).
+    """
 
     def __init__(self, bytes_path: str, pieces_path: str) -> None:
         self.a, self.b = ByteSide(bytes_path), PieceSide(pieces_path)
         self.size_a, self.size_b = (np.array([len(x) for x in s.bytes], np.int64) for s in (self.a, self.b))
         self.flat_a, self.flat_b = _spelling(self.a.bytes), _spelling(self.b.bytes)
+        self.apart = self.b.plain and "▁" not in self.b.inner
+        space, cuts = packing._SPACE, "".join(re.escape(c) for c in sorted(packing._BLANK - self.b.inner))
+        odd = "".join(re.escape(c) for c in sorted(packing._BLANK & self.b.inner)) or "^\\s\\S"
+        self.chunk = re.compile(f"[{space}]*+[^{space}]++(?:[{odd}][{space}]*+[^{space}]*+)*+|[{space}]++")
+        self.cut = re.compile(f"(?<=[^{space}])(?=[{cuts}])")
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         most = max(len(self.a.bytes), len(self.b.bytes))
         width = len(str(most))
         # decimal digits of each id, filled up with zero bytes, and room for the mark behind it
@@ -144,17 +143,34 @@ class Pair:
             self.digits[i, : len(str(i))] = np.frombuffer(str(i).encode(), np.uint8)
         self.n_digits = (self.digits != 0).sum(axis=1)
 
+    def _ids(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        if not self.apart:
+            yield from ((self.a.whole(t), self.b.whole(t)) for t in texts)
+            return
+        if len(self.known) > CACHED:
+            self.known.clear()
+        chunks = [self.chunk.findall(t) for t in texts]
+        found = [list(map(self.known.get, row)) for row in chunks]
+        fresh = list({c for row, x in zip(chunks, found, strict=True) if None in x for c, ids in zip(row, x, strict=True) if ids is None})
+        a, b = self.a.chunks(fresh), self.b.chunks(fresh)
+        fresh = {c: (a[c], b[c]) for c in fresh}
+        self.known.update((c, ids) for c, ids in fresh.items() if len(c) <= packing.LONGEST)
+        for row, x in zip(chunks, found, strict=True):
+            x = [fresh[c] if ids is None else ids for c, ids in zip(row, x, strict=True)] if None in x else x
+            yield b"".join([ids[0] for ids in x]), b"".join([ids[1] for ids in x])
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
         """Ids of both sides, and whether both sides' bytes are the text's."""
-        a, b = self.a.encode(texts), self.b.encode(texts)
+        ids = list(self._ids(texts))
+        a, b = ([np.frombuffer(x[side], "<u4") for x in ids] for side in (0, 1))
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         sizes = [(int(self.size_a[x].sum()), int(self.size_b[y].sum())) for x, y in zip(a, b, strict=True)]
         fine = [s == (len(d), len(d)) for s, d in zip(sizes, data, strict=True)]
-        for table, ids in ((self.flat_a, a), (self.flat_b, b)):
+        for table, own in ((self.flat_a, a), (self.flat_b, b)):
             held = [i for i, ok in enumerate(fine) if ok]
-            if held and table(np.concatenate([ids[i] for i in held])) != b"".join([data[i] for i in held]):
+            if held and table(np.concatenate([own[i] for i in held])) != b"".join([data[i] for i in held]):
                 for i in held:
-                    fine[i] = table(ids[i]) == data[i]
+                    fine[i] = table(own[i]) == data[i]
         return a, b, fine
 
 
@@ -291,7 +307,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
                 first, parts, n = at, [], 0
                 while at < batch.num_rows and n < BATCH and at - first < 512:
                     text = texts[at].as_py()
-                    parts.append(_pieces(" " + text, PIECE if pair.b.apart else len(text) + 1, pair.b.cut) if text else [])
+                    parts.append(_pieces(" " + text, PIECE if pair.apart else len(text) + 1, pair.cut) if text else [])
                     n += len(text or "")
                     at += 1
                 found, group, room = [], [], 0
