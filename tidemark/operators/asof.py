@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from . import scan
 
 
@@ -36,7 +37,7 @@ def asof_forward(left: DataFrame, right: DataFrame, at: Column, names: dict[str,
 
 def nearest(left: DataFrame, right: DataFrame, at: Column, value: str, name: str, by: str = "sym", ts: str = "ts", order: list[str] | None = None, max_age: int | None = None, within: int | None = None) -> DataFrame:
     """Backward as-of, else the nearest later row within tolerance."""
-    rows = asof(left, right, at, {value: "__back"}, by, ts, order, max_age)
+    rows = kept(asof(left, right, at, {value: "__back"}, by, ts, order, max_age))  # each read looks at its rows twice
     rows = asof_forward(rows, right, at, {value: "__next"}, by, ts, order, within)
     return rows.withColumn(name, F.coalesce("__back", "__next")).drop("__back", "__next")
 
@@ -46,7 +47,8 @@ def range_sum(left: DataFrame, right: DataFrame, low: Column, high: Column, valu
     # values of one time are one, so the running sum has no ties
     run = right.groupBy(by, ts).agg(F.sum(value).alias("__x"), F.count("*").alias("__y"))
     run = scan.running(run, [by], [ts], {"__s": ("sum", F.col("__x")), "__n": ("sum", F.col("__y"))}, span).drop("__x", "__y")
-    rows = asof(left, run, low, {"__s": "__s0", "__n": "__n0"}, by, ts, span=span)
+    run = kept(run)
+    rows = kept(asof(left, run, low, {"__s": "__s0", "__n": "__n0"}, by, ts, span=span))
     rows = asof(rows, run, high, {"__s": "__s1", "__n": "__n1"}, by, ts, span=span)
     none = F.lit(0)
     return rows.withColumns({name: F.coalesce("__s1", F.lit(0.0)) - F.coalesce("__s0", F.lit(0.0)), f"{name}_n": F.coalesce("__n1", none) - F.coalesce("__n0", none)}).drop("__s0", "__s1", "__n0", "__n1")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from . import outcomes as O
 from .asof import nearest
 from .deep import rejections, weighted_cost
@@ -31,7 +32,7 @@ def executed(events: DataFrame, bars: DataFrame, charges: DataFrame, width: int,
     A horizon that isn't whole has no net.
     """
     known = charges.select("sym").distinct().withColumn("__known", F.lit(True))
-    out = None
+    events, out = kept(events), None
     for policy, hold in (("time", time_hold), ("ladder", ladder_hold)):
         rows = events.join(O.first_touch(events, bars, hold, targets, stop), "id", "left")
         stopped = F.coalesce("stop_t", F.lit(1 << 62))
@@ -45,6 +46,7 @@ def executed(events: DataFrame, bars: DataFrame, charges: DataFrame, width: int,
             gross = shares[0] * targets[0] + shares[1] * targets[1] + (1 - shares[0] - shares[1]) * F.when(hit[2], F.lit(targets[2])).otherwise(ended)
         whole = F.coalesce("n", F.lit(0)) == hold // width
         rows = rows.select(*events.columns, F.lit(policy).alias("policy"), whole.alias("whole"), hit[0].alias("up_first"), F.coalesce(exit_t, "since").alias("exit"), cuts.alias("cuts"), F.when(whole, gross).alias("gross"))
+        rows = kept(rows)
         paid = weighted_cost(rows.select("id", "sym", F.col("since").alias("entry"), "exit", "cuts"), charges)
         rows = rows.join(paid, "id").join(known, "sym", "left")
         rows = rows.select(*events.columns, "policy", "whole", "up_first", F.coalesce("__known", F.lit(False)).alias("funding_known"), (F.col("gross") - cost - F.col("cost")).alias("net"))

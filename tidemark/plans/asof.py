@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import asof as A
 from ..operators import windows as X
 from ..registry import query
+from ..shared import kept
 from ..sources.tables import EVENT_BARS_SQL, event_bars, table, ticks
 from .bars import rounded
 
@@ -39,7 +40,7 @@ def oi_change_on_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = feed(spark, sf_dir)
     rows = A.asof(event_bars(spark, sf_dir).select("sym", "t"), o, F.col("t"), {"px": "cv", "ts": "ct"}, order=ORDER, max_age=7200).where("ct is not null")
     for name, h in (("r1", 3600), ("r4", 14400)):
-        rows = A.asof(rows, o, F.col("ct") - h, {"px": name}, order=ORDER, max_age=14400)
+        rows = kept(A.asof(rows, o, F.col("ct") - h, {"px": name}, order=ORDER, max_age=14400))
     pct = lambda r: F.round((F.try_divide("cv", r) - 1) * 100, 4)
     return rows.select("sym", "t", pct("r1").alias("change_1h"), pct("r4").alias("change_4h"))
 
@@ -49,7 +50,7 @@ def oi_change_on_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References stand at the bar's close less 1 h and 4 h: another anchor than oi_change_on_current."""
     o, rows = feed(spark, sf_dir), event_bars(spark, sf_dir).select("sym", "t")
     for name, h in (("cv", 0), ("r1", 3600), ("r4", 14400)):
-        rows = A.asof(rows, o, F.col("t") - h, {"px": name}, order=ORDER, max_age=7200)
+        rows = kept(A.asof(rows, o, F.col("t") - h, {"px": name}, order=ORDER, max_age=7200))
     pct = lambda r: F.round((F.try_divide("cv", r) - 1) * 100, 4)
     return rows.select("sym", "t", pct("r1").alias("change_1h"), pct("r4").alias("change_4h"))
 
@@ -66,14 +67,14 @@ def funding_range_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, {"cost": 4})
 
 
-_SPOT = "s AS (SELECT sym, ts - ts % 3600 AS t, last(px ORDER BY ts, seq) AS spot FROM ev WHERE u % 5 < 4 GROUP BY 1, 2)"
+_SPOT = "s AS (SELECT event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) % 3600 AS t, first(value ORDER BY ts, event_id) AS spot FROM events GROUP BY 1, 2)"
 
 
 @query(f"""{EVENT_BARS_SQL}, {_SPOT}, j AS (SELECT b.sym, b.t, close, spot FROM b LEFT JOIN s ON s.sym = b.sym AND s.t = b.t)
 SELECT sym, t, CASE WHEN count(spot) OVER w = 4 AND t - min(t) OVER w = 10800 THEN round(avg((close / nullif(spot, 0) - 1) * 100) OVER w, 4) END AS basis_pct FROM j WINDOW w AS (PARTITION BY sym ORDER BY t ROWS 3 PRECEDING)""")
 def basis_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perpetual against spot on equal times; only whole, contiguous windows count."""
-    spot = ticks(spark, sf_dir).where("user % 5 < 4").groupBy("sym", (F.col("ts") - F.col("ts") % 3600).alias("t")).agg(F.max_by("px", F.struct("ts", "seq")).alias("spot"))
+    spot = ticks(spark, sf_dir).groupBy("sym", (F.col("ts") - F.col("ts") % 3600).alias("t")).agg(F.min_by("px", F.struct("ts", "seq")).alias("spot"))
     rows = event_bars(spark, sf_dir).join(spot, ["sym", "t"], "left")
     w = X.upto(4)
     whole = (F.count("spot").over(w) == 4) & (F.col("t") - F.min("t").over(w) == 10800)
