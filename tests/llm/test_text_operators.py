@@ -188,11 +188,57 @@ def test_language_accuracy_and_odd_cases(spark, odd, empty):
     assert {r["lang_pred"] for r in lang_id.predict(odd, None).collect()} == {"und"}
 
 
-def test_presence_in_spans_is_presence(monkeypatch):
-    text = "Über den Fluß and the river, " * 50
-    whole = lang_id.presence(text)
-    monkeypatch.setattr(lang_id, "SPAN", 17)
-    assert set(whole) <= set(lang_id.presence(text)) | set(whole) and len(set(whole) ^ set(lang_id.presence(text))) < 0.1 * len(whole)
+@pytest.mark.parametrize("span", [1, 5, 17, 200])
+def test_presence_in_spans_is_presence(monkeypatch, span):
+    texts = ["Über den Fluß and the river, " * 50, "a   \n\n  b" * 40, "ΟΔΥΣΣΕΥΣ ΣΑΣ. ΣΑΣ' ΣΑΣ " * 9, "noblanks" * 90, "     ", " İI" * 30, "end of line\r\n" * 20, "x", ""]
+    whole = [lang_id.presence(t).tolist() for t in texts]
+    monkeypatch.setattr(lang_id, "SPAN", span)
+    assert [lang_id.presence(t).tolist() for t in texts] == whole
+
+
+def plain_kernel_ridge(train, texts, languages):
+    """Scores of a plain Nyström kernel ridge: presence n-grams as sets, kernels as shares of common ones, nothing hashed or batched."""
+    sets = lambda t: set(lang_id.presence(t).tolist())
+    kernel = lambda a, b: len(a & b) / (max(1, len(a)) * max(1, len(b))) ** 0.5
+    x, y = [sets(t) for t, _ in train], np.array([[1.0 if lang == name else -1.0 for name in languages] for _, lang in train])
+    marks, seen = [], {}
+    for s, (_, lang) in zip(x, train):
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] <= lang_id.LANDMARKS_PER_LANGUAGE:
+            marks.append(s)
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = np.array([[kernel(a, b) for b in marks] for a in x]) @ root
+    weight = 1 / np.array([seen[lang] for _, lang in train])
+    weight /= weight.mean()
+    solved = np.linalg.solve(phi.T @ (phi * weight[:, None]) + lang_id.RIDGE * len(train) * np.eye(phi.shape[1]) / phi.shape[1], (phi * weight[:, None]).T @ y)
+    return np.array([[kernel(sets(t), b) for b in marks] for t in texts]) @ root @ solved
+
+
+def test_language_scores_are_those_of_a_plain_kernel_ridge(spark, sf):
+    rows = [r for r in table(spark, sf, "documents").select("doc_id", "text", "lang").limit(60).collect() if r["text"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(docs)
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    train = [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], hashes[r["doc_id"]]))]
+    texts = [r["text"] for r in rows[:12]] + ["the river and the bridge", "el río y la casa"]
+    assert np.allclose(model.scores(texts), plain_kernel_ridge(train, texts, model.languages), atol=2e-3)
+
+
+def test_odd_names_and_many_candidates(spark):
+    """Columns named as the operators name theirs stay or give way as stated; starts are right however many candidates a text has."""
+    model = secrets.fit(secrets.labelled_findings(spark))
+    digests = [f"{i:040x}" for i in range(700)]
+    text = "key = " + " and ".join(digests)
+    docs = spark.createDataFrame([(1, text, 7, "f", 3.0, "x"), (2, None, 8, "f", 3.0, "x"), (3, "", 9, "f", 3.0, "x")], "doc_id long, text string, __v long, findings string, score double, `a.b` string")
+    named = secrets.scan(docs, model, names=("own", "masked"))
+    assert named.columns == [*docs.columns, "own", "masked"]
+    found = {r["doc_id"]: r for r in named.collect()}
+    assert [found[i]["__v"] for i in (1, 2, 3)] == [7, 8, 9] and {r["findings"] for r in found.values()} == {"f"} and found[1]["a.b"] == "x" and found[2]["own"] == [] == found[3]["own"]
+    assert [(f["start"], text[f["start"] : f["start"] + f["length"]]) for f in found[1]["own"]] == [(6 + 45 * i, d) for i, d in enumerate(digests)]
+    predicted = lang_id.predict(docs, None, keep=["doc_id", "score"])
+    assert predicted.columns == ["doc_id", "lang_pred", "score"] and {r["score"] for r in predicted.collect()} == {0.0}
 
 
 # Packing ------------------------------------------------------------------------------------------------------------------------------

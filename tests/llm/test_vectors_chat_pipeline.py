@@ -210,3 +210,14 @@ def test_pipeline_stages_on_odd_rows(spark, sf):
             docs = stage(spark, docs, sf)
         got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect())
         assert got == ([(False, 2), (True, 0)] if data else [])
+
+
+def test_stages_with_columns_of_any_name(spark, sf):
+    """Extra columns named as the operators name theirs come through the first and the fourth stage unchanged."""
+    docs = table(spark, sf, "documents").limit(40)
+    named = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in ("score", "lang_pred", "findings", "redacted", "row", "__v")])
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.secret_stage):
+        plain, extra = stage(spark, docs, sf), stage(spark, named, sf)
+        assert extra.columns == named.columns
+        assert sorted(map(tuple, extra.select(*docs.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert all(r[n] == f"own {n}" for r in extra.collect() for n in ("score", "lang_pred", "findings", "redacted", "row", "__v"))

@@ -51,6 +51,8 @@ def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 256) -> Iterator[p
             yield batch.slice(start, max_rows)
 
 
-def key_of(*columns: str):
-    """A 64-bit key of a row's id and text; with the id itself it tells rows apart unless they are the same row twice."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -8,6 +8,7 @@ out, so texts are scored by products of presence matrices with one small weight
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,20 +27,30 @@ TRAIN_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 60
 RIDGE = 1e-2
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
-#: Characters taken at once from a text, with an overlap of MAX_N - 1: bounds the work space of very long texts.
+#: Characters taken at once from a text, up to the next white space: bounds the work space of very long texts.
 SPAN = 1 << 18
+_BLANK = re.compile("[ \\t\\n\\r]")
 
 
 def presence(text: str | None) -> np.ndarray:
-    """Sorted ids of the n-grams of the whole text, lower-cased, runs of what are no letters read as one space."""
+    """Sorted ids of the n-grams of the whole text, lower-cased, runs of what are no letters read as one space.
+
+    A long text comes in spans that end with white space, so lower case doesn't depend on them, and what n-grams and runs at a border need
+    is carried over: the result is that of the whole text.
+    """
     ids = np.zeros(DIM, bool)
-    text = text or ""
-    for start in range(0, len(text), SPAN):
-        piece = text[max(0, start - MAX_N + 1) : start + SPAN].lower()
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+    text, start, tail, open_run = text or "", 0, np.zeros(0, np.uint32), False
+    while start < len(text):
+        end = _BLANK.search(text, start + SPAN) if len(text) - start > SPAN else None
+        piece = text[start : end.end() if end else len(text)]
+        start += len(piece)
+        codes = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         plain = (codes < 128) & ~((codes >= 97) & (codes <= 122))
         codes = np.where(plain, np.uint32(32), codes)
-        codes = codes[~(plain & np.r_[False, plain[:-1]])]
+        kept = codes[~(plain & np.r_[open_run, plain[:-1]])]
+        open_run = bool(plain[-1])
+        codes = np.concatenate([tail, kept])
+        tail = codes[-(MAX_N - 1) :]
         mixed = np.zeros(len(codes), np.uint32)
         for n in range(MAX_N):
             if len(codes) <= n:
@@ -118,10 +129,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (default: the id) plus lang_pred and score in [0, 1].
 
-    The score is the winner's share after a softmax of the regression outputs. Null texts and texts without a letter get `und` and 0,
-    as all do where there is no model. Whole texts are read; only the text is looked at. Ties go to the first language by name.
+    Columns to keep that are named lang_pred or score give way to these. The score is the winner's share after a softmax of the regression outputs. Null texts and texts without a letter get `und` and 0,
+    as all do where there is no model. Whole texts are read; only the text is looked at. Ties go to the first language by name. Repeated
+    rows have the same result each, an empty table has none.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c not in ("lang_pred", "score")]
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "score double"])
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights a language

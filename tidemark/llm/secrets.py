@@ -176,18 +176,38 @@ def score(model: Model, name: str) -> str:
     return f"({' + '.join(trees)}) / {len(trees)}D"
 
 
-def scan(docs: DataFrame, model: Model, text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs plus `findings` and `redacted`, names that docs must not have.
+#: Sizes are summed up within so many of them, and these sums one after another.
+STRETCH = 128
+
+
+def _stretches(sizes: Column) -> Column:
+    """The sum of the sizes before each stretch of them."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.size(sizes)
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int"))).otherwise(F.array().cast("array<int>"))
+    sums = F.transform(blocks, lambda b: total(F.slice(sizes, b * STRETCH + 1, F.lit(STRETCH))))
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    return F.aggregate(sums, nothing, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+
+
+def scan(docs: DataFrame, model: Model, text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD, names: tuple[str, str] = ("findings", "redacted")) -> DataFrame:
+    """All columns of docs plus `findings` and `redacted`, or what names calls them: names that docs must not have. Other columns may have
+    any name.
 
     findings: every candidate of the whole text as (start from 0 in characters, length, score, secret), in order; secret means a score
-    of threshold or more. redacted: the text with each secret replaced by [SECRET]; null stays null with no findings.
+    of threshold or more. redacted: the text with each secret replaced by [SECRET]; null stays null with no findings, as an empty text
+    has none. Repeated rows have the same result each, an empty table has none. Work grows with a text's length, however many
+    candidates it has.
     """
-    if {"findings", "redacted"} & set(docs.columns):
-        raise ValueError("docs must not have columns named findings or redacted")
+    if set(names) & set(docs.columns):
+        raise ValueError(f"docs must not have columns named {' or '.join(names)}")
     text, path = F.col(text_col), F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     safe = F.coalesce(text, F.lit(""))
     values, pieces = F.regexp_extract_all(safe, F.lit(CANDIDATE), F.lit(0)), F.split(safe, CANDIDATE, -1)
-    cut = docs.withColumn("__v", values).withColumn("__p", F.when(F.size("__v") > 0, pieces).otherwise(F.array(safe)))
+    # the caller's columns travel in one of their own, so that their names can't meet the names below
+    cut = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text.alias("__text"), path.alias("__path"), values.alias("__v"), pieces.alias("__p"))
+    text, path = F.col("__text"), F.col("__path")
+    cut = cut.withColumn("__p", F.when(F.size("__v") > 0, F.col("__p")).otherwise(F.array(F.coalesce(text, F.lit("")))))
     # a name of 16 and more characters is a candidate too, and belongs to what is left of its value
     before = lambda i: F.concat(F.coalesce(F.get("__p", i - 2), F.lit("")), F.coalesce(F.get("__v", i - 2), F.lit("")), F.element_at("__p", i))
     around = F.transform(
@@ -197,15 +217,13 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", path_col: str |
     cut = cut.withColumn("__a", around)
     cut = cut.withColumn("__f", F.transform("__a", lambda a: F.struct(*features(a["value"], a["left"], a["right"], path, model.transitions))))
     cut = cut.withColumn("__s", F.expr(f"transform(__f, c -> {score(model, 'c')})"))
-    start = F.aggregate(
-        "__a", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, a: F.struct((s["at"] + a["gap"] + F.length(a["value"])).alias("at"), F.concat(s["starts"], F.array(s["at"] + a["gap"])).alias("starts")),
-        lambda s: s["starts"],
-    )
-    cut = cut.withColumn("__starts", start)
+    cut = cut.withColumns({"__sizes": F.transform("__a", lambda a: (a["gap"] + F.length(a["value"])).cast("long")), "__gaps": F.transform("__a", lambda a: a["gap"].cast("long"))})
+    cut = cut.withColumn("__before", _stretches(F.col("__sizes")))
+    block = lambda i: F.floor(i / STRETCH).cast("int")
+    start = lambda i: F.get("__before", block(i)) + F.aggregate(F.slice("__sizes", block(i) * STRETCH + 1, i % STRETCH), F.lit(0).cast("long"), lambda a, x: a + x) + F.get("__gaps", i)
     found = F.transform(
-        "__a", lambda a, i: F.struct(F.get("__starts", i).alias("start"), F.length(a["value"]).alias("length"), F.round(F.get("__s", i), 6).alias("score"), (F.get("__s", i) >= threshold).alias("secret"))
+        "__a", lambda a, i: F.struct(start(i).cast("int").alias("start"), F.length(a["value"]).alias("length"), F.round(F.get("__s", i), 6).alias("score"), (F.get("__s", i) >= threshold).alias("secret"))
     )
     masked = F.zip_with("__p", F.zip_with("__v", "__s", lambda v, s: F.when(s >= threshold, F.lit(MASK)).otherwise(v)), lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
     redacted = F.when(text.isNull(), text).when(F.exists("__s", lambda s: s >= threshold), F.array_join(masked, "")).otherwise(text)
-    return cut.select(*docs.columns, found.alias("findings"), redacted.alias("redacted"))
+    return cut.select(*[F.col(f"__row.`{c}`") for c in docs.columns], found.alias(names[0]), redacted.alias(names[1]))
