@@ -18,8 +18,10 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (null text or no letter) go."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    found = lang_id.predict(docs, lang_id.train(docs.where(~held)), keep=docs.columns)
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    # all columns travel in one, so that none can meet those of the prediction
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    found = lang_id.predict(rows, lang_id.train(docs.where(~held)), keep=["row"])
+    return found.where("lang_pred <> 'und'").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +45,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows."""
-    found = secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark)), path_col="source")
-    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(docs.schema["n_chars"].dataType)}
-    return found.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
+    names = common.fresh(docs, "findings"), common.fresh(docs, "redacted")
+    found = secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark)), path_col="source", names=names)
+    changed = {"text": F.col(names[1]), "n_chars": F.length(names[1]).cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
