@@ -24,5 +24,5 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    for name in ("bars", "windows", "asof", "signals", "outcomes", "research", "logs", "books", "streams", "deep", "evidence", "replays", "grid"):
+    for name in ("bars", "windows", "asof", "signals", "outcomes", "research", "logs", "books", "streams", "deep", "evidence", "replays", "grid", "archive"):
         importlib.import_module(f"tidemark.plans.{name}")
