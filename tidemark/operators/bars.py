@@ -15,9 +15,9 @@ def by_time():
 def from_ticks(ticks: DataFrame, width: int) -> DataFrame:
     """Bars (sym, t, open, high, low, close, q, tq, n) of `width` seconds from (sym, ts, seq, px, q, taker).
 
-    One hash aggregation with partial sums; first and last are by (ts, seq), so input order doesn't matter.
+    One hash aggregation with partial sums; first and last are by (ts, seq, px), so input order doesn't matter.
     """
-    at = F.struct("ts", "seq")
+    at = F.struct("ts", "seq", "px")
     return ticks.groupBy("sym", (F.col("ts") - F.col("ts") % width).alias("t")).agg(
         F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"),
         F.sum("q").alias("q"), F.sum(F.when(F.col("taker"), F.col("q")).otherwise(0.0)).alias("tq"), F.count("*").alias("n"),

@@ -117,10 +117,10 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{EVENT_BARS_SQL}, base AS (SELECT sym, t, close FROM b WHERE t >= 1705276800), f AS (SELECT sym, min(t) AS f FROM base GROUP BY 1)
-SELECT sym, t, round(close, 6) AS close FROM base UNION ALL SELECT b.sym, b.t, round(b.close, 6) FROM b LEFT JOIN f USING (sym) WHERE b.t % 14400 = 0 AND (f IS NULL OR b.t < f)""")
+SELECT sym, t, round(close, 6) AS close FROM base UNION ALL SELECT b.sym, b.t, round(b.close * 0.9, 6) FROM b LEFT JOIN f USING (sym) WHERE f IS NULL OR b.t < f""")
 def splice_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = event_bars(spark, sf_dir).select("sym", "t", "close")
-    return rounded(A.splice(bars.where("t % 14400 = 0"), bars.where("t >= 1705276800")), {"close": 6})
+    return rounded(A.splice(bars.withColumn("close", F.col("close") * 0.9), bars.where("t >= 1705276800")), {"close": 6})
 
 
 @query(f"""{EVENT_BARS_SQL}, st AS (SELECT sym, t, close AS v FROM b WHERE t >= 1705276800), h AS (SELECT sym, t, close * 0.9 AS v FROM b),

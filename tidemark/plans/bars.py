@@ -87,13 +87,13 @@ def completed_taker_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.completed_share(event_bars(spark, sf_dir), 4, HOUR).select("sym", "t", "share"), {"share": 6})
 
 
-@query(f"""{EVENT_BARS_SQL}, u AS (SELECT sym, t, close, 1 AS src FROM b WHERE t % 7200 = 0 UNION ALL SELECT sym, t, close * 2, 2 FROM b WHERE t % 10800 = 0),
+@query(f"""{EVENT_BARS_SQL}, u AS (SELECT sym, t, close, 1 AS src FROM b WHERE t < 1705968000 UNION ALL SELECT sym, t, close * 2, 2 FROM b WHERE t >= 1705622400),
 m AS (SELECT sym, t, last(close ORDER BY src) AS close FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY t DESC) AS rd FROM m)
 SELECT sym, t, round(close, 6) AS close FROM r WHERE rd <= 140""")
 def hourly_store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = event_bars(spark, sf_dir)
-    old = bars.where("t % 7200 = 0").select("sym", "t", "close", F.lit(1).alias("src"))
-    new = bars.where("t % 10800 = 0").select("sym", "t", (F.col("close") * 2).alias("close"), F.lit(2).alias("src"))
+    old = bars.where("t < 1705968000").select("sym", "t", "close", F.lit(1).alias("src"))
+    new = bars.where("t >= 1705622400").select("sym", "t", (F.col("close") * 2).alias("close"), F.lit(2).alias("src"))
     merged = B.latest(old.unionByName(new), ["sym", "t"], F.col("src"))
     return rounded(B.keep_last(merged, 140).select("sym", "t", "close"), {"close": 6})
 

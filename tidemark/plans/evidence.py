@@ -203,12 +203,12 @@ def whole_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("rows = 12").select("sym", "t", (F.col("span") == 11 * HOUR).alias("dense"), F.when(F.col("spots") == 12, F.round("mean", 6)).alias("spot"))
 
 
-@query("""WITH l AS (SELECT event_type AS src, user_id AS sym, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, event_id AS id FROM events), a AS (SELECT src, sym, h, min(id) AS id FROM l WHERE id % 2 = 0 GROUP BY 1, 2, 3), s AS (SELECT src, sym, h, min(id) AS id FROM l WHERE id % 3 = 0 GROUP BY 1, 2, 3)
+@query("""WITH l AS (SELECT event_type AS src, user_id AS sym, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, event_id AS id, value AS px FROM events), a AS (SELECT src, sym, h, max(id) AS id FROM l WHERE px > 20 GROUP BY 1, 2, 3), s AS (SELECT src, sym, h, min(id) AS id FROM l GROUP BY 1, 2, 3)
 SELECT src, sym, h, id FROM a UNION ALL SELECT src, sym, h, id FROM s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.src = s.src AND a.sym = s.sym AND a.h = s.h)""")
 def seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["src", "sym", "h"]
-    rows = ticks(spark, sf_dir).select(F.col("sym").alias("src"), F.col("user").alias("sym"), F.floor(F.col("ts") / HOUR).cast("long").alias("h"), F.col("seq").alias("id"))
-    log, seed = (rows.where(c).groupBy(*key).agg(F.min("id").alias("id")) for c in ("id % 2 = 0", "id % 3 = 0"))
+    rows = ticks(spark, sf_dir).select(F.col("sym").alias("src"), F.col("user").alias("sym"), F.floor(F.col("ts") / HOUR).cast("long").alias("h"), F.col("seq").alias("id"), "px")
+    log, seed = rows.where("px > 20").groupBy(*key).agg(F.max("id").alias("id")), rows.groupBy(*key).agg(F.min("id").alias("id"))
     return E.seed_merge(log, seed, key)
 
 

@@ -25,7 +25,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sym, ts, seq, px, q, taker): line items as trades, one symbol a nation, price by quantity; suppliers are a dimension."""
     line, supplier, nation = (table(spark, sf_dir, n) for n in ("lineitem", "supplier", "nation"))
-    where = supplier.join(F.broadcast(nation), supplier["s_nationkey"] == nation["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("sym"))
+    where = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("sym"))
     return line.join(where, line["l_suppkey"] == where["s_suppkey"]).select(
         "sym", epoch(F.col("l_shipdate")).alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_extendedprice").alias("q"), (F.col("l_returnflag") == "A").alias("taker"),
@@ -58,7 +58,7 @@ TRADE_BARS_SQL = """WITH RECURSIVE tr AS (
          l_extendedprice AS q, l_returnflag = 'A' AS taker
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ), b AS (
-  SELECT sym, ts - ts % 86400 AS t, first(px ORDER BY ts, seq) AS open, max(px) AS high, min(px) AS low, last(px ORDER BY ts, seq) AS close,
+  SELECT sym, ts - ts % 86400 AS t, first(px ORDER BY ts, seq, px) AS open, max(px) AS high, min(px) AS low, last(px ORDER BY ts, seq, px) AS close,
          sum(q) AS q, sum(CASE WHEN taker THEN q ELSE 0 END) AS tq, count(*) AS n
   FROM tr GROUP BY 1, 2
 )"""
