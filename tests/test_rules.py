@@ -89,3 +89,24 @@ def test_squeezes_by_a_loop(spark):
         assert got[i]["d3"] == (w is not None and w <= 3 * band[i])
         assert got[i]["d4"] == (w is not None and len(near) >= 8 and sum(x <= w for x in near) / len(near) <= 0.15)
     assert all(any(r[d] for r in got.values()) for d in ("d1", "d2", "d3", "d4"))
+
+
+_SHADOW = dict(trades=100, coins=40, days=20, months=1, net_mean=0.0001, matched_lift=1.3, least_sensitivity=1.1501, positive_folds=0, bootstrap_lower=None, stress_mean=None, max_drawdown=0.5, top_sym_share=1.0, top_day_share=1.0)
+_PAPER = dict(trades=200, coins=60, days=60, months=3, net_mean=0.0001, matched_lift=None, least_sensitivity=None, positive_folds=3, bootstrap_lower=0.0001, stress_mean=0.0001, max_drawdown=0.1, top_sym_share=0.1, top_day_share=0.2)
+
+
+@pytest.mark.parametrize(
+    "stage, base, closing",
+    [
+        ("shadow", _SHADOW, {"trades": 99, "coins": 39, "days": 19, "expectancy": ("net_mean", 0.0), "matched-lift": ("matched_lift", 1.29), "sensitivity": ("least_sensitivity", 1.15)}),
+        ("paper", _PAPER, {"trades": 199, "coins": 59, "days": 59, "months": 2, "expectancy": ("net_mean", 0.0), "walk-forward": ("positive_folds", 2), "bootstrap": ("bootstrap_lower", 0.0), "stress": ("stress_mean", None), "drawdown": ("max_drawdown", 0.101), "one-coin": ("top_sym_share", 0.101), "one-day": ("top_day_share", 0.201)}),
+    ],
+)
+def test_promotion_rules_at_their_borders(spark, stage, base, closing):
+    from tidemark.operators import research
+
+    cases = [({}, [])] + [({name: x} if not isinstance(x, tuple) else {x[0]: x[1]}, [name]) for name, x in closing.items()]
+    rows = [(n, *[(base | change)[k] for k in base]) for n, (change, _) in enumerate(cases)]
+    frame = spark.createDataFrame(rows, "n int, " + ", ".join(f"{k} {'long' if k in ('trades', 'coins', 'days', 'months', 'positive_folds') else 'double'}" for k in base))
+    found = research.promotion(frame, research.stage_rules(stage)).orderBy("n").collect()
+    assert [r["reasons"] for r in found] == [reasons for _, reasons in cases] and [r["passed"] for r in found] == [not reasons for _, reasons in cases]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .outcomes import concentration, equity_drawdown
+
 
 def last_by_id(rows: DataFrame) -> DataFrame:
     """Of rows of one id, the last by `seq`."""
@@ -169,3 +171,33 @@ def promotion(summary: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 def with_all(registry: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Every registered key, also without rows."""
     return registry.join(found, key, "left")
+
+
+def strategy_summary(outcomes: DataFrame, keys: list[str], value: str = "net") -> DataFrame:
+    """One row a strategy: trades, coins, days, months, net_mean, max_drawdown, profit_factor (null without losses), top_sym_share,
+    top_day_share. outcomes: keys, id, sym, since (seconds) and the net result; unknown results are left out."""
+    day = F.floor(F.col("since") / 86400).cast("int")
+    rows = outcomes.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("day", day)
+    date, v = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), F.col(value)
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.count_distinct("sym").alias("coins"), F.count_distinct("day").alias("days"), F.count_distinct(F.trunc(date, "month")).alias("months"),
+        F.avg(v).alias("net_mean"), F.try_divide(F.sum(F.when(v > 0, v)), -F.sum(F.when(v < 0, v))).alias("profit_factor"),
+    )
+    falls = equity_drawdown(rows, keys, ["since", "id", value], value).withColumnRenamed("drawdown", "max_drawdown")
+    for part in (falls, concentration(rows, keys, "sym", value), concentration(rows, keys, "day", value)):
+        out = out.join(part, keys)
+    return out
+
+
+def stage_rules(stage: str) -> list[tuple[str, Column]]:
+    """What a strategy must show to be promoted from `shadow` or `paper`, in the order of its reasons, over strategy_summary with matched_lift,
+    least_sensitivity, positive_folds, bootstrap_lower and stress_mean beside it. Numbers are fixed values."""
+    c, shadow = F.col, stage == "shadow"
+    trades, coins, days = (100, 40, 20) if shadow else (200, 60, 60)
+    rules = [("trades", c("trades") >= trades), ("coins", c("coins") >= coins), ("days", c("days") >= days), ("expectancy", c("net_mean") > 0)]
+    if shadow:
+        return [*rules, ("matched-lift", c("matched_lift") >= 1.3), ("sensitivity", c("least_sensitivity") > 1.15)]
+    return [
+        *rules, ("months", c("months") >= 3), ("walk-forward", c("positive_folds") >= 3), ("bootstrap", c("bootstrap_lower") > 0), ("stress", c("stress_mean") > 0),
+        ("drawdown", c("max_drawdown") <= 0.1), ("one-coin", c("top_sym_share") <= 0.1), ("one-day", c("top_day_share") <= 0.2),
+    ]

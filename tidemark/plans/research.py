@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import outcomes as O
 from ..operators import research as R
 from ..registry import query
-from ..sources.tables import EVENT_BARS_SQL, event_bars, table
+from ..sources.tables import EVENT_BARS_SQL, epoch, event_bars, table
 from .bars import rounded
 
 _ROWS = "FROM lineitem"
@@ -135,3 +135,35 @@ def selection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct(F.concat("l_returnflag", "l_linestatus")).alias("sigs"))
     kind = F.when(F.col("n") == 1, "single").when(F.col("sigs") == 1, "duplicate").otherwise("conflicting")
     return d.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+_OUTCOMES = """o AS (SELECT l_returnflag AS strategy, l_suppkey % 50 AS sym, l_orderkey * 10 + l_linenumber AS id, CAST(floor(epoch(l_shipdate)) AS BIGINT) AS since, year(l_shipdate) AS fold, l_linestatus AS variant, l_discount - l_tax AS net FROM lineitem),
+e AS (SELECT *, exp(sum(ln(greatest(0.01, 1 + net))) OVER (PARTITION BY strategy ORDER BY since, id, net ROWS UNBOUNDED PRECEDING)) AS eq FROM o), k AS (SELECT *, greatest(1.0, max(eq) OVER (PARTITION BY strategy ORDER BY since, id, net ROWS UNBOUNDED PRECEDING)) AS peak FROM e),
+cs AS (SELECT strategy, sym, sum(net) AS s FROM o GROUP BY 1, 2), cd AS (SELECT strategy, since // 86400 AS day, sum(net) AS s FROM o GROUP BY 1, 2), cf AS (SELECT strategy, fold, avg(net) AS m FROM o GROUP BY 1, 2), base AS (SELECT avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) AS r FROM o),
+cv AS (SELECT strategy, variant, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) / (SELECT r FROM base) AS l FROM o GROUP BY 1, 2),
+s AS (SELECT strategy, count(*) AS trades, count(DISTINCT sym) AS coins, count(DISTINCT since // 86400) AS days, count(DISTINCT date_trunc('month', make_timestamp(since * 1000000))) AS months, avg(net) AS net_mean, max(1 - eq / peak) AS max_drawdown,
+ sum(CASE WHEN net > 0 THEN net END) / -sum(CASE WHEN net < 0 THEN net END) AS profit_factor, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) / (SELECT r FROM base) AS matched_lift FROM k GROUP BY 1),
+t AS (SELECT s.*, (SELECT coalesce(max(s2.s) / sum(s2.s), 1) FROM cs s2 WHERE s2.strategy = s.strategy AND s2.s > 0) AS top_sym_share, (SELECT coalesce(max(d.s) / sum(d.s), 1) FROM cd d WHERE d.strategy = s.strategy AND d.s > 0) AS top_day_share,
+ (SELECT count(*) FROM cf WHERE cf.strategy = s.strategy AND m > 0) AS positive_folds, (SELECT min(l) FROM cv WHERE cv.strategy = s.strategy) AS least FROM s)"""
+
+
+@query(f"""WITH {_OUTCOMES}, g AS (SELECT *, 'shadow' AS stage, [CASE WHEN trades < 100 THEN 'trades' END, CASE WHEN coins < 40 THEN 'coins' END, CASE WHEN days < 20 THEN 'days' END, CASE WHEN net_mean <= 0 THEN 'expectancy' END, CASE WHEN matched_lift < 1.3 THEN 'matched-lift' END, CASE WHEN least <= 1.15 THEN 'sensitivity' END] AS r FROM t
+UNION ALL SELECT *, 'paper', [CASE WHEN trades < 200 THEN 'trades' END, CASE WHEN coins < 60 THEN 'coins' END, CASE WHEN days < 60 THEN 'days' END, CASE WHEN net_mean <= 0 THEN 'expectancy' END, CASE WHEN months < 3 THEN 'months' END, CASE WHEN positive_folds < 3 THEN 'walk-forward' END, 'bootstrap',
+ CASE WHEN net_mean - 0.003 <= 0 THEN 'stress' END, CASE WHEN max_drawdown > 0.1 THEN 'drawdown' END, CASE WHEN top_sym_share > 0.1 THEN 'one-coin' END, CASE WHEN top_day_share > 0.2 THEN 'one-day' END] FROM t)
+SELECT strategy, stage, trades, coins, days, months, round(net_mean, 6) AS net_mean, round(max_drawdown, 5) AS max_drawdown, round(profit_factor, 5) AS profit_factor, round(top_sym_share, 6) AS top_sym_share, round(top_day_share, 6) AS top_day_share,
+array_to_string(list_filter(r, lambda x: x IS NOT NULL), ',') AS reasons, len(list_filter(r, lambda x: x IS NOT NULL)) = 0 AS passed FROM g""")
+def strategy_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as outcomes of three strategies, held against the rules of both stages; their bootstrap is unknown, which fails it."""
+    line, net = table(spark, sf_dir, "lineitem"), F.col("l_discount") - F.col("l_tax")
+    rows = line.select(F.col("l_returnflag").alias("strategy"), (F.col("l_suppkey") % 50).alias("sym"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), epoch(F.col("l_shipdate")).alias("since"), F.year("l_shipdate").alias("fold"), F.col("l_linestatus").alias("variant"), net.alias("net"))
+    won = F.avg((F.col("net") > 0).cast("double"))
+    folds = rows.groupBy("strategy", "fold").agg(F.avg("net").alias("m")).groupBy("strategy").agg(F.count_if(F.col("m") > 0).alias("positive_folds"))
+    lifts = rows.groupBy("strategy", "variant").agg(won.alias("w")).groupBy("strategy").agg(F.min("w").alias("least"))
+    found = R.strategy_summary(rows, ["strategy"]).join(folds, "strategy").join(lifts, "strategy").join(rows.groupBy("strategy").agg(won.alias("w")), "strategy")
+    every = Window.partitionBy(F.lit(0))  # one row a strategy
+    found = found.withColumn("base", F.sum(F.col("w") * F.col("trades")).over(every) / F.sum("trades").over(every))
+    found = found.withColumns({"matched_lift": F.col("w") / F.col("base"), "least_sensitivity": F.col("least") / F.col("base"), "stress_mean": F.col("net_mean") - 0.003, "bootstrap_lower": F.lit(None).cast("double")})
+    both = [R.promotion(found, R.stage_rules(stage)).withColumn("stage", F.lit(stage)) for stage in ("shadow", "paper")]
+    out = both[0].unionByName(both[1]).withColumn("reasons", F.array_join("reasons", ","))
+    shown = {"net_mean": 6, "max_drawdown": 5, "profit_factor": 5, "top_sym_share": 6, "top_day_share": 6}
+    return rounded(out.select("strategy", "stage", "trades", "coins", "days", "months", *shown, "reasons", "passed"), shown)

@@ -44,9 +44,9 @@ def breakout_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 _F = ["pullback24", "oi1h", "change1h", "ret4h", "ret24h", "funding", "f8h", "oi4h", "oi_drop", "oi_rebound", "pos", "buy_share", "taker4", "vol_z", "range24", "range_avg", "green24", "upper_wick", "lower_wick", "pctile"]
 
 
-@query(f"{FEATURES_SQL} SELECT sym, t, {', '.join(f'round({c}, 4) AS {c}' for c in _F)}, new_high, was_below, squeezed, squeeze_up, dense100, \"cross\" FROM feat")
+@query(f"{FEATURES_SQL} SELECT sym, t, {', '.join(f'round({c}, 7) AS {c}' for c in _F)}, new_high, was_below, squeezed, squeeze_up, dense100, \"cross\" FROM feat")
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features(spark, sf_dir).select("sym", "t", *_F, "new_high", "was_below", "squeezed", "squeeze_up", "dense100", "cross"), dict.fromkeys(_F, 4))
+    return rounded(features(spark, sf_dir).select("sym", "t", *_F, "new_high", "was_below", "squeezed", "squeeze_up", "dense100", "cross"), dict.fromkeys(_F, 7))
 
 
 #: The numbers of both sets of thresholds, for the SQL below, which states every rule by itself.
