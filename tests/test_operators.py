@@ -232,8 +232,8 @@ def test_order_statistics(spark):
 
 
 def test_unknown_values_close_gates(spark):
-    row = {c: None for c in ("f8h", "f24h", "oi4h", "ret4h", "ret24h", "change1h", "pullback24", "oi_drop", "oi_rebound", "range24", "close_hi24")}
-    known = {"funding": 0.02, "buy_share": 0.9, "pos": 0.7, "vol_z": 3.0, "new_high": True, "upper_wick": 0.9, "lower_wick": 0.9, "pctile": 0.5, "cross": 0, "close": 1.0, "hi24": 2.0, "open": 1.0, "green24": 0.9, "ema20": 2.0, "ema50": 2.0, "was_below": True, "range_last": 1.0, "range_avg": 0.1}
+    row = {c: None for c in ("f8h", "f24h", "oi4h", "ret4h", "ret24h", "change1h", "pullback24", "oi_drop", "oi_rebound", "range24", "close_hi24", "oi", "oi_max", "oi_then")}
+    known = {"i": 40, "upper_red": True, "lower_strong": True, "funding": 0.02, "buy_share": 0.9, "pos": 0.7, "vol_z": 3.0, "new_high": True, "upper_wick": 0.9, "lower_wick": 0.9, "pctile": 0.5, "cross": 0, "close": 1.0, "hi24": 2.0, "open": 1.0, "green24": 0.9, "ema20": 2.0, "ema50": 2.0, "was_below": True, "range_last": 1.0, "range_avg": 0.1}
     cast = {k: F.lit(v).cast("double") if v is None or isinstance(v, float) else F.lit(v) for k, v in (row | known).items()}
     df = spark.range(1).select(F.lit("A").alias("sym"), F.lit(0).alias("t"), *[v.alias(k) for k, v in cast.items()])
     assert detectors.insights(df).count() == 0
