@@ -71,8 +71,13 @@ def test_audit_of_nothing(spark):
     assert audit.interactions(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
 
 
-def test_audit_tables_go(spark):
+def test_audit_tables_go_with_their_files(spark):
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(1, "a #", "en", "s", 3)], DOCS)
+    assert audit.interactions(docs, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).count() == 600
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_ids")]
+    assert not list(Path(common.shared_dir(spark).removeprefix("file://")).glob("tidemark_ids_*"))
 
 
 def plain_top(rows, every, k):

@@ -17,7 +17,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import discard, shared_dir, written
 
 #: Ids in a bucket of the id tables, about.
 BUCKET_ROWS = 1_000_000
@@ -59,7 +59,7 @@ def copies(found: DataFrame) -> DataFrame:
 
 @contextmanager
 def _bucketed(spark, n_buckets: int):
-    """A function that writes a frame as a table bucketed by the key; the tables go at the end."""
+    """A function that writes a frame as a table bucketed by the key; the tables go at the end, with their files."""
     names = []
 
     def put(df: DataFrame) -> DataFrame:
@@ -72,6 +72,7 @@ def _bucketed(spark, n_buckets: int):
     finally:
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(spark, f"{shared_dir(spark)}/{name}")
 
 
 def prefixes(found: DataFrame, filters: Sequence[str]) -> tuple[DataFrame, DataFrame]:

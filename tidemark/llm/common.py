@@ -44,6 +44,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what lies under a path of the shared folder that no frame reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into pieces of few rows, so that work space follows a few texts and not a whole batch."""
     for batch in batches:
