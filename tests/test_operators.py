@@ -131,6 +131,27 @@ def test_bootstrap_against_a_loop(spark):
     assert research.block_bootstrap(df.where("day < 3"), ["key"], ["day"]).first()["lower"] is None
 
 
+def test_rounds_share_draws_and_chunks(spark, monkeypatch):
+    """Block sums in several chunks, shares that cut sections, and a stream so short that rounds read the same draws."""
+    rows = [("k", d, d * 37 % 11 / 10) for d in range(40)] + [("l", d, d / 7) for d in range(23)]
+    df = spark.createDataFrame(rows, "key string, day long, value double")
+    monkeypatch.setattr(research, "CHUNK", 9)
+    monkeypatch.setattr(research, "DRAWS", 7)
+    monkeypatch.setattr(research, "PERIOD", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        pieces = research._pieces(df.groupBy("key", "day").agg(F.sum("value").alias("s"), F.count("*").alias("n")), ["key"], ["day"])
+        assert pieces.agg(F.max("__n")).first()[0] <= 4 and pieces.where("key = 'k'").agg(F.sum("__n"), F.max("__len")).first() == (40, 40)
+        got = {r["key"]: r["lower"] for r in research.block_bootstrap(df, ["key"], ["day"], rounds=50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    draws = research.mulberry(7, 0, 64)
+    for key in "kl":
+        own = [v for k, _, v in rows if k == key]
+        means = sorted(sum(own[int(draws[(i * len(own) + j) % 64] * len(own))] for j in range(len(own))) / len(own) for i in range(50))
+        assert got[key] == pytest.approx(means[2])
+
+
 def test_draws_at_once_are_the_stream(spark):
     rng = research.Mulberry(11)
     stream = [rng.next() for _ in range(300)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .outcomes import concentration, equity_drawdown
 
 
@@ -75,35 +77,112 @@ class Mulberry:
 
 def mulberry(seed: int, first: int, n: int) -> np.ndarray:
     """Draws first to first + n - 1 of Mulberry(seed), at once: its state moves by a fixed step, so any draw can be reached."""
-    m = np.uint64(0xFFFFFFFF)
-    t = (np.uint64(seed & 0xFFFFFFFF) + (np.arange(first + 1, first + n + 1, dtype=np.uint64) & m) * np.uint64(0x6D2B79F5)) & m
-    t = ((t ^ (t >> np.uint64(15))) * (t | np.uint64(1))) & m
-    t ^= (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & m)) & m
-    return (((t ^ (t >> np.uint64(14))) & m) / 4294967296).astype(float)
+    # 32-bit products wrap by themselves
+    t = np.arange(n, dtype=np.uint32)
+    t += np.uint32((first + 1) & 0xFFFFFFFF)
+    t *= np.uint32(0x6D2B79F5)
+    t += np.uint32(seed & 0xFFFFFFFF)
+    t = (t ^ (t >> np.uint32(15))) * (t | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return (t ^ (t >> np.uint32(14))) / 4294967296
+
+
+#: Block sums that one task of a bootstrap holds, draws it makes at once, and tasks that share the draws of as many block sums.
+CHUNK, DRAWS, SHARES = 8_000_000, 1 << 16, 8
+#: Draws after which the generator's stream begins again.
+PERIOD = 1 << 32
+
+
+def _bounds(rounds: int, step: int, skip: int, n: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sections of the one random stream between all starts and ends of rounds: (first draws, lengths), without those that no round reads, and
+    of each round its first section and how many it has. Draws repeat after a period, so no draw is made twice however many rounds read it."""
+    starts = (np.arange(rounds, dtype=np.int64) * step + skip) % period
+    edges = np.unique(np.concatenate([starts, (starts + n) % period]))
+    lengths = np.diff(np.append(edges, edges[0] + period))
+    first, behind = np.searchsorted(edges, starts), np.searchsorted(edges, (starts + n) % period)
+    count = np.where(behind > first, behind - first, behind - first + len(edges))
+    read = np.zeros(2 * len(edges) + 1, np.int64)
+    np.add.at(read, first, 1)
+    np.add.at(read, first + count, -1)
+    read = read.cumsum()
+    return edges, np.where(read[: len(edges)] + read[len(edges) : -1] > 0, lengths, 0), first, count
+
+
+def _pieces(sums: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Block sums in order, packed: (keys, __first, __n, s, n), where __first is the place within its key of a piece's first block sum and s
+    and n are compressed arrays. Rows are sorted in ranges; a key may take many of them."""
+    ranged = sums.repartitionByRange(*[F.col(c).asc_nulls_last() for c in [*keys, *order]]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in [*keys, *order]])
+
+    def pack(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for _, own in pdf.groupby(keys, sort=False, dropna=False):
+                packed = {c: zlib.compress(own[c].to_numpy(t).tobytes(), 1) for c, t in (("s", "f8"), ("n", "i8"))}
+                yield pd.DataFrame([{**{k: own[k].iloc[0] for k in keys}, "__n": len(own), **packed}])
 
-
-#: Rounds that one task of a bootstrap draws.
-ROUNDS = 50
+    types = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
+    packed = ranged.select(*keys, F.col("s").cast("double").alias("s"), F.col("n").cast("long").alias("n")).mapInPandas(pack, f"{types}, __n long, s binary, n binary")
+    packed = written(packed.withColumn("__at", F.monotonically_increasing_id()))
+    earlier = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    places = packed.select(*keys, "__at", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__len"))
+    return packed.join(places.drop(*keys), "__at").drop("__at")
 
 
 def _resampled(sums: DataFrame, keys: list[str], order: list[str], rounds: int, seed: int, stride: str | None = None, start: str | None = None) -> DataFrame:
-    """(keys, means array): means of `rounds` resamples of a key's block sums (s, n). Round ranges are dealt out, each with its part of
-    the one random stream. stride and start name columns: draws of a round, and the first of them that are for these blocks."""
-    dealt = sums.withColumn("__from", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(ROUNDS))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        s, n, low = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float), int(pdf["__from"].iloc[0])
-        step, skip = (int(pdf[c].iloc[0]) if c else d for c, d in ((stride, len(s)), (start, 0)))
-        means = []
-        for i in range(low, min(rounds, low + ROUNDS)):
-            pick = (mulberry(seed, i * step + skip, len(s)) * len(s)).astype(np.int64)
-            means.append(s[pick].sum() / n[pick].sum())
+    """(keys, means array): means of `rounds` resamples of a key's block sums (s, n). stride and start name columns, the same in all rows of
+    a key: draws of a round, and the first of them that are for these blocks.
+
+    Block sums lie packed in chunks. A task holds one chunk and a share of the sections of the stream; of their draws it adds up those that
+    meet its chunk. Copies of block sums are as many as shares, whatever the number of rounds.
+    """
+    extra = [c for c in (stride, start) if c]
+    pieces = _pieces(sums.select(*keys, *order, "s", "n"), keys, order)
+    if extra:
+        pieces = pieces.join(sums.select(*keys, *extra).groupBy(*keys).agg(*[F.first(c).alias(c) for c in extra]), keys)
+    n, step, skip = F.col("__len"), F.col(stride) if stride else F.col("__len"), F.col(start) if start else F.lit(0)
+    dealt = pieces.select(*keys, "__first", "__n", "s", "n", n.alias("__len"), step.cast("long").alias("__step"), skip.cast("long").alias("__skip"), F.floor(F.col("__first") / CHUNK).alias("__chunk"))
+    shares = F.least(F.lit(SHARES), F.ceil(F.col("__len") * rounds / (64 * DRAWS))).cast("int")
+    dealt = dealt.withColumn("__shares", shares).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__first")
+        size, step, skip, share, of = (int(pdf[c].iloc[0]) for c in ("__len", "__step", "__skip", "__share", "__shares"))
+        low, (s, n) = int(pdf["__first"].iloc[0]), (np.concatenate([np.frombuffer(zlib.decompress(x), t) for x in pdf[c]]) for c, t in (("s", "f8"), ("n", "i8")))
+        whole, ones = len(s) == size, bool((n == 1).all())
+        edges, lengths, _, _ = _bounds(rounds, step, skip, size, PERIOD)
+        total, found = int(lengths.sum()), []
+        # a share is a stretch of all draws that are read; a section may be cut between two
+        begin, end, done = total * share // of, total * (share + 1) // of, 0
+        for k in np.flatnonzero(lengths):
+            here, done = done, done + int(lengths[k])
+            at, stop, sum_s, sum_n = max(begin - here, 0), min(end - here, int(lengths[k])), 0.0, 0
+            while at < stop:
+                pick = (mulberry(seed, int(edges[k]) + at, min(DRAWS, stop - at)) * size).astype(np.int64)
+                at += len(pick)
+                if not whole:
+                    pick -= low
+                    pick = pick[(pick >= 0) & (pick < len(s))]
+                sum_s, sum_n = sum_s + s[pick].sum(), sum_n + (len(pick) if ones else int(n[pick].sum()))
+            if max(begin - here, 0) < stop:
+                found.append((int(k), float(sum_s), sum_n))
+        out = pd.DataFrame(found, columns=["__k", "s", "n"])
+        return out.assign(**{k: [pdf[k].iloc[0]] * len(out) for k in keys}, __len=size, __step=step, __skip=skip)[[*keys, "__len", "__step", "__skip", "__k", "s", "n"]]
+
+    def means_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, step, skip = (int(pdf[c].iloc[0]) for c in ("__len", "__step", "__skip"))
+        edges, _, first, count = _bounds(rounds, step, skip, size, PERIOD)
+        s, n = np.zeros(2 * len(edges)), np.zeros(2 * len(edges))
+        for half in (0, len(edges)):
+            s[pdf["__k"].to_numpy() + half], n[pdf["__k"].to_numpy() + half] = pdf["s"], pdf["n"]
+        means = sorted(float(s[a : a + c].sum() / n[a : a + c].sum()) for a, c in zip(first, count, strict=True))
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "means": means}])
 
     types = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
-    means = dealt.groupBy(*keys, "__from").applyInPandas(run, f"{types}, means array<double>")
-    return means.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("means"))).alias("means"))
+    # few bytes but long work, so partitions are not to be merged
+    spread = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__chunk", "__share")
+    parts = spread.groupBy(*keys, "__chunk", "__share").applyInPandas(draw, f"{types}, __len long, __step long, __skip long, __k long, s double, n long")
+    parts = parts.groupBy(*keys, "__len", "__step", "__skip", "__k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    # two rows a round at most
+    return parts.groupBy(*keys).applyInPandas(means_of, f"{types}, means array<double>")
 
 
 def _lower(rounds: int, level: float) -> Column:
@@ -113,9 +192,9 @@ def _lower(rounds: int, level: float) -> Column:
 def block_bootstrap(rows: DataFrame, keys: list[str], block: list[str], rounds: int = 1000, level: float = 0.05, seed: int = 7, least: int = 5) -> DataFrame:
     """(keys, blocks, mean, lower): lower bound of the mean from resampled blocks; null with fewer than `least` blocks.
 
-    Rows are first summed by block; rounds are dealt out in ranges over the block sums of a key.
+    Rows are first summed by block; draws are dealt out over the block sums of a key.
     """
-    sums = rows.groupBy(*keys, *block).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    sums = written(rows.groupBy(*keys, *block).agg(F.sum("value").alias("s"), F.count("*").alias("n")))
     order = [c for c in sums.columns if c not in ("s", "n")]
     whole = sums.groupBy(*keys).agg(F.count("*").alias("blocks"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
     means = _resampled(sums, keys, order, rounds, seed).select(*keys, _lower(rounds, level).alias("lower"))
@@ -128,7 +207,7 @@ def paired_bounds(rows: DataFrame, keys: list[str], rounds: int = 2000, level: f
     rows: keys, sym, since, value. The event bound resamples sums of symbol-days, the coin bound means of symbols; each round draws first
     the one and then the other from one random stream. Both are null unless there are `least` blocks of either kind.
     """
-    days = rows.groupBy(*keys, "sym", F.floor(F.col("since") / 86400).alias("day")).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    days = written(rows.groupBy(*keys, "sym", F.floor(F.col("since") / 86400).alias("day")).agg(F.sum("value").alias("s"), F.count("*").alias("n")))
     coins = days.groupBy(*keys, "sym").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("s")).withColumn("n", F.lit(1).cast("long"))
     sizes = days.groupBy(*keys).agg(F.count("*").alias("event_blocks"), F.count_distinct("sym").alias("coin_blocks"))
     known = sizes.withColumn("__step", F.col("event_blocks") + F.col("coin_blocks")).where((F.col("event_blocks") >= least) & (F.col("coin_blocks") >= least))
