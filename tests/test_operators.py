@@ -550,3 +550,12 @@ def test_switched_insights_and_flush_precedence():
     shown = {r[0] for r in detectors.insight_rules()}
     assert not shown & detectors.SWITCHED and {r[0] for r in detectors.insight_rules(detectors.SWITCHED)} >= detectors.SWITCHED
     assert "NOT coalesce" in next(r[3] for r in detectors.insight_rules() if r[0] == "breakout-confirmed")
+
+
+def test_two_decimals_go_by_the_binary_value(spark):
+    values = [0.125, 0.375, 2.675, 1.005, 0.285, -0.125, -2.675, 0.0, 0.001, 1005.0, 1015.0, 8.345, 999.995, 1e5 + 0.005, 560.21, 7e11 + 0.25]
+    rng = np.random.default_rng(5)
+    values += [float(v) for v in rng.integers(0, 900_000, 400) / 1000] + [float(v) for v in rng.normal(0, 300, 200)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.two_decimals(F.col("x")).alias("y"), S.compact(F.col("x")).alias("z")).collect()
+    assert [r["y"] for r in got] == ["%.2f" % r["x"] for r in got]
+    assert {r["x"]: r["z"] for r in got}[1005.0] == "1.00K" and {r["x"]: r["z"] for r in got}[1015.0] == "%.2fK" % 1.015
