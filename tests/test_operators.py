@@ -559,3 +559,18 @@ def test_two_decimals_go_by_the_binary_value(spark):
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.two_decimals(F.col("x")).alias("y"), S.compact(F.col("x")).alias("z")).collect()
     assert [r["y"] for r in got] == ["%.2f" % r["x"] for r in got]
     assert {r["x"]: r["z"] for r in got}[1005.0] == "1.00K" and {r["x"]: r["z"] for r in got}[1015.0] == "%.2fK" % 1.015
+
+
+def test_evidence_does_not_turn_on_the_order_of_rows(spark, tmp_path):
+    """Rows whose discounts less taxes are 0.01 on average, in many orders: all get one answer, and 0.01 is not above 0.01."""
+    from tidemark.plans.evidence import evidence_items
+
+    rng, rows = np.random.default_rng(3), []
+    pairs = [(i % 11 / 100, (i % 11 - 1) % 9 / 100) for i in range(600)]
+    pairs += [(0.05, 0.04 - 0.0)] * 20
+    gap = round(sum(round(100 * d) - round(100 * t) for d, t in pairs)) - len(pairs)
+    pairs += [(0.0, 0.0)] * gap if gap > 0 else [(0.02, 0.0)] * -gap
+    for key in range(60):
+        rows += [(key, pairs[i][0], pairs[i][1], "A") for i in rng.permutation(len(pairs))]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r["capability"], r["recommendation"]) for r in evidence_items(spark, str(tmp_path)).collect()} == {("context", "demote")}
