@@ -574,3 +574,27 @@ def test_evidence_does_not_turn_on_the_order_of_rows(spark, tmp_path):
         rows += [(key, pairs[i][0], pairs[i][1], "A") for i in rng.permutation(len(pairs))]
     spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r["capability"], r["recommendation"]) for r in evidence_items(spark, str(tmp_path)).collect()} == {("context", "demote")}
+
+
+def test_machines_in_order_carry_their_states_over_batches(spark, sf, tmp_path):
+    """Seven files are two batches or more; a symbol that is missing in one of them keeps its state, and Arrow batches cut symbols."""
+    from tidemark.plans.streams import stream_cooldown, stream_notifications
+    from tidemark.streaming.processors import Notifier
+
+    for k in range(7):
+        part = spark.read.parquet(f"{sf}/events.parquet").where(f"event_id BETWEEN {k * 140} AND {k * 140 + 139} AND NOT ({k} > 3 AND event_type = 'click' AND {k} < 6)")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(map(tuple, stream_notifications(spark, str(tmp_path)).collect()))
+        thinned = sorted(map(tuple, stream_cooldown(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, held, kept, last = [], {}, [], {}
+    for r in sorted(ticks(spark, str(tmp_path)).collect(), key=lambda r: (r["ts"], r["seq"])):
+        e = held.setdefault(r["sym"], Notifier()).observe(r["ts"], r["px"] > 40, r["user"] % 4 != 0, 4 * 3600)
+        want += [(r["sym"], r["ts"], e)] if e else []
+        if r["px"] > 80 and r["ts"] - last.get(r["sym"], -(10**9)) >= 6 * 3600:
+            last[r["sym"]] = r["ts"]
+            kept.append((r["sym"], r["ts"]))
+    assert got == sorted(want) and thinned == sorted(kept)

@@ -25,7 +25,7 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT event_type AS sym, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE value > 80), s AS (SELECT sym, min(ts) AS ts FROM e GROUP BY 1),
 k AS (SELECT sym, ts FROM s UNION ALL SELECT sym, ts FROM (SELECT e.sym, e.ts, row_number() OVER (PARTITION BY e.sym, k.ts ORDER BY e.ts) AS rn FROM k JOIN e ON e.sym = k.sym AND e.ts >= k.ts + 21600) WHERE rn = 1) SELECT sym, ts FROM k""")
 def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.drain(P.cooldown(_stream(spark, sf_dir).where("px > 80"), 6 * 3600), "append")
+    return P.cooldown(_stream(spark, sf_dir).where("px > 80"), 6 * 3600)
 
 
 def watch_inputs(rows: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def stream_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with cooldown and retry; a test holds it against a loop over all ticks."""
     rows = _stream(spark, sf_dir).withColumn("on", F.col("px") > 40).withColumn("delivered", F.col("user") % 4 != 0)
-    return P.drain(P.notifications(rows, 4 * 3600), "append")
+    return P.notifications(rows, 4 * 3600)
 
 
 @query("""SELECT DISTINCT concat(event_type, ':', CAST(floor(epoch(ts) / 3600) AS BIGINT)) AS id, event_type AS sym FROM events""")
