@@ -26,6 +26,8 @@ MAX_N = 3
 TRAIN_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 60
 RIDGE = 1e-2
+#: Presence bits of the sample that the fit unpacks at once.
+STRETCH = 1 << 21
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 #: Characters taken at once from a text, up to the next white space: bounds the work space of very long texts.
 SPAN = 1 << 18
@@ -78,6 +80,13 @@ class Model:
         return dense @ self.weights
 
 
+def _stretches(bits: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Packed presence rows, unpacked by stretches of ids: bounds the driver's work space, which whole rows of numbers would exceed."""
+    step = max(1, STRETCH // (8 * len(bits)))
+    for start in range(0, bits.shape[1], step):
+        yield slice(8 * start, 8 * (start + step)), np.unpackbits(bits[:, start : start + step], axis=1).astype(np.float32)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Fits on a bounded sample of the labelled rows with letters; None where there are no such rows.
 
@@ -106,24 +115,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             chosen.append(r)
     if not chosen:
         return None
-    p = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in chosen], np.float32)
-    p /= np.sqrt(np.maximum(1, p.sum(axis=1, keepdims=True)))
+    bits = np.frombuffer(b"".join(r["bits"] for r in chosen), np.uint8).reshape(len(chosen), -1)
     y = np.array([[1.0 if r["lang"] == x else -1.0 for x in languages] for r in chosen])
     rank, seen = [], {}
     for i, r in enumerate(chosen):
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
         if seen[r["lang"]] <= LANDMARKS_PER_LANGUAGE:
             rank.append(i)
-    marks = p[rank]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    norms = np.sqrt(np.maximum(1, np.bitwise_count(bits).sum(axis=1, dtype=np.int64)))
+    kernel = np.zeros((len(chosen), len(rank)))
+    for _, part in _stretches(bits):
+        kernel += part @ part[rank].T  # numbers of shared n-grams, which are exact
+    kernel /= norms[:, None] * norms[rank]
+    values, vectors = np.linalg.eigh(kernel[rank])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (p @ marks.T).astype(np.float64) @ root
+    features = kernel @ root
     balance = 1.0 / np.array([seen[r["lang"]] for r in chosen])
     balance /= balance.mean()
     weighted = features * balance[:, None]
     solved = np.linalg.solve(features.T @ weighted + RIDGE * len(chosen) * np.eye(features.shape[1]) / features.shape[1], weighted.T @ y)
-    return Model(languages, (marks.T @ (root @ solved)).astype(np.float32))
+    pull, weights = root @ solved / norms[rank][:, None], np.zeros((DIM, len(languages)), np.float32)
+    for ids, part in _stretches(bits[rank]):
+        weights[ids] = part.T @ pull
+    return Model(languages, weights)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
